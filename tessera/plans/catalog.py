@@ -199,3 +199,185 @@ def q_eval_means(spark, sf):
     m = metric_means(_label_metrics(spark, sf))
     return m.select(F.col("n_questions").cast("bigint").alias("n_questions"),
                     *[_r6(F.col(c)).alias(c) for c in m.columns if c.startswith("mean_")])
+
+
+# --- pages: crawl, cleaning, anchors ---------------------------------------
+
+from tessera.functions import html as H  # noqa: E402
+from tessera.functions.url import url_domain as _domain  # noqa: E402
+from tessera.operators import index as ix  # noqa: E402
+from tessera.operators.links import scan_anchors  # noqa: E402
+from tessera.plans import pages as pg  # noqa: E402
+
+
+def _pages(spark, sf):
+    return read_table(spark, sf, "pages")
+
+
+@register("read_crawl")
+def q_read_crawl(spark, sf):
+    log = pg.crawl_log(_pages(spark, sf))
+    return log.select("page_id", "url", pg.url_origin(F.col("url")).alias("origin"), "http_status",
+                      "content_type", "transport_error", F.length("body").alias("body_chars"))
+
+
+@register("url_origin")
+def q_url_origin(spark, sf):
+    return _pages(spark, sf).select("page_id", pg.url_origin(F.col("url")).alias("origin"))
+
+
+@register("robots_gate")
+def q_robots_gate(spark, sf):
+    return pg.fetched(_pages(spark, sf)).select("page_id", "url", "allowed")
+
+
+@register("fetch_outcome")
+def q_fetch_outcome(spark, sf):
+    return pg.fetched(_pages(spark, sf)).select(
+        "page_id", "status_code", "error", F.col("content").isNotNull().alias("has_content"))
+
+
+@register("fetch_failed")
+def q_fetch_failed(spark, sf):
+    return pg.fetched(_pages(spark, sf)).select("page_id", "fetch_failed", "fail_reason")
+
+
+@register("main_text")
+def q_main_text(spark, sf):
+    return _pages(spark, sf).select("page_id", H.clean_html(F.col("html")).alias("text"))
+
+
+@register("drop_noise_tags")
+def q_drop_noise_tags(spark, sf):
+    kept = H.drop_blocks(H.pre_clean(F.col("html")))
+    return _pages(spark, sf).select("page_id", F.length("html").alias("html_chars"),
+                                    F.length(kept).alias("kept_chars"))
+
+
+@register("drop_noise_attrs")
+def q_drop_noise_attrs(spark, sf):
+    kept = H.drop_noise_attrs(F.col("html"))
+    return _pages(spark, sf).select("page_id", F.length(kept).alias("kept_chars"),
+                                    H.visible_text(H.pre_clean(kept)).alias("text"))
+
+
+@register("normalize_ws")
+def q_normalize_ws(spark, sf):
+    return _pages(spark, sf).select("page_id", H.visible_text(H.pre_clean(F.col("html"))).alias("text"))
+
+
+@register("min_text_length")
+def q_min_text_length(spark, sf):
+    body = H.visible_text(H.drop_noise_attrs(H.drop_blocks(H.main_region(H.pre_clean(F.col("html"))))))
+    return _pages(spark, sf).select("page_id", F.length(body).alias("n_chars"),
+                                    H.clean_html(F.col("html")).isNotNull().alias("kept"))
+
+
+@register("scan_anchors")
+def q_scan_anchors(spark, sf):
+    return scan_anchors(_pages(spark, sf))
+
+
+@register("drop_empty_href")
+def q_drop_empty_href(spark, sf):
+    a = scan_anchors(_pages(spark, sf), keep_empty=True)
+    return a.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_anchors"),
+                                    F.count_if(F.length("url") > 0).alias("n_kept"))
+
+
+@register("url_domain")
+def q_url_domain(spark, sf):
+    p = _pages(spark, sf)
+    a = scan_anchors(p).select("page_id", "pos", "url")
+    own = p.select("page_id", F.lit(-1).alias("pos"), "url")
+    return own.unionByName(a).select("page_id", "pos", "url", _domain(F.col("url")).alias("domain"))
+
+
+# --- pages: ingest outcome and index state -----------------------------------
+
+def _links(spark, sf, attempt=0):
+    return pg.page_links(spark, sf, attempt)
+
+
+@register("ingest_outcome")
+def q_ingest_outcome(spark, sf):
+    return _links(spark, sf).select("page_id", "url", "outcome", "reason")
+
+
+@register("last_wins")
+def q_last_wins(spark, sf):
+    """Anchors as one link list per page; a url seen several times keeps the
+    metadata of its last occurrence in (page, position) order."""
+    a = scan_anchors(_pages(spark, sf)).withColumnRenamed("page_id", "file_id")
+    return ix.last_wins(a.select("url", "title", "file_id", "pos"))
+
+
+def _run_links(spark, sf, run: int):
+    """Link rows a run writes: every page is crawled in both runs; run 1 is a
+    re-crawl (attempt 1) whose transport outcomes differ."""
+    lk = _links(spark, sf, attempt=run)
+    return lk.where(F.col("outcome").isin("indexed", "failed")).select(
+        "page_id", "url", "title", "folder", "date_added", "domain", F.col("outcome").alias("status"),
+        "outcome", "text")
+
+
+def _snapshot(spark, sf, runs=2):
+    ts = [F.to_timestamp(F.lit(t)) for t in pg.INGEST_TS]
+    links = ix.upsert_links(
+        spark.createDataFrame([], "url string, title string, folder string, date_added timestamp, "
+                                  "domain string, status string, created_at timestamp, updated_at timestamp"),
+        _run_links(spark, sf, 0), ts[0])
+    if runs > 1:
+        links = ix.upsert_links(links, _run_links(spark, sf, 1), ts[1])
+    return links
+
+
+def _run_chunks(spark, sf, run: int):
+    lk = _run_links(spark, sf, run)
+    return pg.page_chunks(lk).withColumn("run", F.lit(run))
+
+
+@register("upsert_links")
+def q_upsert_links(spark, sf):
+    return _snapshot(spark, sf)
+
+
+@register("replace_chunks")
+def q_replace_chunks(spark, sf):
+    ch = ix.replace_chunks(_run_chunks(spark, sf, 0), _run_chunks(spark, sf, 1))
+    return ch.select("url", "chunk_index", "chunk_id", "run")
+
+
+@register("ingest_progress")
+def q_ingest_progress(spark, sf):
+    """Links are processed in page order, 50 pages per export file; (current,
+    total) as the progress feed reports them."""
+    from pyspark.sql import Window
+    p = _pages(spark, sf).select("page_id", "url", F.floor(F.col("page_id") / 50).cast("bigint").alias("file_id"))
+    w = Window.partitionBy("file_id")
+    return p.select("url", "file_id",
+                    F.row_number().over(w.orderBy("page_id")).cast("bigint").alias("current"),
+                    F.count(F.lit(1)).over(w).cast("bigint").alias("total"))
+
+
+@register("ingest_summary")
+def q_ingest_summary(spark, sf):
+    lk = _links(spark, sf).withColumn("file_id", F.floor(F.col("page_id") / 50).cast("bigint"))
+    return lk.groupBy("file_id").agg(F.count_if(F.col("outcome") == "indexed").cast("bigint").alias("success"),
+                                     F.count_if(F.col("outcome") != "indexed").cast("bigint").alias("failed"))
+
+
+@register("get_by_url")
+def q_get_by_url(spark, sf):
+    return ix.get_by_url(_snapshot(spark, sf), _pages(spark, sf).select("url"))
+
+
+@register("list_urls")
+def q_list_urls(spark, sf):
+    return ix.list_urls(_snapshot(spark, sf))
+
+
+@register("index_stats")
+def q_index_stats(spark, sf):
+    ch = ix.replace_chunks(_run_chunks(spark, sf, 0), _run_chunks(spark, sf, 1))
+    return ix.index_stats(_snapshot(spark, sf), ch)

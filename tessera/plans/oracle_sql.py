@@ -220,3 +220,190 @@ SELECT s.strategy, CAST(s.chunk_size AS INTEGER) AS chunk_size, CAST(s.overlap A
        round(coalesce(m.rd, 0), 6) AS mean_recall_distinct, round(coalesce(m.m, 0), 6) AS mean_mrr
 FROM strat s LEFT JOIN sizes z ON z.strategy = s.strategy LEFT JOIN means m ON m.strategy = s.strategy
 """
+
+
+# --- pages -------------------------------------------------------------------
+
+from tessera.functions import html as H  # noqa: E402
+from tessera.functions import url as U  # noqa: E402
+from tessera.plans import pages as PG  # noqa: E402
+from tessera.operators import links as LK  # noqa: E402
+from tessera.operators.crawl import AGENT_TOKEN  # noqa: E402
+
+
+def rx(expr: str, pattern: str, repl: str = " ") -> str:
+    return f"regexp_replace({expr}, {q(pattern)}, {q(repl)}, 'g')"
+
+
+def drop_blocks(expr: str, tags=H.NOISE_TAGS) -> str:
+    for t in tags:
+        expr = rx(expr, H.block_re(t))
+    return expr
+
+
+def drop_noise_attrs(expr: str) -> str:
+    for t in H.NOISE_ATTR_TAGS:
+        expr = rx(expr, H.noise_attr_re(t))
+    return expr
+
+
+def decode_entities(expr: str) -> str:
+    for ent, ch in H.ENTITIES:
+        expr = f"replace({expr}, {q(ent)}, {q(ch)})"
+    return expr
+
+
+def pre_clean(expr: str) -> str:
+    return drop_blocks(rx(expr, H.COMMENT_RE), ("script", "style"))
+
+
+def visible_text(expr: str) -> str:
+    return norm(decode_entities(rx(expr, H.TAG_RE)))
+
+
+def main_region(expr: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches(__x, {q(H.has_tag_re(t))}) THEN regexp_extract(__x, {q(H.region_re(t))}, 1)"
+                     for t in ("article", "main", "body"))
+    return f"(SELECT CASE {cases} ELSE __x END FROM (SELECT {expr} AS __x))"
+
+
+def main_region_inline(expr: str) -> str:
+    cases = " ".join(f"WHEN regexp_matches({expr}, {q(H.has_tag_re(t))}) THEN regexp_extract({expr}, {q(H.region_re(t))}, 1)"
+                     for t in ("article", "main", "body"))
+    return f"(CASE {cases} ELSE {expr} END)"
+
+
+def clean_body(expr: str) -> str:
+    """text before the length rule (needs ``pc`` = pre_clean(html) column)."""
+    return visible_text(drop_noise_attrs(drop_blocks(main_region_inline(expr))))
+
+
+def page_title(expr: str) -> str:
+    return norm(decode_entities(f"regexp_extract({expr}, {q(r'(?is)<title\b[^>]*>(.*?)</title\s*>')}, 1)"))
+
+
+def url_domain(expr: str) -> str:
+    return f"regexp_extract({expr}, {q(U.NETLOC_RE)}, 1)"
+
+
+def url_origin(expr: str) -> str:
+    return f"(lower(regexp_extract({expr}, {q(U.SCHEME_RE)}, 1)) || '://' || {url_domain(expr)})"
+
+
+def url_path(expr: str) -> str:
+    return f"(CASE WHEN regexp_extract({expr}, {q(U.PATH_RE)}, 1) = '' THEN '/' ELSE regexp_extract({expr}, {q(U.PATH_RE)}, 1) END)"
+
+
+def first_segment(expr: str) -> str:
+    return f"regexp_extract({url_path(expr)}, '^/([^/?#]*)', 1)"
+
+
+def case_mod(expr: str, pairs, default) -> str:
+    whens = " ".join(f"WHEN {expr} = {k} THEN {q(v) if isinstance(v, str) else v}" for k, v in pairs)
+    d = "NULL" if default is None else (q(default) if isinstance(default, str) else default)
+    return f"(CASE {whens} ELSE {d} END)"
+
+
+def fetched_ctes(attempt: int = 0, tag: str = "f") -> str:
+    """``{tag}`` : page_id, url, origin, http_status, content_type,
+    transport_error, body, allowed, status_code, error, content, fetch_failed,
+    fail_reason."""
+    pid = f"(page_id + {7 * attempt})"
+    return f"""
+{tag}_log AS (
+  SELECT page_id, url, {url_origin('url')} AS origin, {url_path('url')} AS path,
+         CAST({case_mod(f'{pid} % {PG.STATUS_MOD}', PG.STATUS_CODES, 200)} AS INTEGER) AS http_status,
+         {case_mod(f'{pid} % {PG.CTYPE_MOD}', PG.CTYPES, PG.CTYPE_DEFAULT)} AS content_type,
+         CAST({case_mod(f'{pid} % {PG.TRANSPORT_MOD}', PG.TRANSPORTS, None)} AS VARCHAR) AS transport_error,
+         html AS body
+  FROM pages
+),
+{tag}_hosts AS (SELECT DISTINCT origin, {url_domain('url')} AS host FROM {tag}_log),
+{tag}_rules AS (
+  SELECT origin, 0 AS entry, '*' AS ua, 0 AS ord, false AS allow, '/fr/' AS prefix FROM {tag}_hosts WHERE starts_with(host, 'm.')
+  UNION ALL SELECT origin, 0, '*', 1, true, '/' FROM {tag}_hosts WHERE starts_with(host, 'm.')
+  UNION ALL SELECT origin, 0, 'TesseraBot', 0, false, '/en/' FROM {tag}_hosts WHERE starts_with(host, 'www.') AND NOT starts_with(host, 'm.')
+  UNION ALL SELECT origin, 1, '*', 0, false, '/' FROM {tag}_hosts WHERE starts_with(host, 'www.') AND NOT starts_with(host, 'm.')
+  UNION ALL SELECT origin, 0, 'otherbot', 0, false, '/' FROM {tag}_hosts WHERE ends_with(host, '.net') AND NOT starts_with(host, 'm.') AND NOT starts_with(host, 'www.')
+  UNION ALL SELECT origin, 1, '*', 0, true, '' FROM {tag}_hosts WHERE ends_with(host, '.net') AND NOT starts_with(host, 'm.') AND NOT starts_with(host, 'www.')
+),
+{tag}_grp AS (
+  SELECT origin, coalesce(min(entry) FILTER (WHERE ua <> '*' AND contains('{AGENT_TOKEN}', lower(ua))),
+                          min(entry) FILTER (WHERE ua = '*')) AS dentry
+  FROM {tag}_rules GROUP BY origin
+),
+{tag}_dec AS (SELECT r.* FROM {tag}_rules r JOIN {tag}_grp g ON g.origin = r.origin AND g.dentry = r.entry
+              WHERE r.ua = '*' OR contains('{AGENT_TOKEN}', lower(r.ua))),
+{tag}_allow AS (
+  SELECT l.url, arg_min(d.allow, d.ord) AS allow
+  FROM (SELECT DISTINCT url, origin, path FROM {tag}_log) l JOIN {tag}_dec d ON d.origin = l.origin AND starts_with(l.path, d.prefix)
+  GROUP BY l.url
+),
+{tag}_g AS (
+  SELECT l.*, coalesce(a.allow, true) AS allowed FROM {tag}_log l LEFT JOIN {tag}_allow a ON a.url = l.url
+),
+{tag}_o AS (
+  SELECT *,
+    CASE WHEN NOT allowed THEN 'Blocked by robots.txt'
+         WHEN transport_error = 'timeout' THEN 'Timeout'
+         WHEN transport_error IS NOT NULL THEN 'Request Error: ' || transport_error
+         WHEN http_status IN (401, 403) THEN 'Access Denied (HTTP ' || http_status || ')'
+         WHEN http_status = 429 THEN 'Rate Limited (HTTP 429)'
+         WHEN http_status >= 400 THEN 'HTTP Error ' || http_status
+         WHEN NOT (contains(lower(coalesce(content_type, '')), 'text/html') OR contains(lower(coalesce(content_type, '')), 'application/xhtml+xml'))
+              THEN 'Non-HTML content'
+    END AS error,
+    CAST(CASE WHEN NOT allowed OR transport_error IS NOT NULL THEN 0 ELSE http_status END AS INTEGER) AS status_code
+  FROM {tag}_g
+),
+{tag} AS (
+  SELECT *, CASE WHEN error IS NULL THEN body END AS content,
+         (status_code >= 400 OR error IS NOT NULL OR body IS NULL OR body = '') AS fetch_failed,
+         CASE WHEN (status_code >= 400 OR error IS NOT NULL OR body IS NULL OR body = '')
+              THEN coalesce(error, 'Fetch failed') END AS fail_reason
+  FROM {tag}_o
+)"""
+
+
+def links_ctes(attempt: int = 0, tag: str = "k") -> str:
+    """``{tag}`` : page_id, url, title, folder, domain, date_added, text,
+    outcome, reason (one row per page)."""
+    f = f"{tag}f"
+    return fetched_ctes(attempt, f) + f""",
+{tag}_pc AS (
+  SELECT x.page_id, x.url, x.fetch_failed, x.fail_reason, {page_title('p.html')} AS title,
+         CASE WHEN NOT x.fetch_failed THEN {pre_clean('x.content')} END AS pc
+  FROM {f} x JOIN pages p ON p.page_id = x.page_id
+),
+{tag}_t AS (
+  SELECT *, CASE WHEN pc IS NOT NULL THEN {clean_body('pc')} END AS body FROM {tag}_pc
+),
+{tag} AS (
+  SELECT page_id, url, title, {first_segment('url')} AS folder, {url_domain('url')} AS domain,
+         make_timestamp(CAST(({PG.DATE_BASE_EPOCH} + page_id * 86400) AS BIGINT) * 1000000) AS date_added,
+         CASE WHEN length(body) >= {H.MIN_TEXT_CHARS} THEN body END AS text,
+         CASE WHEN fetch_failed THEN 'failed'
+              WHEN body IS NULL OR length(body) < {H.MIN_TEXT_CHARS} THEN 'skipped'
+              ELSE 'indexed' END AS outcome,
+         CASE WHEN fetch_failed THEN fail_reason
+              WHEN body IS NULL OR length(body) < {H.MIN_TEXT_CHARS} THEN 'No content after cleaning' END AS reason
+  FROM {tag}_t
+)"""
+
+
+def anchors_cte(tag: str = "an", keep_empty: bool = False) -> str:
+    pat = q(LK.ANCHOR_RE)
+    href = rf"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    url = decode_entities(" || ".join(f"regexp_extract(attrs, {q(href)}, {i})" for i in (1, 2, 3)))
+    where = "" if keep_empty else f"WHERE length({url}) > 0"
+    return f"""
+{tag}_raw AS (
+  SELECT page_id, regexp_extract_all(html, {pat}, 1) AS a1, regexp_extract_all(html, {pat}, 2) AS a2 FROM pages
+),
+{tag}_x AS (
+  SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, a1[i] AS attrs, a2[i] AS inr
+  FROM (SELECT page_id, a1, a2, unnest(range(1, len(a1) + 1)) AS i FROM {tag}_raw)
+),
+{tag} AS (
+  SELECT page_id, pos, {url} AS url, {visible_text("inr")} AS title FROM {tag}_x {where}
+)"""

@@ -137,3 +137,113 @@ ORACLES["eval_means"] = LABEL_METRICS + """
 SELECT CAST(count(*) AS BIGINT) AS n_questions, round(avg(precision_at_k), 6) AS mean_precision_at_k,
        round(avg(recall), 6) AS mean_recall, round(avg(recall_distinct), 6) AS mean_recall_distinct,
        round(avg(mrr), 6) AS mean_mrr FROM perq"""
+
+
+# --- pages -------------------------------------------------------------------
+
+from tessera.plans import oracle_sql as O  # noqa: E402
+from tessera.plans import pages as PG  # noqa: E402
+from tessera.functions import html as HT  # noqa: E402
+
+FETCH = "WITH " + O.fetched_ctes(0, "f")
+
+ORACLES["read_crawl"] = FETCH + """
+SELECT page_id, url, origin, http_status, content_type, transport_error, CAST(length(body) AS INTEGER) AS body_chars
+FROM f_log"""
+
+ORACLES["url_origin"] = f"SELECT page_id, {O.url_origin('url')} AS origin FROM pages"
+
+ORACLES["robots_gate"] = FETCH + "\nSELECT page_id, url, allowed FROM f"
+
+ORACLES["fetch_outcome"] = FETCH + "\nSELECT page_id, status_code, error, (content IS NOT NULL) AS has_content FROM f"
+
+ORACLES["fetch_failed"] = FETCH + "\nSELECT page_id, fetch_failed, fail_reason FROM f"
+
+_PC = f"(SELECT page_id, html, {O.pre_clean('html')} AS pc FROM pages)"
+
+ORACLES["main_text"] = f"""
+SELECT page_id, CASE WHEN length(b) >= {HT.MIN_TEXT_CHARS} THEN b END AS text
+FROM (SELECT page_id, {O.clean_body('pc')} AS b FROM {_PC})"""
+
+ORACLES["drop_noise_tags"] = f"""
+SELECT page_id, CAST(length(html) AS INTEGER) AS html_chars, CAST(length({O.drop_blocks('pc')}) AS INTEGER) AS kept_chars
+FROM {_PC}"""
+
+ORACLES["drop_noise_attrs"] = f"""
+SELECT page_id, CAST(length(k) AS INTEGER) AS kept_chars, {O.visible_text(O.pre_clean('k'))} AS text
+FROM (SELECT page_id, {O.drop_noise_attrs('html')} AS k FROM pages)"""
+
+ORACLES["normalize_ws"] = f"SELECT page_id, {O.visible_text('pc')} AS text FROM {_PC}"
+
+ORACLES["min_text_length"] = f"""
+SELECT page_id, CAST(length(b) AS INTEGER) AS n_chars, (length(b) >= {HT.MIN_TEXT_CHARS}) AS kept
+FROM (SELECT page_id, {O.clean_body('pc')} AS b FROM {_PC})"""
+
+ORACLES["scan_anchors"] = "WITH " + O.anchors_cte("an") + "\nSELECT page_id, pos, url, title FROM an"
+
+ORACLES["drop_empty_href"] = "WITH " + O.anchors_cte("an", keep_empty=True) + """
+SELECT page_id, count(*) AS n_anchors, count(*) FILTER (WHERE length(url) > 0) AS n_kept FROM an GROUP BY page_id"""
+
+ORACLES["url_domain"] = "WITH " + O.anchors_cte("an") + f""",
+u AS (SELECT page_id, -1 AS pos, url FROM pages UNION ALL SELECT page_id, pos, url FROM an)
+SELECT page_id, CAST(pos AS INTEGER) AS pos, url, {O.url_domain('url')} AS domain FROM u"""
+
+LINKS0 = O.links_ctes(0, "k0")
+LINKS1 = O.links_ctes(1, "k1")
+
+ORACLES["ingest_outcome"] = "WITH " + LINKS0 + "\nSELECT page_id, url, outcome, reason FROM k0"
+
+ORACLES["last_wins"] = "WITH " + O.anchors_cte("an") + """
+SELECT url, arg_max(title, (page_id, pos)) AS title, arg_max(page_id, (page_id, pos)) AS file_id,
+       arg_max(pos, (page_id, pos)) AS pos
+FROM an GROUP BY url"""
+
+_SNAP = "WITH RECURSIVE " + LINKS0 + "," + LINKS1 + """,
+r0 AS (SELECT * FROM k0 WHERE outcome IN ('indexed', 'failed')),
+r1 AS (SELECT * FROM k1 WHERE outcome IN ('indexed', 'failed')),
+s0 AS (SELECT url, title, folder, date_added, domain, outcome AS status,
+              TIMESTAMP '2024-06-01 00:00:00' AS created_at, TIMESTAMP '2024-06-01 00:00:00' AS updated_at FROM r0),
+snap AS (
+  SELECT coalesce(n.url, o.url) AS url,
+         CASE WHEN n.url IS NOT NULL THEN n.title ELSE o.title END AS title,
+         CASE WHEN n.url IS NOT NULL THEN n.folder ELSE o.folder END AS folder,
+         CASE WHEN n.url IS NOT NULL THEN n.date_added ELSE o.date_added END AS date_added,
+         CASE WHEN n.url IS NOT NULL THEN n.domain ELSE o.domain END AS domain,
+         CASE WHEN n.url IS NOT NULL THEN n.outcome ELSE o.status END AS status,
+         coalesce(o.created_at, TIMESTAMP '2024-07-01 00:00:00') AS created_at,
+         CASE WHEN n.url IS NOT NULL THEN TIMESTAMP '2024-07-01 00:00:00' ELSE o.updated_at END AS updated_at
+  FROM s0 o FULL OUTER JOIN r1 n ON n.url = o.url
+)"""
+
+ORACLES["upsert_links"] = _SNAP + "\nSELECT url, title, folder, date_added, domain, status, created_at, updated_at FROM snap"
+ORACLES["list_urls"] = _SNAP + "\nSELECT url FROM snap"
+ORACLES["get_by_url"] = _SNAP + """
+SELECT p.url, s.title, s.folder, s.date_added, s.domain, s.status, s.created_at, s.updated_at
+FROM pages p LEFT JOIN snap s ON s.url = p.url"""
+
+_CH = (O.sentence_ctes("(SELECT url, text FROM r0 WHERE outcome = 'indexed')", "url", "text", "a_")
+       + "," + O.chunk_ctes("url", 400, 50, "c0", "a_") + ","
+       + O.sentence_ctes("(SELECT url, text FROM r1 WHERE outcome = 'indexed')", "url", "text", "b_")
+       + "," + O.chunk_ctes("url", 400, 50, "c1", "b_") + """,
+ch0 AS (SELECT url, chunk_index, sha256(concat_ws(chr(1), url, CAST(chunk_index AS VARCHAR))) AS chunk_id, 0 AS run FROM c0_chunks),
+ch1 AS (SELECT url, chunk_index, sha256(concat_ws(chr(1), url, CAST(chunk_index AS VARCHAR))) AS chunk_id, 1 AS run FROM c1_chunks),
+chs AS (SELECT * FROM ch0 WHERE url NOT IN (SELECT url FROM ch1) UNION ALL SELECT * FROM ch1)""")
+
+ORACLES["replace_chunks"] = _SNAP + "," + _CH + "\nSELECT url, chunk_index, chunk_id, CAST(run AS INTEGER) AS run FROM chs"
+
+ORACLES["index_stats"] = _SNAP + "," + _CH + """
+SELECT (SELECT count(*) FROM snap) AS total_links,
+       (SELECT count(*) FROM snap WHERE status = 'failed') AS failed_links,
+       (SELECT count(*) FROM chs) AS total_chunks"""
+
+ORACLES["ingest_progress"] = """
+SELECT url, CAST(floor(page_id / 50) AS BIGINT) AS file_id,
+       CAST(row_number() OVER (PARTITION BY floor(page_id / 50) ORDER BY page_id) AS BIGINT) AS current,
+       CAST(count(*) OVER (PARTITION BY floor(page_id / 50)) AS BIGINT) AS total
+FROM pages"""
+
+ORACLES["ingest_summary"] = "WITH " + LINKS0 + """
+SELECT CAST(floor(page_id / 50) AS BIGINT) AS file_id,
+       CAST(count(*) FILTER (WHERE outcome = 'indexed') AS BIGINT) AS success,
+       CAST(count(*) FILTER (WHERE outcome <> 'indexed') AS BIGINT) AS failed
+FROM k0 GROUP BY ALL"""
