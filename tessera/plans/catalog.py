@@ -381,3 +381,130 @@ def q_list_urls(spark, sf):
 def q_index_stats(spark, sf):
     ch = ix.replace_chunks(_run_chunks(spark, sf, 0), _run_chunks(spark, sf, 1))
     return ix.index_stats(_snapshot(spark, sf), ch)
+
+
+# --- retrieval with link metadata (pages index) -------------------------------
+
+from tessera.operators import answer as ans  # noqa: E402
+from tessera.operators.retrieve import LINK_FILTERS  # noqa: E402
+
+DATE_WINDOW_DAYS = 30
+
+
+def _page_hits(spark, sf, folder=False, domain=False, dates=False, k=DEFAULT_K):
+    idx = pg.page_index(spark, sf)
+    q = pg.page_questions(spark, sf)
+    none_s, none_t = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    q = q.select(
+        "query_id", "embedding",
+        (F.col("folder") if folder else none_s).alias("folder"),
+        (F.col("domain") if domain else none_s).alias("domain"),
+        (F.col("date_added") - F.expr(f"INTERVAL {DATE_WINDOW_DAYS} DAYS") if dates else none_t).alias("date_from"),
+        (F.col("date_added") + F.expr(f"INTERVAL {DATE_WINDOW_DAYS} DAYS") if dates else none_t).alias("date_to"))
+    return topk_batch(idx, q, k, key_cols=["chunk_id"], carry=["url"], filters=LINK_FILTERS)
+
+
+def _hits_out(h):
+    return h.select("query_id", F.col("rank").cast("int").alias("rank"), "chunk_id", "url",
+                    _r6(F.col("score")).alias("score"))
+
+
+@register("chunk_link_join")
+def q_chunk_link_join(spark, sf):
+    return pg.page_index(spark, sf).select("chunk_id", "url", "chunk_index", "title", "folder",
+                                           "domain", "date_added")
+
+
+@register("filter_folder")
+def q_filter_folder(spark, sf):
+    return _hits_out(_page_hits(spark, sf, folder=True))
+
+
+@register("filter_domain")
+def q_filter_domain(spark, sf):
+    return _hits_out(_page_hits(spark, sf, domain=True))
+
+
+@register("filter_date_range")
+def q_filter_date_range(spark, sf):
+    return _hits_out(_page_hits(spark, sf, dates=True))
+
+
+@register("topk_batch_filtered")
+def q_topk_batch_filtered(spark, sf):
+    return _hits_out(_page_hits(spark, sf, folder=True, dates=True))
+
+
+@register("filter_combine")
+def q_filter_combine(spark, sf):
+    """One request: the first page's title, filters folder + date_to and a key
+    the store does not know (ignored)."""
+    q = pg.page_questions(spark, sf).orderBy("query_id").first()
+    filters = {"folder": q["folder"], "date_to": q["date_added"] + __import__("datetime").timedelta(days=365),
+               "colour": "blue"}
+    h = topk_single(pg.page_index(spark, sf), q["embedding"], DEFAULT_K, key_cols=["chunk_id"],
+                    carry=["url"], filters=filters)
+    return h.select(F.col("rank").cast("int").alias("rank"), "chunk_id", "url", _r6(F.col("score")).alias("score"))
+
+
+@register("blank_query_guard")
+def q_blank_query_guard(spark, sf):
+    """User turns of the conversations as questions: blank ones are dropped
+    before embedding and search; the rest get up to k hits."""
+    from tessera.operators.embed import hash_embedding
+    conv = read_table(spark, sf, "conversations").where(F.col("role") == "user")
+    guarded = conv.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    turn_ok = F.assert_true(F.col("turn") < (1 << 20), "turn number too large for the question key")
+    q = guarded.select(
+        F.when(turn_ok.isNull(), F.col("conv_id") * (1 << 20) + F.col("turn")).alias("query_id"),
+        "conv_id", "turn", hash_embedding(F.col("text")).alias("embedding"))
+    hits = topk_batch(pg.page_index(spark, sf), q, DEFAULT_K, key_cols=["chunk_id"], carry=["url"])
+    n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
+    return (q.join(n, "query_id", "left")
+            .select("conv_id", "turn", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
+
+
+# --- answers -------------------------------------------------------------------
+
+def _answer_inputs(spark, sf):
+    """Questions = page titles, each restricted to its own domain (pages whose
+    domain has nothing indexed get no hits); hits carry link metadata."""
+    idx = pg.page_index(spark, sf)
+    hits = _page_hits(spark, sf, domain=True)
+    full = hits.join(idx.select("chunk_id", "chunk_text", "title", "folder", "domain", "date_added"), "chunk_id")
+    questions = pg.page_questions(spark, sf).select("query_id", "question")
+    return questions, full
+
+
+@register("format_sources")
+def q_format_sources(spark, sf):
+    _, hits = _answer_inputs(spark, sf)
+    return ans.format_sources(hits).select("query_id", F.col("rank").cast("int").alias("rank"), "block")
+
+
+@register("build_prompt")
+def q_build_prompt(spark, sf):
+    questions, hits = _answer_inputs(spark, sf)
+    return ans.build_prompts(questions, hits).select("query_id", "n_sources", "prompt")
+
+
+@register("no_hits_answer")
+def q_no_hits_answer(spark, sf):
+    questions, hits = _answer_inputs(spark, sf)
+    a = ans.generate_answers(ans.build_prompts(questions, hits), hits)
+    return a.where(F.col("answer") == ans.NO_HITS_ANSWER).select("query_id", "answer")
+
+
+@register("generate_answers")
+def q_generate_answers(spark, sf):
+    questions, hits = _answer_inputs(spark, sf)
+    return ans.generate_answers(ans.build_prompts(questions, hits), hits)
+
+
+@register("answers_with_sources")
+def q_answers_with_sources(spark, sf):
+    questions, hits = _answer_inputs(spark, sf)
+    a = ans.answers_with_sources(ans.generate_answers(ans.build_prompts(questions, hits), hits), hits)
+    src = F.array_join(F.transform("sources", lambda s: F.format_string(
+        "%d|%s|%.6f", s["rank"], s["url"], s["score"])), ",")
+    return a.select("query_id", "answer", F.size("sources").alias("n_sources"), src.alias("sources"))

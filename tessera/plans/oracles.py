@@ -247,3 +247,106 @@ SELECT CAST(floor(page_id / 50) AS BIGINT) AS file_id,
        CAST(count(*) FILTER (WHERE outcome = 'indexed') AS BIGINT) AS success,
        CAST(count(*) FILTER (WHERE outcome <> 'indexed') AS BIGINT) AS failed
 FROM k0 GROUP BY ALL"""
+
+
+# --- retrieval with link metadata (pages index) -------------------------------
+
+from tessera.operators import answer as AN  # noqa: E402
+
+_PIDX = "WITH RECURSIVE " + LINKS0 + """,
+r0 AS (SELECT * FROM k0 WHERE outcome IN ('indexed', 'failed')),
+""" + O.sentence_ctes("(SELECT url, text FROM r0 WHERE outcome = 'indexed')", "url", "text", "a_") + "," + \
+    O.chunk_ctes("url", 400, 50, "c0", "a_") + """,
+pix AS (
+  SELECT sha256(concat_ws(chr(1), c.url, CAST(c.chunk_index AS VARCHAR))) AS chunk_id, c.url, c.chunk_index,
+         substr(s.t, c.c_start + 1, c.c_end - c.c_start) AS chunk_text,
+         r.title, r.folder, r.domain, r.date_added
+  FROM c0_chunks c JOIN a_sents s ON s.url = c.url JOIN r0 r ON r.url = c.url
+),
+""" + O.hash_ctes("pix", "chunk_id", "chunk_text", 384, "pv") + """,
+pq AS (
+  SELECT page_id AS query_id, """ + O.page_title("html") + """ AS question,
+         """ + O.first_segment("url") + """ AS folder, """ + O.url_domain("url") + """ AS domain,
+         make_timestamp(CAST((""" + str(PG.DATE_BASE_EPOCH) + """ + page_id * 86400) AS BIGINT) * 1000000) AS date_added
+  FROM pages
+),
+""" + O.hash_ctes("pq", "query_id", "question", 384, "qv")
+
+
+def _page_pairs(cond: str) -> str:
+    return f""",
+pdots AS (
+  SELECT c.chunk_id, q.query_id, sum(CAST(c.w AS DOUBLE) * CAST(q.w AS DOUBLE)) AS dot
+  FROM pv_wv c JOIN qv_wv q ON c.bucket = q.bucket GROUP BY ALL
+),
+ppairs AS (
+  SELECT q.query_id, i.chunk_id, i.url,
+         CASE WHEN cn.nn = 0 OR qn.nn = 0 THEN 'NaN'::DOUBLE ELSE coalesce(d.dot, 0) / (cn.nn * qn.nn) END AS score
+  FROM pix i JOIN pv_nrm cn ON cn.chunk_id = i.chunk_id
+  JOIN pq q ON {cond}
+  JOIN qv_nrm qn ON qn.query_id = q.query_id
+  LEFT JOIN pdots d ON d.chunk_id = i.chunk_id AND d.query_id = q.query_id
+),
+phits AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {O.rank_score('score')} DESC, chunk_id) AS rank
+                 FROM ppairs) WHERE rank <= 5
+)"""
+
+
+_HOUT = "\nSELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, url, round(score, 6) AS score FROM phits"
+_WIN = "INTERVAL 30 DAYS"
+ORACLES["chunk_link_join"] = _PIDX + "\nSELECT chunk_id, url, chunk_index, title, folder, domain, date_added FROM pix"
+ORACLES["filter_folder"] = _PIDX + _page_pairs("q.folder = i.folder") + _HOUT
+ORACLES["filter_domain"] = _PIDX + _page_pairs("q.domain = i.domain") + _HOUT
+ORACLES["filter_date_range"] = _PIDX + _page_pairs(
+    f"i.date_added >= q.date_added - {_WIN} AND i.date_added <= q.date_added + {_WIN}") + _HOUT
+ORACLES["topk_batch_filtered"] = _PIDX + _page_pairs(
+    f"q.folder = i.folder AND i.date_added >= q.date_added - {_WIN} AND i.date_added <= q.date_added + {_WIN}") + _HOUT
+ORACLES["filter_combine"] = _PIDX + _page_pairs(
+    "q.query_id = (SELECT min(page_id) FROM pages) AND q.folder = i.folder "
+    "AND i.date_added <= q.date_added + INTERVAL 365 DAYS") + """
+SELECT CAST(rank AS INTEGER) AS rank, chunk_id, url, round(score, 6) AS score FROM phits"""
+
+ORACLES["blank_query_guard"] = (_PIDX.replace("pq AS (", "pq_unused AS (", 1) if False else _PIDX) + """,
+cq AS (SELECT conv_id * 1048576 + turn AS query_id, conv_id, turn, text FROM conversations
+       WHERE role = 'user' AND trim(coalesce(text, '')) <> ''),
+""" + O.hash_ctes("cq", "query_id", "text", 384, "cv") + """,
+cdots AS (
+  SELECT c.chunk_id, q.query_id, sum(CAST(c.w AS DOUBLE) * CAST(q.w AS DOUBLE)) AS dot
+  FROM pv_wv c JOIN cv_wv q ON c.bucket = q.bucket GROUP BY ALL
+),
+cnt AS (SELECT count(*) AS n FROM pix)
+SELECT conv_id, turn, CAST(least(5, (SELECT n FROM cnt)) AS BIGINT) AS n_hits FROM cq"""
+
+# answers: hits restricted to the question page's domain
+_ANS = _PIDX + _page_pairs("q.domain = i.domain") + """,
+fh AS (SELECT h.query_id, h.rank, h.url, h.score, i.chunk_text, i.title, i.folder, i.domain, i.date_added
+       FROM phits h JOIN pix i ON i.chunk_id = h.chunk_id),
+blocks AS (
+  SELECT query_id, rank, '[Source ' || rank || ' (' || coalesce(title, 'Unknown') || ' - ' || coalesce(url, '') || ')]:' || chr(10) || chunk_text AS block,
+         title, url, score
+  FROM fh
+)"""
+
+ORACLES["format_sources"] = _ANS + "\nSELECT query_id, CAST(rank AS INTEGER) AS rank, block FROM blocks"
+
+_head, _rest = AN.PROMPT_TEMPLATE.split("{system}")
+_mid, _rest = _rest.split("{context}")
+_mid2, _tail = _rest.split("{question}")
+ORACLES["build_prompt"] = _ANS + f""",
+ctx AS (SELECT query_id, count(*) AS n, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM blocks GROUP BY query_id)
+SELECT q.query_id, CAST(coalesce(c.n, 0) AS INTEGER) AS n_sources,
+       CASE WHEN c.n > 0 THEN {O.q(_head)} || {O.q(AN.SYSTEM_PROMPT)} || {O.q(_mid)} || c.context || {O.q(_mid2)} || q.question || {O.q(_tail)} END AS prompt
+FROM pq q LEFT JOIN ctx c ON c.query_id = q.query_id"""
+
+_ANSWERS = _ANS + f""",
+ag AS (SELECT query_id, count(*) AS n, string_agg(coalesce(title, 'Unknown'), '; ' ORDER BY rank) AS titles,
+              string_agg(rank || '|' || url || '|' || printf('%.6f', score), ',' ORDER BY rank) AS sources
+       FROM blocks GROUP BY query_id),
+answers AS (
+  SELECT q.query_id, CASE WHEN a.n IS NULL THEN {O.q(AN.NO_HITS_ANSWER)} ELSE a.n || ' sources: ' || a.titles END AS answer,
+         CAST(coalesce(a.n, 0) AS INTEGER) AS n_sources, coalesce(a.sources, '') AS sources
+  FROM pq q LEFT JOIN ag a ON a.query_id = q.query_id
+)"""
+ORACLES["no_hits_answer"] = _ANSWERS + f"\nSELECT query_id, answer FROM answers WHERE answer = {O.q(AN.NO_HITS_ANSWER)}"
+ORACLES["answers_with_sources"] = _ANSWERS + "\nSELECT query_id, answer, n_sources, sources FROM answers"

@@ -113,3 +113,28 @@ def page_chunks(links: DataFrame, chunk_size: int = 400, overlap: int = 50) -> D
                          ["url"], "text", chunk_size=chunk_size, overlap=overlap)
     return ch.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), "url",
                      "chunk_index", "chunk_text", "start", "end")
+
+
+def page_index(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
+    """Searchable chunks of the first run joined to their link metadata:
+    chunk_id, url, chunk_index, chunk_text, title, folder, domain,
+    date_added, embedding."""
+    from tessera.operators.embed import hash_embedding
+    links = page_links(spark, sf_dir, 0)
+    meta = links.where(F.col("outcome").isin("indexed", "failed")).select(
+        "url", "title", "folder", "domain", "date_added")
+    return (page_chunks(links).join(meta, "url")
+            .withColumn("embedding", hash_embedding(F.col("chunk_text"), dim)))
+
+
+def page_questions(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
+    """Every page's title as a question, with that page's metadata as
+    candidate filter values: query_id, question, folder, domain, date_added,
+    embedding."""
+    from tessera.operators.embed import hash_embedding
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select(
+        F.col("page_id").alias("query_id"), page_title(F.col("html")).alias("question"),
+        first_path_segment(F.col("url")).alias("folder"), url_domain(F.col("url")).alias("domain"),
+        F.timestamp_seconds(F.lit(DATE_BASE_EPOCH) + F.col("page_id") * 86400).alias("date_added"),
+    ).withColumn("embedding", hash_embedding(F.col("question"), dim))
