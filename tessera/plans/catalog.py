@@ -508,3 +508,76 @@ def q_answers_with_sources(spark, sf):
     src = F.array_join(F.transform("sources", lambda s: F.format_string(
         "%d|%s|%.6f", s["rank"], s["url"], s["score"])), ",")
     return a.select("query_id", "answer", F.size("sources").alias("n_sources"), src.alias("sources"))
+
+
+# --- evaluation extras -----------------------------------------------------------
+
+from tessera.operators.evaluate import question_metrics  # noqa: E402
+
+
+@register("eval_details")
+def q_eval_details(spark, sf):
+    return ev.eval_details(spark, sf)
+
+
+@register("eval_errors_excluded")
+def q_eval_errors_excluded(spark, sf):
+    """A question without a single searchable word is recorded as an error
+    and left out of the means (its metrics are not computed)."""
+    from tessera.functions.text import word_tokens
+    q = ev.passage_questions(spark, sf).withColumn(
+        "error", F.when(F.size(word_tokens(F.col("question"))) == 0, F.lit("question has no searchable words")))
+    valid_q = q.where(F.col("error").isNull())
+    per_q = question_metrics(ev.default_hits(spark, sf), ev.passage_truth(spark, sf), valid_q, DEFAULT_K)
+    all_q = q.select("query_id", "error").join(per_q, "query_id", "left")
+    ok = F.col("error").isNull()
+    return all_q.agg(F.count(F.lit(1)).cast("bigint").alias("n_questions"),
+                     F.count_if(~ok).cast("bigint").alias("n_errors"),
+                     *[_r6(F.avg(F.when(ok, F.col(m)))).alias(f"mean_{m}")
+                       for m in ("precision_at_k", "recall", "recall_distinct", "mrr")])
+
+
+@register("eval_documents")
+def q_eval_documents(spark, sf):
+    """Distinct truth urls over all questions, each document prepared once."""
+    from tessera.functions.text import normalize_ws
+    urls = ev.passage_truth(spark, sf).select("url").distinct()
+    docs = ev.eval_documents(spark, sf)
+    return (docs.join(urls, "url", "left_semi")
+            .select("url", F.length(normalize_ws(F.col("text"))).alias("n_chars")))
+
+
+@register("check_qa_set")
+def q_check_qa_set(spark, sf):
+    return ev.check_qa_set(ev.qa_set(spark, sf))
+
+
+@register("eval_by_difficulty")
+def q_eval_by_difficulty(spark, sf):
+    """Means per difficulty plus the overall row (difficulty null)."""
+    qa = ev.qa_set(spark, sf)
+    per_q = question_metrics(ev.default_hits(spark, sf), ev.passage_truth(spark, sf),
+                             ev.passage_questions(spark, sf), DEFAULT_K)
+    j = per_q.join(qa.select("query_id", "difficulty"), "query_id")
+    return j.rollup("difficulty").agg(
+        F.count(F.lit(1)).alias("n_questions"),
+        *[_r6(F.avg(m)).alias(f"mean_{m}") for m in ("precision_at_k", "recall", "mrr")])
+
+
+@register("eval_gate")
+def q_eval_gate(spark, sf):
+    """Documented launch gate: precision and recall means of at least 0.75."""
+    c = ev.compare_chunking(spark, sf)
+    return c.select("strategy", "mean_precision_at_k", "mean_recall",
+                    ((F.col("mean_precision_at_k") >= 0.75) & (F.col("mean_recall") >= 0.75)).alias("passed"))
+
+
+@register("index_storage")
+def q_index_storage(spark, sf):
+    """Per strategy: chunk count, text bytes and vector bytes (4 x dim)."""
+    docs = ev.eval_documents(spark, sf)
+    ch = chunk_documents(docs, ["doc_id", "url"], "text", strategies=DEFAULT_STRATEGIES)
+    return ch.groupBy("strategy").agg(
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum(F.octet_length("chunk_text")).cast("bigint").alias("text_bytes"),
+        (F.count(F.lit(1)) * 4 * DEFAULT_DIM).cast("bigint").alias("vector_bytes"))

@@ -108,3 +108,63 @@ def compare_chunking(spark: SparkSession, sf_dir: str,
                     F.coalesce("total_chunks", F.lit(0)).cast("bigint").alias("total_chunks"),
                     *[F.round(F.coalesce(F.col(f"mean_{m}"), F.lit(0.0)), 6).alias(f"mean_{m}")
                       for m in ("precision_at_k", "recall", "recall_distinct", "mrr")]))
+
+
+# --- single-strategy evaluation details and the labelled question set --------
+
+DEFAULT_ONLY = (("default", 400, 50),)
+
+
+def default_hits(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, dim: int = DEFAULT_DIM) -> DataFrame:
+    docs = eval_documents(spark, sf_dir)
+    index = strategy_index(docs, DEFAULT_ONLY, dim)
+    return strategy_hits(index, passage_questions(spark, sf_dir), DEFAULT_ONLY, k, dim)
+
+
+def qa_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled question set: question, expected_answer_keywords,
+    ground_truth_urls (sorted), difficulty -- derived from the passages:
+    'hard' when no document holds the passage, 'medium' for one, else 'easy';
+    keywords are the passage's first four distinct words of six letters or more."""
+    from tessera.functions.text import word_tokens
+    q = passage_questions(spark, sf_dir)
+    truth = passage_truth(spark, sf_dir).groupBy("query_id").agg(
+        F.array_sort(F.collect_set("url")).alias("ground_truth_urls"))
+    kw = F.slice(F.array_distinct(F.filter(word_tokens(F.col("question")), lambda w: F.length(w) >= 6)), 1, 4)
+    out = (q.join(truth, "query_id", "left")
+           .withColumn("ground_truth_urls", F.coalesce("ground_truth_urls", F.array().cast("array<string>"))))
+    n = F.size("ground_truth_urls")
+    return out.select("query_id", "question", kw.alias("expected_answer_keywords"), "ground_truth_urls",
+                      F.when(n == 0, "hard").when(n == 1, "medium").otherwise("easy").alias("difficulty"))
+
+
+def check_qa_set(qa: DataFrame) -> DataFrame:
+    """One row of violation counts (all zero = the set is usable)."""
+    url_ok = lambda u: u.rlike(r"^https?://[^/?#]+")
+    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    return qa.agg(
+        F.count(F.lit(1)).alias("n_questions"),
+        (F.count(F.lit(1)) < 15).alias("too_few_questions"),
+        F.count_if(blank("question") | F.col("expected_answer_keywords").isNull()
+                   | F.col("ground_truth_urls").isNull() | F.col("difficulty").isNull()).alias("missing_fields"),
+        F.count_if(~F.col("difficulty").isin("easy", "medium", "hard")).alias("bad_difficulty"),
+        F.count_if(F.size("ground_truth_urls") == 0).alias("no_truth_url"),
+        F.count_if(~F.forall("ground_truth_urls", url_ok)).alias("bad_truth_url"),
+        (F.count_if(F.col("difficulty") == "hard") < 3).alias("too_few_hard"),
+        (F.count(F.lit(1)) - F.count_distinct(F.lower(F.trim("question")))).alias("duplicate_questions"))
+
+
+def eval_details(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K) -> DataFrame:
+    """Per question: truth urls, retrieved urls in rank order, metrics."""
+    from tessera.operators.evaluate import question_metrics
+    hits = default_hits(spark, sf_dir, k)
+    truth = passage_truth(spark, sf_dir)
+    q = passage_questions(spark, sf_dir)
+    m = question_metrics(hits, truth, q, k)
+    ret = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "url"))).alias("_r"))
+    tru = truth.groupBy("query_id").agg(F.array_sort(F.collect_set("url")).alias("_t"))
+    return (m.join(ret, "query_id", "left").join(tru, "query_id", "left")
+            .select("query_id",
+                    F.coalesce(F.array_join("_t", ","), F.lit("")).alias("truth_urls"),
+                    F.coalesce(F.array_join(F.transform("_r", lambda x: x["url"]), ","), F.lit("")).alias("retrieved_urls"),
+                    *[F.round(F.col(c), 6).alias(c) for c in ("precision_at_k", "recall", "recall_distinct", "mrr")]))

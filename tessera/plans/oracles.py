@@ -350,3 +350,68 @@ answers AS (
 )"""
 ORACLES["no_hits_answer"] = _ANSWERS + f"\nSELECT query_id, answer FROM answers WHERE answer = {O.q(AN.NO_HITS_ANSWER)}"
 ORACLES["answers_with_sources"] = _ANSWERS + "\nSELECT query_id, answer, n_sources, sources FROM answers"
+
+
+# --- evaluation extras -----------------------------------------------------------
+
+_DEF_STRAT = (("default", 400, 50),)
+_EVAL1 = "WITH RECURSIVE " + O.eval_hits_ctes(5, 384, _DEF_STRAT) + """,
+qall AS (SELECT 'default' AS strategy, item_id AS query_id FROM benchmark),
+truth_g AS (SELECT 'default' AS strategy, query_id, url FROM truth),
+""" + O.metrics_ctes(5)
+
+ORACLES["eval_details"] = _EVAL1 + """,
+ret AS (SELECT query_id, string_agg(url, ',' ORDER BY rank) AS r FROM hits GROUP BY query_id),
+tru AS (SELECT query_id, string_agg(url, ',' ORDER BY url) AS t FROM (SELECT DISTINCT query_id, url FROM truth) GROUP BY query_id)
+SELECT p.query_id, coalesce(t.t, '') AS truth_urls, coalesce(r.r, '') AS retrieved_urls,
+       round(precision_at_k, 6) AS precision_at_k, round(recall, 6) AS recall,
+       round(recall_distinct, 6) AS recall_distinct, round(mrr, 6) AS mrr
+FROM perq p LEFT JOIN ret r ON r.query_id = p.query_id LEFT JOIN tru t ON t.query_id = p.query_id"""
+
+ORACLES["eval_errors_excluded"] = _EVAL1 + f"""
+SELECT CAST(count(*) AS BIGINT) AS n_questions,
+       CAST((SELECT count(*) FROM benchmark WHERE len(regexp_extract_all(lower(text), {O.q(O.WORD_TOKEN)})) = 0) AS BIGINT) AS n_errors,
+       round(avg(precision_at_k), 6) AS mean_precision_at_k, round(avg(recall), 6) AS mean_recall,
+       round(avg(recall_distinct), 6) AS mean_recall_distinct, round(avg(mrr), 6) AS mean_mrr
+FROM perq"""
+
+ORACLES["eval_documents"] = f"""
+SELECT DISTINCT {doc_url('d.source', 'd.doc_id')} AS url, CAST(length({O.norm('d.text')}) AS INTEGER) AS n_chars
+FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE length(b.text) > 0 AND contains(d.text, b.text))"""
+
+_QA = f"""
+tr AS (
+  SELECT DISTINCT b.item_id, {doc_url('d.source', 'd.doc_id')} AS url
+  FROM benchmark b JOIN documents d ON length(b.text) > 0 AND contains(d.text, b.text)
+),
+qa AS (
+  SELECT b.item_id AS query_id, b.text AS question, coalesce(n.n, 0) AS n_truth, n.bad,
+         CASE WHEN coalesce(n.n, 0) = 0 THEN 'hard' WHEN n.n = 1 THEN 'medium' ELSE 'easy' END AS difficulty
+  FROM benchmark b LEFT JOIN (
+    SELECT item_id, count(*) AS n, count(*) FILTER (WHERE NOT regexp_matches(url, '^https?://[^/?#]+')) AS bad
+    FROM tr GROUP BY item_id) n ON n.item_id = b.item_id
+)"""
+
+ORACLES["check_qa_set"] = "WITH " + _QA + """
+SELECT CAST(count(*) AS BIGINT) AS n_questions, count(*) < 15 AS too_few_questions,
+       CAST(count(*) FILTER (WHERE question IS NULL OR trim(question) = '') AS BIGINT) AS missing_fields,
+       CAST(0 AS BIGINT) AS bad_difficulty,
+       CAST(count(*) FILTER (WHERE n_truth = 0) AS BIGINT) AS no_truth_url,
+       CAST(count(*) FILTER (WHERE coalesce(bad, 0) > 0) AS BIGINT) AS bad_truth_url,
+       count(*) FILTER (WHERE difficulty = 'hard') < 3 AS too_few_hard,
+       CAST(count(*) - count(DISTINCT lower(trim(question))) AS BIGINT) AS duplicate_questions
+FROM qa"""
+
+ORACLES["eval_by_difficulty"] = _EVAL1 + "," + _QA.strip() + """
+SELECT q.difficulty, CAST(count(*) AS BIGINT) AS n_questions, round(avg(p.precision_at_k), 6) AS mean_precision_at_k,
+       round(avg(p.recall), 6) AS mean_recall, round(avg(p.mrr), 6) AS mean_mrr
+FROM perq p JOIN qa q ON q.query_id = p.query_id GROUP BY ROLLUP (q.difficulty)"""
+
+ORACLES["eval_gate"] = f"""
+SELECT strategy, mean_precision_at_k, mean_recall, (mean_precision_at_k >= 0.75 AND mean_recall >= 0.75) AS passed
+FROM ({ORACLES['compare_chunking']})"""
+
+ORACLES["index_storage"] = "WITH RECURSIVE " + O.eval_chunks_ctes().split(",\nix_tok AS")[0] + f"""
+SELECT strategy, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(octet_length(encode(chunk_text))) AS BIGINT) AS text_bytes,
+       CAST(count(*) * 4 * 384 AS BIGINT) AS vector_bytes
+FROM ix GROUP BY strategy"""
