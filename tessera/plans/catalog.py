@@ -581,3 +581,40 @@ def q_index_storage(spark, sf):
         F.count(F.lit(1)).alias("n_chunks"),
         F.sum(F.octet_length("chunk_text")).cast("bigint").alias("text_bytes"),
         (F.count(F.lit(1)) * 4 * DEFAULT_DIM).cast("bigint").alias("vector_bytes"))
+
+
+# --- link exports ------------------------------------------------------------------
+
+from tessera.operators.links import parse_exports  # noqa: E402
+from tessera.plans import exports as xp  # noqa: E402
+
+
+@register("parse_links")
+def q_parse_links(spark, sf):
+    return xp.parsed_exports(spark, sf)
+
+
+@register("parse_add_date")
+def q_parse_add_date(spark, sf):
+    return xp.parsed_exports(spark, sf).select("file_id", "pos", "date_added")
+
+
+@register("link_icon")
+def q_link_icon(spark, sf):
+    return xp.parsed_exports(spark, sf).select("file_id", "pos", "icon")
+
+
+@register("dedup_links")
+def q_dedup_links(spark, sf):
+    """Export links deduplicated by url before any fetch (last one wins)."""
+    return ix.last_wins(xp.parsed_exports(spark, sf).select("url", "title", "folder", "file_id", "pos"))
+
+
+@register("read_exports")
+def q_read_exports(spark, sf):
+    """Exports written as files, read back whole, parsed: links per file."""
+    path = xp.write_exports(spark, xp.build_exports(_pages(spark, sf)))
+    files = xp.read_exports(spark, path).withColumn(
+        "file_id", F.regexp_extract("file", r"file_id=(\d+)", 1).cast("bigint"))
+    links = parse_exports(files.select("file_id", "content"), xp.export_ingest_ts())
+    return links.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_links"))

@@ -415,3 +415,33 @@ ORACLES["index_storage"] = "WITH RECURSIVE " + O.eval_chunks_ctes().split(",\nix
 SELECT strategy, CAST(count(*) AS BIGINT) AS n_chunks, CAST(sum(octet_length(encode(chunk_text))) AS BIGINT) AS text_bytes,
        CAST(count(*) * 4 * 384 AS BIGINT) AS vector_bytes
 FROM ix GROUP BY strategy"""
+
+
+# --- link exports ------------------------------------------------------------------
+
+from tessera.plans import exports as XP  # noqa: E402
+
+_EXP = f"""WITH el AS (
+  SELECT CAST(floor(page_id / {XP.PAGES_PER_FILE}) AS BIGINT) AS file_id, page_id, url, {O.page_title('html')} AS title,
+         {O.url_domain('url')} AS domain, {O.first_segment('url')} AS lang, page_id % {XP.ROOT_EVERY} = 0 AS is_root
+  FROM pages
+),
+xl AS (
+  SELECT file_id, CAST(row_number() OVER (PARTITION BY file_id ORDER BY is_root,
+              CASE WHEN is_root THEN '' ELSE domain END, CASE WHEN is_root THEN '' ELSE lang END, page_id) - 1 AS INTEGER) AS pos,
+         url, title, CASE WHEN is_root THEN '' ELSE domain || '/' || lang END AS folder,
+         CASE WHEN page_id % {XP.DATE_SHAPES} IN (0, 1, 2, 3) THEN TIMESTAMP '{XP.EXPORT_INGEST_TS}'
+              WHEN page_id % {XP.DATE_SHAPES} = 4 THEN make_timestamp(CAST(({XP.DATE_BASE_EPOCH} + page_id * 86400) AS BIGINT) * 1000000 + 250000)
+              ELSE make_timestamp(CAST(({XP.DATE_BASE_EPOCH} + page_id * 86400) AS BIGINT) * 1000000) END AS date_added,
+         CASE WHEN page_id % {XP.ICON_EVERY} = 0 THEN 'data:image/png;base64,AAAA' || page_id END AS icon
+  FROM el
+)"""
+
+ORACLES["parse_links"] = _EXP + "\nSELECT file_id, pos, url, title, folder, date_added, icon FROM xl"
+ORACLES["parse_add_date"] = _EXP + "\nSELECT file_id, pos, date_added FROM xl"
+ORACLES["link_icon"] = _EXP + "\nSELECT file_id, pos, icon FROM xl"
+ORACLES["dedup_links"] = _EXP + """
+SELECT url, arg_max(title, (file_id, pos)) AS title, arg_max(folder, (file_id, pos)) AS folder,
+       arg_max(file_id, (file_id, pos)) AS file_id, arg_max(pos, (file_id, pos)) AS pos
+FROM xl GROUP BY url"""
+ORACLES["read_exports"] = _EXP + "\nSELECT file_id, count(*) AS n_links FROM xl GROUP BY file_id"
