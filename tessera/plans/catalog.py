@@ -618,3 +618,140 @@ def q_read_exports(spark, sf):
         "file_id", F.regexp_extract("file", r"file_id=(\d+)", 1).cast("bigint"))
     links = parse_exports(files.select("file_id", "content"), xp.export_ingest_ts())
     return links.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_links"))
+
+
+# --- embedding hooks, sources and sinks -----------------------------------------
+
+from tessera.operators.embed import HashModel, check_dims, model_embedder  # noqa: E402
+from tessera.functions.text import flatten_newlines  # noqa: E402
+from tessera.operators import quality as qual  # noqa: E402
+from tessera.sources import qa as qa_src  # noqa: E402
+from tessera.sources import store  # noqa: E402
+from tessera.session import ensure_checkpoint_dir  # noqa: E402
+
+
+def _sparse(df, key_cols, vec="embedding"):
+    return (df.select(*key_cols, F.posexplode(vec).alias("bucket", "w")).where(F.col("w") != 0)
+            .select(*key_cols, "bucket", _r6(F.col("w").cast("double")).alias("weight")))
+
+
+@register("embed_batch")
+def q_embed_batch(spark, sf):
+    """The model hook (iterator pandas UDF, model built once per worker) with
+    the Python twin of the hash embedder: same vectors as ``embed_hash``."""
+    embed = model_embedder(lambda: HashModel(DEFAULT_DIM))
+    ch = _default_chunks(spark, sf).withColumn("embedding", embed(F.col("chunk_text")))
+    return _sparse(ch, ["doc_id", "chunk_index"])
+
+
+@register("embed_query")
+def q_embed_query(spark, sf):
+    """Questions go through the same model as the chunks."""
+    embed = model_embedder(lambda: HashModel(DEFAULT_DIM))
+    q = ev.passage_questions(spark, sf).withColumn("embedding", embed(F.col("question")))
+    return _sparse(q, ["query_id"])
+
+
+@register("flatten_newlines")
+def q_flatten_newlines(spark, sf):
+    d = read_table(spark, sf, "documents")
+    flat = flatten_newlines(F.col("text"))
+    return d.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("n_newlines"),
+                    F.instr(flat, "\n").alias("newline_at"), F.length(flat).alias("n_chars"))
+
+
+@register("check_dims")
+def q_check_dims(spark, sf):
+    v = check_dims(_vectors(spark, sf), "embedding", 64)
+    return v.select("vec_id", F.size("embedding").alias("dim"), "dim_ok")
+
+
+@register("read_qa")
+def q_read_qa(spark, sf):
+    """The derived QA set written as JSON (an empty truth list is written as a
+    missing field) and read back."""
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/qa-{__import__('uuid').uuid4().hex}"
+    qa = ev.qa_set(spark, sf)
+    (qa.withColumn("ground_truth_urls", F.when(F.size("ground_truth_urls") > 0, F.col("ground_truth_urls")))
+       .drop("query_id").write.json(out))
+    back = qa_src.read_qa(spark, out, json_array=False)
+    return back.select("question", F.size("ground_truth_urls").alias("n_truth"), "difficulty",
+                       F.size("expected_answer_keywords").alias("n_keywords"))
+
+
+@register("write_index")
+def q_write_index(spark, sf):
+    """Publish the first run's links and chunks as snapshots; read them back."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{__import__('uuid').uuid4().hex}"
+    lk = _run_links(spark, sf, 0)
+    links = lk.select("url", "title", "folder", "date_added", "domain", "status")
+    chunks = pg.page_chunks(lk)
+    store.publish(spark, links, root, "links", partition_col="url")
+    store.publish(spark, chunks, root, "chunks", partition_col="url")
+    l2 = store.read_current(spark, root, "links")
+    c2 = store.read_current(spark, root, "chunks")
+    return (l2.agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit("links"))
+            .unionByName(c2.agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit("chunks"))))
+
+
+@register("write_eval_report")
+def q_write_eval_report(spark, sf):
+    """Aggregates + per-question details written as a timestamped report."""
+    root = ensure_checkpoint_dir(spark)
+    path = qa_src.write_eval_report(spark, root, ev.compare_chunking(spark, sf), ev.eval_details(spark, sf),
+                                    "2024-09-01 00:00:00")
+    return spark.read.json(f"{path}/details").select("query_id", "precision_at_k", "recall", "mrr", "run_ts")
+
+
+@register("incremental_ingest")
+def q_incremental_ingest(spark, sf):
+    """Urls of the second run still to process: those the first run did not index."""
+    done = _links(spark, sf, 0).where(F.col("outcome") == "indexed").select("url")
+    return _pages(spark, sf).select("url").join(done, "url", "left_anti")
+
+
+@register("stale_links")
+def q_stale_links(spark, sf):
+    """Last successful crawl per url over both runs; stale when it is not the latest run."""
+    ts = [F.to_timestamp(F.lit(t)) for t in pg.INGEST_TS]
+    runs = (_links(spark, sf, 0).select("url", "outcome", ts[0].alias("run_ts"))
+            .unionByName(_links(spark, sf, 1).select("url", "outcome", ts[1].alias("run_ts"))))
+    last = runs.groupBy("url").agg(F.max(F.when(F.col("outcome") == "indexed", F.col("run_ts"))).alias("last_ok_at"))
+    return last.withColumn("stale", F.coalesce(F.col("last_ok_at") < ts[1], F.lit(True)))
+
+
+@register("conversation_context")
+def q_conversation_context(spark, sf):
+    """For each user turn, the two turns before it ('role: text', oldest
+    first) -- an equi-join on (conv_id, turn), so a very long conversation is
+    spread over many tasks like any other key."""
+    c = read_table(spark, sf, "conversations")
+    users = c.where(F.col("role") == "user").select("conv_id", "turn")
+    want = users.select("conv_id", F.col("turn").alias("q_turn"), F.explode(F.array(F.lit(1), F.lit(2))).alias("back"))
+    prev = c.select("conv_id", F.col("turn").alias("p_turn"), F.concat_ws(": ", "role", "text").alias("line"))
+    ctx = (want.join(prev, (want.conv_id == prev.conv_id) & (prev.p_turn == want.q_turn - want.back))
+           .groupBy(want.conv_id, "q_turn").agg(F.sort_array(F.collect_list(F.struct(F.col("p_turn"), "line"))).alias("l")))
+    return (users.join(ctx.withColumnRenamed("q_turn", "turn"), ["conv_id", "turn"], "left")
+            .select("conv_id", "turn", F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), "\n"),
+                                                  F.lit("")).alias("context")))
+
+
+def _judged(spark, sf):
+    questions, hits = _answer_inputs(spark, sf)
+    answers = ans.generate_answers(ans.build_prompts(questions, hits), hits)
+    ctx = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "chunk_text"))).alias("_c"))
+    items = (questions.join(answers, "query_id").join(ctx, "query_id", "left")
+             .withColumn("contexts", F.transform(F.coalesce("_c", F.array().cast(ctx.schema["_c"].dataType)),
+                                                 lambda x: x["chunk_text"])))
+    return qual.judge_answers(items)
+
+
+@register("answer_quality")
+def q_answer_quality(spark, sf):
+    return _judged(spark, sf)
+
+
+@register("quality_mean_policy")
+def q_quality_mean_policy(spark, sf):
+    s = _judged(spark, sf)
+    return qual.quality_means(s, "count_missing").unionByName(qual.quality_means(s, "skip_missing"))

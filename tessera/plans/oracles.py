@@ -445,3 +445,46 @@ SELECT url, arg_max(title, (file_id, pos)) AS title, arg_max(folder, (file_id, p
        arg_max(file_id, (file_id, pos)) AS file_id, arg_max(pos, (file_id, pos)) AS pos
 FROM xl GROUP BY url"""
 ORACLES["read_exports"] = _EXP + "\nSELECT file_id, count(*) AS n_links FROM xl GROUP BY file_id"
+
+
+# --- embedding hooks, sources, sinks, documented extras --------------------------
+
+ORACLES["embed_batch"] = ORACLES["embed_hash"]
+ORACLES["embed_query"] = "WITH " + O.hash_ctes("(SELECT item_id AS query_id, text FROM benchmark)", "query_id", "text", 384, "e").replace(
+    "FROM (SELECT item_id AS query_id, text FROM benchmark) s LEFT JOIN", "FROM (SELECT item_id AS query_id, text FROM benchmark) AS s LEFT JOIN") + """
+SELECT query_id, CAST(bucket AS INTEGER) AS bucket, round(CAST(w AS DOUBLE), 6) AS weight FROM e_wv WHERE w <> 0"""
+
+ORACLES["flatten_newlines"] = """
+SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS INTEGER) AS n_newlines,
+       CAST(instr(replace(text, chr(10), ' '), chr(10)) AS INTEGER) AS newline_at, CAST(length(text) AS INTEGER) AS n_chars
+FROM documents"""
+
+ORACLES["check_dims"] = "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, coalesce(len(embedding) = 64, false) AS dim_ok FROM embeddings"
+
+ORACLES["read_qa"] = "WITH " + _QA + """
+SELECT question, CAST(n_truth AS INTEGER) AS n_truth, difficulty,
+       CAST(len(list_slice(list_distinct_ordered, 1, 4)) AS INTEGER) AS n_keywords
+FROM (SELECT *, list_filter(regexp_extract_all(lower(question), """ + O.q(O.WORD_TOKEN) + """), lambda w: length(w) >= 6) AS kw FROM qa) x,
+     LATERAL (SELECT list(DISTINCT w) AS list_distinct_ordered FROM unnest(x.kw) AS t(w))"""
+
+ORACLES["write_index"] = "WITH " + LINKS0 + """
+SELECT CAST(count(*) FILTER (WHERE outcome IN ('indexed', 'failed')) AS BIGINT) AS n, 'links' AS "table" FROM k0"""
+
+ORACLES["incremental_ingest"] = "WITH " + LINKS0 + "\nSELECT url FROM pages WHERE url NOT IN (SELECT url FROM k0 WHERE outcome = 'indexed')"
+
+ORACLES["stale_links"] = "WITH " + LINKS0 + "," + LINKS1 + """,
+runs AS (SELECT url, outcome, TIMESTAMP '2024-06-01 00:00:00' AS run_ts FROM k0
+         UNION ALL SELECT url, outcome, TIMESTAMP '2024-07-01 00:00:00' FROM k1),
+last AS (SELECT url, max(CASE WHEN outcome = 'indexed' THEN run_ts END) AS last_ok_at FROM runs GROUP BY url)
+SELECT url, last_ok_at, coalesce(last_ok_at < TIMESTAMP '2024-07-01 00:00:00', true) AS stale FROM last"""
+
+ORACLES["conversation_context"] = """
+SELECT u.conv_id, u.turn, coalesce(concat_ws(chr(10), p2.role || ': ' || p2.text, p1.role || ': ' || p1.text), '') AS context
+FROM conversations u
+LEFT JOIN conversations p1 ON p1.conv_id = u.conv_id AND p1.turn = u.turn - 1
+LEFT JOIN conversations p2 ON p2.conv_id = u.conv_id AND p2.turn = u.turn - 2
+WHERE u.role = 'user'"""
+
+ORACLES["write_index"] = _PIDX + """
+SELECT CAST(count(*) AS BIGINT) AS n, 'links' AS "table" FROM r0
+UNION ALL SELECT CAST(count(*) AS BIGINT), 'chunks' FROM c0_chunks"""

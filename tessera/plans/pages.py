@@ -86,7 +86,11 @@ def page_links(spark: SparkSession, sf_dir: str, attempt: int = 0,
     with reason 'No content after cleaning' / 'No chunks generated' (no link
     row), or 'indexed'.
     """
-    pages = read_table(spark, sf_dir, "pages")
+    return links_from_pages(read_table(spark, sf_dir, "pages"), attempt)
+
+
+def links_from_pages(pages: DataFrame, attempt: int = 0) -> DataFrame:
+    """``page_links`` over any DataFrame of pages (a batch, a stream's micro-batch)."""
     f = fetched(pages, attempt)
     meta = pages.select("page_id", page_title(F.col("html")).alias("title"))
     text = F.when(~F.col("fetch_failed"), clean_html(F.col("content")))
