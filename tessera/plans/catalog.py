@@ -755,3 +755,27 @@ def q_answer_quality(spark, sf):
 def q_quality_mean_policy(spark, sf):
     s = _judged(spark, sf)
     return qual.quality_means(s, "count_missing").unionByName(qual.quality_means(s, "skip_missing"))
+
+
+# --- streaming -----------------------------------------------------------------------
+
+from tessera.streaming.ingest import run_ingest  # noqa: E402
+from tessera.streaming.progress import run_progress  # noqa: E402
+
+
+@register("stream_progress")
+def q_stream_progress(spark, sf):
+    """Counts by status (event_type) from a file stream run to completion."""
+    src = f"{sf.rstrip('/')}/event[s].parquet"  # a glob: the stream source lists matching files
+    schema = read_table(spark, sf, "events").schema
+    return run_progress(spark, src, schema).select("status", F.col("n").cast("bigint").alias("n"))
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf):
+    """Pages arriving as files run the batch ingest per micro-batch; the
+    published tables then equal the batch run (checked through their stats)."""
+    src = f"{sf.rstrip('/')}/page[s].parquet"
+    schema = read_table(spark, sf, "pages").schema
+    root = run_ingest(spark, src, schema)
+    return ix.index_stats(store.read_current(spark, root, "links"), store.read_current(spark, root, "chunks"))

@@ -488,3 +488,8 @@ WHERE u.role = 'user'"""
 ORACLES["write_index"] = _PIDX + """
 SELECT CAST(count(*) AS BIGINT) AS n, 'links' AS "table" FROM r0
 UNION ALL SELECT CAST(count(*) AS BIGINT), 'chunks' FROM c0_chunks"""
+
+ORACLES["stream_progress"] = "SELECT event_type AS status, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type"
+ORACLES["stream_ingest"] = _PIDX + """
+SELECT (SELECT count(*) FROM r0) AS total_links, (SELECT count(*) FROM r0 WHERE outcome = 'failed') AS failed_links,
+       (SELECT count(*) FROM c0_chunks) AS total_chunks"""
