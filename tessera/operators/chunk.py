@@ -49,62 +49,80 @@ SPAN_TYPE = T.ArrayType(T.StructType([
     T.StructField("n_tokens", T.IntegerType()),
 ]))
 
-_SPAN_ARROW = pa.list_(pa.struct([
-    ("strategy", pa.int32()), ("chunk_index", pa.int32()), ("s_from", pa.int32()),
-    ("s_to", pa.int32()), ("c_start", pa.int32()), ("c_end", pa.int32()),
-    ("n_tokens", pa.int32()),
-]))
+_SPAN_FIELDS = ("strategy", "chunk_index", "s_from", "s_to", "c_start", "c_end", "n_tokens")
 
 
-def walk_chunks(tokens: np.ndarray, size: int, overlap: int) -> list[tuple[int, int]]:
+def walk_chunks(tokens: np.ndarray, size: int, overlap: int,
+                prefix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sentence ranges [from, to) of the chunks of one document."""
     n = len(tokens)
     if n == 0:
-        return []
-    prefix = np.zeros(n + 1, dtype=np.int64)
-    np.cumsum(tokens, out=prefix[1:])
-    # en(i) for every i at once
-    reach = np.searchsorted(prefix, prefix[:n] + size, side="right") - 1
-    ends = np.maximum(np.arange(1, n + 1), reach)
-    spans = []
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    if prefix is None:
+        prefix = np.zeros(n + 1, dtype=np.int64)
+        np.cumsum(tokens, out=prefix[1:])
+    # en(i) for every i at once; back(e) = last b with P[b] <= P[e] - overlap
+    ends = np.maximum(np.arange(1, n + 1), np.searchsorted(prefix, prefix[:n] + size, side="right") - 1)
+    back = np.searchsorted(prefix, prefix - overlap, side="right") - 1
+    froms, tos = [], []
     i = 0
     while True:
         e = int(ends[i])
-        spans.append((i, e))
+        froms.append(i)
+        tos.append(e)
         if e >= n:
-            return spans
-        k = int(np.searchsorted(prefix, prefix[e] - overlap, side="right")) - 1
-        k = min(k, e - 1)
+            return np.asarray(froms, dtype=np.int64), np.asarray(tos, dtype=np.int64)
+        k = min(int(back[e]), e - 1)
         nxt = k if k >= i else e
         i = nxt if nxt > i else i + 1
 
 
-def _spans_for_doc(toks, lens, sizes, overlaps):
-    toks = np.asarray(toks, dtype=np.int64)
-    lens = np.asarray(lens, dtype=np.int64)
-    starts = np.zeros(len(lens) + 1, dtype=np.int64)
-    np.cumsum(lens + 1, out=starts[1:])
-    prefix = np.zeros(len(toks) + 1, dtype=np.int64)
-    np.cumsum(toks, out=prefix[1:])
-    out = []
-    for s_idx, (size, overlap) in enumerate(zip(sizes, overlaps)):
-        for c_idx, (a, b) in enumerate(walk_chunks(toks, int(size), int(overlap))):
-            out.append({
-                "strategy": s_idx, "chunk_index": c_idx, "s_from": a, "s_to": b,
-                "c_start": int(starts[a]), "c_end": int(starts[b] - 1),
-                "n_tokens": int(prefix[b] - prefix[a]),
-            })
-    return out
+def _flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, offsets) of a list<int> Arrow array, as int64 numpy."""
+    arr = arr.cast(pa.list_(pa.int64()))
+    offsets = arr.offsets.to_numpy().astype(np.int64)
+    values = arr.values.to_numpy(zero_copy_only=False).astype(np.int64)
+    return values, offsets
 
 
 @F.arrow_udf(SPAN_TYPE)
 def chunk_spans(toks: pa.Array, lens: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
-    """Per document: chunk spans for every (size, overlap) strategy given."""
-    rows = []
-    for t, ln, sz, ov in zip(toks.to_pylist(), lens.to_pylist(),
-                             sizes.to_pylist(), overlaps.to_pylist()):
-        rows.append(_spans_for_doc(t or [], ln or [], sz or [], ov or []))
-    return pa.array(rows, type=_SPAN_ARROW)
+    """Per document: chunk spans for every (size, overlap) strategy given.
+
+    Reads the flat Arrow buffers (no per-element Python objects): prefix sums
+    and both window ends with numpy, then the walk per document/strategy."""
+    tv, to = _flat(toks)
+    lv, lo = _flat(lens)
+    sv, so = _flat(sizes)
+    ov, oo = _flat(overlaps)
+    cols: dict[str, list] = {f: [] for f in _SPAN_FIELDS}
+    counts = np.zeros(len(toks), dtype=np.int64)
+    for d in range(len(toks)):
+        t = tv[to[d]:to[d + 1]]
+        if len(t) == 0:
+            continue
+        ln = lv[lo[d]:lo[d + 1]]
+        starts = np.zeros(len(ln) + 1, dtype=np.int64)
+        np.cumsum(ln + 1, out=starts[1:])
+        prefix = np.zeros(len(t) + 1, dtype=np.int64)
+        np.cumsum(t, out=prefix[1:])
+        for s_idx, (size, overlap) in enumerate(zip(sv[so[d]:so[d + 1]], ov[oo[d]:oo[d + 1]])):
+            a, b = walk_chunks(t, int(size), int(overlap), prefix)
+            m = len(a)
+            counts[d] += m
+            cols["strategy"].append(np.full(m, s_idx))
+            cols["chunk_index"].append(np.arange(m))
+            cols["s_from"].append(a)
+            cols["s_to"].append(b)
+            cols["c_start"].append(starts[a])
+            cols["c_end"].append(starts[b] - 1)
+            cols["n_tokens"].append(prefix[b] - prefix[a])
+    fields = [pa.array(np.concatenate(cols[f]) if cols[f] else np.zeros(0, dtype=np.int64), type=pa.int32())
+              for f in _SPAN_FIELDS]
+    offsets = np.zeros(len(toks) + 1, dtype=np.int32)
+    np.cumsum(counts, out=offsets[1:])
+    values = pa.StructArray.from_arrays(fields, names=list(_SPAN_FIELDS))
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
 
 
 def with_sentences(df: DataFrame, text_col: str = "text") -> DataFrame:

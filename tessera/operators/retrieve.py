@@ -87,38 +87,43 @@ def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
                                 kind="mergesort")
         return cand.groupby("query_id", sort=False).head(k)
 
-    def score_batch(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = len(pdf)
-        vecs = pdf[vec_col]
+    def vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         width = qmat.shape[1]
-        X = np.zeros((n, width), dtype=np.float64)
-        ok = np.zeros(n, dtype=bool)
-        for i, v in enumerate(vecs):
-            if v is not None and len(v) == width:
-                X[i] = v
-                ok[i] = True
+        vecs = pdf[vec_col].to_list()
+        ok = np.fromiter((v is not None and len(v) == width for v in vecs), dtype=bool, count=len(vecs))
+        X = np.zeros((len(vecs), width), dtype=np.float64)
+        if ok.all():
+            X = np.asarray(np.stack(vecs), dtype=np.float64)
+        else:
+            for i in np.nonzero(ok)[0]:
+                X[i] = vecs[i]
+        return X, ok
+
+    def score_batch(pdf: pd.DataFrame, X: np.ndarray, ok: np.ndarray, qi: np.ndarray) -> pd.DataFrame:
+        """Score rows of ``pdf`` against the queries ``qi``; local top-k each."""
+        n = len(pdf)
         xnorm = np.sqrt(np.einsum("ij,ij->i", X, X))
         with np.errstate(divide="ignore", invalid="ignore"):
-            S = (X @ qmat.T) / (xnorm[:, None] * qnorm[None, :])
-        valid = np.repeat(ok[:, None], len(qids), axis=1)
+            S = (X @ qmat[qi].T) / (xnorm[:, None] * qnorm[qi][None, :])
+        valid = np.repeat(ok[:, None], len(qi), axis=1)
         for (qcol, icol) in spec.equal:
-            qcodes, vocab = qfilters[qcol]
+            qcodes = qfilters[qcol][0][qi]
             active = qcodes >= 0
             if active.any():
-                icodes = pd.Series(pdf[icol].to_numpy(dtype=object)).map(vocab)
+                icodes = pd.Series(pdf[icol].to_numpy(dtype=object)).map(qfilters[qcol][1])
                 icodes = icodes.fillna(-2).to_numpy(dtype=np.int64)
                 valid &= np.where(active[None, :], icodes[:, None] == qcodes[None, :], True)
         for (icol, lo, hi) in spec.ranges:
             ivals, imask = _int_with_mask(pdf[icol].to_numpy(dtype=object))
-            lov, lom = qfilters[lo]
-            hiv, him = qfilters[hi]
+            lov, lom = qfilters[lo][0][qi], qfilters[lo][1][qi]
+            hiv, him = qfilters[hi][0][qi], qfilters[hi][1][qi]
             if lom.any():
                 valid &= np.where(lom[None, :], imask[:, None] & (ivals[:, None] >= lov[None, :]), True)
             if him.any():
                 valid &= np.where(him[None, :], imask[:, None] & (ivals[:, None] <= hiv[None, :]), True)
         if self_key is not None and qself is not None:
             keys = pdf[key_cols[0]].to_numpy()
-            valid &= keys[:, None] != qself[None, :]
+            valid &= keys[:, None] != qself[qi][None, :]
         r = np.round(S, 9)
         r = np.where(np.isnan(r), np.inf, r)
         r = np.where(valid, r, -np.inf)
@@ -129,11 +134,38 @@ def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
             pick = valid
         rows, cols = np.nonzero(pick)
         cand = pdf.iloc[rows][key_cols + carry].reset_index(drop=True)
-        cand.insert(0, "query_id", qids[cols])
+        cand.insert(0, "query_id", qids[qi][cols])
         cand["score"] = S[rows, cols]
         cand["rscore"] = r[rows, cols]
         return select_top(cand)
 
+    # Equality pre-filter as routing: rows whose first equality-filter value is
+    # v are scored only against queries asking for v (or not filtering), so a
+    # selective filter cuts the matrix product instead of masking it.
+    route = None
+    if spec.equal:
+        qcol, icol = spec.equal[0]
+        codes, vocab = qfilters[qcol]
+        inactive = np.nonzero(codes < 0)[0]
+        by_code = {c: np.concatenate([np.nonzero(codes == c)[0], inactive]) for c in np.unique(codes[codes >= 0])}
+        route = (icol, vocab, by_code, inactive)
+    all_q = np.arange(len(qids))
+
+    def score_rows(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        X, ok = vectors(pdf)
+        if route is None:
+            return [score_batch(pdf, X, ok, all_q)]
+        icol, vocab, by_code, inactive = route
+        icodes = pd.Series(pdf[icol].to_numpy(dtype=object)).map(vocab).fillna(-1).to_numpy(dtype=np.int64)
+        out = []
+        for c in np.unique(icodes):
+            qi = by_code.get(c, inactive) if c >= 0 else inactive
+            if len(qi) == 0:
+                continue
+            sel = np.nonzero(icodes == c)[0]
+            out.append(score_batch(pdf.iloc[sel].reset_index(drop=True), X[sel], ok[sel], qi))
+        return out
+
     def run(batches):
         kept = []
         for pdf in batches:
@@ -141,8 +173,7 @@ def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
                 continue
             step = max(1, SCORE_CELLS // max(1, len(qids)))
             for start in range(0, len(pdf), step):
-                part = pdf.iloc[start:start + step].reset_index(drop=True)
-                kept.append(score_batch(part))
+                kept.extend(score_rows(pdf.iloc[start:start + step].reset_index(drop=True)))
             if sum(len(x) for x in kept) > 4 * k * len(qids):
                 kept = [select_top(pd.concat(kept, ignore_index=True))]
         if kept:

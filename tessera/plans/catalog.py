@@ -90,8 +90,10 @@ def q_chunk_empty(spark, sf):
 def q_embed_hash(spark, sf):
     """Hash embeddings of the default chunks, as (chunk, bucket, weight) for
     the non-zero buckets."""
+    # posexplode_outer: a plain explode makes the optimizer infer a
+    # size(embedding) > 0 filter below it and evaluate the UDF twice
     ch = embed_hash(_default_chunks(spark, sf), "chunk_text", dim=DEFAULT_DIM)
-    return (ch.select("doc_id", "chunk_index", F.posexplode("embedding").alias("bucket", "w"))
+    return (ch.select("doc_id", "chunk_index", F.posexplode_outer("embedding").alias("bucket", "w"))
             .where(F.col("w") != 0)
             .select("doc_id", "chunk_index", "bucket", _r6(F.col("w").cast("double")).alias("weight")))
 
@@ -295,8 +297,13 @@ def q_url_domain(spark, sf):
 
 # --- pages: ingest outcome and index state -----------------------------------
 
-def _links(spark, sf, attempt=0):
-    return pg.page_links(spark, sf, attempt)
+def _links(spark, sf, attempt=0, cleaned=None):
+    return pg.page_links(spark, sf, attempt, cleaned)
+
+
+def _cleaned(spark, sf):
+    """Cleaned page bodies, computed once and shared by both crawl runs."""
+    return pg.cleaned_pages(_pages(spark, sf)).checkpoint()
 
 
 @register("ingest_outcome")
@@ -312,28 +319,29 @@ def q_last_wins(spark, sf):
     return ix.last_wins(a.select("url", "title", "file_id", "pos"))
 
 
-def _run_links(spark, sf, run: int):
+def _run_links(spark, sf, run: int, cleaned=None):
     """Link rows a run writes: every page is crawled in both runs; run 1 is a
     re-crawl (attempt 1) whose transport outcomes differ."""
-    lk = _links(spark, sf, attempt=run)
+    lk = _links(spark, sf, attempt=run, cleaned=cleaned)
     return lk.where(F.col("outcome").isin("indexed", "failed")).select(
         "page_id", "url", "title", "folder", "date_added", "domain", F.col("outcome").alias("status"),
         "outcome", "text")
 
 
-def _snapshot(spark, sf, runs=2):
+def _snapshot(spark, sf, runs=2, cleaned=None):
+    cleaned = cleaned if cleaned is not None else _cleaned(spark, sf)
     ts = [F.to_timestamp(F.lit(t)) for t in pg.INGEST_TS]
     links = ix.upsert_links(
         spark.createDataFrame([], "url string, title string, folder string, date_added timestamp, "
                                   "domain string, status string, created_at timestamp, updated_at timestamp"),
-        _run_links(spark, sf, 0), ts[0])
+        _run_links(spark, sf, 0, cleaned), ts[0])
     if runs > 1:
-        links = ix.upsert_links(links, _run_links(spark, sf, 1), ts[1])
+        links = ix.upsert_links(links, _run_links(spark, sf, 1, cleaned), ts[1])
     return links
 
 
-def _run_chunks(spark, sf, run: int):
-    lk = _run_links(spark, sf, run)
+def _run_chunks(spark, sf, run: int, cleaned=None):
+    lk = _run_links(spark, sf, run, cleaned)
     return pg.page_chunks(lk).withColumn("run", F.lit(run))
 
 
@@ -344,7 +352,8 @@ def q_upsert_links(spark, sf):
 
 @register("replace_chunks")
 def q_replace_chunks(spark, sf):
-    ch = ix.replace_chunks(_run_chunks(spark, sf, 0), _run_chunks(spark, sf, 1))
+    cl = _cleaned(spark, sf)
+    ch = ix.replace_chunks(_run_chunks(spark, sf, 0, cl), _run_chunks(spark, sf, 1, cl))
     return ch.select("url", "chunk_index", "chunk_id", "run")
 
 
@@ -379,8 +388,9 @@ def q_list_urls(spark, sf):
 
 @register("index_stats")
 def q_index_stats(spark, sf):
-    ch = ix.replace_chunks(_run_chunks(spark, sf, 0), _run_chunks(spark, sf, 1))
-    return ix.index_stats(_snapshot(spark, sf), ch)
+    cl = _cleaned(spark, sf)
+    ch = ix.replace_chunks(_run_chunks(spark, sf, 0, cl), _run_chunks(spark, sf, 1, cl))
+    return ix.index_stats(_snapshot(spark, sf, cleaned=cl), ch)
 
 
 # --- retrieval with link metadata (pages index) -------------------------------
@@ -631,7 +641,7 @@ from tessera.session import ensure_checkpoint_dir  # noqa: E402
 
 
 def _sparse(df, key_cols, vec="embedding"):
-    return (df.select(*key_cols, F.posexplode(vec).alias("bucket", "w")).where(F.col("w") != 0)
+    return (df.select(*key_cols, F.posexplode_outer(vec).alias("bucket", "w")).where(F.col("w") != 0)
             .select(*key_cols, "bucket", _r6(F.col("w").cast("double")).alias("weight")))
 
 
@@ -714,8 +724,9 @@ def q_incremental_ingest(spark, sf):
 def q_stale_links(spark, sf):
     """Last successful crawl per url over both runs; stale when it is not the latest run."""
     ts = [F.to_timestamp(F.lit(t)) for t in pg.INGEST_TS]
-    runs = (_links(spark, sf, 0).select("url", "outcome", ts[0].alias("run_ts"))
-            .unionByName(_links(spark, sf, 1).select("url", "outcome", ts[1].alias("run_ts"))))
+    cl = _cleaned(spark, sf)
+    runs = (_links(spark, sf, 0, cl).select("url", "outcome", ts[0].alias("run_ts"))
+            .unionByName(_links(spark, sf, 1, cl).select("url", "outcome", ts[1].alias("run_ts"))))
     last = runs.groupBy("url").agg(F.max(F.when(F.col("outcome") == "indexed", F.col("run_ts"))).alias("last_ok_at"))
     return last.withColumn("stale", F.coalesce(F.col("last_ok_at") < ts[1], F.lit(True)))
 

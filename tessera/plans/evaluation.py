@@ -92,9 +92,10 @@ def compare_chunking(spark: SparkSession, sf_dir: str,
     """Per strategy: chunk_size, overlap, total_chunks and mean metrics."""
     docs = eval_documents(spark, sf_dir)
     if index is None:
-        index = strategy_index(docs, strategies, dim)
+        # built once, written to the checkpoint folder, read by search and sizes
+        index = strategy_index(docs, strategies, dim).checkpoint()
     questions = passage_questions(spark, sf_dir)
-    truth = passage_truth(spark, sf_dir)
+    truth = passage_truth(spark, sf_dir).checkpoint()
     hits = strategy_hits(index, questions, strategies, k, dim)
     strat = spark.createDataFrame(list(strategies), "strategy string, chunk_size int, overlap int")
     names = F.array(*[F.lit(s[0]) for s in strategies])

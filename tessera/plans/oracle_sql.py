@@ -19,7 +19,7 @@ def q(s: str) -> str:
 
 
 def norm(expr: str) -> str:
-    return f"trim(regexp_replace({expr}, {q(WS_RUN)}, ' ', 'g'))"
+    return f"trim(regexp_replace({expr}, {q(WS_RUN)}, ' ', 'g'))"  # Spark spells the same set as WS_JAVA
 
 
 def doc_url(source: str, doc_id: str) -> str:

@@ -79,22 +79,31 @@ def fetched(pages: DataFrame, attempt: int = 0) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str, attempt: int = 0,
-               chunk_size: int = 400, overlap: int = 50) -> DataFrame:
-    """One row per page: link metadata, cleaned text, chunk count, outcome.
+               cleaned: DataFrame | None = None) -> DataFrame:
+    """One row per page: link metadata, cleaned text, outcome.
 
     outcome: 'failed' (fetch failed; the link row *is* written), 'skipped'
     with reason 'No content after cleaning' / 'No chunks generated' (no link
-    row), or 'indexed'.
+    row), or 'indexed'.  ``cleaned`` (from ``cleaned_pages``) lets several
+    crawl attempts share one cleaning pass.
     """
-    return links_from_pages(read_table(spark, sf_dir, "pages"), attempt)
+    return links_from_pages(read_table(spark, sf_dir, "pages"), attempt, cleaned)
 
 
-def links_from_pages(pages: DataFrame, attempt: int = 0) -> DataFrame:
+def cleaned_pages(pages: DataFrame) -> DataFrame:
+    """page_id, title, clean_text: the cleaning of each page body, which does
+    not depend on the crawl attempt (an attempt only decides whether the body
+    was fetched)."""
+    return pages.select("page_id", page_title(F.col("html")).alias("title"),
+                        clean_html(F.col("html")).alias("clean_text"))
+
+
+def links_from_pages(pages: DataFrame, attempt: int = 0, cleaned: DataFrame | None = None) -> DataFrame:
     """``page_links`` over any DataFrame of pages (a batch, a stream's micro-batch)."""
     f = fetched(pages, attempt)
-    meta = pages.select("page_id", page_title(F.col("html")).alias("title"))
-    text = F.when(~F.col("fetch_failed"), clean_html(F.col("content")))
-    base = (f.join(meta, "page_id")
+    meta = cleaned if cleaned is not None else cleaned_pages(pages)
+    text = F.when(~F.col("fetch_failed"), F.col("clean_text"))
+    base = (f.drop("body", "content").join(meta, "page_id")
             .select("page_id", "url", "title",
                     first_path_segment(F.col("url")).alias("folder"),
                     url_domain(F.col("url")).alias("domain"),
@@ -124,7 +133,8 @@ def page_index(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
     chunk_id, url, chunk_index, chunk_text, title, folder, domain,
     date_added, embedding."""
     from tessera.operators.embed import hash_embedding
-    links = page_links(spark, sf_dir, 0)
+    # the link table is written once (as ingest does) and read by both sides
+    links = page_links(spark, sf_dir, 0).checkpoint()
     meta = links.where(F.col("outcome").isin("indexed", "failed")).select(
         "url", "title", "folder", "domain", "date_added")
     return (page_chunks(links).join(meta, "url")

@@ -9,8 +9,31 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+# Row keys used to spread a table whose files give too few read tasks.
+SPREAD_KEYS = {
+    "documents": ("doc_id",), "pages": ("page_id",), "embeddings": ("vec_id",),
+    "conversations": ("conv_id", "turn"), "events": ("event_id",), "benchmark": ("item_id",),
+    "labels": ("doc_id",),
+}
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Scan one table.
+
+    A Parquet file written as a single row group is read by one task however
+    it is split, which would run all CPU-heavy text work of that table on one
+    core.  When the scan yields fewer partitions than the cluster's default
+    parallelism, rows are hash-spread on the table's key (deterministic, so a
+    retried task sees the same rows).  At scale -- many files, many row
+    groups -- the scan already has more partitions than cores and this is a
+    no-op, so no extra shuffle is added there.
+    """
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = SPREAD_KEYS.get(name)
+    if spread and keys:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want, *keys)
+    return df
