@@ -77,7 +77,7 @@ def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
     qnorm = np.sqrt(np.einsum("ij,ij->i", qmat, qmat))
     qfilters = qblock["filters"]
     qself = qblock.get("self")
-    out_cols = ["query_id"] + key_cols + carry + ["score", "rscore"]
+    out_cols = ["query_id"] + key_cols + carry + ["score", "score_nan", "rscore"]
 
     def select_top(cand: pd.DataFrame) -> pd.DataFrame:
         if cand.empty:
@@ -135,7 +135,10 @@ def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
         rows, cols = np.nonzero(pick)
         cand = pdf.iloc[rows][key_cols + carry].reset_index(drop=True)
         cand.insert(0, "query_id", qids[qi][cols])
-        cand["score"] = S[rows, cols]
+        sc = S[rows, cols]
+        # Arrow turns a pandas NaN into null; carry NaN (zero vector) as a flag
+        cand["score"] = np.where(np.isnan(sc), 0.0, sc)
+        cand["score_nan"] = np.isnan(sc)
         cand["rscore"] = r[rows, cols]
         return select_top(cand)
 
@@ -250,7 +253,8 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     out_schema = T.StructType(
         [T.StructField("query_id", T.LongType())]
         + [fields[c] for c in key_cols + carry]
-        + [T.StructField("score", T.DoubleType()), T.StructField("rscore", T.DoubleType())])
+        + [T.StructField("score", T.DoubleType()), T.StructField("score_nan", T.BooleanType()),
+           T.StructField("rscore", T.DoubleType())])
     parts = []
     for block in _collect_query_blocks(queries, query_vec_col, spec, exclude_self, max_block_bytes):
         bc = spark.sparkContext.broadcast(block)
@@ -268,9 +272,10 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
         local = local.unionByName(p)
     order = [F.col("rscore").desc()] + [F.col(c).asc() for c in key_cols]
     w = Window.partitionBy("query_id").orderBy(*order)
+    score = F.when(F.col("score_nan"), F.lit(float("nan"))).otherwise(F.col("score"))
     return (local.withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= k)
-            .select("query_id", "rank", *key_cols, *carry, "score"))
+            .select("query_id", "rank", *key_cols, *carry, score.alias("score")))
 
 
 def topk_single(index: DataFrame, query_vec: Sequence[float], k: int = DEFAULT_K, *,
