@@ -34,32 +34,34 @@ ERR_FAILED = "Fetch failed"
 
 
 def robots_gate(urls: DataFrame, rules: DataFrame, agent: str = AGENT_TOKEN) -> DataFrame:
-    """urls + ``allowed`` (boolean, never null).
+    """urls + ``origin`` + ``allowed`` (boolean, never null).
 
-    Plan: one equi-join on ``origin`` (the rules table has a handful of rows
-    per site; AQE broadcasts it when small and splits a hot origin's
-    partition otherwise), then a per-url ``min_by`` over the matching rules.
+    Plan: the rules table is reduced to *one row per origin* holding the
+    deciding group's rules in file order (a robots file is small and bounded,
+    so this list is too); the url rows are joined to it on ``origin`` and the
+    first rule whose prefix matches is read with a higher-order ``filter`` --
+    no per-url aggregation and no join back.  The per-origin table is what a
+    crawler caches per site; Spark broadcasts it when it is under the
+    broadcast threshold (its measured size decides), so the url side, which
+    may carry page bodies, is not shuffled; otherwise AQE runs a shuffled join
+    and splits the partition of a hot origin.
     """
     agent = agent.lower()
-    u = urls.withColumn("origin", url_origin(F.col("url"))).withColumn("_path", url_path(F.col("url")))
-    r = (rules.withColumn("_specific", (F.col("ua") != "*") &
-                          F.lit(agent).contains(F.lower(F.col("ua"))))
-         .withColumn("_default", F.col("ua") == "*")
+    specific = (F.col("ua") != "*") & F.lit(agent).contains(F.lower(F.col("ua")))
+    r = (rules.withColumn("_specific", specific).withColumn("_default", F.col("ua") == "*")
          .where(F.col("_specific") | F.col("_default")))
-    # the deciding group per origin: first specific group, else the '*' group
+    # the deciding group per origin: first matching specific group, else '*'
     groups = r.groupBy("origin").agg(
         F.coalesce(F.min(F.when(F.col("_specific"), F.col("entry"))),
                    F.min(F.when(F.col("_default"), F.col("entry")))).alias("_entry"))
-    deciding = r.join(groups, "origin").where(F.col("entry") == F.col("_entry")).select(
-        "origin", "ord", "allow", "prefix")
-    # the verdict depends on the url alone: decide once per distinct url
-    matched = (u.select("url", "origin", "_path").distinct()
-               .join(deciding, "origin")
-               .where(F.col("_path").startswith(F.col("prefix")))
-               .groupBy("url").agg(F.min_by("allow", "ord").alias("_allow")))
-    return (u.join(matched, "url", "left")
-            .withColumn("allowed", F.coalesce("_allow", F.lit(True)))
-            .drop("_allow", "_path"))
+    packed = (r.join(groups, "origin").where(F.col("entry") == F.col("_entry"))
+              .groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("ord", "allow", "prefix")))
+                                     .alias("_rules")))
+    u = urls.withColumn("origin", url_origin(F.col("url"))).withColumn("_path", url_path(F.col("url")))
+    first_match = F.try_element_at(F.filter("_rules", lambda x: F.col("_path").startswith(x["prefix"])), F.lit(1))
+    return (u.join(packed, "origin", "left")
+            .withColumn("allowed", F.coalesce(first_match["allow"], F.lit(True)))
+            .drop("_rules", "_path"))
 
 
 def fetch_outcome(log: DataFrame) -> DataFrame:
