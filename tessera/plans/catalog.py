@@ -401,7 +401,7 @@ from tessera.operators.retrieve import LINK_FILTERS  # noqa: E402
 DATE_WINDOW_DAYS = 30
 
 
-def _page_hits(spark, sf, folder=False, domain=False, dates=False, k=DEFAULT_K):
+def _page_hits(spark, sf, folder=False, domain=False, dates=False, k=DEFAULT_K, carry=("url",)):
     idx = pg.page_index(spark, sf)
     q = pg.page_questions(spark, sf)
     none_s, none_t = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
@@ -411,7 +411,7 @@ def _page_hits(spark, sf, folder=False, domain=False, dates=False, k=DEFAULT_K):
         (F.col("domain") if domain else none_s).alias("domain"),
         (F.col("date_added") - F.expr(f"INTERVAL {DATE_WINDOW_DAYS} DAYS") if dates else none_t).alias("date_from"),
         (F.col("date_added") + F.expr(f"INTERVAL {DATE_WINDOW_DAYS} DAYS") if dates else none_t).alias("date_to"))
-    return topk_batch(idx, q, k, key_cols=["chunk_id"], carry=["url"], filters=LINK_FILTERS)
+    return topk_batch(idx, q, k, key_cols=["chunk_id"], carry=list(carry), filters=LINK_FILTERS)
 
 
 def _hits_out(h):
@@ -421,8 +421,8 @@ def _hits_out(h):
 
 @register("chunk_link_join")
 def q_chunk_link_join(spark, sf):
-    return pg.page_index(spark, sf).select("chunk_id", "url", "chunk_index", "title", "folder",
-                                           "domain", "date_added")
+    return pg.page_index_joined(spark, sf).select("chunk_id", "url", "chunk_index", "title", "folder",
+                                                  "domain", "date_added")
 
 
 @register("filter_folder")
@@ -479,11 +479,12 @@ def q_blank_query_guard(spark, sf):
 def _answer_inputs(spark, sf):
     """Questions = page titles, each restricted to its own domain (pages whose
     domain has nothing indexed get no hits); hits carry link metadata."""
-    idx = pg.page_index(spark, sf)
-    hits = _page_hits(spark, sf, domain=True)
-    full = hits.join(idx.select("chunk_id", "chunk_text", "title", "folder", "domain", "date_added"), "chunk_id")
+    # the hit rows carry what the answer needs: only k rows per question leave
+    # the scorer, so no join back to the (large) index is needed
+    hits = _page_hits(spark, sf, domain=True,
+                      carry=("url", "chunk_text", "title", "folder", "domain", "date_added"))
     questions = pg.page_questions(spark, sf).select("query_id", "question")
-    return questions, full
+    return questions, hits
 
 
 @register("format_sources")

@@ -129,16 +129,30 @@ def page_chunks(links: DataFrame, chunk_size: int = 400, overlap: int = 50) -> D
 
 
 def page_index(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
-    """Searchable chunks of the first run joined to their link metadata:
+    """Searchable chunks of the first run with their link metadata:
     chunk_id, url, chunk_index, chunk_text, title, folder, domain,
-    date_added, embedding."""
+    date_added, embedding.
+
+    Built in one pass, the chunks carry their link's metadata as keys through
+    the explode: same result as joining stored chunks to stored links on url
+    (``chunk_link_join``), without shuffling chunk text for the join.
+    """
     from tessera.operators.embed import hash_embedding
-    # the link table is written once (as ingest does) and read by both sides
+    meta_cols = ["url", "title", "folder", "domain", "date_added"]
+    links = page_links(spark, sf_dir, 0).where(F.col("outcome") == "indexed")
+    ch = chunk_documents(links.select(*meta_cols, "text"), meta_cols, "text")
+    return (ch.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), "chunk_index",
+                      "chunk_text", *meta_cols)
+            .withColumn("embedding", hash_embedding(F.col("chunk_text"), dim)))
+
+
+def page_index_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored-table form: chunks joined to links on url (inner equi-join).
+    The link table is written once (checkpoint) and read by both sides."""
     links = page_links(spark, sf_dir, 0).checkpoint()
     meta = links.where(F.col("outcome").isin("indexed", "failed")).select(
         "url", "title", "folder", "domain", "date_added")
-    return (page_chunks(links).join(meta, "url")
-            .withColumn("embedding", hash_embedding(F.col("chunk_text"), dim)))
+    return page_chunks(links).join(meta, "url")
 
 
 def page_questions(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
