@@ -6,6 +6,8 @@ lazily planned; the caller triggers the action.
 
 from __future__ import annotations
 
+import datetime
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -450,7 +452,7 @@ def q_filter_combine(spark, sf):
     """One request: the first page's title, filters folder + date_to and a key
     the store does not know (ignored)."""
     q = pg.page_questions(spark, sf).orderBy("query_id").first()
-    filters = {"folder": q["folder"], "date_to": q["date_added"] + __import__("datetime").timedelta(days=365),
+    filters = {"folder": q["folder"], "date_to": q["date_added"] + datetime.timedelta(days=365),
                "colour": "blue"}
     h = topk_single(pg.page_index(spark, sf), q["embedding"], DEFAULT_K, key_cols=["chunk_id"],
                     carry=["url"], filters=filters)
@@ -681,7 +683,7 @@ def q_check_dims(spark, sf):
 def q_read_qa(spark, sf):
     """The derived QA set written as JSON (an empty truth list is written as a
     missing field) and read back."""
-    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/qa-{__import__('uuid').uuid4().hex}"
+    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/qa-{uuid.uuid4().hex}"
     qa = ev.qa_set(spark, sf)
     (qa.withColumn("ground_truth_urls", F.when(F.size("ground_truth_urls") > 0, F.col("ground_truth_urls")))
        .drop("query_id").write.json(out))
@@ -693,7 +695,7 @@ def q_read_qa(spark, sf):
 @register("write_index")
 def q_write_index(spark, sf):
     """Publish the first run's links and chunks as snapshots; read them back."""
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{__import__('uuid').uuid4().hex}"
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     lk = _run_links(spark, sf, 0)
     links = lk.select("url", "title", "folder", "date_added", "domain", "status")
     chunks = pg.page_chunks(lk)

@@ -91,11 +91,6 @@ ranked AS (
 ORACLES["topk_batch"] = f"""WITH {LOO}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 6) AS score FROM ranked WHERE rank <= 5"""
 
-ORACLES["no_score_floor"] = f"""WITH {LOO}
-SELECT q.vec_id AS query_id, CAST(count(r.vec_id) AS BIGINT) AS n_hits
-FROM embeddings q LEFT JOIN ranked r ON r.query_id = q.vec_id AND r.rank <= 50 AND r.label = r.q_label
-GROUP BY q.vec_id"""
-
 # same-label search: rank within label
 ORACLES["no_score_floor"] = f"""WITH
 pairs AS (
@@ -307,14 +302,8 @@ ORACLES["filter_combine"] = _PIDX + _page_pairs(
     "AND i.date_added <= q.date_added + INTERVAL 365 DAYS") + """
 SELECT CAST(rank AS INTEGER) AS rank, chunk_id, url, round(score, 6) AS score FROM phits"""
 
-ORACLES["blank_query_guard"] = (_PIDX.replace("pq AS (", "pq_unused AS (", 1) if False else _PIDX) + """,
-cq AS (SELECT conv_id * 1048576 + turn AS query_id, conv_id, turn, text FROM conversations
-       WHERE role = 'user' AND trim(coalesce(text, '')) <> ''),
-""" + O.hash_ctes("cq", "query_id", "text", 384, "cv") + """,
-cdots AS (
-  SELECT c.chunk_id, q.query_id, sum(CAST(c.w AS DOUBLE) * CAST(q.w AS DOUBLE)) AS dot
-  FROM pv_wv c JOIN cv_wv q ON c.bucket = q.bucket GROUP BY ALL
-),
+ORACLES["blank_query_guard"] = _PIDX + """,
+cq AS (SELECT conv_id, turn FROM conversations WHERE role = 'user' AND trim(coalesce(text, '')) <> ''),
 cnt AS (SELECT count(*) AS n FROM pix)
 SELECT conv_id, turn, CAST(least(5, (SELECT n FROM cnt)) AS BIGINT) AS n_hits FROM cq"""
 
