@@ -793,3 +793,39 @@ def q_stream_ingest(spark, sf):
     schema = read_table(spark, sf, "pages").schema
     root = run_ingest(spark, src, schema)
     return ix.index_stats(store.read_current(spark, root, "links"), store.read_current(spark, root, "chunks"))
+
+
+@register("eval_regression")
+def q_eval_regression(spark, sf):
+    """Retrieval quality over time: the page-title questions (truth = the
+    page itself) against the index of each crawl run; each run's means next to
+    the change since the run before (``lag`` over run time)."""
+    from pyspark.sql import Window
+    q = pg.page_questions(spark, sf)
+    truth = _pages(spark, sf).select(F.col("page_id").alias("query_id"), "url")
+    runs = []
+    for attempt, ts in enumerate(pg.INGEST_TS):
+        hits = topk_batch(pg.page_index(spark, sf, attempt=attempt), q, DEFAULT_K,
+                          key_cols=["chunk_id"], carry=["url"])
+        m = metric_means(question_metrics(hits, truth, q.select("query_id"), DEFAULT_K))
+        runs.append(m.withColumn("run_ts", F.to_timestamp(F.lit(ts))))
+    both = runs[0].unionByName(runs[1])
+    w = Window.orderBy("run_ts")  # one row per run: a handful of rows in total
+    return both.select(
+        "run_ts", F.col("n_questions").cast("bigint").alias("n_questions"),
+        _r6(F.col("mean_precision_at_k")).alias("mean_precision_at_k"), _r6(F.col("mean_mrr")).alias("mean_mrr"),
+        _r6(F.col("mean_precision_at_k") - F.lag("mean_precision_at_k").over(w)).alias("delta_precision_at_k"),
+        _r6(F.col("mean_mrr") - F.lag("mean_mrr").over(w)).alias("delta_mrr"))
+
+
+@register("keyword_coverage")
+def q_keyword_coverage(spark, sf):
+    """Expected keywords found in an extractive answer (the best-ranked
+    source of the default index) -- the deterministic stand-in answer."""
+    from tessera.operators.evaluate import keyword_coverage
+    qa = ev.qa_set(spark, sf).select("query_id", "expected_answer_keywords")
+    top = (ev.default_hits(spark, sf, carry=("chunk_text",)).where(F.col("rank") == 1)
+           .select("query_id", F.col("chunk_text").alias("answer")))
+    cov = keyword_coverage(qa.join(top, "query_id", "left").fillna("", subset=["answer"]))
+    return cov.select("query_id", F.col("n_keywords").cast("int").alias("n_keywords"),
+                      F.col("n_found").cast("int").alias("n_found"), _r6(F.col("coverage")).alias("coverage"))

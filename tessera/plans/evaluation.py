@@ -71,7 +71,7 @@ def strategy_index(docs: DataFrame, strategies: Sequence[tuple[str, int, int]],
 
 def strategy_hits(index: DataFrame, questions: DataFrame,
                   strategies: Sequence[tuple[str, int, int]], k: int,
-                  dim: int = DEFAULT_DIM) -> DataFrame:
+                  dim: int = DEFAULT_DIM, carry: tuple[str, ...] = ()) -> DataFrame:
     """Top-k per (strategy, question) against that strategy's chunks only."""
     n = len(strategies)
     names = F.array(*[F.lit(s[0]) for s in strategies])
@@ -80,7 +80,7 @@ def strategy_hits(index: DataFrame, questions: DataFrame,
          .select("query_id", "embedding", F.posexplode(names).alias("s_idx", "strategy"))
          .withColumn("item_id", F.col("query_id"))
          .withColumn("query_id", F.col("query_id") * n + F.col("s_idx")))
-    hits = topk_batch(index, q, k, key_cols=["chunk_id"], carry=["url", "strategy"],
+    hits = topk_batch(index, q, k, key_cols=["chunk_id"], carry=["url", "strategy", *carry],
                       filters=FilterSpec(equal=[("strategy", "strategy")]))
     return (hits.withColumn("query_id", F.floor(F.col("query_id") / n).cast("bigint")))
 
@@ -116,10 +116,11 @@ def compare_chunking(spark: SparkSession, sf_dir: str,
 DEFAULT_ONLY = (("default", 400, 50),)
 
 
-def default_hits(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, dim: int = DEFAULT_DIM) -> DataFrame:
+def default_hits(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, dim: int = DEFAULT_DIM,
+                 carry: tuple[str, ...] = ()) -> DataFrame:
     docs = eval_documents(spark, sf_dir)
     index = strategy_index(docs, DEFAULT_ONLY, dim)
-    return strategy_hits(index, passage_questions(spark, sf_dir), DEFAULT_ONLY, k, dim)
+    return strategy_hits(index, passage_questions(spark, sf_dir), DEFAULT_ONLY, k, dim, carry)
 
 
 def qa_set(spark: SparkSession, sf_dir: str) -> DataFrame:

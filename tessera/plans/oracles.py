@@ -482,3 +482,75 @@ ORACLES["stream_progress"] = "SELECT event_type AS status, CAST(count(*) AS BIGI
 ORACLES["stream_ingest"] = _PIDX + """
 SELECT (SELECT count(*) FROM r0) AS total_links, (SELECT count(*) FROM r0 WHERE outcome = 'failed') AS failed_links,
        (SELECT count(*) FROM c0_chunks) AS total_chunks"""
+
+
+def _pidx_run(attempt: int, p: str) -> str:
+    """Page index CTEs of one crawl run, every name prefixed with ``p``."""
+    links = O.links_ctes(attempt, f"{p}k")
+    return links + f""",
+{p}r AS (SELECT * FROM {p}k WHERE outcome = 'indexed'),
+""" + O.sentence_ctes(f"(SELECT url, text FROM {p}r)", "url", "text", f"{p}s_") + "," + \
+        O.chunk_ctes("url", 400, 50, f"{p}c", f"{p}s_") + f""",
+{p}pix AS (
+  SELECT sha256(concat_ws(chr(1), c.url, CAST(c.chunk_index AS VARCHAR))) AS chunk_id, c.url,
+         substr(s.t, c.c_start + 1, c.c_end - c.c_start) AS chunk_text
+  FROM {p}c_chunks c JOIN {p}s_sents s ON s.url = c.url
+),
+""" + O.hash_ctes(f"{p}pix", "chunk_id", "chunk_text", 384, f"{p}pv") + f""",
+{p}dots AS (
+  SELECT c.chunk_id, q.query_id, sum(CAST(c.w AS DOUBLE) * CAST(q.w AS DOUBLE)) AS dot
+  FROM {p}pv_wv c JOIN qv_wv q ON c.bucket = q.bucket GROUP BY ALL
+),
+{p}pairs AS (
+  SELECT q.query_id, i.chunk_id, i.url,
+         CASE WHEN cn.nn = 0 OR qn.nn = 0 THEN 'NaN'::DOUBLE ELSE coalesce(d.dot, 0) / (cn.nn * qn.nn) END AS score
+  FROM {p}pix i JOIN {p}pv_nrm cn ON cn.chunk_id = i.chunk_id CROSS JOIN qv_nrm qn JOIN pq q ON q.query_id = qn.query_id
+  LEFT JOIN {p}dots d ON d.chunk_id = i.chunk_id AND d.query_id = q.query_id
+),
+{p}hits AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {O.rank_score('score')} DESC, chunk_id) AS rank
+                 FROM {p}pairs) WHERE rank <= 5
+),
+{p}perq AS (
+  SELECT q.query_id,
+         coalesce(count(h.url) FILTER (WHERE h.url = p.url), 0) / 5.0 AS precision_at_k,
+         coalesce(1.0 / min(h.rank) FILTER (WHERE h.url = p.url), 0.0) AS mrr
+  FROM pq q JOIN pages p ON p.page_id = q.query_id LEFT JOIN {p}hits h ON h.query_id = q.query_id
+  GROUP BY q.query_id
+)"""
+
+
+ORACLES["eval_regression"] = "WITH RECURSIVE " + f"""
+pq AS (SELECT page_id AS query_id, {O.page_title('html')} AS question FROM pages),
+""" + O.hash_ctes("pq", "query_id", "question", 384, "qv") + "," + _pidx_run(0, "x0") + "," + _pidx_run(1, "x1") + """,
+m AS (
+  SELECT TIMESTAMP '2024-06-01 00:00:00' AS run_ts, count(*) AS n, avg(precision_at_k) AS p, avg(mrr) AS r FROM x0perq
+  UNION ALL
+  SELECT TIMESTAMP '2024-07-01 00:00:00', count(*), avg(precision_at_k), avg(mrr) FROM x1perq
+)
+SELECT run_ts, CAST(n AS BIGINT) AS n_questions, round(p, 6) AS mean_precision_at_k, round(r, 6) AS mean_mrr,
+       round(p - lag(p) OVER (ORDER BY run_ts), 6) AS delta_precision_at_k,
+       round(r - lag(r) OVER (ORDER BY run_ts), 6) AS delta_mrr
+FROM m"""
+
+ORACLES["keyword_coverage"] = _EVAL1 + f""",
+kwt AS (
+  SELECT item_id AS query_id, w, min(pos) AS first_pos
+  FROM (SELECT item_id, unnest(toks) AS w, unnest(range(len(toks))) AS pos
+        FROM (SELECT item_id, regexp_extract_all(lower(text), {O.q(O.WORD_TOKEN)}) AS toks FROM benchmark))
+  WHERE length(w) >= 6 GROUP BY ALL
+),
+kw AS (
+  SELECT b.item_id AS query_id,
+         coalesce(list_slice(list(k.w ORDER BY k.first_pos) FILTER (WHERE k.w IS NOT NULL), 1, 4), []) AS kws
+  FROM benchmark b LEFT JOIN kwt k ON k.query_id = b.item_id GROUP BY b.item_id
+),
+top AS (SELECT h.query_id, i.chunk_text FROM hits h JOIN ix i ON i.chunk_id = h.chunk_id WHERE h.rank = 1),
+cov AS (
+  SELECT kw.query_id, len(kws) AS n,
+         len(list_filter(kws, lambda x: list_contains(regexp_extract_all(lower(coalesce(t.chunk_text, '')), {O.q(O.WORD_TOKEN)}), x))) AS f
+  FROM kw LEFT JOIN top t ON t.query_id = kw.query_id
+)
+SELECT query_id, CAST(n AS INTEGER) AS n_keywords, CAST(f AS INTEGER) AS n_found,
+       CASE WHEN n > 0 THEN round(f / n, 6) END AS coverage
+FROM cov"""

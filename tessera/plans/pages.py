@@ -128,7 +128,7 @@ def page_chunks(links: DataFrame, chunk_size: int = 400, overlap: int = 50) -> D
                      "chunk_index", "chunk_text", "start", "end")
 
 
-def page_index(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
+def page_index(spark: SparkSession, sf_dir: str, dim: int = 384, attempt: int = 0) -> DataFrame:
     """Searchable chunks of the first run with their link metadata:
     chunk_id, url, chunk_index, chunk_text, title, folder, domain,
     date_added, embedding.
@@ -139,7 +139,7 @@ def page_index(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
     """
     from tessera.operators.embed import hash_embedding
     meta_cols = ["url", "title", "folder", "domain", "date_added"]
-    links = page_links(spark, sf_dir, 0).where(F.col("outcome") == "indexed")
+    links = page_links(spark, sf_dir, attempt).where(F.col("outcome") == "indexed")
     ch = chunk_documents(links.select(*meta_cols, "text"), meta_cols, "text")
     return (ch.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), "chunk_index",
                       "chunk_text", *meta_cols)

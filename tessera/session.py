@@ -29,6 +29,8 @@ def build_session(master: str = "local[8]", app: str = "tessera",
     builder = SparkSession.builder.master(master).appName(app)
     conf = dict(ENGINE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    # checkpoint files of DataFrames that went out of scope are removed
+    conf["spark.cleaner.referenceTracking.cleanCheckpoints"] = "true"
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
