@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -42,9 +44,34 @@ def build_session(master: str = "local[8]", app: str = "tessera",
             except Exception:  # static conf of an already running session
                 pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: dict[int, str] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tessera`` importable in the Python workers (UDF, mapInPandas).
+
+    The package is zipped once per driver process and handed to
+    ``SparkContext.addPyFile``, which distributes it to every executor; jobs
+    then work whatever the workers' current directory or PYTHONPATH.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)
+    if key in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    fd, path = tempfile.mkstemp(prefix="tessera-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+        for f in sorted(root.rglob("*.py")):
+            zf.write(f, f"tessera/{f.relative_to(root).as_posix()}")
+    sc.addPyFile(path)
+    _SHIPPED[key] = path
+
+
 def apply_engine_conf(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session someone else built."""
     for key, value in ENGINE_CONF.items():
@@ -55,6 +82,7 @@ def apply_engine_conf(spark: SparkSession) -> SparkSession:
         except Exception:
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
