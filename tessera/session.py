@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import zipfile
@@ -54,7 +56,8 @@ _SHIPPED: dict[int, str] = {}
 def ship_package(spark: SparkSession) -> None:
     """Make ``tessera`` importable in the Python workers (UDF, mapInPandas).
 
-    The package is zipped once per driver process and handed to
+    The package is zipped once per driver process, written into the shared
+    checkpoint folder (Hadoop FileSystem API) and handed to
     ``SparkContext.addPyFile``, which distributes it to every executor; jobs
     then work whatever the workers' current directory or PYTHONPATH.
     """
@@ -63,11 +66,21 @@ def ship_package(spark: SparkSession) -> None:
     if key in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    fd, path = tempfile.mkstemp(prefix="tessera-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as zf:
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
         for f in sorted(root.rglob("*.py")):
             zf.write(f, f"tessera/{f.relative_to(root).as_posix()}")
+    data = buf.getvalue()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/pyfiles/tessera-{hashlib.sha1(data).hexdigest()[:16]}.zip"
+    jvm = sc._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(hpath):
+        out = fs.create(hpath, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
     sc.addPyFile(path)
     _SHIPPED[key] = path
 
