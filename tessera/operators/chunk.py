@@ -85,12 +85,9 @@ def _flat(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, offsets
 
 
-@F.arrow_udf(SPAN_TYPE)
-def chunk_spans(toks: pa.Array, lens: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
-    """Per document: chunk spans for every (size, overlap) strategy given.
-
-    Reads the flat Arrow buffers (no per-element Python objects): prefix sums
-    and both window ends with numpy, then the walk per document/strategy."""
+def _walk_batch(toks: pa.Array, lens: pa.Array, sizes: pa.Array, overlaps: pa.Array):
+    """Spans of every document of an Arrow batch: (columns, chunks per doc,
+    doc index per chunk)."""
     tv, to = _flat(toks)
     lv, lo = _flat(lens)
     sv, so = _flat(sizes)
@@ -117,14 +114,68 @@ def chunk_spans(toks: pa.Array, lens: pa.Array, sizes: pa.Array, overlaps: pa.Ar
             cols["c_start"].append(starts[a])
             cols["c_end"].append(starts[b] - 1)
             cols["n_tokens"].append(prefix[b] - prefix[a])
-    fields = [pa.array(np.concatenate(cols[f]) if cols[f] else np.zeros(0, dtype=np.int64), type=pa.int32())
-              for f in _SPAN_FIELDS]
-    offsets = np.zeros(len(toks) + 1, dtype=np.int32)
+    flat = {f: (np.concatenate(cols[f]) if cols[f] else np.zeros(0, dtype=np.int64)) for f in _SPAN_FIELDS}
+    return flat, counts, np.repeat(np.arange(len(toks)), counts)
+
+
+def _as_list_of_structs(flat: dict, counts: np.ndarray, extra: dict | None = None) -> pa.Array:
+    fields = [pa.array(flat[f], type=pa.int32()) for f in _SPAN_FIELDS]
+    names = list(_SPAN_FIELDS)
+    for name, arr in (extra or {}).items():
+        fields.append(arr)
+        names.append(name)
+    offsets = np.zeros(len(counts) + 1, dtype=np.int32)
     np.cumsum(counts, out=offsets[1:])
-    values = pa.StructArray.from_arrays(fields, names=list(_SPAN_FIELDS))
+    values = pa.StructArray.from_arrays(fields, names=names)
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
 
 
+@F.arrow_udf(SPAN_TYPE)
+def chunk_spans(toks: pa.Array, lens: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
+    """Per document: chunk spans for every (size, overlap) strategy given.
+
+    Reads the flat Arrow buffers (no per-element Python objects): prefix sums
+    and both window ends with numpy, then the walk per document/strategy."""
+    flat, counts, _ = _walk_batch(toks, lens, sizes, overlaps)
+    return _as_list_of_structs(flat, counts)
+
+
+def hashed_span_type():
+    return T.ArrayType(T.StructType(SPAN_TYPE.elementType.fields + [
+        T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+
+
+def chunk_spans_hashed(dim: int):
+    """``chunk_spans`` that also returns each chunk's hash embedding.
+
+    Input adds the token hash codes of every *sentence* (computed once per
+    document in the JVM).  Word tokens never cross a sentence end ('.', '!'
+    or '?' then a space), so a chunk's tokens are exactly the tokens of its
+    sentences: its vector is one ``bincount`` over a contiguous slice of the
+    document's codes.  Identical to hashing the chunk text, but each sentence
+    is tokenised and hashed once however many strategies or overlaps reuse it.
+    """
+    from tessera.operators.embed import codes_to_vectors
+
+    @F.arrow_udf(hashed_span_type())
+    def spans_hashed(toks: pa.Array, lens: pa.Array, codes: pa.Array, sizes: pa.Array,
+                     overlaps: pa.Array) -> pa.Array:
+        flat, counts, doc_of = _walk_batch(toks, lens, sizes, overlaps)
+        codes = codes.cast(pa.list_(pa.list_(pa.int64())))
+        sent_off = codes.offsets.to_numpy().astype(np.int64)          # doc -> first sentence
+        inner = codes.values                                           # list<int64> per sentence
+        tok_off = inner.offsets.to_numpy().astype(np.int64)           # sentence -> first token
+        values = inner.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        first = tok_off[sent_off[doc_of] + flat["s_from"]]
+        last = tok_off[sent_off[doc_of] + flat["s_to"]]
+        vecs = codes_to_vectors(values, first, last, dim)
+        emb = pa.ListArray.from_arrays(
+            pa.array(np.arange(0, (len(first) + 1) * dim, dim, dtype=np.int32)), pa.array(vecs.ravel()))
+        return _as_list_of_structs(flat, counts, {"embedding": emb})
+
+    return spans_hashed
+
+
 def with_sentences(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``norm_text``, ``sentences``, ``sent_tokens``, ``sent_chars``."""
     return (df
@@ -156,14 +207,16 @@ def explode_sentences(df: DataFrame, keys: Sequence[str], text_col: str = "text"
 def chunk_documents(df: DataFrame, keys: Sequence[str], text_col: str = "text",
                     strategies: Sequence[tuple[str, int, int]] | None = None,
                     chunk_size: int = DEFAULT_CHUNK_SIZE,
-                    overlap: int = DEFAULT_OVERLAP) -> DataFrame:
+                    overlap: int = DEFAULT_OVERLAP, hash_dim: int | None = None) -> DataFrame:
     """One row per chunk.
 
     Output: keys, [strategy, chunk_size, overlap when ``strategies`` given],
     chunk_index, chunk_text, start, end, s_from, s_to, n_tokens.
     Blank documents give no chunks.  All strategies come out of one pass over
     the documents: the strategy list is a literal array handed to the UDF, so
-    there is no join and no replication of the input rows.
+    there is no join and no replication of the input rows.  With
+    ``hash_dim`` the chunks also get their hash ``embedding`` from sentence
+    token codes computed once per document (see ``chunk_spans_hashed``).
     """
     multi = strategies is not None
     strats = list(strategies) if multi else [("single", chunk_size, overlap)]
@@ -174,7 +227,12 @@ def chunk_documents(df: DataFrame, keys: Sequence[str], text_col: str = "text",
     overlaps = F.array(*[F.lit(int(o)) for _, _, o in strats])
     names = F.array(*[F.lit(n) for n, _, _ in strats])
     s = with_sentences(df.select(*keys, text_col), text_col)
-    spans = chunk_spans(F.col("sent_tokens"), F.col("sent_chars"), sizes, overlaps)
+    if hash_dim:
+        from tessera.functions.text import token_hash_codes
+        codes = F.transform("sentences", token_hash_codes)
+        spans = chunk_spans_hashed(hash_dim)(F.col("sent_tokens"), F.col("sent_chars"), codes, sizes, overlaps)
+    else:
+        spans = chunk_spans(F.col("sent_tokens"), F.col("sent_chars"), sizes, overlaps)
     exploded = s.select(*keys, "norm_text", F.explode(spans).alias("sp"))
     cols: list[Column] = [F.col(k) for k in keys]
     if multi:
@@ -192,6 +250,8 @@ def chunk_documents(df: DataFrame, keys: Sequence[str], text_col: str = "text",
         F.col("sp.s_to").alias("s_to"),
         F.col("sp.n_tokens").alias("n_tokens"),
     ]
+    if hash_dim:
+        cols.append(F.col("sp.embedding").alias("embedding"))
     return exploded.select(*cols)
 
 

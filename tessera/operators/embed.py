@@ -46,11 +46,33 @@ def _codes_to_vector(codes, dim: int) -> np.ndarray:
     return v.astype(np.float32)
 
 
+def codes_to_vectors(values: np.ndarray, first: np.ndarray, last: np.ndarray, dim: int) -> np.ndarray:
+    """Vectors for many token ranges ``values[first[i]:last[i]]`` at once:
+    one ``bincount`` over (row, bucket) pairs, then row-wise L2 norm."""
+    n = len(first)
+    lengths = last - first
+    if n == 0:
+        return np.zeros((0, dim), dtype=np.float32)
+    rows = np.repeat(np.arange(n), lengths)
+    starts_out = np.cumsum(lengths) - lengths
+    idx = np.arange(int(lengths.sum())) - np.repeat(starts_out, lengths) + np.repeat(first, lengths)
+    h = values[idx]
+    signs = 1.0 - 2.0 * ((h // dim) % 2)
+    m = np.bincount(rows * dim + h % dim, weights=signs, minlength=n * dim).reshape(n, dim)
+    norms = np.sqrt(np.einsum("ij,ij->i", m, m))
+    np.divide(m, norms[:, None], out=m, where=norms[:, None] > 0)
+    return m.astype(np.float32)
+
+
 def _hash_vector_udf(dim: int):
     @F.arrow_udf(VECTOR)
     def hash_vectors(codes: pa.Array) -> pa.Array:
-        out = [_codes_to_vector(c, dim) for c in codes.to_pylist()]
-        return pa.array(out, type=pa.list_(pa.float32()))
+        codes = codes.cast(pa.list_(pa.int64()))
+        off = codes.offsets.to_numpy().astype(np.int64)
+        values = codes.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        vecs = codes_to_vectors(values, off[:-1], off[1:], dim)
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(0, (len(codes) + 1) * dim, dim, dtype=np.int32)), pa.array(vecs.ravel()))
     return hash_vectors
 
 

@@ -64,9 +64,8 @@ def eval_links(docs: DataFrame) -> DataFrame:
 def strategy_index(docs: DataFrame, strategies: Sequence[tuple[str, int, int]],
                    dim: int = DEFAULT_DIM) -> DataFrame:
     """Chunks of every strategy with ids and hash embeddings."""
-    ch = chunk_documents(docs, ["doc_id", "url"], "text", strategies=strategies)
-    return (ch.withColumn("chunk_id", chunk_id(F.col("strategy"), F.col("url"), F.col("chunk_index")))
-            .withColumn("embedding", hash_embedding(F.col("chunk_text"), dim)))
+    ch = chunk_documents(docs, ["doc_id", "url"], "text", strategies=strategies, hash_dim=dim)
+    return ch.withColumn("chunk_id", chunk_id(F.col("strategy"), F.col("url"), F.col("chunk_index")))
 
 
 def strategy_hits(index: DataFrame, questions: DataFrame,

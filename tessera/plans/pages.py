@@ -140,10 +140,9 @@ def page_index(spark: SparkSession, sf_dir: str, dim: int = 384, attempt: int =
     from tessera.operators.embed import hash_embedding
     meta_cols = ["url", "title", "folder", "domain", "date_added"]
     links = page_links(spark, sf_dir, attempt).where(F.col("outcome") == "indexed")
-    ch = chunk_documents(links.select(*meta_cols, "text"), meta_cols, "text")
-    return (ch.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), "chunk_index",
-                      "chunk_text", *meta_cols)
-            .withColumn("embedding", hash_embedding(F.col("chunk_text"), dim)))
+    ch = chunk_documents(links.select(*meta_cols, "text"), meta_cols, "text", hash_dim=dim)
+    return ch.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), "chunk_index",
+                     "chunk_text", *meta_cols, "embedding")
 
 
 def page_index_joined(spark: SparkSession, sf_dir: str) -> DataFrame:

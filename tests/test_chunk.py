@@ -104,3 +104,14 @@ def test_sentence_offsets_point_into_text(spark):
     assert [r.sentence for r in rows] == ["One two.", "Three four!", "Five six seven?", "End"]
     assert [r.n_tokens for r in rows] == [2, 2, 3, 1]
     assert all(norm[r.start:r.end] == r.sentence for r in rows)
+
+
+def test_sentence_level_hashing_equals_chunk_hashing(spark):
+    from tessera.operators.embed import hash_embedding
+    from tessera.sources.tables import read_table
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    strategies = [("s", 150, 20), ("l", 800, 100)]
+    fused = chunk_documents(docs, ["doc_id"], "text", strategies=strategies, hash_dim=64)
+    plain = fused.withColumn("again", hash_embedding(F.col("chunk_text"), 64))
+    assert plain.where(F.col("embedding") != F.col("again")).count() == 0
+    assert plain.count() > 100
