@@ -9,6 +9,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
+SPREAD_MAX_PARTITIONS = 16
+
 # Row keys used to spread a table whose files give too few read tasks.
 SPREAD_KEYS = {
     "documents": ("doc_id",), "pages": ("page_id",), "embeddings": ("vec_id",),
@@ -22,11 +24,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
 
     A Parquet file written as a single row group is read by one task however
     it is split, which would run all CPU-heavy text work of that table on one
-    core.  When the scan yields fewer partitions than the cluster's default
-    parallelism, rows are hash-spread on the table's key (deterministic, so a
-    retried task sees the same rows).  At scale -- many files, many row
-    groups -- the scan already has more partitions than cores and this is a
-    no-op, so no extra shuffle is added there.
+    core.  When the scan yields only a handful of partitions (at most
+    ``SPREAD_MAX_PARTITIONS``, and fewer than the default parallelism), rows
+    are hash-spread on the table's key (deterministic, so a retried task sees
+    the same rows).  A large table scans into hundreds or thousands of
+    partitions and is never reshuffled here.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
@@ -34,6 +36,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
     keys = SPREAD_KEYS.get(name)
     if spread and keys:
         want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
+        n = df.rdd.getNumPartitions()
+        if n < want and n <= SPREAD_MAX_PARTITIONS:
             df = df.repartition(want, *keys)
     return df
