@@ -81,7 +81,7 @@ def strategy_hits(index: DataFrame, questions: DataFrame,
          .withColumn("query_id", F.col("query_id") * n + F.col("s_idx")))
     hits = topk_batch(index, q, k, key_cols=["chunk_id"], carry=["url", "strategy", *carry],
                       filters=FilterSpec(equal=[("strategy", "strategy")]))
-    return (hits.withColumn("query_id", F.floor(F.col("query_id") / n).cast("bigint")))
+    return hits.withColumn("query_id", F.expr(f"query_id div {n}"))  # exact integer division
 
 
 def compare_chunking(spark: SparkSession, sf_dir: str,
