@@ -137,7 +137,6 @@ def page_index(spark: SparkSession, sf_dir: str, dim: int = 384, attempt: int =
     the explode: same result as joining stored chunks to stored links on url
     (``chunk_link_join``), without shuffling chunk text for the join.
     """
-    from tessera.operators.embed import hash_embedding
     meta_cols = ["url", "title", "folder", "domain", "date_added"]
     links = page_links(spark, sf_dir, attempt).where(F.col("outcome") == "indexed")
     ch = chunk_documents(links.select(*meta_cols, "text"), meta_cols, "text", hash_dim=dim)
