@@ -10,7 +10,8 @@ holding ``<H3>`` folder names or ``<A>`` links).  The text is tokenised with
 gives document order; a running ``sum(+1/-1)`` over DL tokens is the depth; the
 folder at depth *d* is the last H3 seen at depth *d-1*, carried forward by
 ``last(..., ignorenulls)`` windows, and a link's folder path is the ``/``-join
-of the names of its enclosing levels.  Only the first top-level list counts;
+of the names of its enclosing levels (one window per level that occurs).
+Only the first top-level list counts;
 a list with no H3 before it contributes no folder name.  The windows are
 partitioned by export file: one file is one user's export, bounded by what a
 browser writes, and never split.
@@ -26,7 +27,6 @@ from tessera.functions.text import normalize_ws
 
 ANCHOR_RE = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
 HREF_RE = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-MAX_FOLDER_DEPTH = 64
 
 
 def attr_value(attrs: Column, name: str) -> Column:
@@ -97,11 +97,14 @@ def parse_exports(exports: DataFrame, ingest_ts: Column, file_col: str = "file_i
     named = F.col("prev_h3") & (F.col("h3_depth") == F.col("depth") - 1)
     tok = tok.withColumn("level_name", F.when(is_open & named, F.col("h3_text"))
                          .when(is_open, F.lit("\u0000")))
-    guard = F.assert_true(F.col("depth") <= MAX_FOLDER_DEPTH, "folder nesting deeper than supported")
+    # one carried-forward name per nesting level that actually occurs (a small
+    # aggregate first finds the deepest level, so there is no fixed cap)
+    deepest = tok.agg(F.max("depth")).first()[0] or 1
     levels = [F.when(F.col("depth") >= d, F.last(F.when(is_open & (F.col("depth") == d), F.col("level_name")),
                                                  True).over(upto))
-              for d in range(2, MAX_FOLDER_DEPTH + 1)]
-    tok = tok.withColumn("levels", F.when(guard.isNull(), F.filter(F.array(*levels), lambda x: x.isNotNull())))
+              for d in range(2, deepest + 1)]
+    path = F.filter(F.array(*levels), lambda x: x.isNotNull()) if levels else F.array().cast("array<string>")
+    tok = tok.withColumn("levels", path)
     links = tok.where((F.col("kind") == "a") & (F.col("prev_kind") == "dt")
                       & ~F.array_contains("levels", "\u0000"))
     attrs = F.regexp_extract(F.col("tok"), r"(?is)^<a\b([^>]*)>", 1)

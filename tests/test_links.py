@@ -83,3 +83,11 @@ def test_netloc_and_origin(spark):
     rows = df.select(url_domain(F.col("url")).alias("d"), url_origin(F.col("url")).alias("o")).collect()
     assert [r.d for r in rows] == ["u:p@Host.Example:8080", "", "", "cdn.example", "www.Site.example"]
     assert rows[0].o == "https://u:p@Host.Example:8080" and rows[4].o == "http://www.Site.example"
+
+
+def test_deep_nesting_has_no_cap(spark):
+    depth = 70
+    text = "<DL><p>" + "".join(f"<DT><H3>f{i}</H3><DL><p>" for i in range(depth)) + \
+        '<DT><A HREF="https://deep.example/">Deep</A>' + "</DL><p>" * (depth + 1)
+    rows = _parse(spark, text)
+    assert rows[0].folder == "/".join(f"f{i}" for i in range(depth))
