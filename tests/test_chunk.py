@@ -115,3 +115,22 @@ def test_sentence_level_hashing_equals_chunk_hashing(spark):
     plain = fused.withColumn("again", hash_embedding(F.col("chunk_text"), 64))
     assert plain.where(F.col("embedding") != F.col("again")).count() == 0
     assert plain.count() > 100
+
+
+def test_chunks_cover_the_document_without_gaps(spark):
+    from tessera.functions.text import normalize_ws
+    from tessera.sources.tables import read_table
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    norm = {r.doc_id: r.t for r in docs.select("doc_id", normalize_ws(F.col("text")).alias("t")).collect()}
+    by_doc = {}
+    for r in chunk_documents(docs, ["doc_id"], "text", chunk_size=60, overlap=10).collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for doc_id, t in norm.items():
+        rows = sorted(by_doc.get(doc_id, []), key=lambda r: r.chunk_index)
+        if not t:
+            assert not rows
+            continue
+        assert rows[0].start == 0 and rows[-1].end == len(t)
+        for a, b in zip(rows, rows[1:]):
+            assert a.start < b.start <= a.end + 1          # progress, overlap or adjacency, never a gap
+        assert all(t[r.start:r.end] == r.chunk_text for r in rows)
