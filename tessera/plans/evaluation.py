@@ -156,16 +156,19 @@ def check_qa_set(qa: DataFrame) -> DataFrame:
 
 
 def eval_details(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K) -> DataFrame:
-    """Per question: truth urls, retrieved urls in rank order, metrics."""
+    """Per question: the answer (generation hook, deterministic stand-in),
+    truth urls, retrieved urls in rank order, metrics."""
+    from tessera.operators import answer as ans
     from tessera.operators.evaluate import question_metrics
-    hits = default_hits(spark, sf_dir, k)
+    hits = default_hits(spark, sf_dir, k, carry=("chunk_text",)).withColumn("title", F.col("url"))
     truth = passage_truth(spark, sf_dir)
     q = passage_questions(spark, sf_dir)
     m = question_metrics(hits, truth, q, k)
+    answers = ans.generate_answers(ans.build_prompts(q, hits), hits)
     ret = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "url"))).alias("_r"))
     tru = truth.groupBy("query_id").agg(F.array_sort(F.collect_set("url")).alias("_t"))
-    return (m.join(ret, "query_id", "left").join(tru, "query_id", "left")
-            .select("query_id",
+    return (m.join(ret, "query_id", "left").join(tru, "query_id", "left").join(answers, "query_id", "left")
+            .select("query_id", "answer",
                     F.coalesce(F.array_join("_t", ","), F.lit("")).alias("truth_urls"),
                     F.coalesce(F.array_join(F.transform("_r", lambda x: x["url"]), ","), F.lit("")).alias("retrieved_urls"),
                     *[F.round(F.col(c), 6).alias(c) for c in ("precision_at_k", "recall", "recall_distinct", "mrr")]))

@@ -350,13 +350,16 @@ truth_g AS (SELECT 'default' AS strategy, query_id, url FROM truth),
 """ + O.metrics_ctes(5)
 
 ORACLES["eval_details"] = _EVAL1 + """,
-ret AS (SELECT query_id, string_agg(url, ',' ORDER BY rank) AS r FROM hits GROUP BY query_id),
+ret AS (SELECT query_id, string_agg(url, ',' ORDER BY rank) AS r, count(*) || ' sources: ' || string_agg(url, '; ' ORDER BY rank) AS answer
+        FROM hits GROUP BY query_id),
 tru AS (SELECT query_id, string_agg(url, ',' ORDER BY url) AS t FROM (SELECT DISTINCT query_id, url FROM truth) GROUP BY query_id)
-SELECT p.query_id, coalesce(t.t, '') AS truth_urls, coalesce(r.r, '') AS retrieved_urls,
+SELECT p.query_id, coalesce(r.answer, @NO_HITS@) AS answer, coalesce(t.t, '') AS truth_urls, coalesce(r.r, '') AS retrieved_urls,
        round(precision_at_k, 6) AS precision_at_k, round(recall, 6) AS recall,
        round(recall_distinct, 6) AS recall_distinct, round(mrr, 6) AS mrr
 FROM perq p LEFT JOIN ret r ON r.query_id = p.query_id LEFT JOIN tru t ON t.query_id = p.query_id"""
 
+ORACLES["eval_details"] = ORACLES["eval_details"].replace("@NO_HITS@", O.q(AN.NO_HITS_ANSWER))
+
 ORACLES["eval_errors_excluded"] = _EVAL1 + f"""
 SELECT CAST(count(*) AS BIGINT) AS n_questions,
        CAST((SELECT count(*) FROM benchmark WHERE len(regexp_extract_all(lower(text), {O.q(O.WORD_TOKEN)})) = 0) AS BIGINT) AS n_errors,
