@@ -762,13 +762,16 @@ def _judged(spark, sf):
 
 @register("answer_quality")
 def q_answer_quality(spark, sf):
-    return _judged(spark, sf)
+    return _judged(spark, sf).select("query_id", _r6(F.col("faithfulness")).alias("faithfulness"),
+                                     _r6(F.col("answer_relevance")).alias("answer_relevance"))
 
 
 @register("quality_mean_policy")
 def q_quality_mean_policy(spark, sf):
     s = _judged(spark, sf)
-    return qual.quality_means(s, "count_missing").unionByName(qual.quality_means(s, "skip_missing"))
+    m = qual.quality_means(s, "count_missing").unionByName(qual.quality_means(s, "skip_missing"))
+    return m.select("policy", _r6(F.col("mean_faithfulness")).alias("mean_faithfulness"),
+                    _r6(F.col("mean_answer_relevance")).alias("mean_answer_relevance"))
 
 
 # --- streaming -----------------------------------------------------------------------

@@ -557,3 +557,39 @@ cov AS (
 SELECT query_id, CAST(n AS INTEGER) AS n_keywords, CAST(f AS INTEGER) AS n_found,
        CASE WHEN n > 0 THEN round(f / n, 6) END AS coverage
 FROM cov"""
+
+
+# --- generation and judge hooks with their deterministic defaults ---------------
+
+ORACLES["generate_answers"] = _ANSWERS + "\nSELECT query_id, answer FROM answers"
+
+_W = O.q(O.WORD_TOKEN)
+_JUDGED = _ANSWERS + f""",
+aw AS (SELECT query_id, answer, list_distinct(regexp_extract_all(lower(answer), {_W})) AS a FROM answers),
+cw AS (SELECT query_id, list_distinct(flatten(list(regexp_extract_all(lower(chunk_text), {_W})))) AS c
+       FROM fh GROUP BY query_id),
+qw AS (SELECT query_id, list_distinct(regexp_extract_all(lower(question), {_W})) AS qq FROM pq),
+judged AS (
+  SELECT aw.query_id,
+         CASE WHEN cw.c IS NULL OR coalesce(aw.answer, '') = '' THEN NULL
+              WHEN len(aw.a) = 0 THEN 0.0
+              ELSE len(list_filter(aw.a, lambda x: list_contains(cw.c, x))) / len(aw.a) END AS faithfulness,
+         CASE WHEN cw.c IS NULL OR coalesce(aw.answer, '') = '' THEN NULL
+              WHEN len(qw.qq) = 0 THEN 0.0
+              ELSE len(list_filter(qw.qq, lambda x: list_contains(aw.a, x))) / len(qw.qq) END AS answer_relevance
+  FROM aw LEFT JOIN cw ON cw.query_id = aw.query_id JOIN qw ON qw.query_id = aw.query_id
+)"""
+
+ORACLES["answer_quality"] = _JUDGED + """
+SELECT query_id, round(faithfulness, 6) AS faithfulness, round(answer_relevance, 6) AS answer_relevance FROM judged"""
+
+ORACLES["quality_mean_policy"] = _JUDGED + """
+SELECT 'count_missing' AS policy, round(avg(coalesce(faithfulness, 0)), 6) AS mean_faithfulness,
+       round(avg(coalesce(answer_relevance, 0)), 6) AS mean_answer_relevance FROM judged
+UNION ALL
+SELECT 'skip_missing', round(coalesce(avg(faithfulness), 0), 6), round(coalesce(avg(answer_relevance), 0), 6) FROM judged"""
+
+ORACLES["write_eval_report"] = _EVAL1 + """
+SELECT query_id, round(precision_at_k, 6) AS precision_at_k, round(recall, 6) AS recall, round(mrr, 6) AS mrr,
+       '2024-09-01 00:00:00' AS run_ts
+FROM perq"""
