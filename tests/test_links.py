@@ -91,3 +91,16 @@ def test_deep_nesting_has_no_cap(spark):
         '<DT><A HREF="https://deep.example/">Deep</A>' + "</DL><p>" * (depth + 1)
     rows = _parse(spark, text)
     assert rows[0].folder == "/".join(f"f{i}" for i in range(depth))
+
+
+def test_netloc_agrees_with_urlparse(spark):
+    from urllib.parse import urlparse
+
+    from tessera.sources.tables import read_table
+    pages = read_table(spark, "/root/testdata/sf0.001", "pages")
+    a = scan_anchors(pages).select("url").unionByName(pages.select("url"))
+    extra = spark.createDataFrame([("HTTP://User:pw@Example.COM:81/x?y#z",), ("//cdn.example/a",), ("mailto:x@y.z",),
+                                   ("javascript:void(0)",), ("relative/path",), ("?q=1",), ("#frag",)], "url string")
+    rows = a.unionByName(extra).select("url", url_domain(F.col("url")).alias("d")).collect()
+    for r in rows:
+        assert r.d == urlparse(r.url).netloc, r.url
