@@ -60,8 +60,8 @@ def token_hash(tok: Column) -> Column:
 
 
 def token_hash_codes(text: Column) -> Column:
-    """array<bigint>: ``token_hash`` of every word token of ``text``."""
-    return F.transform(word_tokens(text), token_hash)
+    """array<bigint>: the distinct ``token_hash`` values of the word tokens of ``text``."""
+    return F.array_distinct(F.transform(word_tokens(text), token_hash))
 
 
 def flatten_newlines(col: Column) -> Column:

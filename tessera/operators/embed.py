@@ -1,9 +1,11 @@
 """Embedding: the deterministic hash embedder and the pluggable model hook.
 
 Hash embedder (offline default).  Tokens are lower-cased letter/digit runs;
-``h = int(md5(token)[:8], 16)``; bucket ``h % dim``; sign ``+1`` when
-``(h // dim)`` is even else ``-1``; the signed bucket counts are L2-normalised
-and stored as ``array<float>``.  Token hashing runs in the JVM (``md5`` +
+``h = int(md5(token)[:8], 16)``; each distinct ``h`` of a text counts once
+(presence, not frequency: frequent function words would otherwise dominate
+every cosine); bucket ``h % dim``; sign ``+1`` when ``(h // dim)`` is even
+else ``-1``; the signed bucket sums are L2-normalised and stored as
+``array<float>``.  Token hashing runs in the JVM (``md5`` +
 ``conv``); the per-row bucket count is one ``np.bincount`` inside an Arrow UDF
 (a dense vector cannot be built from an array of codes in linear time with
 Spark's higher-order functions).
@@ -36,7 +38,7 @@ VECTOR = T.ArrayType(T.FloatType())
 def _codes_to_vector(codes, dim: int) -> np.ndarray:
     if not codes:
         return np.zeros(dim, dtype=np.float32)
-    h = np.asarray(codes, dtype=np.int64)
+    h = np.unique(np.asarray(codes, dtype=np.int64))
     buckets = h % dim
     signs = 1.0 - 2.0 * ((h // dim) % 2)
     v = np.bincount(buckets, weights=signs, minlength=dim)
@@ -48,7 +50,8 @@ def _codes_to_vector(codes, dim: int) -> np.ndarray:
 
 def codes_to_vectors(values: np.ndarray, first: np.ndarray, last: np.ndarray, dim: int) -> np.ndarray:
     """Vectors for many token ranges ``values[first[i]:last[i]]`` at once:
-    one ``bincount`` over (row, bucket) pairs, then row-wise L2 norm."""
+    distinct (row, hash) pairs, one ``bincount`` over (row, bucket), then
+    row-wise L2 norm."""
     n = len(first)
     lengths = last - first
     if n == 0:
@@ -56,7 +59,9 @@ def codes_to_vectors(values: np.ndarray, first: np.ndarray, last: np.ndarray, di
     rows = np.repeat(np.arange(n), lengths)
     starts_out = np.cumsum(lengths) - lengths
     idx = np.arange(int(lengths.sum())) - np.repeat(starts_out, lengths) + np.repeat(first, lengths)
-    h = values[idx]
+    # presence: each distinct (row, hash) once; hashes are < 2**32
+    pairs = np.unique((rows.astype(np.int64) << 32) | values[idx])
+    rows, h = pairs >> 32, pairs & 0xFFFFFFFF
     signs = 1.0 - 2.0 * ((h // dim) % 2)
     m = np.bincount(rows * dim + h % dim, weights=signs, minlength=n * dim).reshape(n, dim)
     norms = np.sqrt(np.einsum("ij,ij->i", m, m))

@@ -95,7 +95,7 @@ def hash_ctes(src: str, key: str, text: str, dim: int, tag: str) -> str:
   SELECT {key}, unnest(regexp_extract_all(lower({text}), {q(WORD_TOKEN)})) AS w FROM {src}
 ),
 {tag}_hv AS (
-  SELECT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM {tag}_tok
+  SELECT DISTINCT {key}, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) AS h FROM {tag}_tok
 ),
 {tag}_cnt AS (
   SELECT {key}, h % {dim} AS bucket,
