@@ -91,10 +91,12 @@ def q_chunk_empty(spark, sf):
 @register("embed_hash")
 def q_embed_hash(spark, sf):
     """Hash embeddings of the default chunks, as (chunk, bucket, weight) for
-    the non-zero buckets."""
+    the non-zero buckets.  Built by the chunk walk from per-sentence token
+    codes (same vectors as ``hash_embedding(chunk_text)``, see tests)."""
+    docs = ev.eval_documents(spark, sf)
+    ch = chunk_documents(docs, ["doc_id", "url"], "text", hash_dim=DEFAULT_DIM)
     # posexplode_outer: a plain explode makes the optimizer infer a
     # size(embedding) > 0 filter below it and evaluate the UDF twice
-    ch = embed_hash(_default_chunks(spark, sf), "chunk_text", dim=DEFAULT_DIM)
     return (ch.select("doc_id", "chunk_index", F.posexplode_outer("embedding").alias("bucket", "w"))
             .where(F.col("w") != 0)
             .select("doc_id", "chunk_index", "bucket", _r6(F.col("w").cast("double")).alias("weight")))
