@@ -570,10 +570,10 @@ def q_check_qa_set(spark, sf):
 @register("eval_by_difficulty")
 def q_eval_by_difficulty(spark, sf):
     """Means per difficulty plus the overall row (difficulty null)."""
-    qa = ev.qa_set(spark, sf)
+    diff = ev.question_difficulty(spark, sf)
     per_q = question_metrics(ev.default_hits(spark, sf), ev.passage_truth(spark, sf),
                              ev.passage_questions(spark, sf), DEFAULT_K)
-    j = per_q.join(qa.select("query_id", "difficulty"), "query_id")
+    j = per_q.join(diff.select("query_id", "difficulty"), "query_id")
     return j.rollup("difficulty").agg(
         F.count(F.lit(1)).alias("n_questions"),
         *[_r6(F.avg(m)).alias(f"mean_{m}") for m in ("precision_at_k", "recall", "mrr")])

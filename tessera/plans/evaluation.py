@@ -122,21 +122,31 @@ def default_hits(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, dim: int
     return strategy_hits(index, passage_questions(spark, sf_dir), DEFAULT_ONLY, k, dim, carry)
 
 
+def question_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, n_truth, difficulty: 'hard' when no document holds the
+    passage, 'medium' for one, else 'easy'.  Counted with an aggregate (no
+    per-question url list is built)."""
+    q = passage_questions(spark, sf_dir).select("query_id")
+    n = passage_truth(spark, sf_dir).groupBy("query_id").agg(F.count_distinct("url").alias("n_truth"))
+    d = q.join(n, "query_id", "left").withColumn("n_truth", F.coalesce("n_truth", F.lit(0)))
+    return d.withColumn("difficulty", F.when(F.col("n_truth") == 0, "hard")
+                        .when(F.col("n_truth") == 1, "medium").otherwise("easy"))
+
+
 def qa_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled question set: question, expected_answer_keywords,
-    ground_truth_urls (sorted), difficulty -- derived from the passages:
-    'hard' when no document holds the passage, 'medium' for one, else 'easy';
-    keywords are the passage's first four distinct words of six letters or more."""
+    ground_truth_urls (sorted), difficulty -- derived from the passages (see
+    ``question_difficulty``); keywords are the passage's first four distinct
+    words of six letters or more."""
     from tessera.functions.text import word_tokens
     q = passage_questions(spark, sf_dir)
     truth = passage_truth(spark, sf_dir).groupBy("query_id").agg(
         F.array_sort(F.collect_set("url")).alias("ground_truth_urls"))
     kw = F.slice(F.array_distinct(F.filter(word_tokens(F.col("question")), lambda w: F.length(w) >= 6)), 1, 4)
-    out = (q.join(truth, "query_id", "left")
+    out = (q.join(truth, "query_id", "left").join(question_difficulty(spark, sf_dir), "query_id")
            .withColumn("ground_truth_urls", F.coalesce("ground_truth_urls", F.array().cast("array<string>"))))
-    n = F.size("ground_truth_urls")
     return out.select("query_id", "question", kw.alias("expected_answer_keywords"), "ground_truth_urls",
-                      F.when(n == 0, "hard").when(n == 1, "medium").otherwise("easy").alias("difficulty"))
+                      "difficulty")
 
 
 def check_qa_set(qa: DataFrame) -> DataFrame:
