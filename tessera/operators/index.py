@@ -31,6 +31,12 @@ def last_wins(links: DataFrame, key: str = "url", order: tuple[str, ...] = ("fil
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
+def first_snapshot(new: DataFrame, now: Column) -> DataFrame:
+    """The link table of a first run: every row inserted (no merge needed)."""
+    return new.select("url", "title", "folder", "date_added", "domain", "status",
+                      now.alias("created_at"), now.alias("updated_at"))
+
+
 def upsert_links(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Insert or update by url: new values win, ``created_at`` kept from the
     old row (``now`` for inserts), ``updated_at`` = now; untouched rows stay."""

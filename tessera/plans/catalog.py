@@ -335,10 +335,7 @@ def _run_links(spark, sf, run: int, cleaned=None):
 def _snapshot(spark, sf, runs=2, cleaned=None):
     cleaned = cleaned if cleaned is not None else _cleaned(spark, sf)
     ts = [F.to_timestamp(F.lit(t)) for t in pg.INGEST_TS]
-    links = ix.upsert_links(
-        spark.createDataFrame([], "url string, title string, folder string, date_added timestamp, "
-                                  "domain string, status string, created_at timestamp, updated_at timestamp"),
-        _run_links(spark, sf, 0, cleaned), ts[0])
+    links = ix.first_snapshot(_run_links(spark, sf, 0, cleaned), ts[0])
     if runs > 1:
         links = ix.upsert_links(links, _run_links(spark, sf, 1, cleaned), ts[1])
     return links

@@ -18,9 +18,6 @@ from tessera.plans.pages import links_from_pages, page_chunks
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources import store
 
-LINKS_SCHEMA = ("url string, title string, folder string, date_added timestamp, domain string, "
-                "status string, created_at timestamp, updated_at timestamp")
-CHUNKS_SCHEMA = "chunk_id string, url string, chunk_index int, chunk_text string, start int, end int"
 
 
 def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, now: str) -> None:
@@ -28,10 +25,12 @@ def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, now: str) ->
     try:
         written = links.where(F.col("outcome").isin("indexed", "failed")).select(
             "url", "title", "folder", "date_added", "domain", F.col("outcome").alias("status"))
-        old_links = store.read_current(spark, root, "links", LINKS_SCHEMA)
-        old_chunks = store.read_current(spark, root, "chunks", CHUNKS_SCHEMA)
-        new_links = ix.upsert_links(old_links, written, F.to_timestamp(F.lit(now)))
-        new_chunks = ix.replace_chunks(old_chunks, page_chunks(links))
+        old_links = store.read_current(spark, root, "links")
+        old_chunks = store.read_current(spark, root, "chunks")
+        ts = F.to_timestamp(F.lit(now))
+        new_links = ix.first_snapshot(written, ts) if old_links is None else ix.upsert_links(old_links, written, ts)
+        fresh = page_chunks(links)
+        new_chunks = fresh if old_chunks is None else ix.replace_chunks(old_chunks, fresh)
         store.publish(spark, new_links, root, "links", partition_col="url")
         store.publish(spark, new_chunks, root, "chunks", partition_col="url")
     finally:
