@@ -11,10 +11,9 @@ gives document order; a running ``sum(+1/-1)`` over DL tokens is the depth; the
 folder at depth *d* is the last H3 seen at depth *d-1*, carried forward by
 ``last(..., ignorenulls)`` windows, and a link's folder path is the ``/``-join
 of the names of its enclosing levels (one window per level that occurs).
-Only the first top-level list counts;
-a list with no H3 before it contributes no folder name.  The windows are
-partitioned by export file: one file is one user's export, bounded by what a
-browser writes, and never split.
+Only the first top-level list counts; a nested list with no H3 right before
+it hides its links.  The windows are partitioned by export file: one file is
+one user's export (already a single row of input), never split.
 """
 
 from __future__ import annotations
@@ -26,12 +25,16 @@ from tessera.functions.html import decode_entities, strip_tags
 from tessera.functions.text import normalize_ws
 
 ANCHOR_RE = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
-HREF_RE = r"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
+def attr_re(name: str) -> str:
+    """An attribute with a double-quoted, single-quoted or bare value (groups 1-3)."""
+    return rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def attr_value(attrs: Column, name: str) -> Column:
     """Value of an attribute in a tag's attribute text ('' when absent)."""
-    pat = rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    pat = attr_re(name)
     return decode_entities(F.concat(F.regexp_extract(attrs, pat, 1), F.regexp_extract(attrs, pat, 2),
                                     F.regexp_extract(attrs, pat, 3)))
 

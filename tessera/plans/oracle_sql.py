@@ -393,7 +393,7 @@ def links_ctes(attempt: int = 0, tag: str = "k") -> str:
 
 def anchors_cte(tag: str = "an", keep_empty: bool = False) -> str:
     pat = q(LK.ANCHOR_RE)
-    href = rf"""(?is)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    href = LK.attr_re("href")
     url = decode_entities(" || ".join(f"regexp_extract(attrs, {q(href)}, {i})" for i in (1, 2, 3)))
     where = "" if keep_empty else f"WHERE length({url}) > 0"
     return f"""
