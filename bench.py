@@ -3,6 +3,8 @@
 Runs the main jobs on ``$BENCH_SF_DIR`` (default /root/testdata/sf0.1) with
 ``local[$BENCH_CPUS]`` (default 8).  Every query is forced end to end with
 the ``noop`` sink (all rows computed, nothing collected to the driver).
+Set ``$BENCH_EVENT_LOG`` to a scratch folder to get Spark's event log there
+(stage and task times) -- the UI stays off.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or list(HEADLINE)
+    extra = {"spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
     spark = build_session(f"local[{cpus}]", app="tessera-bench", shuffle_partitions=max(8, 2 * cpus),
-                          extra={"spark.driver.memory": "16g"})
+                          extra=extra)
     spark.sparkContext.setLogLevel("ERROR")
     # warm-up on the smallest tables: JVM code paths, Python workers, Arrow
     for name in names:
