@@ -91,8 +91,10 @@ def compare_chunking(spark: SparkSession, sf_dir: str,
     """Per strategy: chunk_size, overlap, total_chunks and mean metrics."""
     docs = eval_documents(spark, sf_dir)
     if index is None:
-        # built once, written to the checkpoint folder, read by search and sizes
-        index = strategy_index(docs, strategies, dim).checkpoint()
+        # built once, written to the checkpoint folder, read by search and
+        # sizes; only the columns the evaluation reads are written
+        index = strategy_index(docs, strategies, dim).select(
+            "chunk_id", "url", "strategy", "embedding").checkpoint()
     questions = passage_questions(spark, sf_dir)
     truth = passage_truth(spark, sf_dir).checkpoint()
     hits = strategy_hits(index, questions, strategies, k, dim)
