@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, prepare
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,35 @@ def query(name: str, sql: str | None = None):
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""")
 def op1_exact_dedup(docs, sf_dir):
     return exact_dedup(docs)
+
+
+OP10_METRICS_SQL = r"""
+    t AS (SELECT doc_id, coalesce(text, '') AS text,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+          FROM documents),
+    w AS (SELECT doc_id, unnest(range(1, len(words) - 3)) AS p,
+                 unnest(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) AS s FROM t),
+    again AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM w) WHERE c > 1),
+    r AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(p, p + 5)) AS q FROM again) GROUP BY doc_id),
+    m AS (SELECT t.doc_id, len(words)::BIGINT AS n_words,
+                 length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+                 length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+                 length(regexp_replace(text, '\P{Lu}+', '', 'g'))::BIGINT AS n_upper,
+                 (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines,
+                 coalesce(r.n, 0)::BIGINT AS n_repeat_words
+          FROM t LEFT JOIN r ON t.doc_id = r.doc_id)"""
+
+
+@query("op10_quality_rules", f"""WITH {OP10_METRICS_SQL}
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+           n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+           NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 4 * n_symbols > n_words OR n_upper > 2 * n_words
+                OR (n_lines > 0 AND 100 * n_dup_lines // n_lines > 50)
+                OR word_chars > 40 * n_words OR 2 * word_chars < 3 * n_words) AS kept
+    FROM m""")
+def op10_quality_rules(docs, sf_dir):
+    judged = quality_cascade(text_metrics(docs.select("doc_id", "text")), measured=True)
+    base = [r.rejects(F.col(r.metric), F.col("n_words")) for r in RULES if r.name in BASE]
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         (base[0] | base[1]).alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))
