@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import documents, prepare
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.mixing import mix_sources, word_count
 from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +69,10 @@ def op10_quality_rules(docs, sf_dir):
     base = [r.rejects(F.col(r.metric), F.col("n_words")) for r in RULES if r.name in BASE]
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          (base[0] | base[1]).alias("base_failed"), F.col("failed_rule").isNull().alias("kept"))
+
+
+@query("op9_mix_sources")
+def op9_mix_sources(docs, sf_dir):
+    sized = docs.select("doc_id", "source", word_count("text").alias("words"))
+    mixed = mix_sources(sized, size=F.col("words"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
