@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.bpe import bpe_decode, bpe_encode
 from tessera.llm.common import documents, prepare
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import mix_sources, word_count
@@ -76,3 +77,19 @@ def op9_mix_sources(docs, sf_dir):
     sized = docs.select("doc_id", "source", word_count("text").alias("words"))
     mixed = mix_sources(sized, size=F.col("words"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def tokenizer_file() -> str:
+    """The vocabulary file of the BPE query; its place is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query("op5_bpe")
+def op5_bpe(docs, sf_dir):
+    path = tokenizer_file()
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path), path)
+    return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -82,3 +82,13 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(new.lower())
         out.append(new)
     return out
+
+
+def write_shared(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one file through Spark's file system (the shared folder need not be a local path)."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
