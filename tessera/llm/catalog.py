@@ -12,6 +12,7 @@ from tessera.llm.common import documents, prepare
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import mix_sources, word_count
 from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
+from tessera.llm.simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +94,12 @@ def op5_bpe(docs, sf_dir):
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+#: Contract of the near-duplicate query and of the pipeline's stage.
+SHINGLE_WORDS, MAX_BITS = 3, 2
+
+
+@query("op2_simhash")
+def op2_simhash(docs, sf_dir):
+    return simhash_groups(docs.select("doc_id", "text"), shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS)
