@@ -11,7 +11,10 @@ from tessera.llm.bpe import bpe_decode, bpe_encode
 from tessera.llm.common import documents, prepare
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import mix_sources, word_count
+from tessera.llm.pii import BASE_KINDS as PII_BASE
+from tessera.llm.pii import count_kind, pii_spans, spans_text
 from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
+from tessera.llm.secrets import secret_spans
 from tessera.llm.simhash import simhash_groups
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +106,22 @@ SHINGLE_WORDS, MAX_BITS = 3, 2
 @query("op2_simhash")
 def op2_simhash(docs, sf_dir):
     return simhash_groups(docs.select("doc_id", "text"), shingle_words=SHINGLE_WORDS, max_bits=MAX_BITS)
+
+
+@query("op7_pii")
+def op7_pii(docs, sf_dir):
+    found = pii_spans(docs.select("doc_id", "text"))
+    return found.select("doc_id", *[count_kind(F.col("pii"), k).alias(f"n_{k}") for k in PII_BASE],
+                        F.sha2(spans_text(F.col("pii"), PII_BASE), 256).alias("base_sha256"),
+                        spans_text(F.col("pii")).alias("spans"))
+
+
+SECRET_BASE = ("assign", "access", "hex")
+
+
+@query("op8_secrets")
+def op8_secrets(docs, sf_dir):
+    found = secret_spans(docs.select("doc_id", "text"))
+    return found.select("doc_id", *[count_kind(F.col("secrets"), k).alias(f"n_{k}") for k in SECRET_BASE],
+                        F.sha2(spans_text(F.col("secrets"), SECRET_BASE), 256).alias("base_sha256"),
+                        spans_text(F.col("secrets")).alias("spans"))
