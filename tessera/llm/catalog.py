@@ -13,6 +13,7 @@ from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import mix_sources, word_count
 from tessera.llm.pii import BASE_KINDS as PII_BASE
 from tessera.llm.pii import count_kind, pii_spans, spans_text
+from tessera.llm.quality_classifier import CUT, fit_quality, fold, score_quality
 from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
 from tessera.llm.secrets import secret_spans
 from tessera.llm.simhash import simhash_groups
@@ -125,3 +126,12 @@ def op8_secrets(docs, sf_dir):
     return found.select("doc_id", *[count_kind(F.col("secrets"), k).alias(f"n_{k}") for k in SECRET_BASE],
                         F.sha2(spans_text(F.col("secrets"), SECRET_BASE), 256).alias("base_sha256"),
                         spans_text(F.col("secrets")).alias("spans"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(docs, sf_dir):
+    labels = docs.sparkSession.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    model = fit_quality(docs, labels)
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
+                         (F.col("score") >= CUT).cast("int").alias("predicted"))
