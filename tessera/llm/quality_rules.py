@@ -51,23 +51,31 @@ RULES = (
 BASE = ("few_words", "repeated_windows")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row (and only where the expression is reached)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _count_of(text: Column, others: str) -> Column:
     return F.length(F.regexp_replace(text, others, "")).cast("long")
 
 
-def _dup_lines(share: bool):
-    """Lines with a word that equal an earlier line: their number, or their share of all lines with a word in whole percent."""
-    def build(df: DataFrame, live: Column, text: str, words: str, out: str) -> DataFrame:
-        (lines,) = fresh(df, "lines")
-        found = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
-        dup = F.size(lines) - F.size(F.array_distinct(lines))
-        value = F.when(F.size(lines) > 0, F.floor(100 * dup / F.size(lines))).otherwise(F.lit(0)) if share else dup
-        return (df.withColumn(lines, F.when(live, found))
-                .withColumn(out, F.when(live, value.cast("long"))).drop(lines))
-    return build
+def _dup_lines(text: Column, words: Column) -> Column:
+    """Lines with a word that equal an earlier line."""
+    return _let(_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+
+
+def _dup_line_pct(text: Column, words: Column) -> Column:
+    """Their share of all lines with a word, in whole percent."""
+    share = lambda x: F.floor(100 * (F.size(x) - F.size(F.array_distinct(x))) / F.size(x))
+    return _let(_lines(text), lambda x: F.when(F.size(x) > 0, share(x)).otherwise(F.lit(0)).cast("long"))
 
 
-def _repeat_words(df: DataFrame, live: Column, text: str, words: str, out: str) -> DataFrame:
+def _lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
+
+
+def _repeat_words(text: Column, words: Column) -> Column:
     """Words covered by 5-word windows that occur twice or more in the text.
 
     Windows are compared by the 64-bit hash of their words' 64-bit hashes,
@@ -75,47 +83,44 @@ def _repeat_words(df: DataFrame, live: Column, text: str, words: str, out: str)
     to each other; the covered words are the union of the repeated windows,
     summed over their sorted positions.  Linear in memory, n log n in time.
     """
-    hashes, windows, order, at = fresh(df, "hashes", "windows", "order", "at")
-    n = F.size(words)
-    enough = live & (n > WINDOW)
-    df = df.withColumn(hashes, F.when(enough, F.transform(words, lambda w: F.xxhash64(w))))
-    df = df.withColumn(windows, F.when(enough, F.transform(
-        F.sequence(F.lit(1), n - (WINDOW - 1)),
-        lambda i: F.xxhash64(*[F.element_at(hashes, (i + k).cast("int")) for k in range(WINDOW)]))))
-    repeated = enough & (F.size(F.array_distinct(windows)) < F.size(windows))
-    df = df.withColumn(order, F.when(repeated, F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    same = lambda e, k: F.coalesce(F.get(order, k)["h"] == e["h"], F.lit(False))
-    df = df.withColumn(at, F.sort_array(F.transform(
-        F.filter(order, lambda e, k: same(e, k - 1) | same(e, k + 1)), lambda e: e["i"])))
-    covered = F.aggregate(
-        F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW)))),
-        F.lit(0).cast("long"), lambda total, x: total + x)
-    return (df.withColumn(out, F.when(live, F.coalesce(F.when(F.col(at).isNotNull(), covered), F.lit(0).cast("long"))))
-            .drop(hashes, windows, order, at))
-
-
-def _simple(expression: Callable[[str, str], Column]):
-    return lambda df, live, text, words, out: df.withColumn(out, F.when(live, expression(text, words)))
-
-
-#: How a metric's column is added to a frame: ``(frame, live, text column, words column, name) -> frame``.
-METRICS: dict[str, Callable[[DataFrame, Column, str, str, str], DataFrame]] = {
-    "n_words": _simple(lambda text, words: F.size(words).cast("long")),
-    "word_chars": _simple(lambda text, words: _count_of(F.col(text), SPACES)),
-    "n_symbols": _simple(lambda text, words: _count_of(F.col(text), f"[^{SYMBOLS}]+")),
-    "n_upper": _simple(lambda text, words: _count_of(F.col(text), r"\P{Lu}+")),
-    "n_dup_lines": _dup_lines(share=False),
-    "dup_line_pct": _dup_lines(share=True),
+    none = F.lit(0).cast("long")
+
+    def windows(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))
+        return F.transform(starts, lambda i: F.xxhash64(*[F.element_at(hashes, (i + k).cast("int")) for k in range(WINDOW)]))
+
+    def repeated(order: Column) -> Column:
+        same = lambda e, k: F.coalesce(F.get(order, k)["h"] == e["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(order, lambda e, k: same(e, k - 1) | same(e, k + 1)), lambda e: e["i"]))
+
+    def covered(at: Column) -> Column:
+        length = F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(length, none, lambda total, x: total + x)
+
+    def count(h: Column) -> Column:
+        order = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), none).otherwise(_let(order, lambda o: _let(repeated(o), covered)))
+
+    return F.when(F.size(words) <= WINDOW, none).otherwise(
+        _let(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: _let(windows(hashes), count)))
+
+
+#: Metrics as expressions of a text and its words.
+METRICS: dict[str, Callable[[Column, Column], Column]] = {
+    "n_words": lambda text, words: F.size(words).cast("long"),
+    "word_chars": lambda text, words: _count_of(text, SPACES),
+    "n_symbols": lambda text, words: _count_of(text, f"[^{SYMBOLS}]+"),
+    "n_upper": lambda text, words: _count_of(text, r"\P{Lu}+"),
+    "n_dup_lines": _dup_lines,
+    "dup_line_pct": _dup_line_pct,
     "n_repeat_words": _repeat_words,
 }
 
 
-def _with_words(df: DataFrame, text_col: str) -> tuple[DataFrame, str, str]:
-    text, trimmed, words = fresh(df, "text", "trimmed", "words")
-    df = df.withColumn(text, text_or_empty(text_col))
-    df = df.withColumn(trimmed, F.regexp_replace(text, r"^[ \t-\r]+|[ \t-\r]+$", ""))
-    split = F.when(F.col(trimmed) == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
-    return df.withColumn(words, split).drop(trimmed), text, words
+def _words(text: Column) -> Column:
+    """Words of a text that is not null."""
+    trimmed = F.regexp_replace(text, r"^[ \t-\r]+|[ \t-\r]+$", "")
+    return _let(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, SPACES)))
 
 
 def text_metrics(df: DataFrame, text_col: str = "text", metrics: tuple[str, ...] = tuple(METRICS)) -> DataFrame:
@@ -123,17 +128,27 @@ def text_metrics(df: DataFrame, text_col: str = "text", metrics: tuple[str, ...]
 
     A column of ``df`` with the name of a metric is replaced.
     """
-    df = df.drop(*[m for m in metrics if m != text_col])
-    df, text, words = _with_words(df, text_col)
-    for m in metrics:
-        df = METRICS[m](df, F.lit(True), text, words, m)
-    return df.drop(text, words)
+    columns = [c for c in df.columns if c.lower() not in {m.lower() for m in metrics}]
+    text, words = fresh(df, "text", "words")
+    df = df.withColumn(text, text_or_empty(text_col)).withColumn(words, _words(F.col(text)))
+    return df.select(*columns, *[METRICS[m](F.col(text), F.col(words)).alias(m) for m in metrics])
+
+
+def _judge(text: Column, rules: list[Rule]) -> Column:
+    """The first of ``rules`` that rejects the text.  CASE evaluates a metric only if no earlier rule has rejected."""
+    def verdict(t: Column, words: Column) -> Column:
+        case = F
+        for r in rules:
+            case = case.when(r.rejects(METRICS[r.metric](t, words), F.size(words)), F.lit(r.name))
+        return case
+
+    return _let(text, lambda t: _let(_words(t), lambda words: verdict(t, words)))
 
 
 def rule_order(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by estimated rejection per cost, highest first; on an empty table, as given."""
-    frame, text, words = _with_words(df.select(text_col).limit(sample_rows), text_col)
-    frame = frame.persist()
+    text, words = F.col("t"), F.col("w")
+    frame = df.select(text_or_empty(text_col).alias("t")).limit(sample_rows).withColumn("w", _words(text)).persist()
     try:
         def seconds(of: DataFrame, what: Column) -> tuple[float, int, int]:
             began = time.perf_counter()
@@ -146,8 +161,7 @@ def rule_order(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
             return list(rules)
         gain = []
         for k, rule in enumerate(rules):
-            measured = METRICS[rule.metric](frame, F.lit(True), text, words, f"metric_{k}")
-            cost, _, hit = seconds(measured, rule.rejects(F.col(f"metric_{k}"), F.size(words)))
+            cost, _, hit = seconds(frame, rule.rejects(METRICS[rule.metric](text, words), F.size(words)))
             gain.append((-(hit / n) / max(cost - base, 1e-3), k, rule))
         return [rule for *_, rule in sorted(gain, key=lambda x: x[:2])]
     finally:
@@ -166,19 +180,11 @@ def quality_cascade(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ..
     """
     order = rule_order(df, text_col, rules)
     columns = [c for c in df.columns if c.lower() != failed_col.lower()]
-    (failed,) = fresh(df, "failed")
     if measured:
         verdict = F.coalesce(*[F.when(r.rejects(F.col(r.metric), F.col("n_words")), F.lit(r.name)) for r in order])
-        return df.select(*columns, verdict.alias(failed_col))
-    df, text, words = _with_words(df, text_col)
-    df = df.withColumn(failed, F.lit(None).cast("string"))
-    for rule in order:
-        (metric,) = fresh(df, "metric")
-        live = F.col(failed).isNull()
-        df = METRICS[rule.metric](df, live, text, words, metric)
-        verdict = F.when(live & rule.rejects(F.col(metric), F.size(words)), F.lit(rule.name)).otherwise(F.col(failed))
-        df = df.withColumn(failed, verdict).drop(metric)
-    return df.select(*columns, F.col(failed).alias(failed_col))
+    else:
+        verdict = _judge(text_or_empty(text_col), order)
+    return df.select(*columns, verdict.alias(failed_col))
 
 
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
