@@ -15,6 +15,7 @@ from tessera.llm.pii import BASE_KINDS as PII_BASE
 from tessera.llm.pii import count_kind, pii_spans, spans_text
 from tessera.llm.quality_classifier import CUT, fit_quality, fold, score_quality
 from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
+from tessera.llm.recompression import repeated_words
 from tessera.llm.secrets import secret_spans
 from tessera.llm.simhash import simhash_groups
 
@@ -135,3 +136,9 @@ def op3_quality_classifier(docs, sf_dir):
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score",
                          (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(docs, sf_dir):
+    kept = repeated_words(docs.select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
