@@ -18,6 +18,7 @@ from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
 from tessera.llm.recompression import repeated_words
 from tessera.llm.secrets import secret_spans
 from tessera.llm.simhash import simhash_groups
+from tessera.llm.suffix_dedup import repeated_bytes
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +143,9 @@ def op3_quality_classifier(docs, sf_dir):
 def op6_substring_dedup(docs, sf_dir):
     kept = repeated_words(docs.select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(docs, sf_dir):
+    kept = repeated_bytes(docs.select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
