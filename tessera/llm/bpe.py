@@ -30,6 +30,9 @@ LEXICON_WORDS = 1 << 17
 COUNT_TABLE = 1 << 19
 #: Results that a task remembers at most.
 MEMO_WORDS = 1 << 18
+ID_BITS = 32
+ID_MASK = (1 << ID_BITS) - 1
+NO_MERGE = 1 << 62
 #: The pretoken pattern of byte-level BPE with white space spelt out (fixed value).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -67,27 +70,28 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # rank and new id in one number, so that the least is the merge to do
+        self.steps = {pair: rank << ID_BITS | new for pair, (rank, new) in self.merges.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one pretoken: the pair of lowest rank first, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
         if len(ids) > 128:
             return self._merge_long(ids)
-        get = self.merges.get
-        pairs = list(map(get, zip(ids, ids[1:], strict=False)))
-        while True:
-            best, at = None, -1
-            for k, p in enumerate(pairs):
-                if p is not None and (best is None or p < best):
-                    best, at = p, k
-            if best is None:
-                return ids
-            ids[at:at + 2] = [best[1]]
+        get = self.steps.get
+        pairs = [get(pair, NO_MERGE) for pair in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == NO_MERGE:
+                break
+            at = pairs.index(best)
+            ids[at:at + 2] = [best & ID_MASK]
             del pairs[at]
             if at:
-                pairs[at - 1] = get((ids[at - 1], ids[at]))
+                pairs[at - 1] = get((ids[at - 1], ids[at]), NO_MERGE)
             if at < len(pairs):
-                pairs[at] = get((ids[at], ids[at + 1]))
+                pairs[at] = get((ids[at], ids[at + 1]), NO_MERGE)
+        return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, n log n."""
