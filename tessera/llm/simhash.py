@@ -34,7 +34,7 @@ BATCH_BYTES = 4 << 20     # of text turned into bit rows at a time
 MAX_SHINGLES = 1 << 18    # bit rows of one text added up at a time
 
 
-def fingerprint_bytes(text: bytes, shingle_words: int) -> list[int]:
+def shingle_hashes(text: bytes, shingle_words: int) -> list[int]:
     """XXH64 hashes of a text's word shingles, repeats included."""
     words = text.lower().split()  # bytes.lower changes A-Z only, bytes.split cuts at ASCII white space
     if not words:
@@ -54,16 +54,16 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
+def _fingerprint(text: bytes, shingle_words: int) -> int:
+    hashes = np.array(shingle_hashes(text, shingle_words), dtype=np.uint64)
+    return int.from_bytes(np.packbits(2 * _bit_counts(hashes) > len(hashes)).tobytes(), "big")
+
+
 def _fingerprints(shingle_words: int):
     def run(batches):
         for batch in bounded_batches(batches, "text", BATCH_BYTES):
-            out = np.zeros(batch.num_rows, dtype=">u8")
-            for k, text in enumerate(utf8_list(batch.column(1))):
-                hashes = np.array(fingerprint_bytes(text, shingle_words), dtype=np.uint64)
-                if len(hashes):
-                    bits = 2 * _bit_counts(hashes) > len(hashes)
-                    out[k] = int.from_bytes(np.packbits(bits).tobytes(), "big")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.astype(np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            out = pa.array([_fingerprint(t, shingle_words) for t in utf8_list(batch.column(1))], pa.uint64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), out.view(pa.int64())], names=["doc_id", "fp"])
     return run
 
 
@@ -143,30 +143,45 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     into one group.  Null ids never name a group unless all its ids are null.
     An empty table gives an empty result.
     """
+    id_type = df.schema[id_col].dataType
+    return _grouped(df, id_col, text_col, shingle_words, max_bits).select(
+        F.col("doc_id").cast(id_type).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component_id").cast(id_type).alias("component_id"))
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle_words: int, max_bits: int) -> DataFrame:
+    """``doc_id, fp, root, component_id`` of every row; ``root`` is one fingerprint of the group."""
     rows = written(fingerprints(df, id_col, text_col, shingle_words), "fingerprints")
     least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups = components(written(near_links(least.select("fp"), max_bits), "links"))
     rooted = (least.join(groups, least["fp"] == groups["node"], "left")
               .select("fp", F.coalesce("root", "fp").alias("root"), "least"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = rooted.join(named, "root").select(F.col("fp").alias("of"), "component_id")
-    id_type = df.schema[id_col].dataType
-    return (rows.join(of_fp, rows["fp"] == F.col("of"), "left")
-            .select(F.col("doc_id").cast(id_type).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                    F.col("component_id").cast(id_type).alias("component_id")))
+    of_fp = rooted.join(named, "root").select(F.col("fp").alias("of"), "root", "component_id")
+    return rows.join(of_fp, rows["fp"] == F.col("of"), "left").select("doc_id", "fp", "root", "component_id")
 
 
 def keep_one_of_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """One row of each group of ``simhash_groups``: the one with the smallest id; all columns stay.
+    """One row of each group of ``simhash_groups``: the one with the smallest id (null last), then fingerprint; all columns stay.
 
-    Of rows that repeat with the smallest id, one stays.
+    Rows are found again by their id.  Where an id is null or repeated, the
+    fingerprint tells its rows apart, and of rows alike in both, one stays.
     """
-    groups = written(simhash_groups(df, id_col, text_col, shingle_words, max_bits), "simhash-groups")
-    keep, copies = fresh(df, "keep", "copies")
-    keepers = (groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-               .groupBy(F.col("doc_id").alias(keep)).agg(F.count(F.lit(1)).alias(copies)))
-    kept = df.join(keepers, F.col(id_col).eqNullSafe(F.col(keep)))
-    if keepers.where(F.col(copies) > 1).isEmpty():
-        return kept.select(*df.columns)
-    single = kept.where(F.col(copies) == 1).select(*df.columns)
-    return single.unionByName(kept.where(F.col(copies) > 1).select(*df.columns).dropDuplicates([id_col]))
+    groups = written(_grouped(df, id_col, text_col, shingle_words, max_bits), "simhash-groups")
+    keep, keep_fp, fp = fresh(df, "keep", "keep_fp", "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("id"), "fp"))
+    keepers = groups.groupBy("root").agg(first.alias("first")).select(F.col("first.id").alias(keep), F.col("first.fp").alias(keep_fp))
+    unclear = (groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1")
+               .select(F.col("doc_id").alias(keep)))
+    same_id = F.col(id_col).eqNullSafe(F.col(keep))
+    if unclear.isEmpty():
+        return df.join(keepers, F.col(id_col) == F.col(keep)).select(*df.columns)
+    clear = df.join(unclear, same_id, "left_anti").join(keepers, F.col(id_col) == F.col(keep)).select(*df.columns)
+
+    @F.arrow_udf("long")
+    def fingerprint(column: pa.Array) -> pa.Array:
+        return pa.array([_fingerprint(t, shingle_words) for t in utf8_list(column)], pa.uint64()).view(pa.int64())
+
+    again = (df.join(unclear, same_id, "left_semi").withColumn(fp, fingerprint(F.col(text_col).cast("string")))
+             .join(keepers, same_id & (F.col(fp) == F.col(keep_fp))).dropDuplicates([id_col, fp]).select(*df.columns))
+    return clear.unionByName(again)
