@@ -2,8 +2,9 @@
 
 Plan shape (no shuffle at all): scan -> project (normalise, split sentences,
 per-sentence token and character counts, all JVM built-ins) -> one Arrow UDF
-that walks the chunk boundaries over two integer arrays per document -> explode
--> project (chunk text is a ``substring`` of the normalised text).
+that walks the chunk boundaries over two integer arrays per document -> project
+(a chunk's text is its sentences joined by spaces: linear in the document,
+however many chunks it has) -> explode.
 
 Why a UDF for the walk: the start of chunk *n+1* depends on where chunk *n*
 ended (a pointer chase).  Windows can compute each boundary's candidates, but
@@ -233,7 +234,12 @@ def chunk_documents(df: DataFrame, keys: Sequence[str], text_col: str = "text",
         spans = chunk_spans_hashed(hash_dim)(F.col("sent_tokens"), F.col("sent_chars"), codes, sizes, overlaps)
     else:
         spans = chunk_spans(F.col("sent_tokens"), F.col("sent_chars"), sizes, overlaps)
-    exploded = s.select(*keys, "norm_text", F.explode(spans).alias("sp"))
+    spanned = s.select(*keys, F.col("sentences").alias("_sentences"), spans.alias("_spans"))
+    texts = F.transform("_spans", lambda sp: F.struct(
+        sp.alias("sp"),
+        F.array_join(F.slice("_sentences", sp["s_from"] + 1, sp["s_to"] - sp["s_from"]), " ").alias("text")))
+    exploded = spanned.select(*keys, F.explode(texts).alias("_x")).select(
+        *keys, F.col("_x.sp").alias("sp"), F.col("_x.text").alias("_text"))
     cols: list[Column] = [F.col(k) for k in keys]
     if multi:
         idx = F.col("sp.strategy") + 1
@@ -242,8 +248,7 @@ def chunk_documents(df: DataFrame, keys: Sequence[str], text_col: str = "text",
                  F.element_at(overlaps, idx).alias("overlap")]
     cols += [
         F.col("sp.chunk_index").alias("chunk_index"),
-        F.substring("norm_text", F.col("sp.c_start") + 1,
-                    F.col("sp.c_end") - F.col("sp.c_start")).alias("chunk_text"),
+        F.col("_text").alias("chunk_text"),
         F.col("sp.c_start").alias("start"),
         F.col("sp.c_end").alias("end"),
         F.col("sp.s_from").alias("s_from"),

@@ -31,6 +31,8 @@ ERR_TIMEOUT = "Timeout"
 ERR_NON_HTML = "Non-HTML content"
 ERR_RATE = "Rate Limited (HTTP 429)"
 ERR_FAILED = "Fetch failed"
+# A transport error that begins so came from outside the request layer (a decoder, our own code).
+INTERNAL = "internal: "
 
 
 def robots_gate(urls: DataFrame, rules: DataFrame, agent: str = AGENT_TOKEN) -> DataFrame:
@@ -68,7 +70,7 @@ def fetch_outcome(log: DataFrame) -> DataFrame:
     """Adds ``status_code`` (reported), ``error`` and ``content``.
 
     Needs ``allowed``, ``http_status``, ``content_type``, ``body``,
-    ``transport_error`` ('timeout', other text, or null).  First match wins.
+    ``transport_error`` ('timeout', 'internal: ...', other text, or null).  First match wins.
     """
     st = F.col("http_status")
     ct = F.lower(F.coalesce(F.col("content_type"), F.lit("")))
@@ -76,6 +78,7 @@ def fetch_outcome(log: DataFrame) -> DataFrame:
     html_ok = ct.contains("text/html") | ct.contains("application/xhtml+xml")
     error = (F.when(~F.col("allowed"), F.lit(ERR_BLOCKED))
              .when(te == "timeout", F.lit(ERR_TIMEOUT))
+             .when(te.startswith(INTERNAL), F.concat(F.lit("Unknown Error: "), F.substring(te, len(INTERNAL) + 1, 1 << 30)))
              .when(te.isNotNull(), F.concat(F.lit("Request Error: "), te))
              .when(st.isin(401, 403), F.format_string("Access Denied (HTTP %d)", st))
              .when(st == 429, F.lit(ERR_RATE))

@@ -5,10 +5,9 @@ written to a fresh directory and then published by replacing a small pointer
 file (see ``tessera.sources.store``), so a failed or retried job never leaves
 a half-written table behind and re-running a step gives the same result.
 
-Scale notes.  ``upsert_links`` and ``replace_chunks`` shuffle both sides on
-``url``.  Writing snapshots bucketed (or hash-partitioned) by ``url`` lets
-the next merge read the old side already co-partitioned.  A url with many
-chunks is still one key of a sort-merge join, which AQE splits when skewed.
+Scale notes.  ``upsert_links`` is one aggregate by ``url`` over old and new
+rows (combined map-side, so a url repeated a million times sends one row per
+task).  ``replace_chunks`` anti-joins the old chunks with the touched urls.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The stored columns of a link.
 LINK_COLS = ("url", "title", "folder", "date_added", "domain", "status", "created_at", "updated_at")
 
 
@@ -23,41 +23,56 @@ def last_wins(links: DataFrame, key: str = "url", order: tuple[str, ...] = ("fil
     """One row per ``key``: the last one in (file, position) order.
 
     ``max_by`` over a struct is a plain aggregation, so a url repeated a
-    million times is combined map-side instead of sorted in one task.
+    million times is combined map-side instead of sorted in one task.  Order
+    columns that the rows lack are left out; the rows' own values break ties,
+    so the choice is the same in every run.
     """
     cols = [c for c in links.columns if c != key]
     packed = F.struct(*[F.col(c) for c in cols])
-    return (links.groupBy(key).agg(F.max_by(packed, F.struct(*[F.col(c) for c in order])).alias("_r"))
+    by = F.struct(*[F.col(c) for c in order if c in cols], *[F.col(c).cast("string") for c in cols if c not in order])
+    return (links.groupBy(key).agg(F.max_by(packed, by).alias("_r"))
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
+def _one_per_url(new: DataFrame) -> DataFrame:
+    """The link columns a run writes, one row per url: the last one wins."""
+    order = tuple(c for c in ("file_id", "page_id", "pos") if c in new.columns)
+    cols = ("url", "title", "folder", "date_added", "domain", "status")
+    return last_wins(new.select(*cols, *order), order=order).select(*cols)
+
+
 def first_snapshot(new: DataFrame, now: Column) -> DataFrame:
-    """The link table of a first run: every row inserted (no merge needed)."""
-    return new.select("url", "title", "folder", "date_added", "domain", "status",
-                      now.alias("created_at"), now.alias("updated_at"))
+    """The link table of a first run: every url inserted once (the last of repeated rows)."""
+    return _one_per_url(new).select("*", now.alias("created_at"), now.alias("updated_at"))
 
 
 def upsert_links(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     """Insert or update by url: new values win, ``created_at`` kept from the
-    old row (``now`` for inserts), ``updated_at`` = now; untouched rows stay."""
-    n = new.select("url", "title", "folder", "date_added", "domain", "status")
-    o = old.select(*[F.col(c).alias(f"o_{c}") if c != "url" else F.col(c) for c in LINK_COLS])
-    j = o.join(n.withColumn("_new", F.lit(True)), "url", "full_outer")
-    is_new = F.col("_new").isNotNull()
-    pick = [F.when(is_new, F.col(c)).otherwise(F.col(f"o_{c}")).alias(c)
-            for c in ("title", "folder", "date_added", "domain", "status")]
-    return j.select("url", pick[0], pick[1], pick[2], pick[3], pick[4],
-                    F.coalesce(F.col("o_created_at"), now).alias("created_at"),
-                    F.when(is_new, now).otherwise(F.col("o_updated_at")).alias("updated_at")
-                    ).select(*LINK_COLS)
-
-
-def replace_chunks(old: DataFrame, new: DataFrame, key: str = "url") -> DataFrame:
+    old row (``now`` for inserts), ``updated_at`` = now; untouched rows stay.
+    A url repeated in ``new`` counts once, with its last row."""
+    fresh = (_one_per_url(new).withColumn("created_at", F.lit(None).cast("timestamp"))
+             .withColumn("updated_at", now).withColumn("_new", F.lit(1)))
+    both = old.select(*LINK_COLS).withColumn("_new", F.lit(0)).unionByName(fresh)
+    # per url at most one old and one new row meet
+    row = F.max_by(F.struct(*[F.col(c) for c in LINK_COLS if c not in ("url", "created_at")]), F.col("_new")).alias("_r")
+    merged = both.groupBy("url").agg(row, F.max("_new").alias("_new"), F.min("created_at").alias("_created"))
+    cols = {c: F.col(f"_r.{c}") for c in LINK_COLS}
+    cols |= {"url": F.col("url"), "created_at": F.coalesce("_created", now)}
+    return merged.select(*[cols[c].alias(c) for c in LINK_COLS])
+
+
+def replace_chunks(old: DataFrame, new: DataFrame, key: str = "url", touched: DataFrame | None = None) -> DataFrame:
     """All chunks of every url present in ``new`` are replaced by the new ones;
     urls absent from ``new`` (including a url whose new chunk set is empty)
-    keep their old chunks."""
-    touched = new.select(key).distinct()
-    return old.join(touched, key, "left_anti").unionByName(new)
+    keep their old chunks.
+
+    A chunk repeated in ``new`` (same url and index) counts once.  ``touched``
+    names the urls with new chunks where the caller knows them, which saves
+    building the chunks twice."""
+    at = [c for c in (key, "chunk_index") if c in new.columns]
+    once = new.dropDuplicates(at) if len(at) == 2 else new
+    urls = (new if touched is None else touched).select(key).distinct()
+    return old.join(urls, key, "left_anti").unionByName(once)
 
 
 def index_stats(links: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ top-k per query (ties broken by key), and emits ``k x queries`` rows.  A final
 ``row_number() <= k`` per query over those survivors picks the global top-k.
 The only shuffle carries ``partitions x queries x k`` small rows.
 
-Query blocks.  The query side is broadcast, so its size is checked: queries
-are streamed to the driver block by block (``toLocalIterator``) and each block
-is at most ``max_block_bytes`` of vectors.  More queries -> more blocks, each
-one more pass over the index; nothing bigger than one block is ever held by
-the driver or by a task.
+Query blocks.  The query side is written to the shared folder once, in
+parallel, with running numbers; its measured size decides the number of blocks
+of at most ``max_block_bytes`` of vectors.  Usually that is one, which is
+broadcast.  More queries -> more blocks, each one more pass over the index;
+the driver holds one block at a time.  Query ids may be of any type: the
+scorer works with the running numbers.
 
 Order.  Score DESC (NaN, from a zero vector, first -- as SQL engines order
 it), then key ASC.  Ranking uses the score rounded to 9 decimals so that two
@@ -24,6 +25,7 @@ range on ``date_added``); a null query value means "no filter".
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -33,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.session import ensure_checkpoint_dir
+
 DEFAULT_K = 5
 MAX_BLOCK_BYTES = 64 * 1024 * 1024  # query vectors broadcast per index pass
 SCORE_CELLS = 4_000_000            # rows x queries scored per numpy call
@@ -90,14 +94,10 @@ def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
     def vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         width = qmat.shape[1]
         vecs = pdf[vec_col].to_list()
-        ok = np.fromiter((v is not None and len(v) == width for v in vecs), dtype=bool, count=len(vecs))
-        X = np.zeros((len(vecs), width), dtype=np.float64)
-        if ok.all():
-            X = np.asarray(np.stack(vecs), dtype=np.float64)
-        else:
-            for i in np.nonzero(ok)[0]:
-                X[i] = vecs[i]
-        return X, ok
+        wrong = sum(len(v) != width for v in vecs)
+        if wrong:  # never dropped in silence: split such rows off with check_dims first
+            raise ValueError(f"{wrong} index vectors do not have the question's width {width}; see check_dims")
+        return np.asarray(np.stack(vecs), dtype=np.float64), np.ones(len(vecs), dtype=bool)
 
     def score_batch(pdf: pd.DataFrame, X: np.ndarray, ok: np.ndarray, qi: np.ndarray) -> pd.DataFrame:
         """Score rows of ``pdf`` against the queries ``qi``; local top-k each."""
@@ -189,29 +189,36 @@ def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
 
 def _collect_query_blocks(queries: DataFrame, vec_col: str, spec: FilterSpec,
                           self_col: str | None, max_block_bytes: int):
-    """Stream the query side to the driver in size-bounded blocks."""
+    """The written query side, and its blocks of bounded size as (number, rows)."""
+    spark = queries.sparkSession
     cols = [F.col("query_id"), F.col(vec_col)] + [F.col(q) for q, _ in spec.equal]
     for _, lo, hi in spec.ranges:
         cols += [F.unix_micros(F.col(lo).cast("timestamp")).alias(lo),
                  F.unix_micros(F.col(hi).cast("timestamp")).alias(hi)]
     if self_col:
         cols.append(F.col(self_col))
-    q = queries.select(*cols).where(F.col(vec_col).isNotNull())
-    block, width, used = [], None, 0
-    for row in q.toLocalIterator():
-        vec = row[vec_col]
-        width = width or len(vec)
-        block.append(row)
-        used += 8 * width
-        if used >= max_block_bytes:
-            yield _pack(block, vec_col, spec, self_col)
-            block, used = [], 0
-    if block:
-        yield _pack(block, vec_col, spec, self_col)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
+    (queries.select(*cols).where(F.col(vec_col).isNotNull())
+     .withColumn("_qno", F.monotonically_increasing_id()).write.parquet(path))
+    q = spark.read.parquet(path)
+    cells = q.agg(F.sum(F.size(vec_col))).first()[0] or 0
+    n_blocks = -(-8 * cells // max_block_bytes)
+
+    def blocks():
+        for b in range(n_blocks):
+            part = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("_qno"), F.lit(n_blocks)) == b)
+            rows = part.drop("query_id").collect()
+            if rows:
+                yield _pack(rows, vec_col, spec, self_col)
+
+    return q.select("query_id", "_qno"), blocks()
 
 
 def _pack(rows, vec_col, spec, self_col):
-    qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
+    widths = {len(r[vec_col]) for r in rows}
+    if len(widths) > 1:
+        raise ValueError(f"question vectors of several widths: {sorted(widths)}; see check_dims")
+    qids = np.array([r["_qno"] for r in rows], dtype=np.int64)
     mat = np.array([r[vec_col] for r in rows], dtype=np.float64)
     filters = {}
     for qcol, _ in spec.equal:
@@ -235,10 +242,11 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
                max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
     """Top-k index rows per query: query_id, rank, key_cols, carry, score.
 
-    ``queries`` needs ``query_id`` (bigint) and a vector column, plus the
+    ``queries`` needs ``query_id`` (of any type) and a vector column, plus the
     filter columns of ``filters``.  ``exclude_self`` names a query column whose
     value, when equal to the index's first key column, excludes that row
-    (leave-one-out search over a table against itself).
+    (leave-one-out search over a table against itself).  Index rows without a
+    vector are not searchable; vectors of another width are an error.
     """
     spark: SparkSession = index.sparkSession
     spec = filters or FilterSpec()
@@ -246,7 +254,7 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
     base_cols = list(dict.fromkeys(key_cols + carry + [vec_col] + [i for _, i in spec.equal]))
     range_cols = [F.unix_micros(F.col(i).cast("timestamp")).alias(f"__r_{i}")
                   for i, _, _ in spec.ranges]
-    idx = index.select(*base_cols, *range_cols)
+    idx = index.where(F.col(vec_col).isNotNull()).select(*base_cols, *range_cols)
     spec = FilterSpec(equal=spec.equal,
                       ranges=[(f"__r_{i}", lo, hi) for i, lo, hi in spec.ranges])
     fields = {f.name: f for f in idx.schema.fields}
@@ -256,7 +264,8 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
         + [T.StructField("score", T.DoubleType()), T.StructField("score_nan", T.BooleanType()),
            T.StructField("rscore", T.DoubleType())])
     parts = []
-    for block in _collect_query_blocks(queries, query_vec_col, spec, exclude_self, max_block_bytes):
+    numbers, blocks = _collect_query_blocks(queries, query_vec_col, spec, exclude_self, max_block_bytes)
+    for block in blocks:
         bc = spark.sparkContext.broadcast(block)
         kk, kc, ca, vc, sk = k, key_cols, carry, vec_col, exclude_self
 
@@ -265,16 +274,17 @@ def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
 
         parts.append(idx.mapInPandas(run, out_schema))
     if not parts:
-        return spark.createDataFrame([], out_schema.add("rank", T.IntegerType())).select(
-            "query_id", "rank", *key_cols, *carry, "score")
+        none = spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
+        return (none.withColumnRenamed("query_id", "_qno").join(numbers, "_qno")
+                .select("query_id", "rank", *key_cols, *carry, "score"))
     local = parts[0]
     for p in parts[1:]:
         local = local.unionByName(p)
     order = [F.col("rscore").desc()] + [F.col(c).asc() for c in key_cols]
     w = Window.partitionBy("query_id").orderBy(*order)
     score = F.when(F.col("score_nan"), F.lit(float("nan"))).otherwise(F.col("score"))
-    return (local.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
+    top = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (top.withColumnRenamed("query_id", "_qno").join(numbers, "_qno")
             .select("query_id", "rank", *key_cols, *carry, score.alias("score")))
 
 

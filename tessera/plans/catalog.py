@@ -13,8 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import normalize_ws
 from tessera.functions.vectors import cosine
-from tessera.operators.chunk import DEFAULT_STRATEGIES, chunk_documents, chunk_id, explode_sentences
+from tessera.operators.chunk import DEFAULT_STRATEGIES, chunk_documents, chunk_id, explode_sentences, with_sentences
 from tessera.operators.embed import DEFAULT_DIM, embed_hash
 from tessera.operators.evaluate import metric_means, metrics_from_relevance
 from tessera.operators.retrieve import DEFAULT_K, FilterSpec, topk_batch, topk_single
@@ -44,12 +45,14 @@ def _sentences(spark, sf):
 
 @register("sentences")
 def q_sentences(spark, sf):
-    return _sentences(spark, sf).select("doc_id", "sent_index", "sentence")
+    docs = with_sentences(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode("sentences").alias("sent_index", "sentence"))
 
 
 @register("sentence_tokens")
 def q_sentence_tokens(spark, sf):
-    return _sentences(spark, sf).select("doc_id", "sent_index", "n_tokens")
+    docs = with_sentences(read_table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.posexplode("sent_tokens").alias("sent_index", "n_tokens"))
 
 
 @register("sentence_offsets")
@@ -346,6 +349,12 @@ def _run_chunks(spark, sf, run: int, cleaned=None):
     return pg.page_chunks(lk).withColumn("run", F.lit(run))
 
 
+def _two_runs(spark, sf, cleaned):
+    """Chunks after both runs; the urls that run 1 touches come from its links."""
+    second = _run_links(spark, sf, 1, cleaned).where(F.col("outcome") == "indexed")
+    return ix.replace_chunks(_run_chunks(spark, sf, 0, cleaned), _run_chunks(spark, sf, 1, cleaned), touched=second)
+
+
 @register("upsert_links")
 def q_upsert_links(spark, sf):
     return _snapshot(spark, sf)
@@ -354,7 +363,7 @@ def q_upsert_links(spark, sf):
 @register("replace_chunks")
 def q_replace_chunks(spark, sf):
     cl = _cleaned(spark, sf)
-    ch = ix.replace_chunks(_run_chunks(spark, sf, 0, cl), _run_chunks(spark, sf, 1, cl))
+    ch = _two_runs(spark, sf, cl)
     return ch.select("url", "chunk_index", "chunk_id", "run")
 
 
@@ -390,7 +399,7 @@ def q_list_urls(spark, sf):
 @register("index_stats")
 def q_index_stats(spark, sf):
     cl = _cleaned(spark, sf)
-    ch = ix.replace_chunks(_run_chunks(spark, sf, 0, cl), _run_chunks(spark, sf, 1, cl))
+    ch = _two_runs(spark, sf, cl)
     return ix.index_stats(_snapshot(spark, sf, cleaned=cl), ch)
 
 
@@ -464,11 +473,9 @@ def q_blank_query_guard(spark, sf):
     before embedding and search; the rest get up to k hits."""
     from tessera.operators.embed import hash_embedding
     conv = read_table(spark, sf, "conversations").where(F.col("role") == "user")
-    guarded = conv.where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    turn_ok = F.assert_true(F.col("turn") < (1 << 20), "turn number too large for the question key")
-    q = guarded.select(
-        F.when(turn_ok.isNull(), F.col("conv_id") * (1 << 20) + F.col("turn")).alias("query_id"),
-        "conv_id", "turn", hash_embedding(F.col("text")).alias("embedding"))
+    guarded = conv.where(normalize_ws(F.coalesce("text", F.lit(""))) != "")
+    q = guarded.select(F.struct("conv_id", "turn").alias("query_id"), "conv_id", "turn",
+                       hash_embedding(F.col("text")).alias("embedding"))
     hits = topk_batch(pg.page_index(spark, sf), q, DEFAULT_K, key_cols=["chunk_id"], carry=["url"])
     n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     return (q.join(n, "query_id", "left")

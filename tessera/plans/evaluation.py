@@ -19,6 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.text import normalize_ws
 from tessera.functions.url import url_domain
 from tessera.operators.chunk import DEFAULT_STRATEGIES, chunk_documents, chunk_id
 from tessera.operators.embed import DEFAULT_DIM, hash_embedding
@@ -74,7 +75,7 @@ def strategy_hits(index: DataFrame, questions: DataFrame,
     """Top-k per (strategy, question) against that strategy's chunks only."""
     n = len(strategies)
     names = F.array(*[F.lit(s[0]) for s in strategies])
-    q = (questions.where(F.trim("question") != "")
+    q = (questions.where(normalize_ws(F.col("question")) != "")
          .withColumn("embedding", hash_embedding(F.col("question"), dim))
          .select("query_id", "embedding", F.posexplode(names).alias("s_idx", "strategy"))
          .withColumn("item_id", F.col("query_id"))
@@ -138,13 +139,13 @@ def question_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qa_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled question set: question, expected_answer_keywords,
     ground_truth_urls (sorted), difficulty -- derived from the passages (see
-    ``question_difficulty``); keywords are the passage's first four distinct
-    words of six letters or more."""
+    ``question_difficulty``); keywords are the passage's distinct words of six
+    letters or more."""
     from tessera.functions.text import word_tokens
     q = passage_questions(spark, sf_dir)
     truth = passage_truth(spark, sf_dir).groupBy("query_id").agg(
         F.array_sort(F.collect_set("url")).alias("ground_truth_urls"))
-    kw = F.slice(F.array_distinct(F.filter(word_tokens(F.col("question")), lambda w: F.length(w) >= 6)), 1, 4)
+    kw = F.array_distinct(F.filter(word_tokens(F.col("question")), lambda w: F.length(w) >= 6))
     out = (q.join(truth, "query_id", "left").join(question_difficulty(spark, sf_dir), "query_id")
            .withColumn("ground_truth_urls", F.coalesce("ground_truth_urls", F.array().cast("array<string>"))))
     return out.select("query_id", "question", kw.alias("expected_answer_keywords"), "ground_truth_urls",
@@ -153,8 +154,8 @@ def qa_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def check_qa_set(qa: DataFrame) -> DataFrame:
     """One row of violation counts (all zero = the set is usable)."""
-    url_ok = lambda u: u.rlike(r"^https?://[^/?#]+")
-    blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c)) == "")
+    url_ok = lambda u: u.rlike(r"(?i)^https?://[^/?#]+")
+    blank = lambda c: F.col(c).isNull() | (normalize_ws(F.col(c)) == "")
     return qa.agg(
         F.count(F.lit(1)).alias("n_questions"),
         (F.count(F.lit(1)) < 15).alias("too_few_questions"),
@@ -164,7 +165,7 @@ def check_qa_set(qa: DataFrame) -> DataFrame:
         F.count_if(F.size("ground_truth_urls") == 0).alias("no_truth_url"),
         F.count_if(~F.forall("ground_truth_urls", url_ok)).alias("bad_truth_url"),
         (F.count_if(F.col("difficulty") == "hard") < 3).alias("too_few_hard"),
-        (F.count(F.lit(1)) - F.count_distinct(F.lower(F.trim("question")))).alias("duplicate_questions"))
+        (F.count(F.lit(1)) - F.count_distinct(F.lower(normalize_ws(F.col("question"))))).alias("duplicate_questions"))
 
 
 def eval_details(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K) -> DataFrame:

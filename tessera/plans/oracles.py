@@ -455,7 +455,7 @@ ORACLES["check_dims"] = "SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim,
 
 ORACLES["read_qa"] = "WITH " + _QA + """
 SELECT question, CAST(n_truth AS INTEGER) AS n_truth, difficulty,
-       CAST(len(list_slice(list_distinct_ordered, 1, 4)) AS INTEGER) AS n_keywords
+       CAST(len(list_distinct_ordered) AS INTEGER) AS n_keywords
 FROM (SELECT *, list_filter(regexp_extract_all(lower(question), """ + O.q(O.WORD_TOKEN) + """), lambda w: length(w) >= 6) AS kw FROM qa) x,
      LATERAL (SELECT list(DISTINCT w) AS list_distinct_ordered FROM unnest(x.kw) AS t(w))"""
 
@@ -545,7 +545,7 @@ kwt AS (
 ),
 kw AS (
   SELECT b.item_id AS query_id,
-         coalesce(list_slice(list(k.w ORDER BY k.first_pos) FILTER (WHERE k.w IS NOT NULL), 1, 4), []) AS kws
+         coalesce(list(k.w ORDER BY k.first_pos) FILTER (WHERE k.w IS NOT NULL), []) AS kws
   FROM benchmark b LEFT JOIN kwt k ON k.query_id = b.item_id GROUP BY b.item_id
 ),
 top AS (SELECT h.query_id, i.chunk_text FROM hits h JOIN ix i ON i.chunk_id = h.chunk_id WHERE h.rank = 1),

@@ -41,8 +41,9 @@ def _case(expr: Column, pairs, default) -> Column:
 def crawl_log(pages: DataFrame, attempt: int = 0) -> DataFrame:
     """page_id, url, http_status, content_type, transport_error, body."""
     pid = F.col("page_id") + 7 * attempt
+    kept = [c for c in ("title", "clean_text") if c in pages.columns]
     return pages.select(
-        "page_id", "url",
+        "page_id", "url", *kept,
         _case(pid % STATUS_MOD, STATUS_CODES, 200).cast("int").alias("http_status"),
         _case(pid % CTYPE_MOD, CTYPES, CTYPE_DEFAULT).alias("content_type"),
         _case(pid % TRANSPORT_MOD, TRANSPORTS, None).cast("string").alias("transport_error"),
@@ -87,28 +88,33 @@ def page_links(spark: SparkSession, sf_dir: str, attempt: int = 0,
     row), or 'indexed'.  ``cleaned`` (from ``cleaned_pages``) lets several
     crawl attempts share one cleaning pass.
     """
-    return links_from_pages(read_table(spark, sf_dir, "pages"), attempt, cleaned)
+    if cleaned is not None:
+        return _links(fetched(cleaned, attempt), F.col("title"), F.col("clean_text"))
+    return links_from_pages(read_table(spark, sf_dir, "pages"), attempt)
 
 
 def cleaned_pages(pages: DataFrame) -> DataFrame:
-    """page_id, title, clean_text: the cleaning of each page body, which does
-    not depend on the crawl attempt (an attempt only decides whether the body
-    was fetched)."""
-    return pages.select("page_id", page_title(F.col("html")).alias("title"),
-                        clean_html(F.col("html")).alias("clean_text"))
-
-
-def links_from_pages(pages: DataFrame, attempt: int = 0, cleaned: DataFrame | None = None) -> DataFrame:
-    """``page_links`` over any DataFrame of pages (a batch, a stream's micro-batch)."""
-    f = fetched(pages, attempt)
-    meta = cleaned if cleaned is not None else cleaned_pages(pages)
-    text = F.when(~F.col("fetch_failed"), F.col("clean_text"))
-    base = (f.drop("body", "content").join(meta, "page_id")
-            .select("page_id", "url", "title",
+    """Pages with their title and cleaned text in place of their markup (of
+    which only a marker stays): what does not depend on the crawl attempt --
+    an attempt only decides whether the body was fetched."""
+    return pages.select("page_id", "url", page_title(F.col("html")).alias("title"),
+                        clean_html(F.col("html")).alias("clean_text"), F.substring("html", 1, 1).alias("html"))
+
+
+def links_from_pages(pages: DataFrame, attempt: int = 0) -> DataFrame:
+    """``page_links`` over any DataFrame of pages (a batch, a stream's
+    micro-batch): outcome, title and text in one projection over one scan; a
+    page whose fetch failed is not cleaned."""
+    return _links(fetched(pages, attempt), page_title(F.col("body")), clean_html(F.col("content")))
+
+
+def _links(f: DataFrame, title: Column, clean: Column) -> DataFrame:
+    text = F.when(~F.col("fetch_failed"), clean)
+    base = f.select("page_id", "url", title.alias("title"),
                     first_path_segment(F.col("url")).alias("folder"),
                     url_domain(F.col("url")).alias("domain"),
                     F.timestamp_seconds(F.lit(DATE_BASE_EPOCH) + F.col("page_id") * 86400).alias("date_added"),
-                    "status_code", "error", "fetch_failed", "fail_reason", text.alias("text")))
+                    "status_code", "error", "fetch_failed", "fail_reason", text.alias("text"))
     n_chunks = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), " "), lambda x: x != ""))
     outcome = (F.when(F.col("fetch_failed"), F.lit("failed"))
                .when(F.col("text").isNull(), F.lit("skipped"))
