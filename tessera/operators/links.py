@@ -5,31 +5,39 @@ double-quoted, single-quoted or bare attribute value, title = visible text;
 empty/missing href dropped, other schemes and relative links kept.
 
 ``parse_exports``: the link-export format (``<DL>`` lists of ``<DT>`` items
-holding ``<H3>`` folder names or ``<A>`` links).  The text is tokenised with
-``regexp_extract_all`` into DL-open, DL-close, H3 and A tokens; ``posexplode``
-gives document order; a running ``sum(+1/-1)`` over DL tokens is the depth; the
-folder at depth *d* is the last H3 seen at depth *d-1*, carried forward by
-``last(..., ignorenulls)`` windows, and a link's folder path is the ``/``-join
-of the names of its enclosing levels (one window per level that occurs).
-Only the first top-level list counts; a nested list with no H3 right before
-it hides its links.  The windows are partitioned by export file: one file is
-one user's export (already a single row of input), never split.
+holding ``<H3>`` folder names or ``<A>`` links).  Comments go first, then the
+text is tokenised with ``regexp_extract_all`` into DL-open, DL-close, H3, DT and
+A tokens.  Where a token stands in the tree needs a stack, so one Arrow UDF
+walks each file's token kinds (never its text) and returns the link tokens
+with their folder paths: linear, no shuffle, any depth.  Only the first
+top-level list counts; a nested list with no H3 right before it hides its
+links.  A file without any list is scanned flat: every anchor is a link
+without folder, date or icon.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.functions.html import decode_entities, strip_tags
+from tessera.functions.html import COMMENT_RE, TAG_RE, decode_entities, pre_clean
 from tessera.functions.text import normalize_ws
 
-ANCHOR_RE = r"(?is)<a\b([^>]*)>(.*?)</a\s*>"
+# Attributes are read as quoted values, bare values or names, so a '>' inside
+# quotes does not end the tag.  An anchor's text ends at </a>, at the next <a
+# or at the end of the page.  ANCHOR_RE states the rule for engines whose
+# matching needs no stack; Java's does, so the scan cuts pages at their anchors.
+ATTRS_RE2 = r"""(?:\s(?:"[^"]*"|'[^']*'|[^>"'])*)?"""
+ANCHOR_RE = rf"(?is)<a({ATTRS_RE2})>([^<]*(?:<(?:[^a/]|a[^\s>]|/[^a]|/a[^\s>])[^<]*)*)"
+ATTRS = r"""(?:\s(?:"[^"]*+"|'[^']*+'|[^>"']++)*+)?"""
+OPEN_RE, CLOSE_RE = r"(?i)<a(?=[\s>])", r"(?i)</a(?=[\s>])"
 
 
 def attr_re(name: str) -> str:
     """An attribute with a double-quoted, single-quoted or bare value (groups 1-3)."""
-    return rf"""(?is)\b{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
 def attr_value(attrs: Column, name: str) -> Column:
@@ -40,15 +48,23 @@ def attr_value(attrs: Column, name: str) -> Column:
 
 
 def anchor_title(inner: Column) -> Column:
-    return normalize_ws(decode_entities(strip_tags(inner)))
+    """Visible text of an anchor; tags inside it leave no space behind."""
+    return normalize_ws(decode_entities(F.regexp_replace(inner, TAG_RE, "")))
 
 
 def scan_anchors(pages: DataFrame, key: str = "page_id", html: str = "html",
                  keep_empty: bool = False) -> DataFrame:
     """key, pos (0-based anchor position), url, title."""
-    a = pages.select(key, F.regexp_extract_all(F.col(html), F.lit(ANCHOR_RE), 1).alias("attrs"),
-                     F.regexp_extract_all(F.col(html), F.lit(ANCHOR_RE), 2).alias("inner"))
-    out = (a.select(key, F.posexplode(F.arrays_zip("attrs", "inner")).alias("pos", "z"))
+    tag = rf"(?s)^({ATTRS})>"
+    parts = F.split(pre_clean(F.col(html)), OPEN_RE)
+    cut = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.rlike(tag))
+
+    def anchor(x: Column) -> Column:
+        attrs = F.regexp_extract(x, tag, 1)
+        body = x.substr(F.length(attrs) + 2, F.length(x))
+        return F.struct(attrs.alias("attrs"), F.element_at(F.split(body, CLOSE_RE, 2), 1).alias("inner"))
+
+    out = (pages.select(key, F.posexplode(F.transform(cut, anchor)).alias("pos", "z"))
            .select(key, F.col("pos").cast("int").alias("pos"),
                    attr_value(F.col("z.attrs"), "href").alias("url"),
                    anchor_title(F.col("z.inner")).alias("title")))
@@ -57,13 +73,51 @@ def scan_anchors(pages: DataFrame, key: str = "page_id", html: str = "html",
 
 # --- link exports ----------------------------------------------------------
 
-TOKEN_RE = r"(?is)(<dl\b[^>]*>|</dl\s*>|<h3\b[^>]*>.*?</h3\s*>|<dt\b[^>]*>|<a\b[^>]*>.*?(?:</a\s*>|<|$))"
+# Text of a link: up to a tag that is no inline markup.
+INLINE = r"</?(?:b|i|u|em|strong|span|font|small|code|sub|sup)(?:\s[^>]*)?>"
+LINK_RE = rf"(?is)^<a({ATTRS})>([^<]*(?:{INLINE}[^<]*)*)"
+TOKEN_RE = (rf"(?is)(<dl\b[^>]*>|</dl\s*>|<h3\b[^>]*>[^<]*(?:{INLINE}[^<]*)*</h3\s*>|<dt\b[^>]*>"
+            rf"|<a{ATTRS}>[^<]*(?:{INLINE}[^<]*)*)")
+PLACES = T.ArrayType(T.StructType([T.StructField("tok", T.IntegerType()), T.StructField("folder", T.StringType()),
+                                   T.StructField("listed", T.BooleanType())]))
+
+
+def place_links(kinds: list[str], names: list[str]) -> list[tuple[int, str, bool]]:
+    """(1-based token, folder path, True) of the links of one file, by a stack of list names; without any list
+    all links, False.  Kinds: o(pen), c(lose), h(3), d(t), a."""
+    if "o" not in kinds:
+        return [(k, "", False) for k, kind in enumerate(kinds, 1) if kind == "a"]
+    out, stack, hidden = [], [], 0
+    before, heading = "", None  # the token before; (name, depth) if the last token but DTs was an H3
+    for k, (kind, name) in enumerate(zip(kinds, names), 1):
+        if kind == "o":
+            named = heading is not None and heading[1] == len(stack)
+            stack.append(heading[0] if named else None)
+            hidden += len(stack) > 1 and not named
+        elif kind == "c" and stack:
+            if len(stack) == 1:
+                break  # the first top-level list ends
+            hidden -= stack.pop() is None
+        elif kind == "a" and stack and before == "d" and not hidden:
+            out.append((k, "/".join(stack[1:]), True))
+        if kind != "d":
+            heading = (name, len(stack)) if kind == "h" else None
+        before = kind
+    return out
+
+
+@F.arrow_udf(PLACES)
+def _places(kinds: pa.Array, names: pa.Array) -> pa.Array:
+    fields = ("tok", "folder", "listed")
+    rows = [[dict(zip(fields, x)) for x in place_links(k or [], n or [])] for k, n in zip(kinds.to_pylist(), names.to_pylist())]
+    return pa.array(rows, pa.list_(pa.struct([("tok", pa.int32()), ("folder", pa.string()), ("listed", pa.bool_())])))
 
 
 def parse_add_date(raw: Column, ingest_ts: Column) -> Column:
     """Epoch seconds (possibly fractional) -> timestamp; missing, empty,
     non-numeric or out of year range 1..9999 (e.g. milliseconds) -> ingest_ts."""
-    secs = raw.try_cast("double")
+    number = raw.rlike(r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$")  # no type suffixes, no hex
+    secs = F.when(number, F.trim(raw).try_cast("double"))
     ok = secs.isNotNull() & ~F.isnan(secs) & (secs >= -62135596800.0) & (secs < 253402300800.0)
     ts = F.timestamp_micros(F.round(secs * 1_000_000).cast("bigint"))
     return F.when(ok, ts).otherwise(ingest_ts)
@@ -73,51 +127,24 @@ def parse_exports(exports: DataFrame, ingest_ts: Column, file_col: str = "file_i
                   content: str = "content") -> DataFrame:
     """file_id, pos, url, title, folder, date_added, icon: every link of every
     export in document order (duplicates kept; empty href dropped)."""
-    w = Window.partitionBy(file_col).orderBy("tpos")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    low = F.lower(F.col("tok"))
-    tok = (exports.select(file_col, F.posexplode(
-        F.regexp_extract_all(F.col(content), F.lit(TOKEN_RE), 1)).alias("tpos", "tok"))
-        .withColumn("kind", F.when(low.startswith("<dl"), "open").when(low.startswith("</dl"), "close")
-                    .when(low.startswith("<h3"), "h3").when(low.startswith("<dt"), "dt")
-                    .otherwise("a")))
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    is_open, is_h3 = F.col("kind") == "open", F.col("kind") == "h3"
-    tok = (tok
-           .withColumn("depth", F.sum(step).over(upto))
-           .withColumn("opened", F.sum(is_open.cast("int")).over(upto))
-           .withColumn("top_closed", F.sum(((F.col("kind") == "close") & (F.col("depth") == 0))
-                                           .cast("int")).over(before))
-           .withColumn("prev_kind", F.lag("kind").over(w))
-           .withColumn("prev_h3", F.last(F.when(F.col("kind") != "dt", is_h3), True).over(before))
-           .withColumn("h3_text", F.last(F.when(is_h3, normalize_ws(decode_entities(strip_tags(F.col("tok"))))),
-                                         True).over(before))
-           .withColumn("h3_depth", F.last(F.when(is_h3, F.col("depth")), True).over(before)))
-    tok = tok.where((F.col("opened") > 0) & (F.coalesce("top_closed", F.lit(0)) == 0))
-    # name of the level each DL opens: the H3 right before it, one level up;
-    # an unnamed nested list (\u0000) hides its links, as the format intends
-    named = F.col("prev_h3") & (F.col("h3_depth") == F.col("depth") - 1)
-    tok = tok.withColumn("level_name", F.when(is_open & named, F.col("h3_text"))
-                         .when(is_open, F.lit("\u0000")))
-    # one carried-forward name per nesting level that actually occurs (a small
-    # aggregate first finds the deepest level, so there is no fixed cap)
-    deepest = tok.agg(F.max("depth")).first()[0] or 1
-    levels = [F.when(F.col("depth") >= d, F.last(F.when(is_open & (F.col("depth") == d), F.col("level_name")),
-                                                 True).over(upto))
-              for d in range(2, deepest + 1)]
-    path = F.filter(F.array(*levels), lambda x: x.isNotNull()) if levels else F.array().cast("array<string>")
-    tok = tok.withColumn("levels", path)
-    links = tok.where((F.col("kind") == "a") & (F.col("prev_kind") == "dt")
-                      & ~F.array_contains("levels", "\u0000"))
-    attrs = F.regexp_extract(F.col("tok"), r"(?is)^<a\b([^>]*)>", 1)
-    inner = F.regexp_extract(F.col("tok"), r"(?is)^<a\b[^>]*>(.*?)(?:</a\s*>|<|$)", 1)
-    icon = attr_value(attrs, "icon")
-    out = links.select(
-        file_col, "tpos", attr_value(attrs, "href").alias("url"), anchor_title(inner).alias("title"),
-        F.array_join("levels", "/").alias("folder"),
-        parse_add_date(attr_value(attrs, "add_date"), ingest_ts).alias("date_added"),
-        F.when(icon != "", icon).alias("icon")).where(F.length("url") > 0)
-    return (out.withColumn("pos", F.row_number().over(Window.partitionBy(file_col).orderBy("tpos")) - 1)
-            .select(file_col, F.col("pos").cast("int").alias("pos"), "url", "title", "folder",
-                    "date_added", "icon"))
+    kind = lambda t: (F.when(F.lower(t).startswith("<dl"), "o").when(F.lower(t).startswith("</dl"), "c")
+                      .when(F.lower(t).startswith("<h3"), "h").when(F.lower(t).startswith("<dt"), "d").otherwise("a"))
+    name = lambda t: F.when(F.lower(t).startswith("<h3"), anchor_title(t)).otherwise(F.lit(""))
+    tok = exports.select(file_col, F.regexp_extract_all(
+        F.regexp_replace(content, COMMENT_RE, " "), F.lit(TOKEN_RE), 1).alias("_toks"))
+    tok = tok.select(file_col, "_toks", F.transform("_toks", kind).alias("_kinds"), F.transform("_toks", name).alias("_names"))
+    tok = tok.select(file_col, "_toks", _places("_kinds", "_names").alias("_places"))
+
+    def link(p: Column) -> Column:
+        t = F.element_at("_toks", p["tok"])
+        return F.struct(p["folder"].alias("folder"), p["listed"].alias("listed"), F.regexp_extract(t, LINK_RE, 1).alias("attrs"),
+                        F.regexp_extract(t, LINK_RE, 2).alias("inner"))
+
+    links = F.filter(F.transform("_places", link), lambda x: F.length(attr_value(x["attrs"], "href")) > 0)
+    out = tok.select(file_col, F.posexplode(links).alias("pos", "x"))
+    icon = attr_value(F.col("x.attrs"), "icon")
+    return out.select(
+        file_col, F.col("pos").cast("int").alias("pos"), attr_value(F.col("x.attrs"), "href").alias("url"),
+        anchor_title(F.col("x.inner")).alias("title"), F.col("x.folder").alias("folder"),
+        F.when(F.col("x.listed"), parse_add_date(attr_value(F.col("x.attrs"), "add_date"), ingest_ts)).otherwise(ingest_ts).alias("date_added"),
+        F.when(F.col("x.listed") & (icon != ""), icon).alias("icon"))

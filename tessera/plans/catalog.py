@@ -700,13 +700,12 @@ def q_read_qa(spark, sf):
 
 @register("write_index")
 def q_write_index(spark, sf):
-    """Publish the first run's links and chunks as snapshots; read them back."""
+    """Publish the first run's links and embedded chunks as one version of the
+    index; read it back."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
     lk = _run_links(spark, sf, 0)
-    links = lk.select("url", "title", "folder", "date_added", "domain", "status")
-    chunks = pg.page_chunks(lk)
-    store.publish(spark, links, root, "links", partition_col="url")
-    store.publish(spark, chunks, root, "chunks", partition_col="url")
+    now = F.to_timestamp(F.lit(pg.INGEST_TS[0]))
+    store.publish_index(spark, root, {"links": ix.first_snapshot(lk, now), "chunks": pg.page_chunks(lk, hash_dim=DEFAULT_DIM)})
     l2 = store.read_current(spark, root, "links")
     c2 = store.read_current(spark, root, "chunks")
     return (l2.agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit("links"))

@@ -398,12 +398,13 @@ def anchors_cte(tag: str = "an", keep_empty: bool = False) -> str:
     where = "" if keep_empty else f"WHERE length({url}) > 0"
     return f"""
 {tag}_raw AS (
-  SELECT page_id, regexp_extract_all(html, {pat}, 1) AS a1, regexp_extract_all(html, {pat}, 2) AS a2 FROM pages
+  SELECT page_id, regexp_extract_all(h, {pat}, 1) AS a1, regexp_extract_all(h, {pat}, 2) AS a2
+  FROM (SELECT page_id, {pre_clean("html")} AS h FROM pages)
 ),
 {tag}_x AS (
   SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, a1[i] AS attrs, a2[i] AS inr
   FROM (SELECT page_id, a1, a2, unnest(range(1, len(a1) + 1)) AS i FROM {tag}_raw)
 ),
 {tag} AS (
-  SELECT page_id, pos, {url} AS url, {visible_text("inr")} AS title FROM {tag}_x {where}
+  SELECT page_id, pos, {url} AS url, {norm(decode_entities(rx("inr", H.TAG_RE, "")))} AS title FROM {tag}_x {where}
 )"""

@@ -126,12 +126,25 @@ def _links(f: DataFrame, title: Column, clean: Column) -> DataFrame:
     return base.withColumn("outcome", outcome).withColumn("reason", reason)
 
 
-def page_chunks(links: DataFrame, chunk_size: int = 400, overlap: int = 50) -> DataFrame:
-    """Chunks of the indexed pages: chunk_id, url, chunk_index, chunk_text, start, end."""
+def page_chunks(links: DataFrame, chunk_size: int = 400, overlap: int = 50, hash_dim: int | None = None) -> DataFrame:
+    """Chunks of the indexed pages: chunk_id, url, chunk_index, chunk_text,
+    start, end, and with ``hash_dim`` their embedding (what a stored index
+    needs to be searched)."""
     ch = chunk_documents(links.where(F.col("outcome") == "indexed").select("url", "text"),
-                         ["url"], "text", chunk_size=chunk_size, overlap=overlap)
+                         ["url"], "text", chunk_size=chunk_size, overlap=overlap, hash_dim=hash_dim)
     return ch.select(chunk_id(F.col("url"), F.col("chunk_index")).alias("chunk_id"), "url",
-                     "chunk_index", "chunk_text", "start", "end")
+                     "chunk_index", "chunk_text", "start", "end", *(["embedding"] if hash_dim else []))
+
+
+def stored_index(spark: SparkSession, root: str) -> DataFrame | None:
+    """The published chunks with their links' metadata, ready for ``topk_batch``; None if nothing is published.
+
+    Both tables come from one manifest, so they belong together."""
+    from tessera.sources import store
+    links, chunks = store.read_current(spark, root, "links"), store.read_current(spark, root, "chunks")
+    if links is None or chunks is None:
+        return None
+    return chunks.join(links.select("url", "title", "folder", "domain", "date_added"), "url")
 
 
 def page_index(spark: SparkSession, sf_dir: str, dim: int = 384, attempt: int = 0) -> DataFrame:

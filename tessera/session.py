@@ -103,12 +103,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared folder and is honoured as is.
-    Only when it is unset (local runs, tests) do we pick a scratch folder.
+    Only when it is unset and the master is local (tests) do we pick a scratch
+    folder; on a cluster a machine-local folder would lose files, so there the
+    setting is required.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
+        master = spark.sparkContext.master or ""
+        if not (master.startswith("local[") or master == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="tessera-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         try:
             spark.conf.set("spark.checkpoint.dir", current)

@@ -1,78 +1,94 @@
-"""Index snapshots on shared storage: write a new directory, then publish it.
-
-``publish`` writes the snapshot directory first and only then replaces the
-table's ``_CURRENT`` pointer (write a temporary file, rename it into place)
-through the Hadoop FileSystem API, so readers see either the old or the new
-snapshot and a retried job simply writes another directory.  Works on any
-Hadoop-compatible filesystem Spark is configured for.
+"""Index snapshots on shared storage: write new directories, then publish them.
+
+A version of the index names all its tables at once: ``publish_index`` writes
+every table to a directory of its own and then one small manifest
+``_versions/v<number>.json`` that lists them.  A manifest is written under
+another name first and moved to its number only if that number is free, so a
+reader sees either the old version or the new one with all its tables, and of
+two writers one fails and can build on the other's version.  Readers take the
+highest number.  Works on any Hadoop-compatible filesystem Spark is
+configured for.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-POINTER = "_CURRENT"
+VERSIONS = "_versions"
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
-    fs, p = _fs(spark, path)
-    out = fs.create(p, True)
+    fs, p = _path(spark, path)
+    out = fs.create(p, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    fs, p = _fs(spark, path)
+def _move_if_absent(spark: SparkSession, src: str, dst: str) -> None:
+    """Rename that fails when ``dst`` exists."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    option = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = sc._gateway.new_array(option, 1)
+    options[0] = option.NONE
+    _, a = _path(spark, src)
+    fs, b = _path(spark, dst)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration())
+    context.rename(a, b, options)
+
+
+def current_version(spark: SparkSession, root: str) -> int:
+    """The highest published version, 0 if none is."""
+    fs, p = _path(spark, f"{root.rstrip('/')}/{VERSIONS}")
     if not fs.exists(p):
+        return 0
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return max([int(n[1:-5]) for n in names if n.startswith("v") and n.endswith(".json")], default=0)
+
+
+def manifest(spark: SparkSession, root: str) -> dict | None:
+    """The current version's manifest: tables (name -> directory), note."""
+    version = current_version(spark, root)
+    if not version:
         return None
-    jvm = spark.sparkContext._jvm
+    fs, p = _path(spark, f"{root.rstrip('/')}/{VERSIONS}/v{version:012d}.json")
     stream = fs.open(p)
     try:
-        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
         stream.close()
 
 
-def publish(spark: SparkSession, df: DataFrame, root: str, table: str,
-            partition_col: str | None = None, n_parts: int | None = None) -> str:
-    """Write ``df`` as a new snapshot of ``root/table`` and point readers at it.
+def publish_index(spark: SparkSession, root: str, tables: dict[str, DataFrame], note: dict | None = None) -> int:
+    """Write all ``tables`` and publish them as the next version; its number.
 
-    ``partition_col``: hash-partition rows by this column before writing, so
-    each url's rows land in one file group (co-located for the next merge).
+    Rows are written as the job's own partitions have them: a hot url is not
+    gathered into one task.  ``note`` is kept in the manifest (a stream's
+    batch number, say).
     """
-    snap = f"{root.rstrip('/')}/{table}/snap-{uuid.uuid4().hex}"
-    out = df
-    if partition_col:
-        out = df.repartition(n_parts or spark.sparkContext.defaultParallelism, partition_col)
-    out.write.parquet(snap)
-    tmp = f"{root.rstrip('/')}/{table}/.{POINTER}-{uuid.uuid4().hex}"
-    _write_text(spark, tmp, snap)
-    fs, dst = _fs(spark, f"{root.rstrip('/')}/{table}/{POINTER}")
-    _, src = _fs(spark, tmp)
-    if fs.exists(dst):
-        fs.delete(dst, False)
-    if not fs.rename(src, dst):
-        raise OSError(f"could not publish {snap}")
-    return snap
-
-
-def current(spark: SparkSession, root: str, table: str) -> str | None:
-    return _read_text(spark, f"{root.rstrip('/')}/{table}/{POINTER}")
-
-
-def read_current(spark: SparkSession, root: str, table: str, schema: str | None = None) -> DataFrame | None:
-    """The published snapshot, or None when the table was never written."""
-    snap = current(spark, root, table)
-    if snap is None:
-        return spark.createDataFrame([], schema) if schema else None
-    return spark.read.parquet(snap.strip())
+    root = root.rstrip("/")
+    version = current_version(spark, root) + 1
+    where = {}
+    for name, df in tables.items():
+        where[name] = f"{root}/{name}/snap-{uuid.uuid4().hex}"
+        df.write.parquet(where[name])
+    draft = f"{root}/{VERSIONS}/draft-{uuid.uuid4().hex}"
+    _write_text(spark, draft, json.dumps({"version": version, "tables": where, "note": note or {}}))
+    _move_if_absent(spark, draft, f"{root}/{VERSIONS}/v{version:012d}.json")
+    return version
+
+
+def read_current(spark: SparkSession, root: str, table: str) -> DataFrame | None:
+    """A table of the current version, or None when it was never published."""
+    m = manifest(spark, root)
+    return spark.read.parquet(m["tables"][table]) if m and table in m["tables"] else None

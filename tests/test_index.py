@@ -57,3 +57,16 @@ def test_last_wins(spark):
                                 ("u", "third", 1, 2)], "url string, title string, file_id int, pos int")
     got = {r.url: r.title for r in ix.last_wins(df).collect()}
     assert got == {"u": "third", "v": "only"}
+
+
+def test_repeated_urls_and_chunks_count_once(spark):
+    rows = [("u", "first", "f", T0, "d", "failed", 0, 0), ("u", "last", "f", T0, "d", "indexed", 0, 1), ("v", "only", "f", T0, "d", "indexed", 1, 0)]
+    new = spark.createDataFrame(rows, NEW + ", file_id int, pos int")
+    want = {"u": "last", "v": "only"}
+    first = ix.first_snapshot(new, F.lit(T0))
+    assert first.count() == 2 and {r.url: r.title for r in first.collect()} == want
+    again = ix.upsert_links(first, new, F.lit(T1))
+    assert again.count() == 2 and {r.url: r.title for r in again.collect()} == want
+    assert {(r.created_at, r.updated_at) for r in again.collect()} == {(T0, T1)}
+    chunks = spark.createDataFrame([("u", 0, "a"), ("u", 0, "a"), ("u", 1, "b")], "url string, chunk_index int, t string")
+    assert ix.replace_chunks(chunks.limit(0), chunks).count() == 2

@@ -80,3 +80,19 @@ def test_zero_vector_scores_nan_first(spark):
             ("b", "u", "A", "d", dt.datetime(2024, 1, 1), [1.0, 0.0])]
     h = topk_single(spark.createDataFrame(rows, IDX), [1.0, 0.0], 2, key_cols=["chunk_id"]).orderBy("rank").collect()
     assert h[0].chunk_id == "a" and np.isnan(h[0].score)
+
+
+def test_wrong_widths_fail_and_ids_may_be_of_any_type(spark):
+    import pytest
+
+    from tessera.operators.retrieve import topk_batch
+    index = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("none", None)], "chunk_id string, embedding array<double>")
+    q = spark.createDataFrame([((1, "x"), [1.0, 0.1]), ((2, "y"), [0.1, 1.0])], "query_id struct<a:int,b:string>, embedding array<double>")
+    got = {(r.query_id.b, r["rank"]): r.chunk_id for r in topk_batch(index, q, 2).collect()}
+    assert got == {("x", 1): "a", ("x", 2): "b", ("y", 1): "b", ("y", 2): "a"}
+    blocks = topk_batch(index, q, 2, max_block_bytes=16)  # one question to a block
+    assert {(r.query_id.b, r["rank"]): r.chunk_id for r in blocks.collect()} == got
+    wide = index.unionByName(spark.createDataFrame([("c", [1.0, 0.0, 0.0])], index.schema))
+    with pytest.raises(Exception, match="width"):
+        topk_batch(wide, q, 1).collect()
+    assert topk_batch(index, q.limit(0), 1).count() == 0
