@@ -1,75 +1,59 @@
 """Which documents contain which passages (ground truth for passage questions).
 
 A theta join ``instr(doc, passage) > 0`` would test every (document, passage)
-pair.  Instead each document partition runs one Aho-Corasick automaton over
-its texts (``mapInPandas``): cost is linear in the text plus the matches,
-whatever the number of passages.  The passage side is broadcast, so it is
-streamed to the driver in blocks of bounded size; each block is one more scan
-of the documents, and the matches of all blocks are unioned.
+pair.  Instead both sides meet on a key that containment implies: the words
+strictly inside a passage stand whole and in a row in every text that
+contains it, so a passage of five words or more is keyed by its second to
+fourth word, and a document by all its three-word runs.  Shorter passages are
+keyed by their first characters, and documents by all their character runs of
+that length (planned, but skipped by adaptive execution when there are no such
+passages).  An equi-join finds candidates; the substring test decides.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-MAX_BLOCK_BYTES = 64 * 1024 * 1024
+RUN_WORDS = 3
+SHORT_CHARS = 4
+_SPACES = r"[ \t-\r]+"
 
 
-def _blocks(passages: DataFrame, key: str, text: str, max_bytes: int):
-    block, used = [], 0
-    for row in passages.select(key, text).where(F.length(text) > 0).toLocalIterator():
-        block.append((row[key], row[text]))
-        used += 2 * len(row[text]) + 16
-        if used >= max_bytes:
-            yield block
-            block, used = [], 0
-    if block:
-        yield block
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, _SPACES), lambda w: w != "")
 
 
-def contains_passages(docs: DataFrame, doc_key: str, doc_text: str,
-                      passages: DataFrame, passage_key: str, passage_text: str,
-                      max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """(doc_key, passage_key) for every document text containing a passage."""
-    spark = docs.sparkSession
-    key_field = docs.select(doc_key).schema.fields[0]
-    pkey_field = passages.select(passage_key).schema.fields[0]
-    schema = T.StructType([key_field, pkey_field])
-    parts = []
-    for block in _blocks(passages, passage_key, passage_text, max_block_bytes):
-        bc = spark.sparkContext.broadcast(block)
+def _grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text that is that long."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: text.substr(i, F.lit(n)))
+
 
-        def run(batches, bc=bc):
-            import ahocorasick
-            auto = ahocorasick.Automaton()
-            by_text: dict[str, list] = {}
-            for pk, txt in bc.value:
-                by_text.setdefault(txt, []).append(pk)
-            for txt, pks in by_text.items():
-                auto.add_word(txt, pks)
-            auto.make_automaton()
-            for pdf in batches:
-                out_d, out_p = [], []
-                for dk, t in zip(pdf[doc_key], pdf[doc_text]):
-                    if not isinstance(t, str) or not t:
-                        continue
-                    seen = set()
-                    for _, pks in auto.iter(t):
-                        for pk in pks:
-                            if pk not in seen:
-                                seen.add(pk)
-                                out_d.append(dk)
-                                out_p.append(pk)
-                if out_d:
-                    yield pd.DataFrame({doc_key: out_d, passage_key: out_p})
+def _candidates(docs: DataFrame, passages: DataFrame, keys_of_doc: Column) -> DataFrame:
+    """(_d, _p) pairs that share a key; the passage side is broadcast by Spark when it measures small."""
+    keyed = docs.select("_d", F.explode(F.array_distinct(keys_of_doc)).alias("_key"))
+    return keyed.join(passages.select("_p", "_key"), "_key").select("_d", "_p")
 
-        parts.append(docs.select(doc_key, doc_text).mapInPandas(run, schema))
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+
+def contains_passages(docs: DataFrame, doc_key: str, doc_text: str,
+                      passages: DataFrame, passage_key: str, passage_text: str) -> DataFrame:
+    """(doc_key, passage_key) for every document text containing a passage, each pair once.
+
+    Keys are not null; documents with the same key count as one if any contains the passage.  Null and empty
+    texts contain nothing, empty passages are in no document."""
+    d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_text"))
+    p = passages.select(F.col(passage_key).alias("_p"), F.col(passage_text).alias("_passage")).where(F.length("_passage") > 0)
+    words = p.withColumn("_w", _words(F.col("_passage")))
+    long = F.size("_w") >= RUN_WORDS + 2
+    run = lambda w, i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(RUN_WORDS)])
+
+    keyed = words.where(long).withColumn("_key", run(F.col("_w"), F.lit(2)))
+    tokens = d.withColumn("_w", _words(F.col("_text"))).where(F.size("_w") >= RUN_WORDS)
+    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (RUN_WORDS - 1)), lambda i: run(F.col("_w"), i))
+    found = _candidates(tokens, keyed, runs)
+    for n in range(1, SHORT_CHARS + 1):
+        exact = F.length("_passage") >= n if n == SHORT_CHARS else F.length("_passage") == n
+        keyed = words.where(~long & exact).withColumn("_key", F.substring("_passage", 1, n))
+        found = found.unionByName(_candidates(d.where(F.length("_text") >= n), keyed, _grams(F.col("_text"), n)))
+    pairs = found.distinct().join(p, "_p").join(d, "_d").where(F.contains("_text", "_passage"))
+    return pairs.select(F.col("_d").alias(doc_key), F.col("_p").alias(passage_key)).distinct()

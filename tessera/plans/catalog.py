@@ -574,8 +574,9 @@ def q_check_qa_set(spark, sf):
 @register("eval_by_difficulty")
 def q_eval_by_difficulty(spark, sf):
     """Means per difficulty plus the overall row (difficulty null)."""
-    diff = ev.question_difficulty(spark, sf)
-    per_q = question_metrics(ev.default_hits(spark, sf), ev.passage_truth(spark, sf),
+    truth = ev.passage_truth(spark, sf)
+    diff = ev.question_difficulty(spark, sf, truth)
+    per_q = question_metrics(ev.default_hits(spark, sf), truth,
                              ev.passage_questions(spark, sf), DEFAULT_K)
     j = per_q.join(diff.select("query_id", "difficulty"), "query_id")
     return j.rollup("difficulty").agg(

@@ -48,12 +48,10 @@ def passage_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, url): documents containing the passage verbatim."""
+    """(query_id, url): documents containing the passage verbatim; written once, so its readers share it."""
     docs = eval_documents(spark, sf_dir)
     q = passage_questions(spark, sf_dir)
-    pairs = contains_passages(docs, "doc_id", "text", q, "query_id", "question")
-    return (pairs.join(docs.select("doc_id", "url"), "doc_id")
-            .select("query_id", "url"))
+    return contains_passages(docs, "url", "text", q, "query_id", "question").select("query_id", "url").checkpoint()
 
 
 def eval_links(docs: DataFrame) -> DataFrame:
@@ -97,7 +95,7 @@ def compare_chunking(spark: SparkSession, sf_dir: str,
         index = strategy_index(docs, strategies, dim).select(
             "chunk_id", "url", "strategy", "embedding").checkpoint()
     questions = passage_questions(spark, sf_dir)
-    truth = passage_truth(spark, sf_dir).checkpoint()
+    truth = passage_truth(spark, sf_dir)
     hits = strategy_hits(index, questions, strategies, k, dim)
     strat = spark.createDataFrame(list(strategies), "strategy string, chunk_size int, overlap int")
     names = F.array(*[F.lit(s[0]) for s in strategies])
@@ -125,12 +123,13 @@ def default_hits(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, dim: int
     return strategy_hits(index, passage_questions(spark, sf_dir), DEFAULT_ONLY, k, dim, carry)
 
 
-def question_difficulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+def question_difficulty(spark: SparkSession, sf_dir: str, truth: DataFrame | None = None) -> DataFrame:
     """query_id, n_truth, difficulty: 'hard' when no document holds the
     passage, 'medium' for one, else 'easy'.  Counted with an aggregate (no
     per-question url list is built)."""
     q = passage_questions(spark, sf_dir).select("query_id")
-    n = passage_truth(spark, sf_dir).groupBy("query_id").agg(F.count_distinct("url").alias("n_truth"))
+    truth = passage_truth(spark, sf_dir) if truth is None else truth
+    n = truth.groupBy("query_id").agg(F.count_distinct("url").alias("n_truth"))
     d = q.join(n, "query_id", "left").withColumn("n_truth", F.coalesce("n_truth", F.lit(0)))
     return d.withColumn("difficulty", F.when(F.col("n_truth") == 0, "hard")
                         .when(F.col("n_truth") == 1, "medium").otherwise("easy"))
@@ -143,10 +142,10 @@ def qa_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     letters or more."""
     from tessera.functions.text import word_tokens
     q = passage_questions(spark, sf_dir)
-    truth = passage_truth(spark, sf_dir).groupBy("query_id").agg(
-        F.array_sort(F.collect_set("url")).alias("ground_truth_urls"))
+    pairs = passage_truth(spark, sf_dir)
+    truth = pairs.groupBy("query_id").agg(F.array_sort(F.collect_set("url")).alias("ground_truth_urls"))
     kw = F.array_distinct(F.filter(word_tokens(F.col("question")), lambda w: F.length(w) >= 6))
-    out = (q.join(truth, "query_id", "left").join(question_difficulty(spark, sf_dir), "query_id")
+    out = (q.join(truth, "query_id", "left").join(question_difficulty(spark, sf_dir, pairs), "query_id")
            .withColumn("ground_truth_urls", F.coalesce("ground_truth_urls", F.array().cast("array<string>"))))
     return out.select("query_id", "question", kw.alias("expected_answer_keywords"), "ground_truth_urls",
                       "difficulty")
