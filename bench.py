@@ -19,6 +19,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from tessera.plans.catalog import REGISTRY  # noqa: E402
 from tessera.session import build_session  # noqa: E402
+from tessera.sources.tables import SPREAD_CONF  # noqa: E402
 
 HEADLINE = (
     "main_text",            # HTML cleaning over all pages
@@ -35,7 +36,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = sys.argv[1:] or list(HEADLINE)
-    extra = {"spark.driver.memory": "16g"}
+    # the tables here are single-row-group files: spread them once when read
+    extra = {"spark.driver.memory": "16g", SPREAD_CONF: str(cpus)}
     if os.environ.get("BENCH_EVENT_LOG"):
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
     spark = build_session(f"local[{cpus}]", app="tessera-bench", shuffle_partitions=max(8, 2 * cpus),

@@ -33,6 +33,7 @@ from tessera.functions.text import token_hash_codes
 DEFAULT_DIM = 384  # width of the reference's vector column
 
 VECTOR = T.ArrayType(T.FloatType())
+SLICE_CELLS = 1 << 22  # numbers in the working matrix (32 MB)
 
 
 def _codes_to_vector(codes, dim: int) -> np.ndarray:
@@ -52,10 +53,18 @@ def codes_to_vectors(values: np.ndarray, first: np.ndarray, last: np.ndarray, di
     """Vectors for many token ranges ``values[first[i]:last[i]]`` at once:
     distinct (row, hash) pairs, one ``bincount`` over (row, bucket), then
     row-wise L2 norm."""
+    if len(first) * dim >= 1 << 31:
+        raise ValueError("vectors of one Arrow batch exceed its offsets; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    out = np.zeros((len(first), dim), dtype=np.float32)
+    step = max(1, SLICE_CELLS // dim)
+    for a in range(0, len(first), step):  # the wide working matrix stays bounded
+        out[a:a + step] = _slice_to_vectors(values, first[a:a + step], last[a:a + step], dim)
+    return out
+
+
+def _slice_to_vectors(values: np.ndarray, first: np.ndarray, last: np.ndarray, dim: int) -> np.ndarray:
     n = len(first)
     lengths = last - first
-    if n == 0:
-        return np.zeros((0, dim), dtype=np.float32)
     rows = np.repeat(np.arange(n), lengths)
     starts_out = np.cumsum(lengths) - lengths
     idx = np.arange(int(lengths.sum())) - np.repeat(starts_out, lengths) + np.repeat(first, lengths)

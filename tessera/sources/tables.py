@@ -9,7 +9,9 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-SPREAD_MAX_PARTITIONS = 16
+# Session setting: number of partitions that a table is spread to once when it
+# is read.  Unset (the default): scans are never reshuffled, whatever their size.
+SPREAD_CONF = "spark.tessera.read.spread"
 
 # Row keys used to spread a table whose files give too few read tasks.
 SPREAD_KEYS = {
@@ -19,24 +21,17 @@ SPREAD_KEYS = {
 }
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
     """Scan one table.
 
-    A Parquet file written as a single row group is read by one task however
-    it is split, which would run all CPU-heavy text work of that table on one
-    core.  When the scan yields only a handful of partitions (at most
-    ``SPREAD_MAX_PARTITIONS``, and fewer than the default parallelism), rows
-    are hash-spread on the table's key (deterministic, so a retried task sees
-    the same rows).  A large table scans into hundreds or thousands of
-    partitions and is never reshuffled here.
+    Parquet files written as one row group are read by one task each, which
+    would run all CPU-heavy text work of a small table on one core.  An
+    explicit ``spread`` (or the session's ``SPREAD_CONF``) hash-spreads rows
+    on the table's key to so many partitions (deterministic, so a retried
+    task sees the same rows); without it the scan stays as it is.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    keys = SPREAD_KEYS.get(name)
-    if spread and keys:
-        want = spark.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-        if n < want and n <= SPREAD_MAX_PARTITIONS:
-            df = df.repartition(want, *keys)
-    return df
+    spread = spread or int(spark.conf.get(SPREAD_CONF, "0"))
+    return df.repartition(spread, *SPREAD_KEYS[name]) if spread and name in SPREAD_KEYS else df

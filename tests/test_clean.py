@@ -48,3 +48,26 @@ def test_blanks_fold_and_entities_resolve(clean):
 def test_titles(spark):
     df = spark.createDataFrame([("<head><TITLE lang=fr>Avis\n de  tempête &amp; houle</TITLE></head>",), ("<p>none</p>",)], "html string")
     assert [r.t for r in df.select(page_title(F.col("html")).alias("t")).collect()] == ["Avis de tempête & houle", ""]
+
+
+@pytest.mark.parametrize("noise", [
+    '<div class="ads">x <div>inner</div> tail</div>', "<table class=nav><tr><td>cell</td></tr></table>", "<header id=Header-1>h</header>",
+    '<aside>a <aside>b</aside> c</aside>', '<p title="a > b" class="my-sidebar">quoted</p>', "<div class=footer>never closed",
+])
+def test_noise_of_any_element_goes_with_all_inside(clean, noise):
+    assert clean(f"<body><section>{noise}</section><p>{NOTE}</p></body>") == [NOTE]
+
+
+def test_words_in_other_attributes_are_no_noise(clean):
+    page = f'<body><p data-id="header" title="ads" onclick="go(\'nav\')">{NOTE}</p><br class="ads">{STEP}</body>'
+    assert clean(page) == [f"{NOTE} {STEP}"]
+
+
+def test_unclosed_openers_take_linear_time(clean):
+    import time
+    took = []
+    for n in (20_000, 40_000):
+        began = time.time()
+        assert clean("<body>" + NOTE + "<div class='ads'>" * n) == [NOTE]
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 2
