@@ -487,10 +487,11 @@ def q_blank_query_guard(spark, sf):
 def _answer_inputs(spark, sf):
     """Questions = page titles, each restricted to its own domain (pages whose
     domain has nothing indexed get no hits); hits carry link metadata."""
-    # the hit rows carry what the answer needs: only k rows per question leave
-    # the scorer, so no join back to the (large) index is needed
+    # the hit rows carry what the answer needs (k rows per question and index
+    # partition leave the scorer), so no join back to the (large) index is
+    # needed; k rows per question are written once and read by every step after
     hits = _page_hits(spark, sf, domain=True,
-                      carry=("url", "chunk_text", "title", "folder", "domain", "date_added"))
+                      carry=("url", "chunk_text", "title", "folder", "domain", "date_added")).checkpoint()
     questions = pg.page_questions(spark, sf).select("query_id", "question")
     return questions, hits
 

@@ -172,7 +172,7 @@ def eval_details(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K) -> DataFr
     truth urls, retrieved urls in rank order, metrics."""
     from tessera.operators import answer as ans
     from tessera.operators.evaluate import question_metrics
-    hits = default_hits(spark, sf_dir, k, carry=("chunk_text",)).withColumn("title", F.col("url"))
+    hits = default_hits(spark, sf_dir, k, carry=("chunk_text",)).checkpoint().withColumn("title", F.col("url"))
     truth = passage_truth(spark, sf_dir)
     q = passage_questions(spark, sf_dir)
     m = question_metrics(hits, truth, q, k)
