@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch_path, write_shared
+from tessera.llm.common import scratch_path, write_shared, written
 from tessera.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words in the lexicon (a bound for the driver and the mapped file, not for the results).
@@ -33,11 +34,20 @@ MEMO_WORDS = 1 << 18
 ID_BITS = 32
 ID_MASK = (1 << ID_BITS) - 1
 NO_MERGE = 1 << 62
+HASH = 0x9E3779B97F4A7C15  # an odd multiplier
+#: Characters of text whose words are looked up together.
+SLICE_CHARS = 1 << 20
 #: The pretoken pattern of byte-level BPE with white space spelt out (fixed value).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 
+# The same pattern for texts up to U+00FF, whose letters, numbers and white space are few; the standard library is
+# faster on it (fixed values: the Latin-1 members of \p{L}, \p{N} and White_Space).
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", r"\t-\r \x85\xa0"
+LATIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
+
 @lru_cache(1)
 def byte_symbols() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary: bytes that are printable
@@ -48,6 +58,11 @@ def byte_symbols() -> dict[str, int]:
     return out | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def pack(ids: list[int]) -> bytes:
+    """Ids as little-endian int32."""
+    return np.array(ids, dtype="<i4").tobytes()
+
+
 class Vocabulary:
     """What encoding needs of a tokenizer file; small and picklable."""
 
@@ -70,6 +85,7 @@ class Vocabulary:
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self._keys = None
         # rank and new id in one number, so that the least is the merge to do
         self.steps = {pair: rank << ID_BITS | new for pair, (rank, new) in self.merges.items()}
 
@@ -93,6 +109,69 @@ class Vocabulary:
                 pairs[at] = get((ids[at], ids[at + 1]), NO_MERGE)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words at once, as packed int32: in every round each word merges its pair of lowest rank."""
+        short = [k for k, w in enumerate(words) if len(w) <= 128]
+        out = [b"" if len(w) <= 128 else pack(self.merge(w)) for w in words]
+        flat = np.frombuffer(b"".join([words[k] for k in short]), dtype=np.uint8)
+        tokens = np.array(self.byte_ids, dtype=np.int64)[flat]
+        owner = np.repeat(np.arange(len(short)), [len(words[k]) for k in short])
+        done_tokens, done_owner = [], []
+        while len(tokens):
+            step = np.full(len(tokens), NO_MERGE, dtype=np.int64)
+            pair = np.flatnonzero(owner[1:] == owner[:-1])
+            step[pair] = self._table(tokens[pair], tokens[pair + 1])
+            begin = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+            sizes = np.diff(np.r_[begin, len(owner)])
+            best = np.repeat(np.minimum.reduceat(step, begin), sizes)
+            live = best < NO_MERGE
+            done_tokens.append(tokens[~live])
+            done_owner.append(owner[~live])
+            tokens, owner, step, best = tokens[live], owner[live], step[live], best[live]
+            at = np.flatnonzero(step == best)
+            # of overlapping equal pairs the leftmost merges: every other one in a row of neighbours
+            head = np.maximum.accumulate(np.where(np.r_[True, at[1:] != at[:-1] + 1][:len(at)], np.arange(len(at)), 0)) if len(at) else at
+            at = at[(np.arange(len(at)) - head) % 2 == 0]
+            tokens[at] = best[at] & ID_MASK
+            stay = np.ones(len(tokens), dtype=bool)
+            stay[at + 1] = False
+            tokens, owner = tokens[stay], owner[stay]
+        if done_owner:
+            owner = np.concatenate(done_owner)
+            order = np.argsort(owner, kind="stable")
+            packed = np.concatenate(done_tokens)[order].astype("<i4").tobytes()
+            ends = 4 * np.cumsum(np.bincount(owner, minlength=len(short)))
+            begin = 0
+            for k, end in zip(short, ends.tolist(), strict=True):
+                out[k] = packed[begin:end]
+                begin = end
+        return out
+
+    def _table(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Merge steps of many pairs, from a hash table with linear probing."""
+        if self._keys is None:
+            bits = max(8, (4 * len(self.steps)).bit_length())
+            keys, values = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, NO_MERGE, dtype=np.int64)
+            for (a, b), step in self.steps.items():
+                h = ((a << ID_BITS | b) * HASH % (1 << 64)) >> (64 - bits)
+                while keys[h] >= 0:
+                    h = (h + 1) % (1 << bits)
+                keys[h], values[h] = a << ID_BITS | b, step
+            self._keys, self._values, self._shift = keys, values, np.uint64(64 - bits)
+        key = left << ID_BITS | right
+        h = ((key.view(np.uint64) * np.uint64(HASH)) >> self._shift).astype(np.int64)
+        found = self._keys[h]
+        out = self._values[h]
+        out[found != key] = NO_MERGE
+        rest = np.flatnonzero((found != key) & (found >= 0))
+        while len(rest):
+            h[rest] = (h[rest] + 1) % len(self._keys)
+            found = self._keys[h[rest]]
+            hit = found == key[rest]
+            out[rest[hit]] = self._values[h[rest[hit]]]
+            rest = rest[~hit & (found >= 0)]
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, n log n."""
         n, get = len(ids), self.merges.get
@@ -117,9 +196,16 @@ class Vocabulary:
 
 def _splitter(special: dict[str, int]):
     """Text -> its pretokens, with the special tokens as pieces of their own."""
-    find = regex.compile(PATTERN).findall
+    find_any, find_latin = regex.compile(PATTERN).findall, re.compile(LATIN_PATTERN).findall
     cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
 
+    def find(text: str) -> list[str]:
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return find_any(text)
+        return find_latin(text)
+
     def pieces(text: str) -> list[str]:
         if cut is None or not cut.search(text):
             return find(text)
@@ -148,8 +234,15 @@ def _count_words(special: dict[str, int], table: int, emit: int):
 def frequent_words(df: DataFrame, text_col: str, special: dict[str, int], words: int = LEXICON_WORDS) -> list[str]:
     """The words counted most often over all texts of ``df``; each task's table is bounded, so counts of rare words are lower bounds."""
     counted = df.select(F.col(text_col).cast("string")).mapInArrow(_count_words(special, COUNT_TABLE, words), "word string, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+    total = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # a histogram of counts (some hundred rows) tells from which count on words fit the lexicon
+    step = F.floor(F.log2("n") * 32).cast("int")
+    room, least = words, None
+    for row in sorted(total.groupBy(step.alias("step")).count().collect(), reverse=True):
+        if row["count"] > room:
+            break
+        room, least = room - row["count"], row["step"]
+    return [] if least is None else [r["word"] for r in total.where(step >= least).collect()]
 
 
 class Encoder:
@@ -159,26 +252,40 @@ class Encoder:
         self.vocabulary = vocabulary
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.pieces = _splitter(vocabulary.special)
-        self.memo: dict[str, bytes] = {}
-        self.fixed = {s: np.array([i], "<i4").tobytes() for s, i in vocabulary.special.items()}
-
-    def _look_up(self, word: str) -> bytes:
-        raw = word.encode("utf-8")
-        ids = self.lexicon.get(raw) if self.lexicon else None
-        packed = np.array(self.vocabulary.merge(raw) if ids is None else ids, dtype="<i4").tobytes()
-        if len(raw) <= 64:
-            if len(self.memo) >= MEMO_WORDS:
-                self.memo.clear()
-                self.memo.update(self.fixed)
-            self.memo[word] = packed
-        return packed
+        self.fixed = {s: pack([i]) for s, i in vocabulary.special.items()}
+        self.memo, self.older = dict(self.fixed), {}
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Packed ids of words that are not remembered: from the lexicon, else merged."""
+        out, rare, raw_rare = {}, [], []
+        for word in words:
+            if (packed := self.older.get(word)) is None:
+                raw = word.encode("utf-8")
+                ids = self.lexicon.get(raw) if self.lexicon else None
+                if ids is None:
+                    rare.append(word)
+                    raw_rare.append(raw)
+                    continue
+                packed = pack(ids)
+            out[word] = packed
+        out.update(zip(rare, self.vocabulary.merge_many(raw_rare), strict=True))
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed."""
+        pieces = [self.pieces(t) for t in texts]
+        new = self._learn({w for p in pieces for w in p if w not in self.memo})
+        if len(self.memo) + len(new) > MEMO_WORDS:  # what is not met again before the next time is let go
+            self.older, self.memo = self.memo, dict(self.fixed)
+        self.memo.update(new)
+        get, older = self.memo.get, self.older
+        out = [b"".join([get(w) or older[w] for w in p]) for p in pieces]
+        for w in [w for w in new if len(w) > 64]:
+            del self.memo[w]
+        return out
 
     def encode(self, text: str) -> bytes:
-        """The ids of a text as packed little-endian int32."""
-        if not self.memo:
-            self.memo.update(self.fixed)
-        get, look_up = self.memo.get, self._look_up
-        return b"".join([get(w) or look_up(w) for w in self.pieces(text)])
+        return self.encode_many([text])[0]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -217,7 +324,14 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_c
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         encoder = _encoder(key, shared, lexicon)
-        packed = [encoder.encode(t) if t else b"" for t in column.to_pylist()]
+        packed, part, size = [], [], 0
+        for text in column.to_pylist():
+            part.append(text or "")
+            size += len(part[-1])
+            if size >= SLICE_CHARS:
+                packed += encoder.encode_many(part)
+                part, size = [], 0
+        packed += encoder.encode_many(part)
         at = np.zeros(len(packed) + 1, dtype=np.int64)
         np.cumsum([len(p) // 4 for p in packed], out=at[1:])
         if at[-1] >= 1 << 31:
@@ -233,16 +347,13 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", o
     Bytes that are no UTF-8 become U+FFFD; ids that the vocabulary lacks are
     left out; null gives an empty text.
     """
-    shared = df.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer_path).tokens)
+    shared = df.sparkSession.sparkContext.broadcast(defaultdict(bytes, Vocabulary(tokenizer_path).tokens))
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        tokens = shared.value
-        out = []
-        for k in range(len(column)):
-            ids = column[k].values
-            get = tokens.get
-            out.append(b"".join([get(i, b"") for i in ids.to_pylist()]).decode("utf-8", "replace") if ids is not None else "")
-        return pa.array(out, pa.string())
+        token, at = shared.value.__getitem__, column.offsets.to_pylist()
+        ids = column.values.fill_null(-1).to_numpy(zero_copy_only=False)
+        return pa.array([b"".join(map(token, ids[a:b].tolist())).decode("utf-8", "replace")
+                         for a, b in zip(at, at[1:], strict=False)], pa.string())
 
     return df.withColumn(out_col, decode(F.col(ids_col)))

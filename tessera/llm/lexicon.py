@@ -4,7 +4,8 @@ Words (byte strings) are compiled into the smallest acyclic automaton, in
 which words with a common suffix share states.  Every edge carries how many
 words lie before it, so the sum along a word's path is its number among the
 sorted words, and that number leads to its ids.  The automaton is a handful
-of flat arrays in one file, which readers map into memory.
+of flat arrays in one file, which readers map into memory.  A bitmap of word
+hashes in front saves most walks for words that are not there.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import mmap
 from collections.abc import Sequence
 
 import numpy as np
+import xxhash
 
 MAGIC = b"LEX1"
+GUARD_BITS = 22
 
 
 def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> bytes:
@@ -68,9 +71,16 @@ def compile_lexicon(words: Sequence[bytes], ids: Sequence[Sequence[int]]) -> byt
     np.cumsum([len(x) for x in ids], out=out_at[1:])
     parts = [np.array(first, dtype="<u4"), np.array([f for f, _ in nodes], dtype="<u4"), np.array(targets, dtype="<u4"),
              np.array(before, dtype="<u4"), out_at, np.array([i for x in ids for i in x], dtype="<u4"), np.frombuffer(bytes(labels), np.uint8)]
+    guard = np.zeros(1 << GUARD_BITS, dtype=np.uint8)
+    guard[[_guard(w) for w in words]] = 1
+    parts.insert(6, np.packbits(guard, bitorder="little").view("<u4"))
     return MAGIC + np.array([len(p) for p in parts], dtype="<u4").tobytes() + b"".join(p.tobytes() for p in parts)
 
 
+def _guard(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word) & ((1 << GUARD_BITS) - 1)
+
+
 class Lexicon:
     """A compiled lexicon mapped into memory."""
 
@@ -80,16 +90,19 @@ class Lexicon:
         if self._map[:4] != MAGIC:
             raise ValueError(f"{path} is no lexicon")
         view = memoryview(self._map)
-        lengths, at, arrays = view[4:32].cast("I"), 32, []
-        for n in lengths[:6]:
+        lengths, at, arrays = view[4:36].cast("I"), 36, []
+        for n in lengths[:7]:
             arrays.append(view[at:at + 4 * n].cast("I"))
             at += 4 * n
-        self._first, self._final, self._target, self._before, self._out_at, self._out = arrays
+        self._first, self._final, self._target, self._before, self._out_at, self._out, self._guard = arrays
         self._labels_at = at
         self._start = len(self._final) - 1
 
     def get(self, word: bytes) -> list[int] | None:
         """The ids of ``word``, or None if it is not in the lexicon."""
+        bit = _guard(word)
+        if not self._guard[bit >> 5] >> (bit & 31) & 1:
+            return None
         first, find, base = self._first, self._map.find, self._labels_at
         state, number = self._start, 0
         for k in range(len(word)):

@@ -55,6 +55,24 @@ def test_bpe_equals_the_library(spark):
         assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
 
 
+def test_latin_pattern_cuts_like_the_general_one():
+    import regex
+
+    from tessera.llm.bpe import LATIN_PATTERN, PATTERN
+    rng = random.Random(12)
+    for _ in range(3000):
+        t = "".join(chr(rng.choice([rng.randrange(256), 32, 39, 115, 97, 49])) for _ in range(rng.randrange(30)))
+        assert re.findall(LATIN_PATTERN, t) == regex.findall(PATTERN, t)
+
+
+def test_decoding_leaves_out_unknown_ids(spark):
+    prepare(spark)
+    df = spark.createDataFrame([(1, [0, 99_999_999, None, 1]), (2, None), (3, [])], "i int, token_ids array<int>")
+    first = Vocabulary(tokenizer_file()).tokens
+    got = {r["i"]: r["decoded"] for r in bpe_decode(df, tokenizer_file()).collect()}
+    assert got == {1: (first[0] + first[1]).decode(), 2: "", 3: ""}
+
+
 def test_bpe_does_not_depend_on_the_lexicon():
     vocabulary = Vocabulary(tokenizer_file())
     encoder = Encoder(vocabulary, None)
