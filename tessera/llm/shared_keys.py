@@ -29,19 +29,25 @@ def segment_bits(df: DataFrame) -> int:
     return min(ROUTE_BITS - 3, max(4, (8 * df.rdd.getNumPartitions()).bit_length()))
 
 
-def repeated_bitmap(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]]) -> bytes:
+def repeated_bitmap(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], *,
+                    route_bits: int = ROUTE_BITS, key_bytes: int = 8, probes: int = 1) -> bytes:
     """Bitmap over the leading bits of the keys that occur twice or more among all that ``keys_of`` gives.
 
+    Of a key, the bits that name its segment and the next ``8 * key_bytes`` are compared; a chance match sets bits more.
+    A key sets ``probes`` bits, all in its segment's slice; the last three bytes tell ``is_set`` how.
+
     A task sorts its keys and sends each distinct one once, with those that
     repeat already marked; a frequent key thus costs each task one entry.
     The driver gets slices of the bitmap, never keys.
     """
     bits = segment_bits(rows)
-    size = 1 << (ROUTE_BITS - bits - 3)
-    shift, low = U(64 - bits), U(64 - ROUTE_BITS)
+    size = 1 << (route_bits - bits - 3)
+    rest = max(0, 64 - bits - 8 * key_bytes)  # trailing bits that are not compared
+    shift = U(64 - bits - rest)
+    kind = f"<u{key_bytes}"
 
     def deal(parts: list[np.ndarray]) -> pa.RecordBatch:
-        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        keys, counts = np.unique(np.concatenate(parts) >> U(rest), return_counts=True)
         many = keys[counts > 1]
         segment = (keys >> shift).astype(np.int64)
         cuts = np.r_[0, np.flatnonzero(segment[1:] != segment[:-1]) + 1, len(keys)] if len(keys) else np.zeros(1, np.int64)
@@ -49,8 +55,8 @@ def repeated_bitmap(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
         ends = np.r_[of_many[1:], len(many)] if len(of_many) else of_many
         return pa.RecordBatch.from_arrays([
             pa.array(segment[cuts[:-1]].astype(np.int32)),
-            pa.array([keys[a:b].astype("<u8").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
-            pa.array([many[a:b].astype("<u8").tobytes() for a, b in zip(of_many, ends, strict=True)], pa.binary()),
+            pa.array([keys[a:b].astype(kind).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
+            pa.array([many[a:b].astype(kind).tobytes() for a, b in zip(of_many, ends, strict=True)], pa.binary()),
         ], names=["segment", "keys", "many"])
 
     def send(batches):
@@ -66,25 +72,42 @@ def repeated_bitmap(rows: DataFrame, keys_of: Callable[[pa.RecordBatch], Iterato
             yield deal(parts)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.sort(np.concatenate([np.frombuffer(b, "<u8") for b in pdf["keys"]]), kind="stable")
-        many = np.concatenate([keys[1:][keys[1:] == keys[:-1]], *[np.frombuffer(b, "<u8") for b in pdf["many"]]])
+        keys = np.sort(np.concatenate([np.frombuffer(b, kind) for b in pdf["keys"]]), kind="stable")
+        many = np.concatenate([keys[1:][keys[1:] == keys[:-1]], *[np.frombuffer(b, kind) for b in pdf["many"]]]).astype(U)
         if not len(many):
             return pd.DataFrame({"segment": [], "slice": []}).astype({"segment": "int32", "slice": "object"})
+        if rest:
+            many |= U(int(pdf["segment"].iloc[0]) << 8 * key_bytes)  # the leading bits are the segment's
         flags = np.zeros(size * 8, dtype=np.uint8)
-        flags[((many >> low) & U(size * 8 - 1)).astype(np.int64)] = 1
+        for at in _addresses(many, route_bits, bits, rest, probes):
+            flags[at & (size * 8 - 1)] = 1
         return pd.DataFrame({"segment": pdf["segment"].iloc[:1].astype("int32"), "slice": [np.packbits(flags).tobytes()]})
 
     merged = rows.mapInArrow(send, "segment int, keys binary, many binary").groupBy("segment").applyInPandas(merge, "segment int, slice binary")
     bitmap = bytearray(size << bits)
     for row in merged.toLocalIterator():  # 2^ROUTE_BITS bits in all
         bitmap[row["segment"] * size:(row["segment"] + 1) * size] = row["slice"]
-    return bytes(bitmap)
+    return bytes(bitmap) + bytes([bits, key_bytes, probes])
+
+
+def _addresses(compared: np.ndarray, route_bits: int, bits: int, rest: int, probes: int):
+    """Bits of keys of which only the compared leading part is given: the first by its leading bits, the others by
+    hashes within the segment."""
+    yield (compared >> U(max(0, 64 - rest - route_bits))).astype(np.int64)
+    slice_bits = route_bits - bits
+    first = ((compared >> U(64 - rest - bits)) << U(slice_bits)).astype(np.int64)
+    for j in range(1, probes):
+        yield first | (mix(compared, 100 + j) >> U(64 - slice_bits)).astype(np.int64)
 
 
 def is_set(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Whether each key's bit is set."""
-    at = (keys >> U(64 - ROUTE_BITS)).astype(np.int64)
-    return ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+    """Whether all bits of each key are set."""
+    bits, key_bytes, probes = (int(x) for x in bitmap[-3:])
+    route_bits, rest = (8 * (len(bitmap) - 3)).bit_length() - 1, max(0, 64 - bits - 8 * key_bytes)
+    out = np.ones(len(keys), dtype=bool)
+    for at in _addresses(keys >> U(rest), route_bits, bits, rest, probes):
+        out &= ((bitmap[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
+    return out
 
 
 class RangeHashes:
