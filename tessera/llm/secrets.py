@@ -1,8 +1,8 @@
 """Secrets: key patterns, and values judged by the cost of guessing them.
 
 Three patterns give the base spans.  Beyond them, values that stand behind a
-credential word (``pwd = ...``, ``client_secret: ...``, ``Bearer ...``) are
-judged by a guess-cost dynamic program: the cheapest way to cut the value into
+credential word (``pwd = ...``, ``client_secret: ...``, ``Bearer ...``; the
+words of the base too, where no base span covers the value) are judged by a guess-cost dynamic program: the cheapest way to cut the value into
 dictionary words, dates, repeats, keyboard walks and brute-force stretches,
 counted in guesses.  Values that would take many guesses are reported.
 """
@@ -23,10 +23,14 @@ _ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _HINT = re.compile(r"(?ai:passw|secret|token|api_?key)")
-#: Credential contexts beyond the base; the value is group 1.
-_CONTEXT = re.compile(r"(?<![A-Za-z0-9])(?ai:pwd|pass|passphrase|credentials?|private_?key|access_?key|auth(?:orization)?|bearer)"
-                      r"(?:[\"']?\x20*[:=]\x20*[\"']?|\x20+)([A-Za-z0-9!@#$%^&*+/_.=~-]{8,})")
-_CONTEXT_HINT = re.compile(r"(?ai:pwd|pass|credential|key|auth|bearer)")
+_WORD = r"(?:(?<![A-Za-z0-9])(?ai:pwd|pass|passphrase|credentials?|private[_-]?key|access[_-]?key|auth(?:orization)?|bearer)" \
+        r"|(?ai:password|passwd|secret(?:[_-]?key)?|token|api[_-]?key))"
+_SEP = r"(?:[\"']?\x20*[:=]\x20*[\"']?|\x20+)"
+#: Credential contexts, those of the base among them (the base cuts a value at its first punctuation); the value is group 1.
+_CONTEXT = re.compile(rf"{_WORD}{_SEP}(?!{_WORD}{_SEP})([A-Za-z0-9!@#$%^&*+/_.=~-]{{8,}})")
+_CONTEXT_HINT = re.compile(r"(?ai:pwd|pass|credential|key|auth|bearer|secret|token)")
+#: No context word is longer; one that ends a value too cheap to report may have its own value behind it.
+_LONGEST_CONTEXT = 16
 
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which on a context value counts as a secret.
@@ -114,12 +118,20 @@ def find_secrets(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> lis
         found += [(m.start(), 1, m.end(), (m.end() - m.start() - 4) * math.log10(36)) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end(), (m.end() - m.start()) * math.log10(16)) for m in _HEX.finditer(text)]
     if _CONTEXT_HINT.search(text):
-        taken = sorted((s, e) for s, _, e, _ in found)
-        for m in _CONTEXT.finditer(text):
+        taken, k, at = sorted((s, e) for s, _, e, _ in found), 0, 0
+        reach = 0  # the furthest end of the base spans that start before the value's end
+        while m := _CONTEXT.search(text, at):
+            at = m.end(1)
+            while k < len(taken) and taken[k][0] < m.end(1):
+                reach, k = max(reach, taken[k][1]), k + 1
+            if reach > m.start(1):
+                continue
             cost = guess_cost(m.group(1)[:MAX_VALUE])
             mixed = any(c.isdigit() for c in m.group(1)) and any(c.isalpha() for c in m.group(1))
-            if mixed and cost >= min_log10_guesses and not any(s < m.end(1) and m.start(1) < e for s, e in taken):
+            if mixed and cost >= min_log10_guesses:
                 found.append((m.start(1), 3, m.end(1), cost))
+            else:
+                at = max(m.start(1), m.end(1) - _LONGEST_CONTEXT)
     return [(KINDS[k], s, e, score) for s, k, e, score in sorted(found)]
 
 

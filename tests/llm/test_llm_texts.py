@@ -144,6 +144,21 @@ def test_guess_cost_and_context_values(spark):
     assert len(got) == len(rows) and not [r for r in got if r["text"] is None and r["secrets"]]
 
 
+def guesses(text):
+    return [text[s:e] for kind, s, e, _ in find_secrets(text) if kind == "guess"]
+
+
+def test_secrets_behind_every_credential_word():
+    strong = "x!9$k@Lw2#pQ"
+    for word in ("password", "passwd", "secret", "token", "api_key", "apikey", "api-key", "secret_key", "client_secret", "DB_PASSWORD", "userPassword", "pwd", "private_key", "access_key"):
+        for sep in (" = ", ": ", "='", '": "', " "):
+            assert guesses(f"a {word}{sep}{strong}") == [strong], (word, sep)
+    assert guesses("token: a#8Kq!zT4%wLm9") == ["a#8Kq!zT4%wLm9"]
+    assert guesses("secret_key=wJalrXUtnFEMI/K7MDENG/bPxRfiCY") == ["wJalrXUtnFEMI/K7MDENG/bPxRfiCY"]
+    assert guesses(f"Bearer password={strong}") == guesses(f"authorization credentials {strong}") == guesses(f"pass my_password {strong}") == [strong]
+    assert [s[0] for s in find_secrets("password = k3Vq9zLw2TxB7")] == ["assign"]  # a base span is kept there
+
+
 def brute_metrics(text):
     w, t = words(text), text or ""
     lines = [x for x in t.split("\n") if words(x)]
