@@ -4,7 +4,8 @@ Three patterns give the base spans.  Beyond them, values that stand behind a
 credential word (``pwd = ...``, ``client_secret: ...``, ``Bearer ...``; the
 words of the base too, where no base span covers the value) are judged by a guess-cost dynamic program: the cheapest way to cut the value into
 dictionary words, dates, repeats, keyboard walks and brute-force stretches,
-counted in guesses.  Values that would take many guesses are reported.
+counted in guesses.  Values that would take many guesses are reported,
+whatever characters they are made of.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.dictionary import WORDS
 from tessera.llm.pii import spans_udf
 
 # Fixed patterns of the base kinds; letters of the key words in either case (ASCII only).
@@ -48,8 +50,9 @@ COMMON_WORDS = (
 )
 #: Rows of a keyboard; a walk is three or more neighbours of one row, in either direction (fixed values).
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-_RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
+#: Words of passwords come before those of ordinary text, which keep prose behind a context word cheap.
+_RANK = {w: k + 1 for k, w in enumerate(dict.fromkeys((*COMMON_WORDS, *WORDS)))}
+_LONGEST = max(map(len, _RANK))
 _DATE = re.compile(r"(?:(?:19|20)[0-9]{2}(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12][0-9]|3[01]))?)?"
                    r"|(?:0[1-9]|[12][0-9]|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)[0-9]{2})")
 _LEET = str.maketrans("@431!05$7", "aaeiiosst")
@@ -127,8 +130,7 @@ def find_secrets(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> lis
             if reach > m.start(1):
                 continue
             cost = guess_cost(m.group(1)[:MAX_VALUE])
-            mixed = any(c.isdigit() for c in m.group(1)) and any(c.isalpha() for c in m.group(1))
-            if mixed and cost >= min_log10_guesses:
+            if cost >= min_log10_guesses:
                 found.append((m.start(1), 3, m.end(1), cost))
             else:
                 at = max(m.start(1), m.end(1) - _LONGEST_CONTEXT)

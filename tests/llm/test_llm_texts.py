@@ -159,6 +159,14 @@ def test_secrets_behind_every_credential_word():
     assert [s[0] for s in find_secrets("password = k3Vq9zLw2TxB7")] == ["assign"]  # a base span is kept there
 
 
+def test_secrets_of_any_characters():
+    for strong in ("qXmZvLkRwTbNpGhYcJdF", "qXm!ZvLk@RwTb", "83650274916038275", "correct-horse-battery-staple"):
+        assert guesses(f"Authorization: Bearer {strong}") == [strong]
+        assert guesses(f"passphrase = {strong}") == [strong]
+    for plain in ("pass legislation through parliament", "the auth: authentication", "bearer certificates.", "secret agreements", "password: Authorization", "token distribution", "pwd=changeme"):
+        assert not guesses(plain), plain
+
+
 def brute_metrics(text):
     w, t = words(text), text or ""
     lines = [x for x in t.split("\n") if words(x)]
