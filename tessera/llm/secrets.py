@@ -2,9 +2,10 @@
 
 Three patterns give the base spans.  Beyond them, values that stand behind a
 credential word (``pwd = ...``, ``client_secret: ...``, ``Bearer ...``; the
-words of the base too, where no base span covers the value) are judged by a guess-cost dynamic program: the cheapest way to cut the value into
-dictionary words, dates, repeats, keyboard walks and brute-force stretches,
-counted in guesses.  Values that would take many guesses are reported,
+words of the base too) are judged, as far as no base span covers them, by a
+guess-cost dynamic program: the cheapest way to cut the value into dictionary
+words, dates, repeats, keyboard walks and brute-force stretches, counted in
+guesses.  Values that would take many guesses are reported,
 whatever characters they are made of.
 """
 
@@ -37,8 +38,8 @@ _LONGEST_CONTEXT = 16
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses from which on a context value counts as a secret.
 MIN_LOG10_GUESSES = 10.0
-#: The dynamic program looks at this many leading characters of a value at most; the guesses of more are never fewer.
-MAX_VALUE = 64
+#: Costs of values up to this length are remembered.
+REMEMBERED = 64
 #: Words that people build passwords from, commonest first (fixed values; a word's place is its number of guesses).
 COMMON_WORDS = (
     "password", "admin", "user", "login", "welcome", "letmein", "secret", "token", "test", "example",
@@ -63,38 +64,60 @@ def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() else 33)
 
 
-@lru_cache(4096)
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for ``value``: the minimum over all segmentations, by position.
+class _Repeats:
+    """The cheapest repeat of a unit of one width that ends at a position, as positions go by in order.
 
-    A segment costs the logarithm of its guesses (a word its rank, times two
-    if its case or its letters are changed; a date its days; a repeat its unit and
-    count; a walk its start, length and direction; a brute-force character its
-    alphabet).  Each pattern segment also costs a factor for being chosen.
+    Starts are kept apart by their place modulo the width.  A start whose cost
+    is once beaten by an earlier one stays beaten, and one that is no cheaper at
+    its start than a later one too; the few others are compared at each position.
     """
-    value = value[:MAX_VALUE]
+
+    def __init__(self, value: str, width: int, brute: list[float], best: list[float], pick: float):
+        self.value, self.width, self.brute, self.best, self.pick = value, width, brute, best, pick
+        self.run, self.starts = 0, [[] for _ in range(width)]
+
+    def until(self, end: int) -> float:
+        w = self.width
+        self.run = self.run + 1 if end > w and self.value[end - 1] == self.value[end - 1 - w] else 0
+        if self.run < w:
+            return math.inf
+        new, low = end - 2 * w, end - self.run - w
+        fixed = self.best[new] + self.pick + sum(self.brute[new:new + w])
+        kept, least = [], math.inf
+        for start, cost in self.starts[end % w]:
+            if start >= low and cost < fixed and (now := cost + math.log10((end - start) // w)) < least:
+                kept.append((start, cost))
+                least = now
+        if (now := fixed + math.log10(2)) < least:
+            kept.append((new, fixed))
+            least = now
+        self.starts[end % w] = kept
+        return least
+
+
+def _program(value: str) -> float:
     n, lower = len(value), value.lower()
     plain = lower.translate(_LEET)
     best = [0.0] + [math.inf] * n
     pick = math.log10(4)  # one of four kinds of pattern
+    brute = list(map(_brute, value))
+    repeats = [_Repeats(value, width, brute, best, pick) for width in (1, 2, 3, 4)]
 
     def offer(start: int, end: int, cost: float) -> None:
         if best[start] + cost < best[end]:
             best[end] = best[start] + cost
 
-    for i in range(n):
-        offer(i, i + 1, _brute(value[i]))
+    for i in range(n + 1):
+        best[i] = min(best[i], *[r.until(i) for r in repeats])
+        if i == n:
+            break
+        offer(i, i + 1, brute[i])
         for j in range(i + 3, min(n, i + _LONGEST) + 1):
             rank = _RANK.get(lower[i:j]) or _RANK.get(plain[i:j], 0) * 2
             if rank:
                 offer(i, j, pick + math.log10(rank * (2 if value[i:j] != lower[i:j] else 1)))
         if m := _DATE.match(value, i):
             offer(i, m.end(), pick + math.log10(200 if m.end() - i == 4 else 200 * 365))
-        for width in (1, 2, 3, 4):  # a unit that repeats
-            unit, j = value[i:i + width], i + width
-            while value.startswith(unit, j):
-                j += width
-                offer(i, j, pick + sum(map(_brute, unit)) + math.log10((j - i) // width))
         for row in KEYBOARD:
             at = row.find(lower[i])
             for step in (1, -1) if at >= 0 else ():
@@ -106,6 +129,21 @@ def guess_cost(value: str) -> float:
     return best[n]
 
 
+_remembered = lru_cache(4096)(_program)
+
+
+def guess_cost(value: str) -> float:
+    """log10 of the guesses for ``value``: the minimum over all segmentations, by position.
+
+    A segment costs the logarithm of its guesses (a word its rank, times two
+    if its case or its letters are changed; a date its days; a repeat its unit and
+    count; a walk its start, length and direction; a brute-force character its
+    alphabet).  Each pattern segment also costs a factor for being chosen.
+    The whole value counts, in time that grows with its length.
+    """
+    return _remembered(value) if len(value) <= REMEMBERED else _program(value)
+
+
 def find_secrets(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> list[tuple[str, int, int, float]]:
     """``(kind, start, end, score)`` by start, then kind; code points, end exclusive.
 
@@ -116,32 +154,33 @@ def find_secrets(text: str, min_log10_guesses: float = MIN_LOG10_GUESSES) -> lis
     if _HINT.search(text):
         for m in _ASSIGN.finditer(text):
             if m.end(1) - m.start(1) >= 8:
-                found.append((m.start(), 0, m.end(), guess_cost(m.group(1)[:MAX_VALUE])))
+                found.append((m.start(), 0, m.end(), guess_cost(m.group(1))))
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), (m.end() - m.start() - 4) * math.log10(36)) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [(m.start(), 2, m.end(), (m.end() - m.start()) * math.log10(16)) for m in _HEX.finditer(text)]
     if _CONTEXT_HINT.search(text):
         taken, k, at = sorted((s, e) for s, _, e, _ in found), 0, 0
-        reach = 0  # the furthest end of the base spans that start before the value's end
+        reach = 0  # the furthest end of the base spans so far
         while m := _CONTEXT.search(text, at):
             at = m.end(1)
-            while k < len(taken) and taken[k][0] < m.end(1):
+            begin, left = max(m.start(1), reach), []  # what no base span covers
+            while k < len(taken) and taken[k][0] < at:
+                left.append(text[begin:taken[k][0]])
                 reach, k = max(reach, taken[k][1]), k + 1
-            if reach > m.start(1):
-                continue
-            cost = guess_cost(m.group(1)[:MAX_VALUE])
-            if cost >= min_log10_guesses:
-                found.append((m.start(1), 3, m.end(1), cost))
+                begin = max(begin, reach)
+            left.append(text[begin:at])
+            if max(map(guess_cost, left)) >= min_log10_guesses:
+                found.append((m.start(1), 3, at, guess_cost(m.group(1))))
             else:
-                at = max(m.start(1), m.end(1) - _LONGEST_CONTEXT)
+                at = max(m.start(1), at - _LONGEST_CONTEXT)
     return [(KINDS[k], s, e, score) for s, k, e, score in sorted(found)]
 
 
 def secret_spans(df: DataFrame, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """``df`` with ``out_col``: an array of (kind, start, end, score), by start, then kind in the order of ``KINDS``.
 
-    Every whole text is scanned, in time linear in its length (values cost a
-    bounded program each); null and empty texts have no spans.  Rows are
+    Every whole text is scanned and every whole value judged, in time linear
+    in its length; null and empty texts have no spans.  Rows are
     independent, so ties and repeated rows change nothing; an empty table
     gives an empty result; ``out_col`` replaces a column of that name.
     """

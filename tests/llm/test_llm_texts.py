@@ -167,6 +167,46 @@ def test_secrets_of_any_characters():
         assert not guesses(plain), plain
 
 
+def test_secrets_are_judged_by_the_whole_value():
+    for head in ("0" * 64, "abc" * 40, "changeme" * 4):
+        assert guesses(f"pwd={head}k3Vq9zLw2TxB7mPq") == [head + "k3Vq9zLw2TxB7mPq"]
+        assert not guesses(f"pwd={head}")
+    assert guesses("pwd=k3Vq9zLw2TxB7!" + "0" * 64) == ["k3Vq9zLw2TxB7!" + "0" * 64]  # a base span covers the zeros only
+    assert guess_cost("0" * 200_000) < 8 and guess_cost("ab1" * 60_000) < 12
+
+
+def brute_guess_cost(value):
+    """All segments tried, repeats of every start and length among them."""
+    from tessera.llm import secrets as s
+    n, lower, pick, best = len(value), value.lower(), np.log10(4), [0.0] + [np.inf] * len(value)
+    plain = lower.translate(s._LEET)
+    for i in range(n):
+        ends = [(i + 1, s._brute(value[i]))]
+        for j in range(i + 3, n + 1):
+            if rank := s._RANK.get(lower[i:j]) or s._RANK.get(plain[i:j], 0) * 2:
+                ends.append((j, pick + np.log10(rank * (2 if value[i:j] != lower[i:j] else 1))))
+            for row in s.KEYBOARD:
+                if lower[i:j] in row or lower[i:j] in row[::-1]:
+                    ends.append((j, pick + np.log10(2 * len(row) * (j - i))))
+        if m := s._DATE.match(value, i):
+            ends.append((m.end(), pick + np.log10(200 if m.end() - i == 4 else 200 * 365)))
+        for w in (1, 2, 3, 4):
+            for c in range(2, (n - i) // w + 1):
+                if value[i:i + w] * c == value[i:i + w * c]:
+                    ends.append((i + w * c, pick + sum(map(s._brute, value[i:i + w])) + np.log10(c)))
+        for j, cost in ends:
+            best[j] = min(best[j], best[i] + cost)
+    return best[n]
+
+
+def test_guess_cost_is_the_least_over_all_segmentations():
+    rng = random.Random(6)
+    parts = ["a", "b", "ab", "aab", "0", "1", "00", "love", "money", "mama", "k3", "2023", "x!", "aaaa", "abab", "qwe", "Pass"]
+    for _ in range(1500):
+        v = "".join(rng.choice(parts[:rng.choice([3, 8, 17])]) * rng.choice([1, 1, 2, 5, 9]) for _ in range(rng.randrange(14)))
+        assert abs(guess_cost(v) - brute_guess_cost(v)) < 1e-9, v
+
+
 def brute_metrics(text):
     w, t = words(text), text or ""
     lines = [x for x in t.split("\n") if words(x)]
