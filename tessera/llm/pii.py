@@ -23,6 +23,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
+#: Characters of an account number by country (fixed values of the registry).
+IBAN_LENGTH = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}.items() for c in countries.split()}
 _DIGITS = re.compile(r"[0-9]")
 
 #: Kinds in the order in which spans are listed; the first four are the base.
@@ -62,6 +68,24 @@ def mod97(account: str) -> bool:
     return value == 1
 
 
+def _iban_length(match: str) -> int:
+    """How much of the match is an account number (0: nothing): what its country's length says, or the longest run of whole words that passes."""
+    ends = [k for k in range(len(match), 11, -1) if k == len(match) or match[k] == " "]
+    if size := IBAN_LENGTH.get(match[:2]):
+        ends = [k for k in ends if k - match.count(" ", 0, k) == size] + ends[:1]
+    return next((k for k in ends if mod97(match[:k].replace(" ", ""))), 0)
+
+
+def _ibans(text: str):
+    """Account numbers; a match takes in words that follow the number, so it is cut, and the search goes on behind the cut or inside a match without one."""
+    m = _IBAN.search(text)
+    while m:
+        n = _iban_length(m.group())
+        if n:
+            yield m.start(), m.start() + n
+        m = _IBAN.search(text, m.start() + (n or 1))
+
+
 def _emails(text: str):
     """Leftmost matches of ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from each ``@`` in linear time.
 
@@ -107,7 +131,7 @@ def find_pii(text: str) -> list[tuple[str, int, int, float]]:
         found += [("card", *s) for s in _kept(_CARD, _card_ok, text)]
         if "+" in text:
             found += [("phone", *s) for s in _kept(_PHONE, _phone_ok, text)]
-        found += [("iban", *s) for s in _kept(_IBAN, lambda x: mod97(x.replace(" ", "")), text)]
+        found += [("iban", *s) for s in _ibans(text)]
         found += [("ssn", *s) for s in _kept(_SSN, None, text)]
     out = []
     for kind, start, end in found:

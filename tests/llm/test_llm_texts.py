@@ -116,6 +116,16 @@ def test_pii_checksums_and_context(spark):
     assert [r["s"] for r in got if r["doc_id"] == 900] == ["email:7:15"]
 
 
+def test_account_numbers_end_before_the_words_that_follow():
+    ibans = lambda t: [t[s:e] for kind, s, e, _ in find_pii(t) if kind == "iban"]
+    for number in ("ES91 2100 0418 4502 0005 1332", "ES9121000418450200051332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466",
+                   "CZ65 0800 0000 1920 0014 5399", "PL61 1090 1014 0000 0712 1981 2874", "HU42 1177 3016 1111 1018 0000 0000", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947"):
+        for after in ("", " BIC CAIXESBBXXX", " BIC", " EUR 20", " CODE 1234 X", ". End", " and"):
+            assert ibans(f"IBAN {number}{after}") == [number], (number, after)
+        assert ibans(f"AB12 IBAN {number} {number}") == [number] * 2
+        assert not ibans(f"IBAN {number[:-1]}{(int(number[-1]) + 1) % 10} BIC")
+
+
 def base_secrets(text):
     key = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_?key")).replace("_?", "_?")
     out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(rf"({key})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 8]
