@@ -5,10 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.shared_keys import U, is_set, mix, repeated_bitmap, segment_bits
 from tessera.session import apply_engine_conf, ensure_checkpoint_dir
 
 #: ASCII white space that separates words, as the bytes that ``bytes.split`` and ``str`` patterns use.
@@ -52,6 +55,22 @@ def utf8_list(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def twin_ids(rows: DataFrame, id_col: str) -> bytes:
+    """Bitmap of the ids of several rows (and, by chance, of a few others); ``row_marks`` reads it."""
+    def keys(batch):
+        yield mix(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U), 53)
+
+    return repeated_bitmap(rows.select(id_col), keys, route_bits=max(20, segment_bits(rows) + 6))
+
+
+def row_marks(twins: np.ndarray, ids: np.ndarray, texts: list[bytes]) -> np.ndarray:
+    """What tells rows of one id apart: 0 where the id surely is one row's, else a 64-bit digest of the text."""
+    marks = np.zeros(len(ids), dtype=np.int64)
+    for k in np.flatnonzero(is_set(twins, mix(ids.astype(np.int64).view(U), 53))).tolist():
+        marks[k] = xxhash.xxh3_64_intdigest(texts[k], seed=1) - (1 << 63)
+    return marks
+
+
 def bounded_batches(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``max_bytes`` of ``column`` each (one row at least), so working arrays stay bounded."""
     for batch in batches:

@@ -9,25 +9,27 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared_keys import ROUTE_BITS, U, mix, segment_bits
 
-#: A named window: 96 bits of name, document, position.
-WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("id", "<i8"), ("pos", "<u4")])
+#: A named window: 96 bits of name, document, mark of the row among those of its id, position.
+WINDOW = np.dtype([("h1", "<u8"), ("h2", "<u4"), ("id", "<i8"), ("mark", "<i8"), ("pos", "<u4")])
 #: Windows held by a task before it deals them out.
 HELD = 1 << 21
 
 
 def _first_of_each(rows: np.ndarray) -> np.ndarray:
-    """For each name the row of smallest (id, pos), sorted by name."""
-    rows = rows[np.lexsort((rows["pos"], rows["id"], rows["h2"], rows["h1"]))]
+    """For each name the rows of smallest id, each with its first position, sorted by name."""
+    rows = rows[np.lexsort((rows["pos"], rows["mark"], rows["id"], rows["h2"], rows["h1"]))]
     if not len(rows):
         return rows
     new = np.r_[True, (rows["h1"][1:] != rows["h1"][:-1]) | (rows["h2"][1:] != rows["h2"][:-1])]
-    return rows[new]
+    least = rows["id"][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return rows[new | (rows["id"] == least) & np.r_[True, rows["mark"][1:] != rows["mark"][:-1]]]
 
 
 def deal_windows(rows: DataFrame, named) -> DataFrame:
     """``bucket, windows``: a task's windows by leading name bits, each name once with its first place in the task.
 
-    ``named(batch)`` yields arrays (name, second name, id, position).
+    ``named(batch)`` yields arrays (name, second name, id, position) or, if rows of one
+    id are to be told apart, (name, second name, id, position, mark).
     """
     shift = U(64 - segment_bits(rows))
 
@@ -42,9 +44,11 @@ def deal_windows(rows: DataFrame, named) -> DataFrame:
     def send(batches):
         parts, held = [], 0
         for batch in batches:
-            for h1, h2, ids, pos in named(batch):
-                part = np.empty(len(h1), dtype=WINDOW)
+            for h1, h2, ids, pos, *mark in named(batch):
+                part = np.zeros(len(h1), dtype=WINDOW)
                 part["h1"], part["h2"], part["id"], part["pos"] = h1, h2 >> U(32), ids, pos
+                if mark:
+                    part["mark"] = mark[0]
                 parts.append(part)
                 held += len(part)
                 if held >= HELD:
@@ -57,21 +61,23 @@ def deal_windows(rows: DataFrame, named) -> DataFrame:
 
 
 def first_windows(dealt: DataFrame) -> DataFrame:
-    """``id, starts``: the positions of each document's windows that are the first of their name, as packed little-endian arrays.
+    """``id, mark, starts``: the positions of each row's windows that are the first of their name, as packed little-endian arrays.
 
     A bucket meets in one task with each name at most once for every block
-    that the tasks sent; a document's list has its own windows only.
+    that the tasks sent (once for each row of its smallest id); a row's list
+    has its own windows only.
     """
     def merge(table: pa.Table) -> pa.Table:
         first = _first_of_each(np.concatenate([np.frombuffer(b, WINDOW) for b in table.column("windows").to_pylist()]))
-        first = first[np.argsort(first["id"], kind="stable")]
-        cuts = np.r_[0, np.flatnonzero(first["id"][1:] != first["id"][:-1]) + 1, len(first)] if len(first) else np.zeros(1, np.int64)
+        first = first[np.lexsort((first["mark"], first["id"]))]
+        new = (first["id"][1:] != first["id"][:-1]) | (first["mark"][1:] != first["mark"][:-1])
+        cuts = np.r_[0, np.flatnonzero(new) + 1, len(first)] if len(first) else np.zeros(1, np.int64)
         pos = np.ascontiguousarray(first["pos"])
-        return pa.table({"id": pa.array(first["id"][cuts[:-1]].astype(np.int64)),
+        return pa.table({"id": pa.array(first["id"][cuts[:-1]].astype(np.int64)), "mark": pa.array(first["mark"][cuts[:-1]].astype(np.int64)),
                          "starts": pa.array([pos[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
-    return (dealt.groupBy("bucket").applyInArrow(merge, "id long, starts binary")
-            .groupBy("id").agg(F.collect_list("starts").alias("starts")))
+    return (dealt.groupBy("bucket").applyInArrow(merge, "id long, mark long, starts binary")
+            .groupBy("id", "mark").agg(F.collect_list("starts").alias("starts")))
 
 
 def _address(h1: np.ndarray, h2: np.ndarray, ids: np.ndarray, bits: int) -> np.ndarray:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, utf8_list
+from tessera.llm.common import bounded_batches, row_marks, twin_ids, utf8_list
 from tessera.llm.firsts import deal_windows, first_windows
 from tessera.llm.shared_keys import BASES, RangeHashes, U, is_set, mix, repeated_bitmap
 
@@ -149,8 +149,8 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     earlier in the same row.  Windows are judged on the input.  The kept
     words are joined by one space (UTF-8 bytes).  Null and empty texts have
     no words, texts shorter than a window lose none.  A null id comes after
-    all others.  Rows that repeat an id are copies of one document: each is
-    judged against smaller ids and itself.  An empty table gives an empty
+    all others.  Rows of one id (or with a null id) never repeat each other:
+    each is judged against smaller ids and itself.  An empty table gives an empty
     result; other columns are not read.
     """
     if window < 16 + 4:
@@ -163,6 +163,8 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in bounded_batches([batch], "text", BATCH_BYTES):
             yield Windows(_words(part, 0), window).anchor_keys()
 
+    ids = rows.select(F.coalesce("doc_id", F.lit(_LAST_ID)).alias("id"))
+    twins = spark.sparkContext.broadcast(twin_ids(ids, "id"))
     shared = spark.sparkContext.broadcast(repeated_bitmap(rows.select("text"), keys_of))
 
     def candidates(batch):
@@ -171,11 +173,16 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         windows = Windows(words, window)
         return words, windows, np.flatnonzero(is_set(np.frombuffer(shared.value, np.uint8), windows.key))
 
+    def keyed(part):
+        """Ids, null as the last, and what tells rows of one id apart."""
+        ids = part.column(0).fill_null(_LAST_ID).to_numpy(zero_copy_only=False)
+        return ids, row_marks(np.frombuffer(twins.value, np.uint8), ids, utf8_list(part.column(1)))
+
     def named(batch):
         for part in bounded_batches([batch], "text", BATCH_BYTES):
             _, w, pick = candidates(part)
-            ids = part.column(0).fill_null(_LAST_ID).to_numpy(zero_copy_only=False)
-            yield w.name[0][pick], w.name[1][pick], ids[w.doc[pick]], w.position[pick]
+            ids, marks = keyed(part)
+            yield w.name[0][pick], w.name[1][pick], ids[w.doc[pick]], w.position[pick], marks[w.doc[pick]]
 
     firsts = first_windows(deal_windows(rows, named))
 
@@ -188,14 +195,14 @@ def repeated_words(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 busy[w.doc[pick]] = True
                 texts = part.column(1).cast(pa.binary()).to_pylist()
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0), part.column(0).fill_null(_LAST_ID), pa.array([len(x) for x in words], pa.int64()),
+                    part.column(0), *map(pa.array, keyed(part)), pa.array([len(x) for x in words], pa.int64()),
                     pa.array([None if b else b" ".join(x) for x, b in zip(words, busy, strict=True)], pa.binary()),
                     pa.array([t if b else None for t, b in zip(texts, busy, strict=True)], pa.binary()),
-                ], names=["doc_id", "id", "n_words", "kept_text", "text"])
+                ], names=["doc_id", "id", "mark", "n_words", "kept_text", "text"])
 
-    parted = rows.mapInArrow(split, "doc_id long, id long, n_words long, kept_text binary, text binary")
+    parted = rows.mapInArrow(split, "doc_id long, id long, mark long, n_words long, kept_text binary, text binary")
     done = parted.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_text")
-    busy = parted.where("text is not null").select("doc_id", "id", "text").join(firsts, "id", "left").select("doc_id", "text", "starts")
+    busy = parted.where("text is not null").select("doc_id", "id", "mark", "text").join(firsts, ["id", "mark"], "left").select("doc_id", "text", "starts")
 
     def remove(batches):
         for batch in batches:

@@ -159,3 +159,37 @@ def test_repeats_of_many_lengths_and_offsets(spark):
         rows.append((k, noise(rng.randrange(70)) + cut + noise(rng.randrange(40)) + (cut if k % 5 == 0 else "")))
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeated_bytes(table(spark, rows)).collect()}
     assert got == brute_bytes(rows)
+
+
+def shared_ids():
+    """Null-id rows and rows of one id with different texts (and the same text), long and short, that share different parts of a passage."""
+    rng = random.Random(21)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n)).split()
+    passage = say(120)
+    cut = lambda a, b, before, after: " ".join(say(before) + passage[a:b] + say(after))
+    rows = [(1, cut(0, 60, 5, 5)), (None, cut(30, 110, 400, 3)), (None, cut(45, 75, 0, 0)), (None, cut(20, 85, 2, 9)), (None, cut(85, 120, 1, 1) + " " + " ".join(passage[85:120])),
+            (7, cut(40, 100, 200, 0)), (7, cut(50, 90, 0, 3)), (7, cut(95, 120, 4, 0) + " x " + " ".join(passage[95:120])), (9, cut(60, 120, 3, 3)), (5, cut(100, 120, 3, 3))]
+    same = cut(70, 110, 2, 2)
+    return rows + [(7, same), (7, same), (None, same), (None, same), (None, "short"), (None, None)]
+
+
+def test_repeated_words_of_rows_with_one_id(spark):
+    prepare(spark)
+    rows = shared_ids()
+    want = []
+    for i, t in rows:  # each row against smaller ids and itself
+        smaller = [(n, x) for n, (j, x) in enumerate(rows) if order_id(j) < order_id(i)]
+        want.append((i, *brute_words([*smaller, (len(rows), t)])[len(rows)]))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], bytes(r["kept_text"])) for r in repeated_words(table(spark, rows)).collect()]
+    assert Counter(got) == Counter(want)
+
+
+def test_repeated_bytes_of_rows_with_one_id(spark):
+    prepare(spark)
+    rows = shared_ids()
+    want = []
+    for i, t in rows:
+        smaller = [(n, x) for n, (j, x) in enumerate(rows) if order_id(j) < order_id(i)]
+        want.append((i, *brute_bytes([*smaller, (len(rows), t)])[len(rows)]))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeated_bytes(table(spark, rows)).collect()]
+    assert Counter(got) == Counter(want)
