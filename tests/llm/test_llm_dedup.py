@@ -193,3 +193,24 @@ def test_repeated_bytes_of_rows_with_one_id(spark):
         want.append((i, *brute_bytes([*smaller, (len(rows), t)])[len(rows)]))
     got = [(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeated_bytes(table(spark, rows)).collect()]
     assert Counter(got) == Counter(want)
+
+
+def test_a_rank_is_not_expanded_whole(monkeypatch):
+    """Two long runs of one character: every record has one rank; the result stays, the memory does not hold all windows at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.llm import suffix_dedup
+    batch = pa.RecordBatch.from_arrays([pa.array([b"a" * 30_000, b"a" * 20_000 + b"b"], pa.binary()), pa.array([3, 8]), pa.array([0, 0]), pa.array([5, 7])], names=["bytes", "id", "mark", "pos"])
+    table = pa.Table.from_batches(list(suffix_dedup._cover_suffixes(60)([batch])))
+    found, peak = [], []
+    for rows in (1 << 40, 1 << 10):
+        monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", rows)
+        tracemalloc.start()
+        out = suffix_dedup._sort_bucket(table).to_pylist()
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found.append([(r["id"], sorted(set(np.frombuffer(r["starts"], "<u4").tolist()))) for r in out])
+    assert found[0] == found[1] == [(8, list(range(7, 7 + 20_000 - 49)))]
+    assert 3 * peak[1] < peak[0], peak
