@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_decode, bpe_encode
-from tessera.llm.common import documents, prepare
+from tessera.llm.common import documents, prepare, scratch_path
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.filter_audit import audit_orders, failure_masks
 from tessera.llm.mixing import mix_sources, word_count
 from tessera.llm.pii import BASE_KINDS as PII_BASE
 from tessera.llm.pii import count_kind, pii_spans, spans_text
@@ -19,6 +20,7 @@ from tessera.llm.recompression import repeated_words
 from tessera.llm.secrets import secret_spans
 from tessera.llm.simhash import simhash_groups
 from tessera.llm.suffix_dedup import repeated_bytes
+from tessera.llm.token_files import read_token_files, write_token_files
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +151,57 @@ def op6_substring_dedup(docs, sf_dir):
 def op4_suffix_dedup(docs, sf_dir):
     kept = repeated_bytes(docs.select("doc_id", "text"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+    WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                      list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                      min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    f AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                 (CASE WHEN len(words) < 50 THEN 'A' ELSE '' END)
+                 || (CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END)
+                 || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END)
+                 || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+                 || (CASE WHEN t.doc_id > least THEN 'E' ELSE '' END) AS fails
+          FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+    m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+    orders AS (SELECT '' AS o, 0 AS n UNION ALL
+               SELECT o || x, n + 1 FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE n < 5 AND NOT contains(o, x)),
+    cell AS (SELECT part, o AS filter_order, s::INT AS step, substr(o, s, 1) AS x, substr(o, 1, s) AS head, substr(o, 1, s - 1) AS before
+             FROM (SELECT DISTINCT part FROM m), orders, range(1, 6) r(s) WHERE n = 5),
+    c AS (SELECT cell.part, filter_order, step, x,
+                 sum(CASE WHEN translate(fails, head, '') = fails THEN n ELSE 0 END)::BIGINT AS kept,
+                 sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') = fails THEN n ELSE 0 END)::BIGINT AS removed,
+                 sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') <> fails THEN n ELSE 0 END)::BIGINT AS redundant,
+                 sum(CASE WHEN fails = x THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                 sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') = fails THEN good ELSE 0 END)::BIGINT AS good_lost,
+                 sum(CASE WHEN contains(fails, x) AND translate(fails, before, '') = fails THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+          FROM cell JOIN m ON m.part = cell.part GROUP BY cell.part, filter_order, step, x)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+           (sum(removed) OVER (PARTITION BY part, x))::BIGINT AS shapley FROM c"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11_filter_audit(docs, sf_dir):
+    labels = docs.sparkSession.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return audit_orders(failure_masks(docs, labels))
+
+
+def word_tokenizer_file() -> str:
+    """The vocabulary file of the token file query; its place is a parameter of the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+#: Contract of the token file query: the id that ends each document.
+END_ID = 2
+
+
+@query("op12_token_files")
+def op12_token_files(docs, sf_dir):
+    spark = docs.sparkSession
+    path = scratch_path(spark, "token-files")
+    write_token_files(docs, path, word_tokenizer_file(), end_id=END_ID)
+    return read_token_files(spark, path)

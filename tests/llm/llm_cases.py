@@ -122,3 +122,38 @@ def brute_components(values, linked):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     return [find(x) for x in range(len(values))]
+
+
+def brute_audit(rows, labels):
+    """rows: (id, text, source); labels: (id, quality, toxic).  Applies the five filters in each of the 120 orders."""
+    from itertools import permutations
+
+    good, toxic = {i for i, q, _ in labels if q == 1 and i is not None}, {i for i, _, t in labels if t == 1 and i is not None}
+    least = {}
+    for i, t, _ in rows:
+        if i is not None:
+            least[t or ""] = min(least.get(t or "", i), i)
+    docs = []
+    for i, t, part in rows:
+        t = t or ""
+        w = words(t)
+        fails = {f for f, bad in zip("ABCDE", (
+            len(w) < 50, 100 * len(set(w)) < 65 * len(w), 100 * len(re.findall("[A-Z]", t)) > 5 * len(t), re.search(r"[#$%&*|]", t),
+            i is not None and i > least[t]), strict=True) if bad}
+        docs.append((part or "", fails, i in good, i in toxic))
+    out = {}
+    for part in {d[0] for d in docs}:
+        mine = [d[1:] for d in docs if d[0] == part]
+        taken = dict.fromkeys("ABCDE", 0)
+        for order in map("".join, permutations("ABCDE")):
+            left = mine
+            for step, f in enumerate(order, 1):
+                gone = [d for d in left if f in d[0]]
+                left = [d for d in left if f not in d[0]]
+                taken[f] += len(gone)
+                out[part, order, step] = [len(left), len(gone), sum(f in d[0] for d in mine) - len(gone), sum(d[0] == {f} for d in mine),
+                                          sum(d[1] for d in gone), sum(d[2] for d in gone)]
+        for (p, order, step), row in out.items():
+            if p == part:
+                row.append(taken[order[step - 1]])
+    return out
