@@ -14,6 +14,7 @@ from tessera.llm.filter_audit import audit_orders, failure_masks
 from tessera.llm.mixing import mix_sources, word_count
 from tessera.llm.pii import BASE_KINDS as PII_BASE
 from tessera.llm.pii import count_kind, pii_spans, spans_text
+from tessera.llm.prefix_trie import prefix_trie
 from tessera.llm.quality_classifier import CUT, fit_quality, fold, score_quality
 from tessera.llm.quality_rules import BASE, RULES, quality_cascade, text_metrics
 from tessera.llm.recompression import repeated_words
@@ -205,3 +206,13 @@ def op12_token_files(docs, sf_dir):
     path = scratch_path(spark, "token-files")
     write_token_files(docs, path, word_tokenizer_file(), end_id=END_ID)
     return read_token_files(spark, path)
+
+
+#: Contract of the trie query: conversations share the head of the first of each hundred, five turns at most.
+CONV_GROUP, HEAD_MOD = 100, 6
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(docs, sf_dir):
+    conversations = docs.sparkSession.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")
+    return prefix_trie(conversations, group=CONV_GROUP, head_mod=HEAD_MOD)

@@ -157,3 +157,32 @@ def brute_audit(rows, labels):
             if p == part:
                 row.append(taken[order[step - 1]])
     return out
+
+
+def brute_trie(rows, group=100, head_mod=6):
+    """rows: (conv_id, turn, role, text) -> Counter of the trie's rows, by one dictionary of prefixes."""
+    import zlib
+    from collections import Counter
+
+    turn_key = lambda r: hashlib.sha256(f"{len(r[2] or '')}:{r[2] or ''}{r[3] or ''}".encode()).digest()[:16]
+    own = {}
+    for r in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[1] is not None, r[1] or 0, turn_key(r))):
+        own.setdefault(r[0], []).append((r[2] or "", r[3] or ""))
+    nodes, ends = {}, {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % head_mod
+        base = c - int(np.fmod(c, group))
+        rebuilt = tuple(own.get(base, [])[:h] + turns[h:])
+        for d in range(len(rebuilt) + 1):
+            nodes.setdefault(rebuilt[:d], []).append(c)
+        ends.setdefault(rebuilt, []).append(c)
+    children, leaves, saved = Counter(), Counter(), Counter()
+    for p in nodes:
+        if p:
+            children[p[:-1]] += 1
+    for p, members in nodes.items():
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(members) - 1) * len(p[-1][1]) if p else 0
+    return Counter((min(m), len(p), min(nodes[p[:-1]]) if p else None, len(m), children[p], leaves[p], saved[p],
+                    hashlib.sha256(",".join(map(str, sorted(ends.get(p, [])))).encode()).hexdigest()) for p, m in nodes.items())
