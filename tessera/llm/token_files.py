@@ -1,8 +1,8 @@
 """Token ids of a corpus as binary files, with Elias-Fano document boundaries.
 
-Texts are encoded where they are read; only packed ids are shuffled, into
-ranges of ascending document id.  Each range is cut into blocks, and each
-block is one file, written by Spark's own file writer (whose commit protocol
+Texts are dealt to ranges of ascending document id (a text is about as large
+as its ids) and encoded there.  Each range is cut into blocks, and each block
+is one file, written by Spark's own file writer (whose commit protocol
 leaves one whole copy of each file when tasks are tried again):
 
   ``b"TKEF"``, version, bytes of an id (2 or 4), shard, block, documents,
@@ -37,9 +37,10 @@ from tessera.llm.elias_fano import EliasFano, ef_encode
 
 MAGIC, VERSION = b"TKEF", 1
 _HEAD = struct.Struct("<4sHHIIQQQqQQ")
-#: Tokens of a block (a document with more is a block of its own), and bytes of ids in a shard.
+#: Tokens of a block (a document with more is a block of its own), bytes of text in a shard and in one of a small table.
 BLOCK_TOKENS = 1 << 22
-SHARD_BYTES = 1 << 28
+SHARD_BYTES = 64 << 20
+SMALL_SHARD = 1 << 20
 #: Bytes of text whose words are looked up together, and words that a task remembers at most.
 SLICE_BYTES = 16 << 20
 MEMO_WORDS = 1 << 19
@@ -166,23 +167,6 @@ def _encoder(tokenizer_json: str) -> TextEncoder:
     return _ENCODERS[key]
 
 
-def encode_documents(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2) -> DataFrame:
-    """(doc_id, n, ids): every text's ids with ``end_id`` after them, packed in 2 or 4 bytes each by the vocabulary's size."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())  # bounded by the vocabulary file
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared.value)
-        for batch in bounded_batches(batches, "text", SLICE_BYTES):
-            ids, at = encoder.encode(batch.column(1).cast(pa.string()), end_id)
-            offsets = pa.array((at * encoder.width).astype(np.int64)).buffers()[1]
-            packed = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, offsets, pa.py_buffer(ids.tobytes())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), packed.cast(pa.binary())], names=["doc_id", "n", "ids"])
-
-    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(encode, "doc_id long, n long, ids binary")
-
-
 def pack_block(shard: int, block: int, width: int, doc_ids: list[int | None], sizes: np.ndarray, ids: bytes) -> bytes:
     """One file's bytes; ``doc_ids`` ascend, those that are null come last."""
     known = [i for i in doc_ids if i is not None]
@@ -216,24 +200,31 @@ class TokenBlock:
         return pa.concat_arrays([pa.array(known, pa.int64()), pa.nulls(self.n_unnamed, pa.int64())])
 
 
-def _blocks(width: int, block_tokens: int):
+def _blocks(tokenizer, end_id: int, block_tokens: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(tokenizer.value)
         number, names, sizes, parts, held, shard = 0, [], [], [], 0, None
 
         def block() -> pa.RecordBatch:
-            data = pack_block(shard, number, width, names, np.array(sizes, dtype=np.int64), b"".join(parts))
+            data = pack_block(shard, number, encoder.width, names, np.concatenate(sizes), b"".join(parts))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
-        for batch in batches:
-            for here, doc_id, n, ids in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if names and held + n > block_tokens:
+        for batch in bounded_batches(batches, "text", SLICE_BYTES):
+            shard, doc_ids = batch.column(0)[0].as_py(), batch.column(1).to_pylist()
+            ids, at = encoder.encode(batch.column(2), end_id)
+            begin = 0
+            while begin < len(doc_ids):
+                end = int(np.searchsorted(at, at[begin] + block_tokens - held, side="right")) - 1
+                if end <= begin and names:
                     yield block()
                     number, names, sizes, parts, held = number + 1, [], [], [], 0
-                shard = here
-                names.append(doc_id)
-                sizes.append(n)
-                parts.append(ids)
-                held += n
+                    continue
+                end = max(end, begin + 1)  # a long document is a block of its own
+                names += doc_ids[begin:end]
+                sizes.append(np.diff(at[begin:end + 1]))
+                parts.append(ids[at[begin]:at[end]].tobytes())
+                held += int(at[end] - at[begin])
+                begin = end
         if names:
             yield block()
     return cut
@@ -243,25 +234,23 @@ def write_token_files(df: DataFrame, path: str, tokenizer_path: str, *, id_col:
                       block_tokens: int = BLOCK_TOKENS, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every whole text and write the files under ``path`` (a new folder).
 
-    Null and empty texts have the end id alone.  Rows are in ascending order
-    of id, null ids last; rows of one id are ordered by their ids' hash, so a
-    hot id is spread over several shards.  An id must be an integer.  A
-    table without rows gives no file with content.
+    ``df`` is read three times (its size, the ranges, the texts), so it should
+    be a stored table.  Null and empty texts have the end id alone.  Rows are
+    in ascending order of id, null ids last; rows of one id are ordered by
+    their text's hash, and equal rows by their place in ``df``, so a hot id is
+    spread over several shards.  An id must be an integer.  A table without
+    rows gives no file with content.
     """
     spark = df.sparkSession
-    # written once: a range shuffle looks at its input twice
-    coded = written(encode_documents(df, tokenizer_path, id_col=id_col, text_col=text_col, end_id=end_id)
-                    .select("*", F.xxhash64("ids").alias("h"), F.monotonically_increasing_id().alias("row")), "token-ids")
-    totals = coded.agg(F.sum(F.length("ids")), F.sum("n")).first()
-    if not totals[0]:
-        coded.select(F.lit("").alias("data")).limit(0).write.text(path)
-        return
-    width = totals[0] // totals[1]
-    spread = 2 * spark.sparkContext.defaultParallelism
-    shards = max(-(-totals[0] // shard_bytes), min(spread, -(-totals[0] // (width * block_tokens))))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(-(-size // shard_bytes), min(2 * spark.sparkContext.defaultParallelism, 1 + size // SMALL_SHARD))
+    with open(tokenizer_path, encoding="utf-8") as f:
+        tokenizer = spark.sparkContext.broadcast(f.read())  # bounded by the vocabulary file
     order = [F.col("doc_id").asc_nulls_last(), F.col("h"), F.col("row")]
-    ranged = coded.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    blocks = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "n", "ids").mapInArrow(_blocks(width, block_tokens), "data binary")
+    ranged = (rows.withColumn("h", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+              .repartitionByRange(int(shards), *order).sortWithinPartitions(*order))
+    blocks = ranged.select(F.spark_partition_id().alias("shard"), "doc_id", "text").mapInArrow(_blocks(tokenizer, end_id, block_tokens), "data binary")
     # a string column is written as the bytes it holds: one block, one file
     blocks.select(F.col("data").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
