@@ -12,14 +12,17 @@ Rule (our own, in place of an article-scoring library):
      that is not closed ends with its parent;
   4. every tag becomes a space, entities are decoded, whitespace normalised;
   5. text shorter than 100 characters (or blank) -> null.
-Tokens (tags with quoted attributes, text) are cut by one regular expression
-in the JVM, which also codes each tag; the walk sees the codes only, in time
-linear in the number of tags.  ``drop_blocks`` and ``drop_noise_attrs`` are the
-plain regular-expression forms of step 3 for flat markup.
+Tokens (tags with quoted attributes, text) are cut and coded by the JVM, once
+for each page; one Arrow batch walk then goes over them in time linear in
+their number, keeps the visible text and resolves all character references
+(named and numeric, longest match) in one pass.  ``walked_text`` has a switch
+for each step, so a query that shows one step runs the same walk as ingest.
 """
 
 from __future__ import annotations
 
+import html as stdlib_html
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,76 +32,30 @@ from tessera.functions.text import normalize_ws
 
 MIN_TEXT_CHARS = 100
 
-# Tags removed with their content, the attribute words that mark
-# noise, and the block tags checked for them.
+# Tags removed with their content, and the attribute words that mark noise.
 NOISE_TAGS = ("script", "style", "nav", "footer", "aside")
 NOISE_WORDS = "nav|footer|ads|sidebar|header"
-NOISE_ATTR_TAGS = ("div", "section", "ul", "p", "span", "header")
-
-# Entity -> character, decoded in this order ('&amp;' last so
-# '&amp;lt;' stays '&lt;').
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&copy;", "©"), ("&middot;", "·"),
-            ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"),
-            ("&amp;", "&"))
-
 COMMENT_RE = r"(?s)<!--.*?-->"
 TAG_RE = r"<[^>]*>"
 
 
-def block_re(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"
-
-
-def region_re(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>"
-
-
-def has_tag_re(tag: str) -> str:
-    return rf"(?is)<{tag}\b[^>]*>.*</{tag}\s*>"
-
-
-def noise_attr_re(tag: str) -> str:
-    return (rf"(?is)<{tag}\b[^>]*\b(?:class|id)\s*=\s*[\"'][^\"']*(?:{NOISE_WORDS})"
-            rf"[^\"']*[\"'][^>]*>.*?</{tag}\s*>")
-
-
-def drop_blocks(col: Column, tags=NOISE_TAGS) -> Column:
-    for tag in tags:
-        col = F.regexp_replace(col, block_re(tag), " ")
-    return col
-
-
-def drop_noise_attrs(col: Column) -> Column:
-    for tag in NOISE_ATTR_TAGS:
-        col = F.regexp_replace(col, noise_attr_re(tag), " ")
-    return col
-
-
-def decode_entities(col: Column) -> Column:
-    for ent, ch in ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
+@F.arrow_udf(T.StringType())
+def decode_entities(texts: pa.Array) -> pa.Array:
+    """All character references resolved: named, decimal and hexadecimal, by the longest name that fits."""
+    return pa.array([t if t is None or "&" not in t else stdlib_html.unescape(t) for t in texts.to_pylist()], pa.string())
 
 
 def strip_tags(col: Column) -> Column:
     return F.regexp_replace(col, TAG_RE, " ")
 
 
-def main_region(col: Column) -> Column:
-    out = col
-    for tag in ("body", "main", "article"):  # last assigned wins: article first
-        out = F.when(col.rlike(has_tag_re(tag)), F.regexp_extract(col, region_re(tag), 1)).otherwise(out)
-    return out
-
-
 def pre_clean(html: Column) -> Column:
     """Comments, scripts and styles removed (step 1)."""
-    return drop_blocks(F.regexp_replace(html, COMMENT_RE, " "), ("script", "style"))
+    return F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", " "), r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)", " ")
 
 
 def visible_text(fragment: Column) -> Column:
-    """Tags -> spaces, entities decoded, whitespace normalised (step 5)."""
+    """Tags -> spaces, entities decoded, whitespace normalised (step 4 alone)."""
     return normalize_ws(decode_entities(strip_tags(fragment)))
 
 
@@ -111,19 +68,19 @@ MARKED_RE = (rf"""(?is)\s(?:class|id)\s*=\s*(?:"[^"]*(?:{NOISE_WORDS})[^"]*"|'[^
 REGIONS = ("article", "main", "body")
 
 
-def _code(token: Column) -> Column:
+def _code(token: Column, tags: bool, attrs: bool) -> Column:
     """'' for text; '+name', '!name' (noise) or '-name' for an opening, noise or closing tag; '.' for what has no content."""
     name = F.lower(F.regexp_extract(token, "^</?([A-Za-z][A-Za-z0-9:-]*)", 1))
-    noise = name.isin(*NOISE_TAGS) | token.rlike(MARKED_RE)
+    noise = (name.isin(*NOISE_TAGS) if tags else F.lit(False)) | (token.rlike(MARKED_RE) if attrs else F.lit(False))
     return (F.when(~token.startswith("<") | (token == "<"), "").when((name == "") | name.isin(*VOID_TAGS) | token.endswith("/>"), ".")
             .when(token.startswith("</"), F.concat(F.lit("-"), name))
             .otherwise(F.concat(F.when(noise, "!").otherwise("+"), name)))
 
 
-def text_tokens(codes: list[str]) -> list[int]:
-    """1-based numbers of the text tokens in the page's region and outside noise."""
+def text_tokens(codes: list[str], regions: bool = True) -> list[int]:
+    """Numbers (from 0) of the text tokens in the page's region and outside noise."""
     begin, end = 0, len(codes)
-    for region in REGIONS:
+    for region in REGIONS if regions else ():
         opens = [k for k, c in enumerate(codes) if c[1:] == region and c[0] in "+!"]
         last = max((k for k, c in enumerate(codes) if c == "-" + region), default=-1)
         if opens and opens[0] < last:
@@ -134,7 +91,7 @@ def text_tokens(codes: list[str]) -> list[int]:
         c = codes[k]
         if not c:
             if not noise:
-                out.append(k + 1)
+                out.append(k)
         elif c[0] == "-":
             name = c[1:]
             if depth.get(name):  # closes the innermost such element and all that is open inside it
@@ -151,24 +108,34 @@ def text_tokens(codes: list[str]) -> list[int]:
     return out
 
 
-@F.arrow_udf(T.ArrayType(T.IntegerType()))
-def _text_tokens(codes: pa.Array) -> pa.Array:
-    return pa.array([None if c is None else text_tokens(c) for c in codes.to_pylist()], pa.list_(pa.int32()))
+def _walk(regions: bool):
+    @F.arrow_udf(T.StringType())
+    def walk(pages: pa.Array) -> pa.Array:
+        out = []
+        for tokens in pages:
+            if not tokens.is_valid:
+                out.append(None)
+                continue
+            token, code = (tokens.values.field(k).to_pylist() for k in (0, 1))
+            out.append(stdlib_html.unescape(" ".join([token[k] for k in text_tokens(code, regions)])))
+        return pa.array(out, pa.string())
+    return walk
+
+
+def walked_text(html: Column, regions: bool = True, tags: bool = True, attrs: bool = True) -> Column:
+    """Visible text of a page (null for null), with steps 2 and 3 (tags, attributes) as wanted."""
+    tokens = F.regexp_extract_all(pre_clean(html), F.lit(TOKEN_RE), 1)
+    return normalize_ws(_walk(regions)(F.transform(tokens, lambda t: F.struct(t.alias("token"), _code(t, tags, attrs).alias("code")))))
 
 
 def main_text(html: Column) -> Column:
     """Text of a page by steps 1 to 4 (null for null)."""
-    page = F.regexp_replace(F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", " "),
-                            r"(?is)<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)", " ")
-    tokens = F.regexp_extract_all(page, F.lit(TOKEN_RE), 1)
-    kept = F.transform(_text_tokens(F.transform(tokens, _code)), lambda i: F.element_at(tokens, i))
-    return normalize_ws(decode_entities(F.array_join(kept, " ")))
+    return walked_text(html)
 
 
 def clean_html(html: Column) -> Column:
-    """Main text of a page or null (the whole rule above)."""
-    text = main_text(html)
-    return F.when(F.length(text) >= MIN_TEXT_CHARS, text)
+    """Main text of a page or null (the whole rule above); the text is bound once, so it is computed once."""
+    return F.get(F.filter(F.array(main_text(html)), lambda t: F.length(t) >= MIN_TEXT_CHARS), F.lit(0))
 
 
 def page_title(html: Column) -> Column:

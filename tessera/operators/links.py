@@ -17,6 +17,8 @@ without folder, date or icon.
 
 from __future__ import annotations
 
+import html
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,11 +42,15 @@ def attr_re(name: str) -> str:
     return rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 
-def attr_value(attrs: Column, name: str) -> Column:
-    """Value of an attribute in a tag's attribute text ('' when absent)."""
+def attr_raw(attrs: Column, name: str) -> Column:
+    """An attribute as written in a tag's attribute text ('' when absent)."""
     pat = attr_re(name)
-    return decode_entities(F.concat(F.regexp_extract(attrs, pat, 1), F.regexp_extract(attrs, pat, 2),
-                                    F.regexp_extract(attrs, pat, 3)))
+    return F.concat(F.regexp_extract(attrs, pat, 1), F.regexp_extract(attrs, pat, 2), F.regexp_extract(attrs, pat, 3))
+
+
+def attr_value(attrs: Column, name: str) -> Column:
+    """Value of an attribute: ``attr_raw`` with its character references resolved."""
+    return decode_entities(attr_raw(attrs, name))
 
 
 def anchor_title(inner: Column) -> Column:
@@ -52,11 +58,11 @@ def anchor_title(inner: Column) -> Column:
     return normalize_ws(decode_entities(F.regexp_replace(inner, TAG_RE, "")))
 
 
-def scan_anchors(pages: DataFrame, key: str = "page_id", html: str = "html",
+def scan_anchors(pages: DataFrame, key: str = "page_id", html_col: str = "html",
                  keep_empty: bool = False) -> DataFrame:
     """key, pos (0-based anchor position), url, title."""
     tag = rf"(?s)^({ATTRS})>"
-    parts = F.split(pre_clean(F.col(html)), OPEN_RE)
+    parts = F.split(pre_clean(F.col(html_col)), OPEN_RE)
     cut = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.rlike(tag))
 
     def anchor(x: Column) -> Column:
@@ -65,10 +71,9 @@ def scan_anchors(pages: DataFrame, key: str = "page_id", html: str = "html",
         return F.struct(attrs.alias("attrs"), F.element_at(F.split(body, CLOSE_RE, 2), 1).alias("inner"))
 
     out = (pages.select(key, F.posexplode(F.transform(cut, anchor)).alias("pos", "z"))
-           .select(key, F.col("pos").cast("int").alias("pos"),
-                   attr_value(F.col("z.attrs"), "href").alias("url"),
-                   anchor_title(F.col("z.inner")).alias("title")))
-    return out if keep_empty else out.where(F.length("url") > 0)
+           .select(key, F.col("pos").cast("int").alias("pos"), attr_raw(F.col("z.attrs"), "href").alias("raw"), "z.inner"))
+    out = out if keep_empty else out.where(F.length("raw") > 0)
+    return out.select(key, "pos", decode_entities(F.col("raw")).alias("url"), anchor_title(F.col("inner")).alias("title"))
 
 
 # --- link exports ----------------------------------------------------------
@@ -109,7 +114,9 @@ def place_links(kinds: list[str], names: list[str]) -> list[tuple[int, str, bool
 @F.arrow_udf(PLACES)
 def _places(kinds: pa.Array, names: pa.Array) -> pa.Array:
     fields = ("tok", "folder", "listed")
-    rows = [[dict(zip(fields, x)) for x in place_links(k or [], n or [])] for k, n in zip(kinds.to_pylist(), names.to_pylist())]
+    shown = lambda n: " ".join(html.unescape(n).split()) if n else ""  # noqa: E731 (white space as normalize_ws has it)
+    rows = [[dict(zip(fields, x)) for x in place_links(k or [], [shown(n) for n in names_of or []])]
+            for k, names_of in zip(kinds.to_pylist(), names.to_pylist())]
     return pa.array(rows, pa.list_(pa.struct([("tok", pa.int32()), ("folder", pa.string()), ("listed", pa.bool_())])))
 
 
@@ -129,7 +136,7 @@ def parse_exports(exports: DataFrame, ingest_ts: Column, file_col: str = "file_i
     export in document order (duplicates kept; empty href dropped)."""
     kind = lambda t: (F.when(F.lower(t).startswith("<dl"), "o").when(F.lower(t).startswith("</dl"), "c")
                       .when(F.lower(t).startswith("<h3"), "h").when(F.lower(t).startswith("<dt"), "d").otherwise("a"))
-    name = lambda t: F.when(F.lower(t).startswith("<h3"), anchor_title(t)).otherwise(F.lit(""))
+    name = lambda t: F.when(F.lower(t).startswith("<h3"), F.regexp_replace(t, TAG_RE, "")).otherwise(F.lit(""))
     tok = exports.select(file_col, F.regexp_extract_all(
         F.regexp_replace(content, COMMENT_RE, " "), F.lit(TOKEN_RE), 1).alias("_toks"))
     tok = tok.select(file_col, "_toks", F.transform("_toks", kind).alias("_kinds"), F.transform("_toks", name).alias("_names"))
@@ -140,7 +147,7 @@ def parse_exports(exports: DataFrame, ingest_ts: Column, file_col: str = "file_i
         return F.struct(p["folder"].alias("folder"), p["listed"].alias("listed"), F.regexp_extract(t, LINK_RE, 1).alias("attrs"),
                         F.regexp_extract(t, LINK_RE, 2).alias("inner"))
 
-    links = F.filter(F.transform("_places", link), lambda x: F.length(attr_value(x["attrs"], "href")) > 0)
+    links = F.filter(F.transform("_places", link), lambda x: F.length(attr_raw(x["attrs"], "href")) > 0)
     out = tok.select(file_col, F.posexplode(links).alias("pos", "x"))
     icon = attr_value(F.col("x.attrs"), "icon")
     return out.select(

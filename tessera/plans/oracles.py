@@ -138,7 +138,6 @@ SELECT CAST(count(*) AS BIGINT) AS n_questions, round(avg(precision_at_k), 6) AS
 
 from tessera.plans import oracle_sql as O  # noqa: E402
 from tessera.plans import pages as PG  # noqa: E402
-from tessera.functions import html as HT  # noqa: E402
 
 FETCH = "WITH " + O.fetched_ctes(0, "f")
 
@@ -157,21 +156,19 @@ ORACLES["fetch_failed"] = FETCH + "\nSELECT page_id, fetch_failed, fail_reason F
 _PC = f"(SELECT page_id, html, {O.pre_clean('html')} AS pc FROM pages)"
 
 ORACLES["main_text"] = f"""
-SELECT page_id, CASE WHEN length(b) >= {HT.MIN_TEXT_CHARS} THEN b END AS text
+SELECT page_id, CASE WHEN length(b) >= {O.MIN_TEXT_CHARS} THEN b END AS text
 FROM (SELECT page_id, {O.clean_body('pc')} AS b FROM {_PC})"""
 
 ORACLES["drop_noise_tags"] = f"""
-SELECT page_id, CAST(length(html) AS INTEGER) AS html_chars, CAST(length({O.drop_blocks('pc')}) AS INTEGER) AS kept_chars
+SELECT page_id, CAST(length(html) AS INTEGER) AS html_chars, {O.visible_text(O.drop_blocks('pc'))} AS text
 FROM {_PC}"""
 
-ORACLES["drop_noise_attrs"] = f"""
-SELECT page_id, CAST(length(k) AS INTEGER) AS kept_chars, {O.visible_text(O.pre_clean('k'))} AS text
-FROM (SELECT page_id, {O.drop_noise_attrs('html')} AS k FROM pages)"""
+ORACLES["drop_noise_attrs"] = f"SELECT page_id, {O.visible_text(O.drop_noise_attrs('pc'))} AS text FROM {_PC}"
 
 ORACLES["normalize_ws"] = f"SELECT page_id, {O.visible_text('pc')} AS text FROM {_PC}"
 
 ORACLES["min_text_length"] = f"""
-SELECT page_id, CAST(length(b) AS INTEGER) AS n_chars, (length(b) >= {HT.MIN_TEXT_CHARS}) AS kept
+SELECT page_id, CAST(length(b) AS INTEGER) AS n_chars, (length(b) >= {O.MIN_TEXT_CHARS}) AS kept
 FROM (SELECT page_id, {O.clean_body('pc')} AS b FROM {_PC})"""
 
 ORACLES["scan_anchors"] = "WITH " + O.anchors_cte("an") + "\nSELECT page_id, pos, url, title FROM an"

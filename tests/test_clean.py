@@ -71,3 +71,32 @@ def test_unclosed_openers_take_linear_time(clean):
         assert clean("<body>" + NOTE + "<div class='ads'>" * n) == [NOTE]
         took.append(time.time() - began)
     assert took[1] < 4 * took[0] + 2
+
+
+def test_character_references_of_every_kind(clean):
+    body = "&#8212; &eacute; &#x41; &rsquo; &notin; &notit; &amp;lt; &copy 2020 &#0; &unknown; & &am; AT&T &CounterClockwiseContourIntegral; " + NOTE
+    assert clean(f"<body>{body}</body>") == [f"\u2014 \u00e9 A \u2019 \u2209 \u00acit; &lt; \u00a9 2020 \ufffd &unknown; & &am; AT&T \u2233 {NOTE}"]
+
+
+def test_nested_markup_takes_linear_time(spark):
+    """Doubling the number of tags at most doubles the time (with room for a slow machine), and the page is walked once."""
+    import time
+    took = {}
+    for n in (1_000, 32_000, 64_000):
+        page = "<body>" + "<div><p>some text &amp; more</p></div>" * (n // 4) + "</body>"
+        df = spark.createDataFrame([(page,)], "html string").select(clean_html(F.col("html")).alias("t"))
+        began = time.time()
+        assert df.first().t.count("more") == n // 4
+        took[n] = time.time() - began
+    assert took[64_000] < 2.5 * took[32_000] + 1
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_steps_by_the_same_walk(spark):
+    from tessera.functions.html import walked_text
+    page = f"<p>out</p><article><nav>menu</nav><div class='my-ads'>buy <b>now</b></div>{NOTE}</article>"
+    steps = [walked_text(F.col("html"), **how).alias(f"c{k}") for k, how in enumerate((
+        {}, {"regions": False, "attrs": False}, {"regions": False, "tags": False}, {"tags": False, "attrs": False}))]
+    assert list(spark.createDataFrame([(page,)], "html string").select(*steps).first()) == [
+        NOTE, f"out buy now {NOTE}", f"out menu {NOTE}", f"menu buy now {NOTE}"]
