@@ -1,9 +1,10 @@
 """Index state: the ``links`` and ``chunks`` tables as immutable snapshots.
 
-Every change is a pure function of (old snapshot, new rows) -> new snapshot,
-written to a fresh directory and then published by replacing a small pointer
-file (see ``tessera.sources.store``), so a failed or retried job never leaves
-a half-written table behind and re-running a step gives the same result.
+``upsert_links`` and ``replace_chunks`` are pure functions of (old rows, new
+rows); ``merge_index`` applies them to the buckets that a run touches and
+publishes the result as the next version (``tessera.sources.store``), so a
+failed or retried job never leaves a half-written table behind and re-running
+a step gives the same result.
 
 Scale notes.  ``upsert_links`` is one aggregate by ``url`` over old and new
 rows (combined map-side, so a url repeated a million times sends one row per
@@ -12,9 +13,11 @@ task).  ``replace_chunks`` anti-joins the old chunks with the touched urls.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import store
+
 # The stored columns of a link.
 LINK_COLS = ("url", "title", "folder", "date_added", "domain", "status", "created_at", "updated_at")
 
@@ -75,6 +78,25 @@ def replace_chunks(old: DataFrame, new: DataFrame, key: str = "url", touched: Da
     return old.join(urls, key, "left_anti").unionByName(once)
 
 
+def merge_index(spark: SparkSession, root: str, links: DataFrame, chunks: DataFrame, now: Column, note: dict | None = None,
+                buckets: int | None = None) -> int:
+    """Merge a run's link rows and chunks into the index under ``root``; the version published.
+
+    Only the url buckets that hold a url of ``links`` are read and written, so
+    the work follows the run and not the index.  A run without links changes
+    nothing but the version's note."""
+    m = store.manifest(spark, root)
+    if m is None:
+        return store.publish_index(spark, root, {"links": first_snapshot(links, now), "chunks": chunks.dropDuplicates(["url", "chunk_index"])},
+                                   note, buckets=buckets)
+    number = store.bucket_of("url", m["buckets"])
+    touched = sorted(r[0] for r in links.select(number).distinct().collect())  # as many numbers as buckets at most
+    old_links, old_chunks = (store.read_current(spark, root, t, buckets=touched) for t in ("links", "chunks"))
+    indexed = links.where(F.col("status") == "indexed")
+    return store.publish_index(spark, root, {"links": upsert_links(old_links, links, now),
+                                             "chunks": replace_chunks(old_chunks, chunks, touched=indexed)}, note, touched=touched)
+
+
 def index_stats(links: DataFrame, chunks: DataFrame) -> DataFrame:
     """total_links, failed_links, total_chunks as one row (zeros when empty).
 

@@ -136,15 +136,15 @@ def page_chunks(links: DataFrame, chunk_size: int = 400, overlap: int = 50, hash
                      "chunk_index", "chunk_text", "start", "end", *(["embedding"] if hash_dim else []))
 
 
-def stored_index(spark: SparkSession, root: str) -> DataFrame | None:
+def stored_index(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
     """The published chunks with their links' metadata, ready for ``topk_batch``; None if nothing is published.
 
-    Both tables come from one manifest, so they belong together."""
+    Both tables come from one manifest and are bucketed by url alike: the join moves neither."""
     from tessera.sources import store
-    links, chunks = store.read_current(spark, root, "links"), store.read_current(spark, root, "chunks")
+    links, chunks = (store.read_current(spark, root, t, version) for t in ("links", "chunks"))
     if links is None or chunks is None:
         return None
-    return chunks.join(links.select("url", "title", "folder", "domain", "date_added"), "url")
+    return chunks.hint("merge").join(links.select("url", "title", "folder", "domain", "date_added"), "url")
 
 
 def page_index(spark: SparkSession, sf_dir: str, dim: int = 384, attempt: int = 0) -> DataFrame:

@@ -23,6 +23,8 @@ ENGINE_CONF = {
     # Arrow batches carry whole documents; keep a batch well inside a
     # Python worker's memory even for long texts.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # a lookup of a few hundred urls is tested against each row group, not as one range
+    "spark.sql.parquet.pushdown.inFilterThreshold": "256",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }

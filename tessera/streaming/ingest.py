@@ -34,14 +34,8 @@ def ingest_batch(spark: SparkSession, pages: DataFrame, root: str, now: str, bat
     links = links_from_pages(pages, attempt).cache()
     try:
         written = links.where(F.col("outcome").isin("indexed", "failed")).withColumn("status", F.col("outcome"))
-        old_links = store.read_current(spark, root, "links")
-        old_chunks = store.read_current(spark, root, "chunks")
-        ts = F.to_timestamp(F.lit(now))
-        new_links = ix.first_snapshot(written, ts) if old_links is None else ix.upsert_links(old_links, written, ts)
-        fresh = page_chunks(links, hash_dim=DEFAULT_DIM)
-        indexed = links.where(F.col("outcome") == "indexed")
-        new_chunks = fresh.dropDuplicates(["url", "chunk_index"]) if old_chunks is None else ix.replace_chunks(old_chunks, fresh, touched=indexed)
-        store.publish_index(spark, root, {"links": new_links, "chunks": new_chunks}, {"stream": stream, "batch": batch_id})
+        ix.merge_index(spark, root, written, page_chunks(links, hash_dim=DEFAULT_DIM), F.to_timestamp(F.lit(now)),
+                       {"stream": stream, "batch": batch_id})
     finally:
         links.unpersist()
 
