@@ -217,6 +217,8 @@ from tessera.functions.url import url_domain as _domain  # noqa: E402
 from tessera.operators import index as ix  # noqa: E402
 from tessera.operators.links import scan_anchors  # noqa: E402
 from tessera.plans import pages as pg  # noqa: E402
+from tessera.plans import stored as st  # noqa: E402
+from tessera.sources import store  # noqa: E402
 
 
 def _pages(spark, sf):
@@ -325,45 +327,15 @@ def q_last_wins(spark, sf):
     return ix.last_wins(a.select("url", "title", "file_id", "pos"))
 
 
-def _run_links(spark, sf, run: int, cleaned=None):
-    """Link rows a run writes: every page is crawled in both runs; run 1 is a
-    re-crawl (attempt 1) whose transport outcomes differ."""
-    lk = _links(spark, sf, attempt=run, cleaned=cleaned)
-    return lk.where(F.col("outcome").isin("indexed", "failed")).select(
-        "page_id", "url", "title", "folder", "date_added", "domain", F.col("outcome").alias("status"),
-        "outcome", "text")
-
-
-def _snapshot(spark, sf, runs=2, cleaned=None):
-    cleaned = cleaned if cleaned is not None else _cleaned(spark, sf)
-    ts = [F.to_timestamp(F.lit(t)) for t in pg.INGEST_TS]
-    links = ix.first_snapshot(_run_links(spark, sf, 0, cleaned), ts[0])
-    if runs > 1:
-        links = ix.upsert_links(links, _run_links(spark, sf, 1, cleaned), ts[1])
-    return links
-
-
-def _run_chunks(spark, sf, run: int, cleaned=None):
-    lk = _run_links(spark, sf, run, cleaned)
-    return pg.page_chunks(lk).withColumn("run", F.lit(run))
-
-
-def _two_runs(spark, sf, cleaned):
-    """Chunks after both runs; the urls that run 1 touches come from its links."""
-    second = _run_links(spark, sf, 1, cleaned).where(F.col("outcome") == "indexed")
-    return ix.replace_chunks(_run_chunks(spark, sf, 0, cleaned), _run_chunks(spark, sf, 1, cleaned), touched=second)
-
-
 @register("upsert_links")
 def q_upsert_links(spark, sf):
-    return _snapshot(spark, sf)
+    """The stored link table after both crawl runs (the second merged into the first's buckets)."""
+    return st.page_table(spark, sf, "links", runs=2)
 
 
 @register("replace_chunks")
 def q_replace_chunks(spark, sf):
-    cl = _cleaned(spark, sf)
-    ch = _two_runs(spark, sf, cl)
-    return ch.select("url", "chunk_index", "chunk_id", "run")
+    return st.page_table(spark, sf, "chunks", runs=2).select("url", "chunk_index", "chunk_id", "run")
 
 
 @register("ingest_progress")
@@ -387,19 +359,20 @@ def q_ingest_summary(spark, sf):
 
 @register("get_by_url")
 def q_get_by_url(spark, sf):
-    return ix.get_by_url(_snapshot(spark, sf), _pages(spark, sf).select("url"))
+    """Every page's url looked up in the stored link table."""
+    asked = _pages(spark, sf).select("url")
+    root = st.page_store(spark, sf, runs=2)
+    return ix.get_by_url(store.lookup(spark, root, "links", asked), asked)
 
 
 @register("list_urls")
 def q_list_urls(spark, sf):
-    return ix.list_urls(_snapshot(spark, sf))
+    return ix.list_urls(st.page_table(spark, sf, "links", runs=2))
 
 
 @register("index_stats")
 def q_index_stats(spark, sf):
-    cl = _cleaned(spark, sf)
-    ch = _two_runs(spark, sf, cl)
-    return ix.index_stats(_snapshot(spark, sf, cleaned=cl), ch)
+    return ix.index_stats(*(st.page_table(spark, sf, t, runs=2) for t in ("links", "chunks")))
 
 
 # --- retrieval with link metadata (pages index) -------------------------------
@@ -411,7 +384,7 @@ DATE_WINDOW_DAYS = 30
 
 
 def _page_hits(spark, sf, folder=False, domain=False, dates=False, k=DEFAULT_K, carry=("url",)):
-    idx = pg.page_index(spark, sf)
+    idx = st.page_index(spark, sf)
     q = pg.page_questions(spark, sf)
     none_s, none_t = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
     q = q.select(
@@ -430,7 +403,7 @@ def _hits_out(h):
 
 @register("chunk_link_join")
 def q_chunk_link_join(spark, sf):
-    return pg.page_index_joined(spark, sf).select("chunk_id", "url", "chunk_index", "title", "folder",
+    return st.page_index(spark, sf).select("chunk_id", "url", "chunk_index", "title", "folder",
                                                   "domain", "date_added")
 
 
@@ -461,7 +434,7 @@ def q_filter_combine(spark, sf):
     q = pg.page_questions(spark, sf).orderBy("query_id").first()
     filters = {"folder": q["folder"], "date_to": q["date_added"] + datetime.timedelta(days=365),
                "colour": "blue"}
-    h = topk_single(pg.page_index(spark, sf), q["embedding"], DEFAULT_K, key_cols=["chunk_id"],
+    h = topk_single(st.page_index(spark, sf), q["embedding"], DEFAULT_K, key_cols=["chunk_id"],
                     carry=["url"], filters=filters)
     return h.select(F.col("rank").cast("int").alias("rank"), "chunk_id", "url", _r6(F.col("score")).alias("score"))
 
@@ -475,7 +448,7 @@ def q_blank_query_guard(spark, sf):
     guarded = conv.where(normalize_ws(F.coalesce("text", F.lit(""))) != "")
     q = guarded.select(F.struct("conv_id", "turn").alias("query_id"), "conv_id", "turn",
                        hash_embedding(F.col("text")).alias("embedding"))
-    hits = topk_batch(pg.page_index(spark, sf), q, DEFAULT_K, key_cols=["chunk_id"], carry=["url"])
+    hits = topk_batch(st.page_index(spark, sf), q, DEFAULT_K, key_cols=["chunk_id"], carry=["url"])
     n = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"))
     return (q.join(n, "query_id", "left")
             .select("conv_id", "turn", F.coalesce("n_hits", F.lit(0)).cast("bigint").alias("n_hits")))
@@ -646,7 +619,6 @@ from tessera.operators.embed import HashModel, check_dims, model_embedder  # noq
 from tessera.functions.text import flatten_newlines  # noqa: E402
 from tessera.operators import quality as qual  # noqa: E402
 from tessera.sources import qa as qa_src  # noqa: E402
-from tessera.sources import store  # noqa: E402
 from tessera.session import ensure_checkpoint_dir  # noqa: E402
 
 
@@ -704,9 +676,9 @@ def q_write_index(spark, sf):
     """Publish the first run's links and embedded chunks as one version of the
     index; read it back."""
     root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    lk = _run_links(spark, sf, 0)
+    links = st.run_links(_pages(spark, sf), _cleaned(spark, sf), 0)
     now = F.to_timestamp(F.lit(pg.INGEST_TS[0]))
-    store.publish_index(spark, root, {"links": ix.first_snapshot(lk, now), "chunks": pg.page_chunks(lk, hash_dim=DEFAULT_DIM)})
+    store.publish_index(spark, root, {"links": ix.first_snapshot(links, now), "chunks": pg.page_chunks(links, hash_dim=DEFAULT_DIM)})
     l2 = store.read_current(spark, root, "links")
     c2 = store.read_current(spark, root, "chunks")
     return (l2.agg(F.count(F.lit(1)).alias("n")).withColumn("table", F.lit("links"))

@@ -163,15 +163,6 @@ def page_index(spark: SparkSession, sf_dir: str, dim: int = 384, attempt: int =
                      "chunk_text", *meta_cols, "embedding")
 
 
-def page_index_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored-table form: chunks joined to links on url (inner equi-join).
-    The link table is written once (checkpoint) and read by both sides."""
-    links = page_links(spark, sf_dir, 0).checkpoint()
-    meta = links.where(F.col("outcome").isin("indexed", "failed")).select(
-        "url", "title", "folder", "domain", "date_added")
-    return page_chunks(links).join(meta, "url")
-
-
 def page_questions(spark: SparkSession, sf_dir: str, dim: int = 384) -> DataFrame:
     """Every page's title as a question, with that page's metadata as
     candidate filter values: query_id, question, folder, domain, date_added,
