@@ -1,18 +1,23 @@
 """Exact cosine top-k retrieval: one question or many at once, with filters.
 
-Batch plan.  The index (chunks, possibly billions of rows) is never shuffled
-and never sent anywhere: each index partition scores its rows against a block
-of query vectors with one matrix product (``mapInPandas``), keeps only a local
-top-k per query (ties broken by key), and emits ``k x queries`` rows.  A final
-``row_number() <= k`` per query over those survivors picks the global top-k.
-The only shuffle carries ``partitions x queries x k`` small rows.
-
-Query blocks.  The query side is written to the shared folder once, in
-parallel, with running numbers; its measured size decides the number of blocks
-of at most ``max_block_bytes`` of vectors.  Usually that is one, which is
-broadcast.  More queries -> more blocks, each one more pass over the index;
-the driver holds one block at a time.  Query ids may be of any type: the
-scorer works with the running numbers.
+Batch plan.  Neither side goes through the driver or is broadcast; blocks of
+questions and blocks of the index meet by a shuffle.
+
+1. A bounded sample of the index gives the pivots.  Every index row belongs to
+   the cell of its nearest pivot (and of a hash of its first equality-filter
+   value); one aggregate gives each cell's size, its range of angles to the
+   pivot and its ranges of filter values.  There are at most ``PIVOTS`` times
+   ``VALUE_CELLS`` cells whatever the data.
+2. A question's k-th best score within the sample (under its own filters) is a
+   floor for its k-th best overall.  By the triangle inequality of angles, no
+   row of a cell is nearer to the question than the angle between question and
+   pivot less the cell's outer angle (or the inner angle less that), so cells
+   that cannot reach the floor, and cells outside its filters, are left out.
+   The result stays exact.
+3. Cells are salted into blocks of at most ``max_block_bytes`` of vectors on
+   either side, so a hot cell (many equal vectors) or a hot set of questions
+   is spread.  Each pair of blocks is one matrix product with a local top-k;
+   a window over those few rows gives the global one.
 
 Order.  Score DESC (NaN, from a zero vector, first -- as SQL engines order
 it), then key ASC.  Ranking uses the score rounded to 9 decimals so that two
@@ -31,15 +36,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.session import ensure_checkpoint_dir
 
 DEFAULT_K = 5
-MAX_BLOCK_BYTES = 64 * 1024 * 1024  # query vectors broadcast per index pass
-SCORE_CELLS = 4_000_000            # rows x queries scored per numpy call
+MAX_BLOCK_BYTES = 32 * 1024 * 1024  # vectors of a block of questions or of index rows
+SCORE_CELLS = 4_000_000             # rows x queries scored per numpy call
+PIVOTS, SAMPLE_ROWS, VALUE_CELLS = 32, 1024, 16
+ANGLE_SLACK = 1e-6                  # above the rounding error of an arc cosine
 
 
 @dataclass
@@ -64,228 +72,242 @@ LINK_FILTERS = FilterSpec(equal=[("folder", "folder"), ("domain", "domain")],
                           ranges=[("date_added", "date_from", "date_to")])
 
 
-def _int_with_mask(values) -> tuple[np.ndarray, np.ndarray]:
-    """Nullable integers (epoch microseconds) -> (int64 values, not-null mask)."""
-    ser = pd.Series(values, dtype="object")
-    mask = ser.notna().to_numpy()
-    vals = np.zeros(len(ser), dtype=np.int64)
-    if mask.any():
-        vals[mask] = ser[mask].astype("int64").to_numpy()
-    return vals, mask
-
-
-def _make_scorer(qblock: dict, k: int, key_cols: list[str], carry: list[str],
-                 vec_col: str, spec: FilterSpec, self_key: str | None):
-    qids = qblock["query_id"]
-    qmat = qblock["vectors"]
-    qnorm = np.sqrt(np.einsum("ij,ij->i", qmat, qmat))
-    qfilters = qblock["filters"]
-    qself = qblock.get("self")
-    out_cols = ["query_id"] + key_cols + carry + ["score", "score_nan", "rscore"]
-
-    def select_top(cand: pd.DataFrame) -> pd.DataFrame:
-        if cand.empty:
-            return cand
-        cand = cand.sort_values(["query_id", "rscore"] + key_cols,
-                                ascending=[True, False] + [True] * len(key_cols),
-                                kind="mergesort")
-        return cand.groupby("query_id", sort=False).head(k)
-
-    def vectors(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        width = qmat.shape[1]
-        vecs = pdf[vec_col].to_list()
-        wrong = sum(len(v) != width for v in vecs)
-        if wrong:  # never dropped in silence: split such rows off with check_dims first
-            raise ValueError(f"{wrong} index vectors do not have the question's width {width}; see check_dims")
-        return np.asarray(np.stack(vecs), dtype=np.float64), np.ones(len(vecs), dtype=bool)
-
-    def score_batch(pdf: pd.DataFrame, X: np.ndarray, ok: np.ndarray, qi: np.ndarray) -> pd.DataFrame:
-        """Score rows of ``pdf`` against the queries ``qi``; local top-k each."""
-        n = len(pdf)
-        xnorm = np.sqrt(np.einsum("ij,ij->i", X, X))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            S = (X @ qmat[qi].T) / (xnorm[:, None] * qnorm[qi][None, :])
-        valid = np.repeat(ok[:, None], len(qi), axis=1)
-        for (qcol, icol) in spec.equal:
-            qcodes = qfilters[qcol][0][qi]
-            active = qcodes >= 0
-            if active.any():
-                icodes = pd.Series(pdf[icol].to_numpy(dtype=object)).map(qfilters[qcol][1])
-                icodes = icodes.fillna(-2).to_numpy(dtype=np.int64)
-                valid &= np.where(active[None, :], icodes[:, None] == qcodes[None, :], True)
-        for (icol, lo, hi) in spec.ranges:
-            ivals, imask = _int_with_mask(pdf[icol].to_numpy(dtype=object))
-            lov, lom = qfilters[lo][0][qi], qfilters[lo][1][qi]
-            hiv, him = qfilters[hi][0][qi], qfilters[hi][1][qi]
-            if lom.any():
-                valid &= np.where(lom[None, :], imask[:, None] & (ivals[:, None] >= lov[None, :]), True)
-            if him.any():
-                valid &= np.where(him[None, :], imask[:, None] & (ivals[:, None] <= hiv[None, :]), True)
-        if self_key is not None and qself is not None:
-            keys = pdf[key_cols[0]].to_numpy()
-            valid &= keys[:, None] != qself[qi][None, :]
-        r = np.round(S, 9)
-        r = np.where(np.isnan(r), np.inf, r)
-        r = np.where(valid, r, -np.inf)
-        if n > k:
-            thr = np.partition(r, n - k, axis=0)[n - k]
-            pick = (r >= thr[None, :]) & valid
-        else:
-            pick = valid
-        rows, cols = np.nonzero(pick)
-        cand = pdf.iloc[rows][key_cols + carry].reset_index(drop=True)
-        cand.insert(0, "query_id", qids[qi][cols])
-        sc = S[rows, cols]
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int | None = None) -> np.ndarray:
+    """A column of vectors as float64 rows; all must have the same width."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = np.diff(column.offsets.to_numpy())
+    width = int(sizes[0]) if width is None and len(sizes) else width or 0
+    wrong = int((sizes != width).sum())
+    if wrong:  # never dropped in silence: split such rows off with check_dims first
+        raise ValueError(f"{wrong} vectors do not have the width {width}; see check_dims")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), width)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay zero."""
+    norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+    return x / np.where(norm > 0, norm, 1)[:, None]
+
+
+def _ranked(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of index rows and questions, and the same rounded for ranking with NaN on top."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = (x @ q.T) / (np.sqrt(np.einsum("ij,ij->i", x, x))[:, None] * np.sqrt(np.einsum("ij,ij->i", q, q))[None, :])
+    r = np.round(s, 9)
+    return s, np.where(np.isnan(r), np.inf, r)
+
+
+def _whole(values) -> tuple[np.ndarray, np.ndarray]:
+    """Nullable whole numbers -> (values, not-null mask)."""
+    ser = pd.array(values, dtype="Int64")
+    return ser.to_numpy(dtype=np.int64, na_value=0), ~np.asarray(ser.isna())
+
+
+def _allowed(rows: dict, asked: dict, spec: FilterSpec, self_key: str | None, key: str) -> np.ndarray:
+    """Which index rows each question may have (rows x questions), by its filters and its own row."""
+    n, m = len(rows[key]), len(asked["_qno"])
+    ok = np.ones((n, m), dtype=bool)
+    for qcol, icol in spec.equal:
+        codes, _ = pd.factorize(pd.Series([*rows[icol], *asked[qcol]], dtype=object))
+        ok &= (codes[None, n:] < 0) | (codes[:n, None] == codes[None, n:])
+    for icol, lo, hi in spec.ranges:
+        value, known = _whole(rows[icol])
+        for col, holds in ((lo, np.greater_equal), (hi, np.less_equal)):
+            bound, given = _whole(asked[col])
+            ok &= ~given[None, :] | (known[:, None] & holds(value[:, None], bound[None, :]))
+    if self_key is not None:
+        ok &= np.asarray(rows[key], dtype=object)[:, None] != np.asarray(asked[self_key], dtype=object)[None, :]
+    return ok
+
+
+def _best(rows: pd.DataFrame, x: np.ndarray, asked: dict, q: np.ndarray, k: int, keys: list[str], spec: FilterSpec, self_key: str | None) -> pd.DataFrame:
+    """Top-k rows of each question among ``rows``: _qno, the rows' columns, score, score_nan, rscore."""
+    def top(cand: pd.DataFrame) -> pd.DataFrame:
+        cand = cand.sort_values(["_qno", "rscore", *keys], ascending=[True, False] + [True] * len(keys), kind="mergesort")
+        return cand.groupby("_qno", sort=False).head(k)
+
+    kept, held, qno = [], 0, np.asarray(asked["_qno"])
+    step = max(1, SCORE_CELLS // max(1, len(qno)))
+    for a in range(0, len(rows), step):
+        part = rows.iloc[a:a + step]
+        s, r = _ranked(x[a:a + step], q)
+        ok = _allowed({c: part[c].tolist() for c in {keys[0], *spec.index_cols}}, asked, spec, self_key, keys[0])
+        r = np.where(ok, r, -np.inf)
+        if len(part) > k:  # at least the k-th best of each question, with its ties
+            ok &= r >= np.partition(r, len(part) - k, axis=0)[len(part) - k][None, :]
+        at, of = np.nonzero(ok)
+        cand = part.iloc[at].reset_index(drop=True)
+        sc = s[at, of]
         # Arrow turns a pandas NaN into null; carry NaN (zero vector) as a flag
-        cand["score"] = np.where(np.isnan(sc), 0.0, sc)
-        cand["score_nan"] = np.isnan(sc)
-        cand["rscore"] = r[rows, cols]
-        return select_top(cand)
-
-    # Equality pre-filter as routing: rows whose first equality-filter value is
-    # v are scored only against queries asking for v (or not filtering), so a
-    # selective filter cuts the matrix product instead of masking it.
-    route = None
+        cand = cand.assign(_qno=qno[of], score=np.where(np.isnan(sc), 0.0, sc), score_nan=np.isnan(sc), rscore=r[at, of])
+        kept.append(top(cand))
+        held += len(cand)
+        if held > 8 * k * len(qno):
+            kept = [top(pd.concat(kept, ignore_index=True))]
+            held = len(kept[0])
+    return top(pd.concat(kept, ignore_index=True)) if kept else rows.iloc[:0].assign(_qno=[], score=[], score_nan=[], rscore=[])
+
+
+def _cell_of(pivots: np.ndarray):
+    """Column function: vector -> (cell, angle to its pivot); the last cell is for zero vectors."""
+    unit = _unit(pivots)
+
+    @F.arrow_udf("cell int, angle double")
+    def assign(vectors: pa.Array) -> pa.Array:
+        x = _unit(_matrix(vectors, unit.shape[1]))
+        cos = x @ unit.T
+        cell = np.where(x.any(axis=1), cos.argmax(axis=1), len(unit)) if len(x) else np.zeros(0, dtype=int)
+        near = np.arccos(np.clip(cos.max(axis=1), -1, 1)) if len(x) else np.zeros(0)
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.where(cell < len(unit), near, 0.0))], names=["cell", "angle"])
+    return assign
+
+
+def _needed_cells(q: np.ndarray, asked: dict, sample: dict, cells: dict, pivots: np.ndarray, spec: FilterSpec, k: int, self_key, key) -> np.ndarray:
+    """Which cells each question must see (questions x cells)."""
+    unit = _unit(q)
+    theta = np.arccos(np.clip(unit @ _unit(pivots).T, -1, 1))
+    theta = np.c_[theta, np.zeros(len(q))][:, cells["cell"]]
+    least = np.maximum(0, np.maximum(theta - cells["far"], cells["near"] - theta) - ANGLE_SLACK)
+    reach = np.cos(np.minimum(least, np.pi))
+    reach[:, cells["cell"] == len(pivots)] = np.inf  # zero vectors come first for every question
+    reach[~unit.any(axis=1)] = np.inf                # and every row ties for a zero question
+    floor = np.full(len(q), -np.inf)
+    if len(sample["x"]) >= k:
+        r = np.where(_allowed(sample["rows"], asked, spec, self_key, key), _ranked(sample["x"], q)[1], -np.inf)
+        floor = np.partition(r, len(r) - k, axis=0)[len(r) - k]
+    need = reach >= floor[:, None] - 1e-9
+    for icol, lo, hi in spec.ranges:
+        for col, edge, beyond in ((lo, "max", np.less), (hi, "min", np.greater)):
+            bound, given = _whole(asked[col])
+            value, known = cells[f"{edge}:{icol}"]
+            need &= ~(given[:, None] & (~known[None, :] | beyond(value[None, :], bound[:, None])))
     if spec.equal:
-        qcol, icol = spec.equal[0]
-        codes, vocab = qfilters[qcol]
-        inactive = np.nonzero(codes < 0)[0]
-        by_code = {c: np.concatenate([np.nonzero(codes == c)[0], inactive]) for c in np.unique(codes[codes >= 0])}
-        route = (icol, vocab, by_code, inactive)
-    all_q = np.arange(len(qids))
-
-    def score_rows(pdf: pd.DataFrame) -> list[pd.DataFrame]:
-        X, ok = vectors(pdf)
-        if route is None:
-            return [score_batch(pdf, X, ok, all_q)]
-        icol, vocab, by_code, inactive = route
-        icodes = pd.Series(pdf[icol].to_numpy(dtype=object)).map(vocab).fillna(-1).to_numpy(dtype=np.int64)
-        out = []
-        for c in np.unique(icodes):
-            qi = by_code.get(c, inactive) if c >= 0 else inactive
-            if len(qi) == 0:
-                continue
-            sel = np.nonzero(icodes == c)[0]
-            out.append(score_batch(pdf.iloc[sel].reset_index(drop=True), X[sel], ok[sel], qi))
-        return out
-
-    def run(batches):
-        kept = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            step = max(1, SCORE_CELLS // max(1, len(qids)))
-            for start in range(0, len(pdf), step):
-                kept.extend(score_rows(pdf.iloc[start:start + step].reset_index(drop=True)))
-            if sum(len(x) for x in kept) > 4 * k * len(qids):
-                kept = [select_top(pd.concat(kept, ignore_index=True))]
-        if kept:
-            res = select_top(pd.concat(kept, ignore_index=True))
-            if len(res):
-                yield res[out_cols]
-
-    return run
-
-
-def _collect_query_blocks(queries: DataFrame, vec_col: str, spec: FilterSpec,
-                          self_col: str | None, max_block_bytes: int):
-    """The written query side, and its blocks of bounded size as (number, rows)."""
-    spark = queries.sparkSession
-    cols = [F.col("query_id"), F.col(vec_col)] + [F.col(q) for q, _ in spec.equal]
-    for _, lo, hi in spec.ranges:
-        cols += [F.unix_micros(F.col(lo).cast("timestamp")).alias(lo),
-                 F.unix_micros(F.col(hi).cast("timestamp")).alias(hi)]
-    if self_col:
-        cols.append(F.col(self_col))
+        wanted, given = _whole(asked["_value"])
+        need &= ~given[:, None] | (wanted[:, None] == cells["value"][None, :])
+    return need
+
+
+def _value_cell(col: str) -> Column:
+    return F.when(F.col(col).isNotNull(), F.pmod(F.hash(F.col(col)), F.lit(VALUE_CELLS)))
+
+
+@dataclass
+class BatchSearch:
+    """A planned search: its hits, and how many (question, row) pairs it scores of all there are."""
+    hits: DataFrame
+    pairs_scored: int
+    pairs_in_all: int
+
+
+def search_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
+                 key_cols: Sequence[str] = ("chunk_id",), carry: Sequence[str] = (),
+                 vec_col: str = "embedding", query_vec_col: str = "embedding",
+                 filters: FilterSpec | None = None, exclude_self: str | None = None,
+                 max_block_bytes: int = MAX_BLOCK_BYTES, pivots: int = PIVOTS) -> BatchSearch:
+    """Plan ``topk_batch`` and tell how much of the work the pivots save."""
+    spark: SparkSession = index.sparkSession
+    spec, keys, carry = filters or FilterSpec(), list(key_cols), list(carry)
+    ranged = [F.unix_micros(F.col(i).cast("timestamp")).alias(f"__r_{i}") for i, _, _ in spec.ranges]
+    idx = index.where(F.col(vec_col).isNotNull()).select(
+        *dict.fromkeys(keys + carry + [i for _, i in spec.equal]), F.col(vec_col).alias("_vec"), *ranged)
+    bounds = [F.unix_micros(F.col(c).cast("timestamp")).alias(c) for _, lo, hi in spec.ranges for c in (lo, hi)]
+    equal = dict.fromkeys([q for q, _ in spec.equal] + ([exclude_self] if exclude_self else []))
+    value = _value_cell(spec.equal[0][0]) if spec.equal else F.lit(None).cast("int")
+    qs = queries.where(F.col(query_vec_col).isNotNull()).select(
+        "query_id", F.col(query_vec_col).alias("_vec"), *equal, *bounds, value.alias("_value"))
+    ranged_spec = FilterSpec(equal=spec.equal, ranges=[(f"__r_{i}", lo, hi) for i, lo, hi in spec.ranges])
+    fields = {f.name: f for f in idx.schema.fields}
+    found = T.StructType([T.StructField("_qno", T.LongType()), *[fields[c] for c in dict.fromkeys(keys + carry)], T.StructField("score", T.DoubleType()),
+                          T.StructField("score_nan", T.BooleanType()), T.StructField("rscore", T.DoubleType())])
+    rank_type = "rank int, score double"
+
+    seen = idx.orderBy(F.xxhash64(*keys), *keys).limit(SAMPLE_ROWS).toArrow()  # a bounded sample
+    if not len(seen):
+        none = spark.createDataFrame([], T.StructType([queries.schema["query_id"], *T.StructType.fromDDL(rank_type).fields[:1],
+                                                       *[fields[c] for c in dict.fromkeys(keys + carry)], *T.StructType.fromDDL(rank_type).fields[1:]]))
+        return BatchSearch(none, 0, 0)
+    x = _matrix(seen["_vec"])
+    sample = {"x": x, "rows": {c: seen[c].to_pylist() for c in {keys[0], *ranged_spec.index_cols}}}
+    pivot = np.unique(_unit(x)[x.any(axis=1)], axis=0)
+    pivot = pivot[:: max(1, len(pivot) // pivots)][:pivots] if len(pivot) else np.zeros((0, x.shape[1]))
+    if not len(pivot):
+        pivot = np.eye(1, x.shape[1])
+    place = _cell_of(pivot)(F.col("_vec"))
+    cell_value = F.coalesce(_value_cell(spec.equal[0][1]), F.lit(-1)) if spec.equal else F.lit(-1)
+    placed = idx.withColumn("_place", place).withColumn("_value", cell_value).withColumn("_cell", F.col("_place.cell"))
+    edges = [f(c).alias(f"{n}:{c}") for c, _, _ in ranged_spec.ranges for n, f in (("min", F.min), ("max", F.max))]
+    stats = placed.groupBy("_cell", "_value").agg(F.count(F.lit(1)).alias("n"), F.min("_place.angle").alias("near"), F.max("_place.angle").alias("far"), *edges)
+    stats = stats.collect()  # pivots x value cells at most
+    cells = {"cell": np.array([r["_cell"] for r in stats]), "value": np.array([r["_value"] for r in stats]),
+             "near": np.array([r["near"] for r in stats]), "far": np.array([r["far"] for r in stats])}
+    cells |= {f"{n}:{c}": _whole([r[f"{n}:{c}"] for r in stats]) for c, _, _ in ranged_spec.ranges for n in ("min", "max")}
+
+    def need(batches):
+        for batch in batches:
+            rows = {c: batch.column(c).to_pylist() for c in dict.fromkeys([*equal, *ranged_spec.query_cols, "_value", "_qno"])}
+            q = _matrix(batch.column("_vec"), pivot.shape[1])
+            step = max(1, SCORE_CELLS // max(1, len(sample["x"])))
+            lists = []
+            for a in range(0, len(q), step):
+                part = {c: v[a:a + step] for c, v in rows.items()}
+                lists += [np.flatnonzero(m) for m in _needed_cells(q[a:a + step], part, sample, cells, pivot, ranged_spec, k, exclude_self, keys[0])]
+            ends = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=[*batch.schema.names, "_cells"])
+
+    numbered = qs.withColumn("_qno", F.monotonically_increasing_id())
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/queries-{uuid.uuid4().hex}"
-    (queries.select(*cols).where(F.col(vec_col).isNotNull())
-     .withColumn("_qno", F.monotonically_increasing_id()).write.parquet(path))
-    q = spark.read.parquet(path)
-    cells = q.agg(F.sum(F.size(vec_col))).first()[0] or 0
-    n_blocks = -(-8 * cells // max_block_bytes)
-
-    def blocks():
-        for b in range(n_blocks):
-            part = q if n_blocks == 1 else q.where(F.pmod(F.xxhash64("_qno"), F.lit(n_blocks)) == b)
-            rows = part.drop("query_id").collect()
-            if rows:
-                yield _pack(rows, vec_col, spec, self_col)
-
-    return q.select("query_id", "_qno"), blocks()
-
-
-def _pack(rows, vec_col, spec, self_col):
-    widths = {len(r[vec_col]) for r in rows}
-    if len(widths) > 1:
-        raise ValueError(f"question vectors of several widths: {sorted(widths)}; see check_dims")
-    qids = np.array([r["_qno"] for r in rows], dtype=np.int64)
-    mat = np.array([r[vec_col] for r in rows], dtype=np.float64)
-    filters = {}
-    for qcol, _ in spec.equal:
-        vals = [r[qcol] for r in rows]
-        vocab = {v: i for i, v in enumerate(dict.fromkeys(v for v in vals if v is not None))}
-        codes = np.array([vocab[v] if v is not None else -1 for v in vals], dtype=np.int64)
-        filters[qcol] = (codes, vocab)
-    for _, lo, hi in spec.ranges:
-        for c in (lo, hi):
-            filters[c] = _int_with_mask([r[c] for r in rows])
-    block = {"query_id": qids, "vectors": mat, "filters": filters}
-    if self_col:
-        block["self"] = np.array([r[self_col] for r in rows], dtype=object)
-    return block
-
-
-def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, *,
-               key_cols: Sequence[str] = ("chunk_id",), carry: Sequence[str] = (),
-               vec_col: str = "embedding", query_vec_col: str = "embedding",
-               filters: FilterSpec | None = None, exclude_self: str | None = None,
-               max_block_bytes: int = MAX_BLOCK_BYTES) -> DataFrame:
-    """Top-k index rows per query: query_id, rank, key_cols, carry, score.
+    schema = T.StructType([*numbered.schema.fields, T.StructField("_cells", T.ArrayType(T.IntegerType()))])
+    numbered.mapInArrow(need, schema).write.parquet(path)  # written once: the running numbers must not change
+    asking = spark.read.schema(schema).parquet(path)
+    counts = {r["c"]: r["count"] for r in asking.select(F.explode("_cells").alias("c")).groupBy("c").count().collect()}
+    total = asking.count()
+    per_block = max(1, max_block_bytes // (8 * pivot.shape[1]))
+    plan = [(c, int(cells["cell"][c]), int(cells["value"][c]), -(-stats[c]["n"] // per_block), -(-m // per_block)) for c, m in counts.items()]
+    plan = F.broadcast(spark.createDataFrame(plan, "_c int, _cell int, _value int, _nb long, _nq long"))  # one row a cell
+
+    left = (placed.drop("_place").join(plan, ["_cell", "_value"]).withColumn("_b", F.pmod(F.xxhash64(*keys), F.col("_nb")))
+            .withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nq") - 1))).drop("_cell", "_value", "_nb", "_nq"))
+    right = (asking.drop("query_id", "_value").withColumn("_c", F.explode("_cells")).drop("_cells").join(plan.drop("_cell", "_value"), "_c")
+             .withColumn("_s", F.pmod(F.xxhash64("_qno"), F.col("_nq")))
+             .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb") - 1))).drop("_nb", "_nq"))
+    names = found.names
+
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        if not len(rows) or not len(asked):
+            return pa.table({n: pa.array([], t) for n, t in arrow_types})
+        q = {c: asked[c].to_pylist() for c in asked.column_names if c != "_vec"}
+        frame = rows.drop_columns(["_vec"]).to_pandas()
+        for c in ranged_spec.index_cols:
+            frame[c] = pd.Series(rows[c].to_pylist(), dtype=object)  # nulls stay nulls
+        best = _best(frame, _matrix(rows["_vec"]), q, _matrix(asked["_vec"]), k, keys, ranged_spec, exclude_self)
+        return pa.Table.from_pandas(best[names], schema=pa.schema(arrow_types), preserve_index=False)
+
+    arrow_types = [("_qno", pa.int64()), *[(c, seen.schema.field(c).type) for c in dict.fromkeys(keys + carry)],
+                   ("score", pa.float64()), ("score_nan", pa.bool_()), ("rscore", pa.float64())]
+    group = ["_c", "_b", "_s"]
+    local = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, found)
+    order = [F.col("rscore").desc()] + [F.col(c).asc() for c in keys]
+    top = local.withColumn("rank", F.row_number().over(Window.partitionBy("_qno").orderBy(*order))).where(F.col("rank") <= k)
+    score = F.when(F.col("score_nan"), F.lit(float("nan"))).otherwise(F.col("score"))
+    hits = (top.join(asking.select("_qno", "query_id"), "_qno")
+            .select("query_id", "rank", *dict.fromkeys(keys + carry), score.alias("score")))
+    return BatchSearch(hits, sum(m * stats[c]["n"] for c, m in counts.items()), total * sum(r["n"] for r in stats))
+
+
+def topk_batch(index: DataFrame, queries: DataFrame, k: int = DEFAULT_K, **how) -> DataFrame:
+    """Top-k index rows per query: query_id, rank, key_cols, carry, score (options as for ``search_batch``).
 
     ``queries`` needs ``query_id`` (of any type) and a vector column, plus the
     filter columns of ``filters``.  ``exclude_self`` names a query column whose
     value, when equal to the index's first key column, excludes that row
-    (leave-one-out search over a table against itself).  Index rows without a
-    vector are not searchable; vectors of another width are an error.
+    (leave-one-out search over a table against itself).  Index rows and
+    questions without a vector are left out; vectors of another width are an
+    error.  Rows of one key may be repeated; an empty side gives no hits.
+    ``index`` is read three times (sample, cells, search), so it should be a
+    stored table.
     """
-    spark: SparkSession = index.sparkSession
-    spec = filters or FilterSpec()
-    key_cols, carry = list(key_cols), list(carry)
-    base_cols = list(dict.fromkeys(key_cols + carry + [vec_col] + [i for _, i in spec.equal]))
-    range_cols = [F.unix_micros(F.col(i).cast("timestamp")).alias(f"__r_{i}")
-                  for i, _, _ in spec.ranges]
-    idx = index.where(F.col(vec_col).isNotNull()).select(*base_cols, *range_cols)
-    spec = FilterSpec(equal=spec.equal,
-                      ranges=[(f"__r_{i}", lo, hi) for i, lo, hi in spec.ranges])
-    fields = {f.name: f for f in idx.schema.fields}
-    out_schema = T.StructType(
-        [T.StructField("query_id", T.LongType())]
-        + [fields[c] for c in key_cols + carry]
-        + [T.StructField("score", T.DoubleType()), T.StructField("score_nan", T.BooleanType()),
-           T.StructField("rscore", T.DoubleType())])
-    parts = []
-    numbers, blocks = _collect_query_blocks(queries, query_vec_col, spec, exclude_self, max_block_bytes)
-    for block in blocks:
-        bc = spark.sparkContext.broadcast(block)
-        kk, kc, ca, vc, sk = k, key_cols, carry, vec_col, exclude_self
-
-        def run(batches, bc=bc):
-            return _make_scorer(bc.value, kk, kc, ca, vc, spec, sk)(batches)
-
-        parts.append(idx.mapInPandas(run, out_schema))
-    if not parts:
-        none = spark.createDataFrame([], out_schema.add("rank", T.IntegerType()))
-        return (none.withColumnRenamed("query_id", "_qno").join(numbers, "_qno")
-                .select("query_id", "rank", *key_cols, *carry, "score"))
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
-    order = [F.col("rscore").desc()] + [F.col(c).asc() for c in key_cols]
-    w = Window.partitionBy("query_id").orderBy(*order)
-    score = F.when(F.col("score_nan"), F.lit(float("nan"))).otherwise(F.col("score"))
-    top = local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return (top.withColumnRenamed("query_id", "_qno").join(numbers, "_qno")
-            .select("query_id", "rank", *key_cols, *carry, score.alias("score")))
+    return search_batch(index, queries, k, **how).hits
 
 
 def topk_single(index: DataFrame, query_vec: Sequence[float], k: int = DEFAULT_K, *,
@@ -293,8 +315,7 @@ def topk_single(index: DataFrame, query_vec: Sequence[float], k: int = DEFAULT_K
                 vec_col: str = "embedding", filters: dict | None = None) -> DataFrame:
     """One question: ``filters`` is the request's dict (folder, domain,
     date_from, date_to); unknown keys are ignored, a present key with value
-    None matches nothing (``col = NULL``).  Top-k via the same scorer."""
-    spark = index.sparkSession
+    None matches nothing (``col = NULL``).  Ranked as in ``topk_batch``."""
     filters = filters or {}
     known = {"folder", "domain", "date_from", "date_to"}
     present = {key: val for key, val in filters.items() if key in known}
@@ -308,6 +329,15 @@ def topk_single(index: DataFrame, query_vec: Sequence[float], k: int = DEFAULT_K
         idx = idx.where(F.col("date_added") >= F.lit(present["date_from"]))
     if present.get("date_to") is not None:
         idx = idx.where(F.col("date_added") <= F.lit(present["date_to"]))
-    q = spark.createDataFrame([(0, [float(x) for x in query_vec])],
-                              "query_id bigint, embedding array<double>")
-    return topk_batch(idx, q, k, key_cols=key_cols, carry=carry, vec_col=vec_col).drop("query_id")
+    keys, carry, question = list(key_cols), list(carry), np.array([[float(x) for x in query_vec]])
+    rows = idx.where(F.col(vec_col).isNotNull()).select(*dict.fromkeys(keys + carry), F.col(vec_col).alias("_vec"))
+
+    @F.arrow_udf("double")
+    def score_of(vectors: pa.Array) -> pa.Array:
+        return pa.array(_ranked(_matrix(vectors, question.shape[1]), question)[0][:, 0], from_pandas=False)
+
+    scored = rows.select(*dict.fromkeys(keys + carry), score_of("_vec").alias("score"))
+    # partial top-k in every task, k rows in all after that; NaN sorts first, as in the batch form
+    best = [F.round("score", 9).desc(), *[F.col(c).asc() for c in keys]]
+    top = scored.orderBy(*best).limit(k)
+    return top.select(F.row_number().over(Window.orderBy(*best)).alias("rank"), *dict.fromkeys(keys + carry), "score")

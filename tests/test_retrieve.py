@@ -96,3 +96,63 @@ def test_wrong_widths_fail_and_ids_may_be_of_any_type(spark):
     with pytest.raises(Exception, match="width"):
         topk_batch(wide, q, 1).collect()
     assert topk_batch(index, q.limit(0), 1).count() == 0
+
+
+def _tables(spark, n, m, dim, seed, tight):
+    """Index rows in bundles around a few directions, with copies, zero rows, null filter values; questions near them."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(6, dim))
+    x = centres[rng.integers(0, 6, n)] + rng.normal(size=(n, dim)) * tight
+    x[:n // 3] = x[0]  # a third of the rows are one vector
+    x[n // 2:n // 2 + 3] = 0
+    q = centres[rng.integers(0, 6, m)] + rng.normal(size=(m, dim)) * tight
+    q[0] = 0
+    rows = [(i, x[i].tolist(), None if i % 11 == 0 else "ABC"[i % 3], "d", None if i % 13 == 0 else dt.datetime(2024, 1, 1 + i % 28)) for i in range(n)]
+    asked = [(j, q[j].tolist(), (None, "A", "C", "none")[j % 4], None, dt.datetime(2024, 1, 9) if j % 3 else None, dt.datetime(2024, 1, 20) if j % 5 == 0 else None)
+             for j in range(m)]
+    return (spark.createDataFrame(rows, "vec_id long, embedding array<double>, folder string, domain string, date_added timestamp"),
+            spark.createDataFrame(asked, "query_id long, embedding array<double>, folder string, domain string, date_from timestamp, date_to timestamp"), rows, asked)
+
+
+def _exhaustive(rows, asked, k, filtered, own=False):
+    out = {}
+    for j, q, folder, _, lo, hi in asked:
+        hits = []
+        for i, x, f, _, d in rows:
+            if own and i == j:
+                continue
+            if filtered and ((folder is not None and f != folder) or (lo and (d is None or d < lo)) or (hi and (d is None or d > hi))):
+                continue
+            a, b = np.array(x), np.array(q)
+            norm = np.sqrt(a @ a) * np.sqrt(b @ b)
+            hits.append((-np.inf if norm == 0 else -round(float(a @ b / norm), 9), i))
+        out[j] = [i for _, i in sorted(hits)[:k]]
+    return out
+
+
+def test_pivot_search_equals_the_exhaustive_one(spark):
+    from tessera.operators.retrieve import search_batch
+
+    for seed, (tight, filtered, own, size) in enumerate(((0.05, False, False, 1 << 25), (0.05, True, False, 4000), (2.0, True, False, 1 << 25), (0.3, False, True, 4000))):
+        index, queries, rows, asked = _tables(spark, 3000, 40, 8, seed, tight)
+        queries = queries.withColumn("self", queries.query_id) if own else queries
+        plan = search_batch(index, queries, 6, key_cols=["vec_id"], filters=LINK_FILTERS if filtered else None, exclude_self="self" if own else None, max_block_bytes=size)
+        got = {}
+        for r in sorted(plan.hits.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = {j: hits for j, hits in _exhaustive(rows, asked, 6, filtered, own).items() if hits}
+        for j in want:
+            if j:  # question 0 is the zero vector: all rows tie
+                assert got[j] == want[j], (seed, j)
+        assert got[0] == want[0] and set(got) == set(want)
+        assert plan.pairs_in_all == 3000 * 40 and plan.pairs_scored <= plan.pairs_in_all
+        if tight < 0.1:
+            assert plan.pairs_scored < 0.6 * plan.pairs_in_all  # bundles far from a question are left out
+
+
+def test_questions_never_reach_the_driver(spark):
+    from tessera.operators.retrieve import search_batch
+
+    index, queries, _, _ = _tables(spark, 300, 20, 4, 9, 0.1)
+    plan = search_batch(index, queries, 3, key_cols=["vec_id"]).hits._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "queries-" in plan
