@@ -3,11 +3,13 @@
 A theta join ``instr(doc, passage) > 0`` would test every (document, passage)
 pair.  Instead both sides meet on a key that containment implies: the words
 strictly inside a passage stand whole and in a row in every text that
-contains it, so a passage of five words or more is keyed by its second to
-fourth word, and a document by all its three-word runs.  Shorter passages are
-keyed by their first characters, and documents by all their character runs of
-that length (planned, but skipped by adaptive execution when there are no such
-passages).  An equi-join finds candidates; the substring test decides.
+contains it.  A passage of five words or more is keyed by its second to fourth
+word (and a document by all its three-word runs), one of three or four words
+by its second word.  Shorter passages have no whole word inside: a few of them
+are tested directly, more are keyed by their first characters (and documents
+by all their character runs of that length).  The passages are classed by one
+count, and only the branches that have passages are planned, so the documents
+are usually read twice: for the keys, and for the substring test that decides.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 RUN_WORDS = 3
 SHORT_CHARS = 4
+#: So many passages without a whole word inside are tested against every document.
+DIRECT = 64
 _SPACES = r"[ \t-\r]+"
 
 
@@ -43,17 +47,32 @@ def contains_passages(docs: DataFrame, doc_key: str, doc_text: str,
     texts contain nothing, empty passages are in no document."""
     d = docs.select(F.col(doc_key).alias("_d"), F.col(doc_text).alias("_text"))
     p = passages.select(F.col(passage_key).alias("_p"), F.col(passage_text).alias("_passage")).where(F.length("_passage") > 0)
-    words = p.withColumn("_w", _words(F.col("_passage")))
-    long = F.size("_w") >= RUN_WORDS + 2
+    n_words = F.size(_words(F.col("_passage")))
+    classed = p.withColumn("_class", F.when(n_words >= RUN_WORDS + 2, "run").when(n_words >= 3, "word").otherwise("short"))
+    counts = {r["_class"]: r["count"] for r in classed.groupBy("_class").count().collect()}
+    of = lambda name: classed.where(F.col("_class") == name).withColumn("_w", _words(F.col("_passage")))
     run = lambda w, i: F.xxhash64(*[F.element_at(w, (i + k).cast("int")) for k in range(RUN_WORDS)])
-
-    keyed = words.where(long).withColumn("_key", run(F.col("_w"), F.lit(2)))
-    tokens = d.withColumn("_w", _words(F.col("_text"))).where(F.size("_w") >= RUN_WORDS)
-    runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (RUN_WORDS - 1)), lambda i: run(F.col("_w"), i))
-    found = _candidates(tokens, keyed, runs)
-    for n in range(1, SHORT_CHARS + 1):
-        exact = F.length("_passage") >= n if n == SHORT_CHARS else F.length("_passage") == n
-        keyed = words.where(~long & exact).withColumn("_key", F.substring("_passage", 1, n))
-        found = found.unionByName(_candidates(d.where(F.length("_text") >= n), keyed, _grams(F.col("_text"), n)))
-    pairs = found.distinct().join(p, "_p").join(d, "_d").where(F.contains("_text", "_passage"))
-    return pairs.select(F.col("_d").alias(doc_key), F.col("_p").alias(passage_key)).distinct()
+    found = []
+    if "run" in counts:
+        tokens = d.select("_d", _words(F.col("_text")).alias("_w")).where(F.size("_w") >= RUN_WORDS)
+        runs = F.transform(F.sequence(F.lit(1), F.size("_w") - (RUN_WORDS - 1)), lambda i: run(F.col("_w"), i))
+        found.append(_candidates(tokens, of("run").withColumn("_key", run(F.col("_w"), F.lit(2))), runs))
+    if "word" in counts:
+        found.append(_candidates(d, of("word").withColumn("_key", F.element_at("_w", 2)), _words(F.col("_text"))))
+    if 0 < counts.get("short", 0) <= DIRECT:
+        short = [(r["_p"], r["_passage"]) for r in of("short").collect()]
+        hits = F.filter(F.array(*[F.struct(F.lit(key).alias("p"), F.contains("_text", F.lit(text)).alias("in")) for key, text in short]), lambda x: x["in"])
+        found.append(d.where(F.col("_text").isNotNull()).select("_d", F.explode(hits).alias("x")).select("_d", F.col("x.p").cast(p.schema["_p"].dataType).alias("_p")))
+    elif "short" in counts:
+        for n in range(1, SHORT_CHARS + 1):
+            exact = F.length("_passage") >= n if n == SHORT_CHARS else F.length("_passage") == n
+            found.append(_candidates(d.where(F.length("_text") >= n), of("short").where(exact).withColumn("_key", F.substring("_passage", 1, n)),
+                                     _grams(F.col("_text"), n)))
+    if not found:
+        none = p.select(F.col("_p").alias(passage_key)).limit(0)
+        return d.select(F.col("_d").alias(doc_key)).limit(0).join(none, F.lit(False))
+    pairs = found[0]
+    for more in found[1:]:
+        pairs = pairs.unionByName(more)
+    sure = pairs.distinct().join(p, "_p").join(d, "_d").where(F.contains("_text", "_passage"))
+    return sure.select(F.col("_d").alias(doc_key), F.col("_p").alias(passage_key)).distinct()

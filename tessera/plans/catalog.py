@@ -459,11 +459,11 @@ def q_blank_query_guard(spark, sf):
 def _answer_inputs(spark, sf):
     """Questions = page titles, each restricted to its own domain (pages whose
     domain has nothing indexed get no hits); hits carry link metadata."""
-    # the hit rows carry what the answer needs (k rows per question and index
-    # partition leave the scorer), so no join back to the (large) index is
-    # needed; k rows per question are written once and read by every step after
-    hits = _page_hits(spark, sf, domain=True,
-                      carry=("url", "chunk_text", "title", "folder", "domain", "date_added")).checkpoint()
+    # the search moves keys and vectors only; texts and metadata are joined to the k rows a question, which are
+    # written once and read by every step after
+    found = _page_hits(spark, sf, domain=True, carry=())
+    texts = st.page_index(spark, sf).select("chunk_id", "url", "chunk_text", "title", "folder", "domain", "date_added")
+    hits = found.join(texts, "chunk_id").checkpoint()
     questions = pg.page_questions(spark, sf).select("query_id", "question")
     return questions, hits
 
@@ -786,7 +786,8 @@ def q_eval_regression(spark, sf):
     truth = _pages(spark, sf).select(F.col("page_id").alias("query_id"), "url")
     runs = []
     for attempt, ts in enumerate(pg.INGEST_TS):
-        hits = topk_batch(pg.page_index(spark, sf, attempt=attempt), q, DEFAULT_K,
+        index = pg.page_index(spark, sf, attempt=attempt).select("chunk_id", "url", "embedding").checkpoint()
+        hits = topk_batch(index, q, DEFAULT_K,
                           key_cols=["chunk_id"], carry=["url"])
         m = metric_means(question_metrics(hits, truth, q.select("query_id"), DEFAULT_K))
         runs.append(m.withColumn("run_ts", F.to_timestamp(F.lit(ts))))

@@ -119,7 +119,8 @@ DEFAULT_ONLY = (("default", 400, 50),)
 def default_hits(spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, dim: int = DEFAULT_DIM,
                  carry: tuple[str, ...] = ()) -> DataFrame:
     docs = eval_documents(spark, sf_dir)
-    index = strategy_index(docs, DEFAULT_ONLY, dim)
+    # written once: the search reads it several times
+    index = strategy_index(docs, DEFAULT_ONLY, dim).select("chunk_id", "url", "strategy", *carry, "embedding").checkpoint()
     return strategy_hits(index, passage_questions(spark, sf_dir), DEFAULT_ONLY, k, dim, carry)
 
 

@@ -33,3 +33,17 @@ def test_hot_url_last_wins(spark):
         F.col("id").cast("string").alias("title"), F.floor(F.col("id") / 100).alias("file_id"), (F.col("id") % 100).alias("pos"))
     got = {r.url: r.title for r in last_wins(df).collect()}
     assert len(got) == 1 + (n - n // 3) and got["hot"] == str(n - 3)
+
+
+def test_only_branches_with_passages_are_planned(spark):
+    d = spark.createDataFrame([(1, "one two three four five six"), (2, "xyz")], "doc_id bigint, text string")
+    p = spark.createDataFrame([(7, "ne two three four fi")], "item_id bigint, text string")
+    long_only = contains_passages(d, "doc_id", "text", p, "item_id", "text")
+    assert [tuple(r) for r in long_only.collect()] == [(1, 7)]
+    plan = long_only._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Union") == 0 and plan.count("LogicalRDD") + plan.count("LocalRelation") <= 4
+    p2 = p.union(spark.createDataFrame([(8, "y"), (9, "four five six"), (10, None)], p.schema))
+    assert sorted(map(tuple, contains_passages(d, "doc_id", "text", p2, "item_id", "text").collect())) == [(1, 7), (1, 9), (2, 8)]
+    assert contains_passages(d, "doc_id", "text", p.limit(0), "item_id", "text").count() == 0
+    many = spark.createDataFrame([(k, "xyz"[:1 + k % 3]) for k in range(100)], p.schema)
+    assert contains_passages(d, "doc_id", "text", many, "item_id", "text").count() == 134  # 'xyz' holds all, 'one ... six' the 34 that are 'x'
