@@ -12,31 +12,35 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch_path, write_shared, written
+from tessera.llm.common import bounded_batches, scratch_path, write_shared, written
 from tessera.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words in the lexicon (a bound for the driver and the mapped file, not for the results).
 LEXICON_WORDS = 1 << 17
 #: A task counts words in a table of at most this size; its rarest half is let go when it is full.
-COUNT_TABLE = 1 << 19
-#: Results that a task remembers at most.
-MEMO_WORDS = 1 << 18
+COUNT_TABLE = 1 << 18
+#: Results that a task remembers at most, for words and for parts between spaces.
+MEMO_WORDS = 1 << 17
+MEMO_PARTS = 1 << 18
+#: Tokens that are decoded together.
+DECODE_TOKENS = 1 << 20
 ID_BITS = 32
 ID_MASK = (1 << ID_BITS) - 1
 NO_MERGE = 1 << 62
 HASH = 0x9E3779B97F4A7C15  # an odd multiplier
-#: Characters of text whose words are looked up together.
-SLICE_CHARS = 1 << 20
+#: Bytes of text whose parts are looked up together.
+SLICE_BYTES = 8 << 20
 #: The pretoken pattern of byte-level BPE with white space spelt out (fixed value).
 PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
            r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
@@ -81,13 +85,12 @@ class Vocabulary:
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
         of_byte = {b: vocab[c] for c, b in symbols.items()}
         self.byte_ids = [of_byte[b] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # rank and new id in one number, so that the least is the merge to do
+        self.steps: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
+            self.steps[vocab[a], vocab[b]] = rank << ID_BITS | vocab[a + b]
         self._keys = None
-        # rank and new id in one number, so that the least is the merge to do
-        self.steps = {pair: rank << ID_BITS | new for pair, (rank, new) in self.merges.items()}
 
     def merge(self, word: bytes) -> list[int]:
         """Exact BPE of one pretoken: the pair of lowest rank first, the leftmost of equals."""
@@ -174,9 +177,9 @@ class Vocabulary:
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap over a linked list, n log n."""
-        n, get = len(ids), self.merges.get
+        n, get = len(ids), self.steps.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(p[0], k, p[1], ids[k], ids[k + 1]) for k in range(n - 1) if (p := get((ids[k], ids[k + 1])))]
+        heap = [(p >> ID_BITS, k, p & ID_MASK, ids[k], ids[k + 1]) for k in range(n - 1) if (p := get((ids[k], ids[k + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
             _, k, new, a, b = heapq.heappop(heap)
@@ -187,10 +190,10 @@ class Vocabulary:
             after[k] = after[r]
             if after[k] < n:
                 before[after[k]] = k
-                if p := get((new, ids[after[k]])):
-                    heapq.heappush(heap, (p[0], k, p[1], new, ids[after[k]]))
-            if (j := before[k]) >= 0 and (p := get((ids[j], new))):
-                heapq.heappush(heap, (p[0], j, p[1], ids[j], new))
+                if (p := get((new, ids[after[k]]))) is not None:
+                    heapq.heappush(heap, (p >> ID_BITS, k, p & ID_MASK, new, ids[after[k]]))
+            if (j := before[k]) >= 0 and (p := get((ids[j], new))) is not None:
+                heapq.heappush(heap, (p >> ID_BITS, j, p & ID_MASK, ids[j], new))
         return [i for i in ids if i >= 0]
 
 
@@ -217,15 +220,39 @@ def _splitter(special: dict[str, int]):
     return pieces
 
 
+# A text may be cut before a space: what stands before it is split alike whether the space or the text's end follows,
+# and the pattern looks back at nothing.  The exception is a space between white space, or between white space and the
+# end, which belongs to a run that is split as one; texts with one (or with a special token) are split whole.
+_WHITE = r"[\t-\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def cut_at_spaces(texts: pa.Array, special: dict[str, int]) -> tuple[pa.Array, pa.Array]:
+    """(which texts are split whole, the parts of all others between spaces); null is empty."""
+    texts = texts.fill_null("")
+    whole = pc.match_substring_regex(texts, "|".join([f"{_WHITE} (?:{_WHITE}|$)", *map(regex.escape, special)]))
+    return whole, pc.split_pattern(pc.if_else(whole, "", texts), " ")
+
+
 def _count_words(special: dict[str, int], table: int, emit: int):
     def count(batches):
         pieces, seen = _splitter(special), Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                if text:
-                    seen.update(pieces(text))
-                    if len(seen) > table:
-                        seen = Counter(dict(seen.most_common(table // 2)))
+        for batch in bounded_batches(batches, "text", SLICE_BYTES):
+            texts = batch.column(0)
+            whole, parts = cut_at_spaces(texts, special)
+            for text in texts.filter(whole).to_pylist():
+                seen.update(pieces(text))
+            flat = parts.flatten()
+            first = np.zeros(len(flat), dtype=bool)
+            starts = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+            first[starts] = True  # every text has one part at least
+            for mask, lead in ((first, ""), (~first, " ")):
+                for row in pc.value_counts(flat.filter(pa.array(mask))).to_pylist():
+                    for word in pieces(lead + row["values"]):
+                        seen[word] += row["counts"]
+            if len(seen) > table:
+                kept = seen.most_common(table // 2)
+                seen.clear()
+                seen.update(dict(kept))
         top = seen.most_common(emit)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
     return count
@@ -233,7 +260,7 @@ def _count_words(special: dict[str, int], table: int, emit: int):
 
 def frequent_words(df: DataFrame, text_col: str, special: dict[str, int], words: int = LEXICON_WORDS) -> list[str]:
     """The words counted most often over all texts of ``df``; each task's table is bounded, so counts of rare words are lower bounds."""
-    counted = df.select(F.col(text_col).cast("string")).mapInArrow(_count_words(special, COUNT_TABLE, words), "word string, n long")
+    counted = df.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_words(special, COUNT_TABLE, words), "word string, n long")
     total = written(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     # a histogram of counts (some hundred rows) tells from which count on words fit the lexicon
     step = F.floor(F.log2("n") * 32).cast("int")
@@ -253,7 +280,7 @@ class Encoder:
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.pieces = _splitter(vocabulary.special)
         self.fixed = {s: pack([i]) for s, i in vocabulary.special.items()}
-        self.memo, self.older = dict(self.fixed), {}
+        self.memo, self.older, self.parts = dict(self.fixed), {}, {}
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Packed ids of words that are not remembered: from the lexicon, else merged."""
@@ -271,8 +298,8 @@ class Encoder:
         out.update(zip(rare, self.vocabulary.merge_many(raw_rare), strict=True))
         return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, packed."""
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, packed, word by word."""
         pieces = [self.pieces(t) for t in texts]
         new = self._learn({w for p in pieces for w in p if w not in self.memo})
         if len(self.memo) + len(new) > MEMO_WORDS:  # what is not met again before the next time is let go
@@ -284,8 +311,43 @@ class Encoder:
             del self.memo[w]
         return out
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts of text, each remembered."""
+        new = [p for p in dict.fromkeys(parts) if p not in self.parts]
+        known = dict(zip(new, self._words(new), strict=True))
+        if len(self.parts) + len(new) > MEMO_PARTS:
+            known |= {p: self.parts[p] for p in parts if p in self.parts}
+            self.parts = {}
+        self.parts.update(known)
+        out = [self.parts[p] for p in parts]
+        for p in [p for p in new if len(p) > 64]:
+            del self.parts[p]
+        return out
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in one array, where each text begins and one past the last)."""
+        whole, parts = cut_at_spaces(texts, self.vocabulary.special)
+        flat = parts.flatten().dictionary_encode()
+        starts = parts.offsets.to_numpy()[:-1] - parts.offsets[0].as_py()
+        inside = flat.dictionary.to_pylist()
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = [inside[c] for c in code[starts].tolist()]
+        # first parts have no space before them, whole texts come instead of theirs
+        code[starts] = len(inside) + np.arange(len(starts))
+        coded = self._parts([" " + p for p in inside]) + self._parts(heads)
+        at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        for k, packed in zip(at.tolist(), self._words(texts.filter(whole).to_pylist()), strict=True):
+            coded[len(inside) + k] = packed
+        sizes = np.array([len(c) for c in coded], dtype=np.int64) // 4
+        table, begin = np.frombuffer(b"".join(coded), dtype="<i4"), np.cumsum(sizes) - sizes
+        count = sizes[code]
+        total = np.cumsum(count)
+        ids = table[np.repeat(begin[code] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+        ends = np.r_[starts[1:], len(code)] if len(starts) else starts
+        return ids, np.r_[0, total[ends - 1]] if len(ends) else np.zeros(1, dtype=np.int64)
+
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self._words([text])[0]
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -323,20 +385,14 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_c
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        encoder = _encoder(key, shared, lexicon)
-        packed, part, size = [], [], 0
-        for text in column.to_pylist():
-            part.append(text or "")
-            size += len(part[-1])
-            if size >= SLICE_CHARS:
-                packed += encoder.encode_many(part)
-                part, size = [], 0
-        packed += encoder.encode_many(part)
-        at = np.zeros(len(packed) + 1, dtype=np.int64)
-        np.cumsum([len(p) // 4 for p in packed], out=at[1:])
-        if at[-1] >= 1 << 31:
-            raise ValueError("one Arrow batch has over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
-        return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
+        encoder, out = _encoder(key, shared, lexicon), []
+        batch = pa.RecordBatch.from_arrays([column], names=["text"])
+        for part in bounded_batches([batch], "text", SLICE_BYTES):
+            ids, at = encoder.encode_column(part.column(0))
+            if at[-1] >= 1 << 31:
+                raise ValueError("one Arrow batch has over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+            out.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
+        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
     return df.withColumn(out_col, encode(F.col(text_col).cast("string")))
 
@@ -345,15 +401,35 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", o
     """``df`` with ``out_col``, the text that ``ids_col`` stands for, special tokens included.
 
     Bytes that are no UTF-8 become U+FFFD; ids that the vocabulary lacks are
-    left out; null gives an empty text.
+    left out; null gives an empty text.  Each row is decoded alone: ties and
+    repeated rows change nothing, an empty table gives an empty result.
     """
-    shared = df.sparkSession.sparkContext.broadcast(defaultdict(bytes, Vocabulary(tokenizer_path).tokens))
+    tokens = Vocabulary(tokenizer_path).tokens
+    known = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)] + [b""]  # the last one is for ids that are not there
+    sizes = np.array([len(t) for t in known], dtype=np.int64)
+    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(known), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes))
 
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        token, at = shared.value.__getitem__, column.offsets.to_pylist()
-        ids = column.values.fill_null(-1).to_numpy(zero_copy_only=False)
-        return pa.array([b"".join(map(token, ids[a:b].tolist())).decode("utf-8", "replace")
-                         for a, b in zip(at, at[1:], strict=False)], pa.string())
+        flat, begin, size = shared.value
+        at = column.offsets.to_numpy()
+        out, a = [], 0
+        while a < len(column):  # so many rows that the working arrays stay bounded
+            b = max(a + 1, int(np.searchsorted(at, at[a] + DECODE_TOKENS, side="right")) - 1)
+            ids = column.values[int(at[a]):int(at[b])].fill_null(-1).to_numpy(zero_copy_only=False)
+            ids = np.where((ids < 0) | (ids >= len(size) - 1), len(size) - 1, ids)
+            count = size[ids]
+            total = np.cumsum(count)
+            raw = flat[np.repeat(begin[ids] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
+            ends = np.r_[0, total][at[a:b + 1] - at[a]]
+            if ends[-1] >= 1 << 31:
+                raise ValueError("one row has over 2^31 bytes of text")
+            packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            try:
+                out.append(packed.cast(pa.string()))
+            except pa.ArrowInvalid:  # bytes that are no UTF-8
+                out.append(pa.array([x.decode("utf-8", "replace") for x in packed.to_pylist()], pa.string()))
+            a = b
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return df.withColumn(out_col, decode(F.col(ids_col)))
