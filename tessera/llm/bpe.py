@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import scratch_path, write_shared, written
+from tessera.llm.common import give_back_memory, scratch_path, write_shared, written
 from tessera.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words in the lexicon (a bound for the driver and the mapped file, not for the results).
@@ -220,6 +220,7 @@ def _splitter(special: dict[str, int]):
 
 def _count_words(special: dict[str, int], table: int, emit: int):
     def count(batches):
+        give_back_memory()  # what earlier jobs left in this worker
         pieces, seen = _splitter(special), Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -230,7 +231,10 @@ def _count_words(special: dict[str, int], table: int, emit: int):
                         seen.clear()
                         seen.update(dict(kept))
         top = seen.most_common(emit)
+        seen.clear()
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+        del top
+        give_back_memory()
     return count
 
 
@@ -334,7 +338,9 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_c
             if size >= SLICE_CHARS:
                 packed += encoder.encode_many(part)
                 part, size = [], 0
+                give_back_memory()
         packed += encoder.encode_many(part)
+        give_back_memory()
         at = np.zeros(len(packed) + 1, dtype=np.int64)
         np.cumsum([len(p) // 4 for p in packed], out=at[1:])
         if at[-1] >= 1 << 31:

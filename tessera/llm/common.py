@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -90,6 +91,14 @@ def bounded_batches(batches: Iterable[pa.RecordBatch], column: str, max_bytes: i
             yield batch.slice(begin)
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system: a worker lives on from job to job, and the C library and Arrow keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` does not have yet (names compare without case)."""
     taken = {c.lower() for c in df.columns}
