@@ -108,24 +108,42 @@ def text_tokens(codes: list[str], regions: bool = True) -> list[int]:
     return out
 
 
+def _page_text(page: pa.Scalar, regions: bool) -> str | None:
+    if not page.is_valid:
+        return None
+    token, code = (page.values.field(k).to_pylist() for k in (0, 1))
+    return stdlib_html.unescape(" ".join([token[k] for k in text_tokens(code, regions)]))
+
+
 def _walk(regions: bool):
     @F.arrow_udf(T.StringType())
     def walk(pages: pa.Array) -> pa.Array:
-        out = []
-        for tokens in pages:
-            if not tokens.is_valid:
-                out.append(None)
-                continue
-            token, code = (tokens.values.field(k).to_pylist() for k in (0, 1))
-            out.append(stdlib_html.unescape(" ".join([token[k] for k in text_tokens(code, regions)])))
-        return pa.array(out, pa.string())
+        return pa.array([_page_text(page, regions) for page in pages], pa.string())
     return walk
 
 
+GUARDED_TEXT = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "error", "message")])
+
+
+@F.arrow_udf(GUARDED_TEXT)
+def _guarded_walk(pages: pa.Array) -> pa.Array:
+    rows = []
+    for page in pages:
+        try:
+            rows.append({"text": _page_text(page, True)})
+        except Exception as fault:  # the page's own fault: it becomes a row
+            rows.append({"error": type(fault).__name__, "message": str(fault)})
+    return pa.array(rows, pa.struct([(c, pa.string()) for c in GUARDED_TEXT.names]))
+
+
+def _page_tokens(html: Column, tags: bool = True, attrs: bool = True) -> Column:
+    tokens = F.regexp_extract_all(pre_clean(html), F.lit(TOKEN_RE), 1)
+    return F.transform(tokens, lambda t: F.struct(t.alias("token"), _code(t, tags, attrs).alias("code")))
+
+
 def walked_text(html: Column, regions: bool = True, tags: bool = True, attrs: bool = True) -> Column:
     """Visible text of a page (null for null), with steps 2 and 3 (tags, attributes) as wanted."""
-    tokens = F.regexp_extract_all(pre_clean(html), F.lit(TOKEN_RE), 1)
-    return normalize_ws(_walk(regions)(F.transform(tokens, lambda t: F.struct(t.alias("token"), _code(t, tags, attrs).alias("code")))))
+    return normalize_ws(_walk(regions)(_page_tokens(html, tags, attrs)))
 
 
 def main_text(html: Column) -> Column:
@@ -138,6 +156,18 @@ def clean_html(html: Column) -> Column:
     return F.get(F.filter(F.array(main_text(html)), lambda t: F.length(t) >= MIN_TEXT_CHARS), F.lit(0))
 
 
+def clean_html_guarded(html: Column) -> Column:
+    """struct(text, error, message): the main text or null as ``clean_html`` has it; where a page's walk raises
+    (a numeric reference too long to read, say), the exception's type and message, and the job goes on."""
+    page = F.array(_guarded_walk(_page_tokens(html)))
+
+    def judged(p: Column) -> Column:
+        text = normalize_ws(p["text"])
+        return F.struct(F.when(F.length(text) >= MIN_TEXT_CHARS, text).alias("text"), p["error"].alias("error"), p["message"].alias("message"))
+
+    return F.get(F.transform(page, judged), F.lit(0))
+
+
 def page_title(html: Column) -> Column:
     t = F.regexp_extract(html, r"(?is)<title\b[^>]*>(.*?)</title\s*>", 1)
     return normalize_ws(decode_entities(t))

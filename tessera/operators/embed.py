@@ -143,6 +143,45 @@ def model_embedder(factory: Callable[[], object]):
     return embed
 
 
+GUARDED_VECTOR = T.StructType([T.StructField("embedding", VECTOR), T.StructField("error", T.StringType()),
+                               T.StructField("message", T.StringType())])
+
+
+def guarded_embedder(factory: Callable[[], object]):
+    """``model_embedder`` that turns exceptions into rows: text -> struct(embedding, error, message).
+
+    When ``embed_batch`` raises, or returns another number of vectors, the
+    batch's texts are embedded one by one, and those that raise get the
+    exception's type and message.  A factory that raises ends the job: no row
+    is to blame."""
+    state: dict = {}
+
+    def one(model, text: str) -> dict:
+        try:
+            [vector] = model.embed_batch([text])
+            return {"embedding": np.asarray(vector, dtype=np.float32), "error": None, "message": None}
+        except Exception as fault:
+            return {"embedding": None, "error": type(fault).__name__, "message": str(fault)}
+
+    @F.pandas_udf(GUARDED_VECTOR)
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = state.get("model")
+        if model is None:
+            model = state["model"] = factory()
+        for batch in batches:
+            texts = batch.fillna("").tolist()
+            try:
+                vectors = model.embed_batch(texts) if texts else []
+                if len(vectors) != len(texts):
+                    raise ValueError("as many vectors as texts are needed")
+                rows = [{"embedding": np.asarray(v, dtype=np.float32), "error": None, "message": None} for v in vectors]
+            except Exception:
+                rows = [one(model, t) for t in texts]
+            yield pd.DataFrame(rows, columns=GUARDED_VECTOR.names)
+
+    return embed
+
+
 def check_dims(df: DataFrame, col: str = "embedding", dim: int = DEFAULT_DIM) -> DataFrame:
     """Split rows by vector width: adds ``dim_ok``; callers quarantine the rest."""
     return df.withColumn("dim_ok", F.coalesce(F.size(col) == dim, F.lit(False)))

@@ -20,6 +20,8 @@ from tessera.sources import store
 
 # The stored columns of a link.
 LINK_COLS = ("url", "title", "folder", "date_added", "domain", "status", "created_at", "updated_at")
+# Columns that are stored too where a run has them (null for links of runs without).
+LINK_EXTRAS = ("icon",)
 
 
 def last_wins(links: DataFrame, key: str = "url", order: tuple[str, ...] = ("file_id", "pos")) -> DataFrame:
@@ -37,10 +39,15 @@ def last_wins(links: DataFrame, key: str = "url", order: tuple[str, ...] = ("fil
             .select(key, *[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
+def _extras(*tables: DataFrame) -> tuple[str, ...]:
+    """The optional link columns that any of the tables has."""
+    return tuple(c for c in LINK_EXTRAS if any(c in t.columns for t in tables))
+
+
 def _one_per_url(new: DataFrame) -> DataFrame:
     """The link columns a run writes, one row per url: the last one wins."""
     order = tuple(c for c in ("file_id", "page_id", "pos") if c in new.columns)
-    cols = ("url", "title", "folder", "date_added", "domain", "status")
+    cols = ("url", "title", "folder", "date_added", "domain", "status", *_extras(new))
     return last_wins(new.select(*cols, *order), order=order).select(*cols)
 
 
@@ -55,13 +62,14 @@ def upsert_links(old: DataFrame, new: DataFrame, now: Column) -> DataFrame:
     A url repeated in ``new`` counts once, with its last row."""
     fresh = (_one_per_url(new).withColumn("created_at", F.lit(None).cast("timestamp"))
              .withColumn("updated_at", now).withColumn("_new", F.lit(1)))
-    both = old.select(*LINK_COLS).withColumn("_new", F.lit(0)).unionByName(fresh)
+    stored = (*LINK_COLS, *_extras(old, new))
+    both = old.select(*[c for c in stored if c in old.columns]).withColumn("_new", F.lit(0)).unionByName(fresh, allowMissingColumns=True)
     # per url at most one old and one new row meet
-    row = F.max_by(F.struct(*[F.col(c) for c in LINK_COLS if c not in ("url", "created_at")]), F.col("_new")).alias("_r")
+    row = F.max_by(F.struct(*[F.col(c) for c in stored if c not in ("url", "created_at")]), F.col("_new")).alias("_r")
     merged = both.groupBy("url").agg(row, F.max("_new").alias("_new"), F.min("created_at").alias("_created"))
-    cols = {c: F.col(f"_r.{c}") for c in LINK_COLS}
+    cols = {c: F.col(f"_r.{c}") for c in stored}
     cols |= {"url": F.col("url"), "created_at": F.coalesce("_created", now)}
-    return merged.select(*[cols[c].alias(c) for c in LINK_COLS])
+    return merged.select(*[cols[c].alias(c) for c in stored])
 
 
 def replace_chunks(old: DataFrame, new: DataFrame, key: str = "url", touched: DataFrame | None = None) -> DataFrame:
@@ -79,22 +87,30 @@ def replace_chunks(old: DataFrame, new: DataFrame, key: str = "url", touched: Da
 
 
 def merge_index(spark: SparkSession, root: str, links: DataFrame, chunks: DataFrame, now: Column, note: dict | None = None,
-                buckets: int | None = None) -> int:
+                buckets: int | None = None, errors: DataFrame | None = None) -> int:
     """Merge a run's link rows and chunks into the index under ``root``; the version published.
 
-    Only the url buckets that hold a url of ``links`` are read and written, so
-    the work follows the run and not the index.  A run without links changes
-    nothing but the version's note."""
+    Only the url buckets that hold a url of ``links`` (or ``errors``) are read
+    and written, so the work follows the run and not the index.  A run without
+    links changes nothing but the version's note.  ``errors`` (url and more):
+    urls that raised; table ``quarantine`` takes them up, and lets go of the
+    urls that this run wrote."""
     m = store.manifest(spark, root)
     if m is None:
-        return store.publish_index(spark, root, {"links": first_snapshot(links, now), "chunks": chunks.dropDuplicates(["url", "chunk_index"])},
+        tables = {"links": first_snapshot(links, now), "chunks": chunks.dropDuplicates(["url", "chunk_index"])}
+        return store.publish_index(spark, root, tables | ({"quarantine": errors.dropDuplicates(["url"])} if errors is not None else {}),
                                    note, buckets=buckets)
     number = store.bucket_of("url", m["buckets"])
-    touched = sorted(r[0] for r in links.select(number).distinct().collect())  # as many numbers as buckets at most
+    seen = links.select("url") if errors is None else links.select("url").unionByName(errors.select("url"))
+    touched = sorted(r[0] for r in seen.select(number).distinct().collect())  # as many numbers as buckets at most
     old_links, old_chunks = (store.read_current(spark, root, t, buckets=touched) for t in ("links", "chunks"))
     indexed = links.where(F.col("status") == "indexed")
-    return store.publish_index(spark, root, {"links": upsert_links(old_links, links, now),
-                                             "chunks": replace_chunks(old_chunks, chunks, touched=indexed)}, note, touched=touched)
+    tables = {"links": upsert_links(old_links, links, now), "chunks": replace_chunks(old_chunks, chunks, touched=indexed)}
+    if errors is not None:
+        held = store.read_current(spark, root, "quarantine", buckets=touched)
+        once = errors.dropDuplicates(["url"])
+        tables["quarantine"] = once if held is None else replace_chunks(held, once, touched=seen)
+    return store.publish_index(spark, root, tables, note, touched=touched)
 
 
 def index_stats(links: DataFrame, chunks: DataFrame) -> DataFrame:

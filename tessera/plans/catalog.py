@@ -580,6 +580,7 @@ def q_index_storage(spark, sf):
 
 from tessera.operators.links import parse_exports  # noqa: E402
 from tessera.plans import exports as xp  # noqa: E402
+from tessera.plans import ingest as ing  # noqa: E402
 
 
 @register("parse_links")
@@ -613,6 +614,32 @@ def q_read_exports(spark, sf):
     return links.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_links"))
 
 
+def _ingested(spark, sf):
+    """Root of an index that the exports were ingested into."""
+    pages = _pages(spark, sf)
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    links = xp.parsed_exports(spark, sf).withColumn("as_of", xp.export_as_of(F.col("file_id")))
+    ing.ingest_links(spark, root, links, xp.crawl_history(pages), pg.robots_rules(pages), xp.export_ingest_ts())
+    return root
+
+
+@register("ingest_exports")
+def q_ingest_exports(spark, sf):
+    """Exports parsed, joined as of their date with the crawl log, cleaned, chunked, embedded and stored in one path:
+    the stored links with the export's folder, date and icon, and whether they have stored chunks."""
+    root = _ingested(spark, sf)
+    chunked = store.read_current(spark, root, "chunks").select("url").distinct().withColumn("has_chunks", F.lit(True))
+    return (store.read_current(spark, root, "links").join(chunked, "url", "left")
+            .select("url", "title", "folder", "domain", "date_added", "icon", "status",
+                    F.coalesce("has_chunks", F.lit(False)).alias("has_chunks")))
+
+
+@register("ingest_errors")
+def q_ingest_errors(spark, sf):
+    """The quarantine of the same path: pages whose cleaning raised, with stage and exception type."""
+    return store.read_current(spark, _ingested(spark, sf), "quarantine").select("url", "stage", "error")
+
+
 # --- embedding hooks, sources and sinks -----------------------------------------
 
 from tessera.operators.embed import HashModel, check_dims, model_embedder  # noqa: E402

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from tessera.functions.html import page_title
 from tessera.functions.url import first_path_segment, url_domain
 from tessera.operators.links import parse_exports
+from tessera.plans.pages import INGEST_TS, crawl_log
 from tessera.session import ensure_checkpoint_dir
 from tessera.sources.tables import read_table
 
@@ -29,6 +30,10 @@ ICON_EVERY = 5
 DATE_SHAPES = 11
 DATE_BASE_EPOCH = 1704067200
 EXPORT_INGEST_TS = "2024-08-01 00:00:00"
+# When each export was handed in, by residue of file_id + 2: before, between and after the two crawl runs.
+EXPORT_AS_OF = ("2024-05-15 00:00:00", "2024-06-15 00:00:00", "2024-08-01 00:00:00")
+# Every so many-th page's body has numeric references that no decoder can read.
+BROKEN_EVERY, BROKEN_DIGITS = 11, 4400
 
 HEADER = ("<!DOCTYPE NETSCAPE-Bookmark-file-1>\n<META HTTP-EQUIV=\"Content-Type\" "
           "CONTENT=\"text/html; charset=UTF-8\">\n<TITLE>Bookmarks</TITLE>\n<H1>Bookmarks</H1>\n<DL><p>\n")
@@ -93,6 +98,20 @@ def build_exports(pages: DataFrame) -> DataFrame:
     return body.select("file_id", F.concat(F.lit(HEADER), F.col("items"), F.lit(FOOTER)).alias("content"))
 
 
+def crawl_history(pages: DataFrame) -> DataFrame:
+    """The crawl log of both runs: url, fetched_at, fetch_id, http_status, content_type, transport_error, body."""
+    broken = F.replace("html", F.lit("<p>"), F.concat(F.lit("<p>&#"), F.repeat(F.lit("9"), BROKEN_DIGITS), F.lit("; ")))
+    bodies = pages.withColumn("html", F.when(F.col("page_id") % BROKEN_EVERY == 5, broken).otherwise(F.col("html")))
+    runs = [crawl_log(bodies, run).select("url", F.to_timestamp(F.lit(ts)).alias("fetched_at"), F.col("page_id").alias("fetch_id"),
+                                          "http_status", "content_type", "transport_error", "body")
+            for run, ts in enumerate(INGEST_TS)]
+    return runs[0].unionByName(runs[1])
+
+
+def export_as_of(file_id: Column) -> Column:
+    return F.to_timestamp(F.element_at(F.array(*[F.lit(t) for t in EXPORT_AS_OF]), ((file_id + 2) % len(EXPORT_AS_OF) + 1).cast("int")))
+
+
 def export_ingest_ts() -> Column:
     return F.to_timestamp(F.lit(EXPORT_INGEST_TS))
 

@@ -436,6 +436,37 @@ FROM xl GROUP BY url"""
 ORACLES["read_exports"] = _EXP + "\nSELECT file_id, count(*) AS n_links FROM xl GROUP BY file_id"
 
 
+# Broken references stand as a word of their own here: a page that shows it is one that cannot be decoded.
+_BROKEN = f"CASE WHEN page_id % {XP.BROKEN_EVERY} = 5 THEN replace(html, '<p>', '<p>zzbrokenref ') ELSE html END"
+_INGEST = _EXP + ",\n" + O.fetched_ctes(0, "f0") + ",\n" + O.fetched_ctes(1, "f1") + f""",
+lk AS (
+  SELECT url, arg_max(title, (file_id, pos)) AS title, arg_max(folder, (file_id, pos)) AS folder,
+         arg_max(date_added, (file_id, pos)) AS date_added, coalesce(arg_max(coalesce(icon, ''), (file_id, pos)), '') AS ic,
+         (arg_max(file_id, (file_id, pos)) + 2) % 3 AS as_of
+  FROM xl GROUP BY url
+),
+known AS (
+  SELECT url, 0 AS run, page_id, fetch_failed FROM f0 UNION ALL SELECT url, 1, page_id, fetch_failed FROM f1
+),
+latest AS (
+  SELECT lk.url, arg_max(k.page_id, (k.run, k.page_id)) AS page_id, arg_max(k.fetch_failed, (k.run, k.page_id)) AS fetch_failed
+  FROM lk JOIN known k ON k.url = lk.url AND k.run < lk.as_of GROUP BY lk.url
+),
+shown AS (
+  SELECT page_id, {O.clean_body('pc')} AS body FROM (SELECT page_id, {O.pre_clean(_BROKEN)} AS pc FROM pages)
+),
+judged AS (
+  SELECT lk.*, CASE WHEN l.url IS NULL OR l.fetch_failed THEN 'failed' WHEN contains(s.body, 'zzbrokenref') THEN 'error'
+                    WHEN s.body IS NULL OR length(s.body) < {O.MIN_TEXT_CHARS} THEN 'skipped' ELSE 'indexed' END AS outcome
+  FROM lk LEFT JOIN latest l ON l.url = lk.url LEFT JOIN shown s ON s.page_id = l.page_id
+)"""
+ORACLES["ingest_exports"] = _INGEST + f"""
+SELECT url, title, folder, {O.url_domain('url')} AS domain, date_added, nullif(ic, '') AS icon, outcome AS status,
+       outcome = 'indexed' AS has_chunks
+FROM judged WHERE outcome IN ('indexed', 'failed')"""
+ORACLES["ingest_errors"] = _INGEST + "\nSELECT url, 'clean' AS stage, 'ValueError' AS error FROM judged WHERE outcome = 'error'"
+
+
 # --- embedding hooks, sources, sinks, documented extras --------------------------
 
 ORACLES["embed_batch"] = ORACLES["embed_hash"]
