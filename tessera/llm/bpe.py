@@ -255,8 +255,8 @@ def frequent_words(df: DataFrame, text_col: str, special: dict[str, int], words:
 class Encoder:
     """The encoder of one task: mapped lexicon, bounded memory of results, exact merges for the rest."""
 
-    def __init__(self, vocabulary: Vocabulary, lexicon_path: str | None):
-        self.vocabulary = vocabulary
+    def __init__(self, vocabulary: Vocabulary, lexicon_path: str | None, memo_words: int = MEMO_WORDS):
+        self.vocabulary, self.memo_words = vocabulary, memo_words
         self.lexicon = Lexicon(lexicon_path) if lexicon_path else None
         self.pieces = _splitter(vocabulary.special)
         self.fixed = {s: pack([i]) for s, i in vocabulary.special.items()}
@@ -282,7 +282,7 @@ class Encoder:
         """The ids of each text, packed."""
         pieces = [self.pieces(t) for t in texts]
         new = self._learn({w for p in pieces for w in p if w not in self.memo})
-        if len(self.memo) + len(new) > MEMO_WORDS:  # what is not met again before the next time is let go
+        if len(self.memo) + len(new) > self.memo_words:  # what is not met again before the next time is let go
             self.older, self.memo = self.memo, dict(self.fixed)
         self.memo.update(new)
         get, older = self.memo.get, self.older
@@ -298,22 +298,25 @@ class Encoder:
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def _encoder(key: str, vocabulary, lexicon: str | None) -> Encoder:
+def _encoder(key: tuple, vocabulary, lexicon: str | None, memo_words: int) -> Encoder:
     """One encoder for each worker and lexicon; a new lexicon replaces the old one."""
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(vocabulary.value, SparkFiles.get(lexicon) if lexicon else None)
+        _ENCODERS[key] = Encoder(vocabulary.value, SparkFiles.get(lexicon) if lexicon else None, memo_words)
     return _ENCODERS[key]
 
 
-def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "token_ids", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "token_ids", lexicon_words: int = LEXICON_WORDS,
+               memo_words: int = MEMO_WORDS) -> DataFrame:
     """``df`` with ``out_col``, the token ids (array of int) of every whole text.
 
     As the tokenizers library encodes without added special tokens, truncation
     or padding: special tokens spelt out in a text become their ids.  Null
     and empty texts give an empty array; an empty table gives an empty
     result.  ``out_col`` replaces a column of that name.  Each row is encoded
-    alone: ties, repeated rows and hot sources change nothing.
+    alone: ties, repeated rows and hot sources change nothing.  ``memo_words``
+    bounds the words a worker remembers (two generations of so many): less
+    memory costs time and changes no result.
     """
     spark = df.sparkSession
     vocabulary = Vocabulary(tokenizer_path)
@@ -326,11 +329,11 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_c
         spark.sparkContext.addFile(path)
         lexicon = path.rsplit("/", 1)[-1]
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary file
-    key = f"{tokenizer_path}|{lexicon}"
+    key = (tokenizer_path, lexicon, memo_words)
 
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        encoder = _encoder(key, shared, lexicon)
+        encoder = _encoder(key, shared, lexicon, memo_words)
         packed, part, size = [], [], 0
         for text in column.to_pylist():
             part.append(text or "")
