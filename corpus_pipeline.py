@@ -20,6 +20,10 @@ from tessera.llm.quality_rules import keep_good
 from tessera.llm.simhash import keep_one_of_near
 
 
+#: Words that a worker of the tokens stage remembers: fewer than by default, as the stages before have filled the executors' heaps.
+MEMO_WORDS = 1 << 16
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass every quality rule."""
     prepare(spark)
@@ -48,7 +52,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with digests of the ids and of the text decoded from them."""
     prepare(spark)
     path = tokenizer_file()
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), path), path)
+    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, memo_words=MEMO_WORDS), path)
     return coded.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
