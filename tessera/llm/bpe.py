@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import give_back_memory, scratch_path, write_shared, written
+from tessera.llm.common import fresh, give_back_memory, scratch_path, write_shared, written
 from tessera.llm.lexicon import Lexicon, compile_lexicon
 
 #: Words in the lexicon (a bound for the driver and the mapped file, not for the results).
@@ -31,8 +31,8 @@ LEXICON_WORDS = 1 << 17
 COUNT_TABLE = 1 << 18
 #: Results that a task remembers at most.
 MEMO_WORDS = 1 << 18
-#: Tokens that are decoded together.
-DECODE_TOKENS = 1 << 20
+#: Tokens that are decoded together (some ten bytes of working arrays for each byte of their text).
+DECODE_TOKENS = 1 << 17
 ID_BITS = 32
 ID_MASK = (1 << ID_BITS) - 1
 NO_MERGE = 1 << 62
@@ -306,18 +306,8 @@ def _encoder(key: tuple, vocabulary, lexicon: str | None, memo_words: int) -> En
     return _ENCODERS[key]
 
 
-def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "token_ids", lexicon_words: int = LEXICON_WORDS,
-               memo_words: int = MEMO_WORDS) -> DataFrame:
-    """``df`` with ``out_col``, the token ids (array of int) of every whole text.
-
-    As the tokenizers library encodes without added special tokens, truncation
-    or padding: special tokens spelt out in a text become their ids.  Null
-    and empty texts give an empty array; an empty table gives an empty
-    result.  ``out_col`` replaces a column of that name.  Each row is encoded
-    alone: ties, repeated rows and hot sources change nothing.  ``memo_words``
-    bounds the words a worker remembers (two generations of so many): less
-    memory costs time and changes no result.
-    """
+def _column_encoder(df: DataFrame, tokenizer_path: str, text_col: str, lexicon_words: int, memo_words: int):
+    """The function of a task that gives the token ids of a column of texts; counts the words of ``df`` for its lexicon."""
     spark = df.sparkSession
     vocabulary = Vocabulary(tokenizer_path)
     words = sorted(w.encode("utf-8") for w in frequent_words(df, text_col, vocabulary.special, lexicon_words)
@@ -331,7 +321,6 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_c
     shared = spark.sparkContext.broadcast(vocabulary)  # bounded by the vocabulary file
     key = (tokenizer_path, lexicon, memo_words)
 
-    @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         encoder = _encoder(key, shared, lexicon, memo_words)
         packed, part, size = [], [], 0
@@ -350,42 +339,85 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_c
             raise ValueError("one Arrow batch has over 2^31 tokens; lower spark.sql.execution.arrow.maxRecordsPerBatch")
         return pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
 
-    return df.withColumn(out_col, encode(F.col(text_col).cast("string")))
-
+    return encode
 
-def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with ``out_col``, the text that ``ids_col`` stands for, special tokens included.
 
-    Bytes that are no UTF-8 become U+FFFD; ids that the vocabulary lacks are
-    left out; null gives an empty text.  Each row is decoded alone: ties and
-    repeated rows change nothing, an empty table gives an empty result.
-    """
+def _column_decoder(df: DataFrame, tokenizer_path: str):
+    """The function of a task that gives the texts of a column of token ids."""
     tokens = Vocabulary(tokenizer_path).tokens
     known = [tokens.get(i, b"") for i in range(max(tokens, default=-1) + 1)] + [b""]  # the last one is for ids that are not there
     sizes = np.array([len(t) for t in known], dtype=np.int64)
     shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(known), dtype=np.uint8), np.cumsum(sizes) - sizes, sizes))
 
-    @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
         flat, begin, size = shared.value
-        at = column.offsets.to_numpy()
-        out, a = [], 0
-        while a < len(column):  # so many rows that the working arrays stay bounded
-            b = max(a + 1, int(np.searchsorted(at, at[a] + DECODE_TOKENS, side="right")) - 1)
-            ids = column.values[int(at[a]):int(at[b])].fill_null(-1).to_numpy(zero_copy_only=False)
+        at = column.offsets.to_numpy().astype(np.int64)
+        first, at = int(at[0]), at - at[0]
+        raw, ends, done = [], np.zeros(len(at), dtype=np.int64), 0
+        for a in range(0, int(at[-1]), DECODE_TOKENS):  # across the rows, so that a long one is cut as well
+            b = min(a + DECODE_TOKENS, int(at[-1]))
+            ids = column.values[first + a:first + b].fill_null(-1).to_numpy(zero_copy_only=False)
             ids = np.where((ids < 0) | (ids >= len(size) - 1), len(size) - 1, ids)
             count = size[ids]
             total = np.cumsum(count)
-            raw = flat[np.repeat(begin[ids] - (total - count), count) + np.arange(total[-1] if len(total) else 0)]
-            ends = np.r_[0, total][at[a:b + 1] - at[a]]
-            if ends[-1] >= 1 << 31:
-                raise ValueError("one row has over 2^31 bytes of text")
-            packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
-            try:
-                out.append(packed.cast(pa.string()))
-            except pa.ArrowInvalid:  # bytes that are no UTF-8
-                out.append(pa.array([x.decode("utf-8", "replace") for x in packed.to_pylist()], pa.string()))
-            a = b
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
-
-    return df.withColumn(out_col, decode(F.col(ids_col)))
+            raw.append(flat[np.repeat(begin[ids] - (total - count), count) + np.arange(total[-1])].tobytes())
+            rows = slice(np.searchsorted(at, a, side="right"), np.searchsorted(at, b, side="right"))
+            ends[rows] = done + total[at[rows] - a - 1]
+            done += int(total[-1])
+        if done >= 1 << 31:
+            raise ValueError("one Arrow batch has over 2^31 bytes of text; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+        packed = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(b"".join(raw))])
+        try:
+            return packed.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pa.array([x.decode("utf-8", "replace") for x in packed.to_pylist()], pa.string())
+
+    return decode
+
+
+def bpe_encode(df: DataFrame, tokenizer_path: str, text_col: str = "text", out_col: str = "token_ids", lexicon_words: int = LEXICON_WORDS,
+               memo_words: int = MEMO_WORDS) -> DataFrame:
+    """``df`` with ``out_col``, the token ids (array of int) of every whole text.
+
+    As the tokenizers library encodes without added special tokens, truncation
+    or padding: special tokens spelt out in a text become their ids.  Null
+    and empty texts give an empty array; an empty table gives an empty
+    result.  ``out_col`` replaces a column of that name.  Each row is encoded
+    alone: ties, repeated rows and hot sources change nothing.  ``memo_words``
+    bounds the words a worker remembers (two generations of so many): less
+    memory costs time and changes no result.
+    """
+    encode = F.arrow_udf(_column_encoder(df, tokenizer_path, text_col, lexicon_words, memo_words), "array<int>")
+    return df.withColumn(out_col, encode(F.col(text_col).cast("string")))
+
+
+def bpe_decode(df: DataFrame, tokenizer_path: str, ids_col: str = "token_ids", out_col: str = "decoded") -> DataFrame:
+    """``df`` with ``out_col``, the text that ``ids_col`` stands for, special tokens included.
+
+    Bytes that are no UTF-8 become U+FFFD; ids that the vocabulary lacks are
+    left out; null gives an empty text.  Each row is decoded alone: ties and
+    repeated rows change nothing, an empty table gives an empty result.
+    """
+    return df.withColumn(out_col, F.arrow_udf(_column_decoder(df, tokenizer_path), "string")(F.col(ids_col)))
+
+
+def bpe_round_trip(df: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "token_ids", out_col: str = "decoded",
+                   lexicon_words: int = LEXICON_WORDS, memo_words: int = MEMO_WORDS) -> DataFrame:
+    """``df`` with the token ids of every whole text and the text decoded from them: ``bpe_encode``, then ``bpe_decode``.
+
+    One call a batch does both.  Where the decoder follows the encoder as a
+    function of its own, Spark puts the encoder into the decoder's argument
+    and encodes every text twice.  Nulls, ties, repeated rows and empty tables
+    are as in those two; ``ids_col`` and ``out_col`` replace columns of these
+    names.
+    """
+    encode, decode = _column_encoder(df, tokenizer_path, text_col, lexicon_words, memo_words), _column_decoder(df, tokenizer_path)
+
+    def both(column: pa.Array) -> pa.Array:
+        ids = encode(column)
+        return pa.StructArray.from_arrays([ids, decode(ids)], names=["ids", "decoded"])
+
+    (coded,) = fresh(df, "coded")
+    both_of = F.arrow_udf(both, "struct<ids: array<int>, decoded: string>")
+    return (df.withColumn(coded, both_of(F.col(text_col).cast("string")))
+            .withColumn(ids_col, F.col(coded)["ids"]).withColumn(out_col, F.col(coded)["decoded"]).drop(coded))

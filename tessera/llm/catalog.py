@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import bpe_decode, bpe_encode
+from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.common import documents, prepare, scratch_path
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.filter_audit import audit_orders, failure_masks
@@ -99,7 +99,7 @@ def tokenizer_file() -> str:
 @query("op5_bpe")
 def op5_bpe(docs, sf_dir):
     path = tokenizer_file()
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text"), path), path)
+    coded = bpe_round_trip(docs.select("doc_id", "text"), path)
     return coded.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -6,11 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import awkward, order_id, table, words
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import Encoder, Vocabulary, bpe_decode, bpe_encode
+from tessera.llm.bpe import Encoder, Vocabulary, _splitter, bpe_decode, bpe_encode, bpe_round_trip
 from tessera.llm.catalog import tokenizer_file
 from tessera.llm.common import documents, prepare
 from tessera.llm.lexicon import Lexicon, compile_lexicon
@@ -47,12 +48,37 @@ def test_bpe_equals_the_library(spark):
     rows.append((2000, "abcdefghij" * 3000 + "é" * 2000))
     df = table(spark, rows, clash=True)
     path = tokenizer_file()
-    got = bpe_decode(bpe_encode(df, path, lexicon_words=200), path).select("doc_id", "text", "token_ids", "decoded").collect()
-    assert len(got) == len(rows)
-    for r in got:
-        ids = library.encode(r["text"] or "", add_special_tokens=False).ids
-        assert r["token_ids"] == ids
-        assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+    both = bpe_round_trip(df, path, lexicon_words=200)
+    assert set(both.columns) == set(df.columns) | {"token_ids", "decoded"}
+    for coded in (both, bpe_decode(bpe_encode(df, path, lexicon_words=200), path)):
+        got = coded.select("doc_id", "text", "token_ids", "decoded").collect()
+        assert len(got) == len(rows)
+        for r in got:
+            ids = library.encode(r["text"] or "", add_special_tokens=False).ids
+            assert r["token_ids"] == ids
+            assert r["decoded"] == library.decode(ids, skip_special_tokens=False)
+
+
+def test_round_trip_encodes_once_and_takes_an_empty_table(spark):
+    prepare(spark)
+    df = table(spark, [(1, "one two"), (2, None)])
+    plan = bpe_round_trip(df, tokenizer_file())._jdf.queryExecution().executedPlan().toString()
+    (call,) = re.findall(r"ArrowEvalPython \[([^\]]*)\]", plan)
+    assert call.count("both(") == 1
+    assert bpe_round_trip(df.limit(0), tokenizer_file()).count() == 0
+
+
+def test_decoding_in_slices_across_rows(spark, monkeypatch):
+    from tessera.llm import bpe
+    path = tokenizer_file()
+    vocabulary = Vocabulary(path)
+    texts = ["", "a b c", "", "", "many more words than a slice holds, été", "x", ""]
+    ids = pa.array([None, *([i for w in _splitter({})(t) for i in vocabulary.merge(w.encode())] for t in texts)], pa.list_(pa.int32()))
+    decode = bpe._column_decoder(table(spark, [(1, "a")]), path)
+    for tokens in (1, 2, 3, 5, 1 << 17):
+        monkeypatch.setattr(bpe, "DECODE_TOKENS", tokens)
+        assert decode(ids).to_pylist() == ["", *texts]
+        assert decode(ids.slice(2, 4)).to_pylist() == texts[1:5]
 
 
 def test_latin_pattern_cuts_like_the_general_one():
