@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import bpe_decode, bpe_encode
+from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.catalog import MAX_BITS, SHINGLE_WORDS, tokenizer_file
 from tessera.llm.common import documents, prepare, written
 from tessera.llm.exact_dedup import keep_one_of_equal
@@ -51,8 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, with digests of the ids and of the text decoded from them."""
     prepare(spark)
-    path = tokenizer_file()
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "lang", "source", "text"), path, memo_words=MEMO_WORDS), path)
+    coded = bpe_round_trip(docs.select("doc_id", "lang", "source", "text"), tokenizer_file(), memo_words=MEMO_WORDS)
     return coded.select("doc_id", "lang", "source", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"),
                         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
