@@ -156,3 +156,45 @@ def test_questions_never_reach_the_driver(spark):
     index, queries, _, _ = _tables(spark, 300, 20, 4, 9, 0.1)
     plan = search_batch(index, queries, 3, key_cols=["vec_id"]).hits._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "queries-" in plan
+
+
+def test_small_cells_share_a_block_and_candidates_stay_bounded():
+    """A question meets few blocks; a task holds k rows a question and a slice of products."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.operators.retrieve import FilterSpec, _best, _packed, _Rules, _Vectors
+
+    assert _packed([10, 20, 30, 100, 5], 60).tolist() == [0, 0, 0, 1, 2]
+    n, m, k = 3000, 3000, 50
+    x = np.random.default_rng(1).normal(size=(n, 4))
+    x[: n // 2] = x[0]  # equal vectors tie for every question
+    x[n - 2] = 0
+    column = pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))
+    label = [i % 3 for i in range(n)]
+    rules = _Rules({"id": list(range(n)), "label": label}, {"label": label[:m], "self": list(range(m))}, FilterSpec(equal=[("label", "label")]), "self", "id")
+    tracemalloc.start()
+    got = list(_best(_Vectors(column), _Vectors(column), np.zeros(n, int), np.ones((m, 1), bool), np.arange(n), np.full(m, -np.inf), k, rules))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6  # 8 * k candidates a question as a table took over 1 GB
+    wide = x.astype(np.float32).astype(np.float64)
+    for whole, best in got:
+        for j in (0, 1, len(whole) // 2, len(whole) - 1):
+            i = whole[j]
+            with np.errstate(invalid="ignore"):
+                score = np.round(wide @ wide[i] / (np.linalg.norm(wide, axis=1) * np.linalg.norm(wide[i])), 9)
+            score = np.where(np.isnan(score), np.inf, score)
+            fit = [r for r in range(n) if r != i and label[r] == label[i]]
+            assert best.row[j].tolist() == sorted(fit, key=lambda r: (-score[r], r))[:k]
+
+
+def test_equal_keys_of_the_question_itself_are_all_left_out(spark):
+    from tessera.operators.retrieve import topk_batch
+
+    rows = [(1, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (None, [0.5, 0.5]), (3, None)]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = index.selectExpr("vec_id query_id", "vec_id self", "embedding").where("vec_id = 1")
+    hits = topk_batch(index, asked.limit(1), 5, key_cols=["vec_id"], exclude_self="self").collect()
+    assert [(h["rank"], h.vec_id) for h in sorted(hits, key=lambda h: h["rank"])] == [(1, None), (2, 2)]
