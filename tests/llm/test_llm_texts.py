@@ -374,3 +374,34 @@ def test_bpe_of_mixed_white_space_equals_the_library():
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 14))) for _ in range(6000)] + ["", " ", "  ", "a ", "a  ", " a", "  a"]
     for text, packed in zip(texts, encoder.encode_many(texts), strict=True):
         assert np.frombuffer(packed, "<i4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_classifier_fits_on_every_labelled_row(spark, monkeypatch):
+    """Also those beyond any number of rows a label, and both labels meet in every group however rare one is."""
+    from tessera.llm import quality_classifier as qc
+
+    prepare(spark)
+    monkeypatch.setattr(qc, "GROUP_ROWS", 40)
+    ids = [i for i in range(700) if zlib.crc32(str(i).encode()) % 5]
+    good = set(ids[::50])
+    df = spark.createDataFrame([(i, ("many quiet words, all good. " if i in good else "BUY NOW!!! $$$ ") * (1 + i % 7) + str(i)) for i in range(700)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in good)) for i in ids], "doc_id long, quality int")
+    seen, plain = [], qc.Groups.sums
+
+    def sums(self, part):
+        seen.append(self.table)
+        return plain(self, part)
+
+    monkeypatch.setattr(qc.Groups, "sums", sums)
+    model = qc.fit_quality(df, labels)
+    rows = seen[0].collect()
+    own = [(np.frombuffer(r["own"], bool), np.frombuffer(r["good"], bool)) for r in rows]
+    assert len(rows) > 5 and sum(o.sum() for o, _ in own) == len(ids) and sum((o & g).sum() for o, g in own) == len(good)
+    assert all(g.any() and not g.all() for _, g in own)
+    x = np.concatenate([np.frombuffer(r["x"], float).reshape(-1, len(qc.FEATURES))[o] for r, (o, _) in zip(rows, own, strict=True)])
+    assert np.allclose(model.mean, x.mean(axis=0)) and np.allclose(model.scale, np.where(x.std(axis=0) < 1e-9, 1, x.std(axis=0)))
+    strength = np.sort(model.strength(x))
+    k = len(ids) - len(good) - 1  # the share of bad labels
+    assert abs(model.threshold - (strength[k] + strength[k + 1]) / 2) < 1e-9
+    scored = {r["doc_id"]: r["score"] for r in score_quality(df, model).collect()}
+    assert all((scored[i] >= 0.3) == (i in good) for i in ids)
