@@ -214,3 +214,25 @@ def test_a_rank_is_not_expanded_whole(monkeypatch):
         found.append([(r["id"], sorted(set(np.frombuffer(r["starts"], "<u4").tolist()))) for r in out])
     assert found[0] == found[1] == [(8, list(range(7, 7 + 20_000 - 49)))]
     assert 3 * peak[1] < peak[0], peak
+
+
+def test_scans_that_give_bitmaps_leave_no_shuffle_files(spark):
+    import numpy as np
+
+    from tessera.llm.firsts import deal_windows, first_bitmap
+    from tessera.llm.shared_keys import is_set, repeated_bitmap
+
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+
+    def shuffled():
+        found = files()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows = spark.range(1000, numPartitions=4)
+    before, said = shuffled(), spark.conf.get(setting)
+    bitmap = repeated_bitmap(rows, lambda batch: iter([batch.column(0).to_numpy().astype(np.uint64) % np.uint64(600) * np.uint64(0x9E3779B97F4A7C15)]))
+    first_bitmap(deal_windows(rows, lambda batch: iter([(*[batch.column(0).to_numpy().astype(np.uint64) << np.uint64(40)] * 2, batch.column(0).to_numpy(), np.zeros(batch.num_rows, int))])))
+    assert not shuffled() - before and spark.conf.get(setting) == said
+    hit = is_set(np.frombuffer(bitmap, np.uint8), np.arange(600, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    assert hit[:400].all() and not hit[400:].all()
