@@ -198,3 +198,29 @@ def test_equal_keys_of_the_question_itself_are_all_left_out(spark):
     asked = index.selectExpr("vec_id query_id", "vec_id self", "embedding").where("vec_id = 1")
     hits = topk_batch(index, asked.limit(1), 5, key_cols=["vec_id"], exclude_self="self").collect()
     assert [(h["rank"], h.vec_id) for h in sorted(hits, key=lambda h: h["rank"])] == [(1, None), (2, 2)]
+
+
+def test_any_filter_that_questions_use_leaves_rows_out(spark):
+    """Searches by domain or by date score the parts of the index that can hold a hit, not every pair."""
+    from tessera.operators.retrieve import search_batch
+
+    rng = np.random.default_rng(11)
+    n, m, day = 2000, 60, dt.timedelta(days=1)
+    x, start = rng.normal(size=(n, 8)), dt.datetime(2024, 1, 1)
+    rows = [(i, x[i].tolist(), "A", None if i % 17 == 0 else f"d{i % 40}", None if i % 19 == 0 else start + i * day) for i in range(n)]
+    index = spark.createDataFrame(rows, "vec_id long, embedding array<double>, folder string, domain string, date_added timestamp")
+    for domain, dates in ((True, False), (False, True), (True, True)):
+        asked = [(j, x[j].tolist(), None, f"d{j % 40}" if domain else None, start + (20 * j - 300) * day if dates else None,
+                  start + (20 * j + 100) * day if dates else None) for j in range(m)]
+        queries = spark.createDataFrame(asked, "query_id long, embedding array<double>, folder string, domain string, date_from timestamp, date_to timestamp")
+        plan = search_batch(index, queries, 5, key_cols=["vec_id"], filters=LINK_FILTERS)
+        got = {}
+        for r in sorted(plan.hits.collect(), key=lambda r: r["rank"]):
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        want = {}
+        for j, q, _, dom, lo, hi in asked:
+            fit = [i for i, _, _, d, a in rows if (dom is None or d == dom) and (lo is None or (a is not None and lo <= a <= hi))]
+            score = {i: -round(float(x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j])), 9) for i in fit}
+            want[j] = sorted(fit, key=lambda i: (score[i], i))[:5]
+        assert got == {j: hits for j, hits in want.items() if hits}
+        assert plan.pairs_in_all == n * m and plan.pairs_scored < 0.4 * n * m  # every pair before, as only folders led to parts
