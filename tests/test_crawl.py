@@ -85,3 +85,23 @@ def test_gate_agrees_with_stdlib_robot_parser(spark):
         want = rp.can_fetch("TesseraBot/1.0", r.url) if rp else True
         assert r.allowed == want, r.url
     assert any(not r.allowed for r in rows)
+
+
+def test_a_hot_origin_is_no_single_task(spark):
+    """The join that is shuffled (no broadcast) deals one origin's urls to many partitions, with the same verdicts."""
+    from pyspark.sql import functions as F
+    urls = spark.range(3200).select(F.concat(F.lit("https://hot.example/"), F.when(F.col("id") % 5 == 0, "no/").otherwise("yes/"), "id").alias("url"))
+    rules = spark.createDataFrame([("https://hot.example", 0, "*", 0, False, "/no/")], RULES)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(kept, ("-1", "false", "32"), strict=True):
+            spark.conf.set(key, value)
+        got = robots_gate(urls, rules).withColumn("_part", F.spark_partition_id())
+        assert got.columns == ["origin", "url", "allowed", "_part"]
+        rows = got.select("_part", "allowed").collect()  # no aggregate: Spark would leave the join out
+        assert len(rows) == 3200 and sum(not r.allowed for r in rows) == 640
+        parts = [r._part for r in rows]
+        assert max(map(parts.count, set(parts))) <= 800  # 3,200 when the origin alone was the key
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
