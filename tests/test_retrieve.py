@@ -224,3 +224,49 @@ def test_any_filter_that_questions_use_leaves_rows_out(spark):
             want[j] = sorted(fit, key=lambda i: (score[i], i))[:5]
         assert got == {j: hits for j, hits in want.items() if hits}
         assert plan.pairs_in_all == n * m and plan.pairs_scored < 0.4 * n * m  # every pair before, as only folders led to parts
+
+
+def test_rescoring_is_bounded_in_bytes_whatever_the_width():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tessera.operators import retrieve as r
+    rng = np.random.default_rng(0)
+    n, dim, k = 1500, 384, 200
+    x = (rng.normal(size=(1, dim)) + 0.4 * rng.normal(size=(n, dim))).astype(np.float32)
+    column = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dim, dtype=np.int32)), pa.array(x.ravel()))
+    vectors = r._Vectors(column)
+    exact = (vectors.wide(slice(None)) @ vectors.wide(slice(None)).T) / np.outer(vectors.norm, vectors.norm)
+    rules = r._Rules({"id": list(range(n))}, {}, r.FilterSpec(), None, "id")
+    floor = np.sort(exact, axis=1)[:, -2 * k]
+    tracemalloc.start()
+    hits = [b.row[:len(w)].copy() for w, b in r._best(vectors, vectors, np.zeros(n, int), np.ones((n, 1), bool), np.arange(n), floor, k, rules)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20  # the two sides of 65,536 candidates alone took 400 MB
+    best = np.argsort(-np.round(exact, 9), axis=1, kind="stable")[:, :k]
+    assert (np.sort(np.concatenate(hits), axis=1) == np.sort(best, axis=1)).all()
+
+
+def test_each_embedding_and_cell_is_computed_once(spark):
+    """No filter on a computed vector or cell computes it again, and the plan's small tables start no Python workers."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from tessera.operators.retrieve import search_batch
+    rng = np.random.default_rng(4)
+    idx = spark.createDataFrame([(f"c{i:02d}", rng.normal(size=8).astype(np.float32).tolist()) for i in range(40)], "chunk_id string, embedding array<float>")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.arrow_udf("array<float>")
+    def embed(ids: pa.Array) -> pa.Array:
+        calls.add(len(ids))
+        return pa.array([None if i == 3 else [float(i + 1)] * 8 for i in ids.to_pylist()], pa.list_(pa.float32()))
+
+    questions = spark.range(10).select(F.col("id").alias("query_id"), embed("id").alias("embedding"))
+    search = search_batch(idx, questions, 3, filters=LINK_FILTERS.__class__())
+    assert calls.value == 10
+    plan = search.hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert {r.query_id for r in search.hits.collect()} == set(range(10)) - {3}  # a question without a vector has no hits
