@@ -249,6 +249,26 @@ def test_rescoring_is_bounded_in_bytes_whatever_the_width():
     assert (np.sort(np.concatenate(hits), axis=1) == np.sort(best, axis=1)).all()
 
 
+def test_only_what_can_be_among_the_best_is_scored_in_double_precision(monkeypatch):
+    """Without a floor (a filter that few sample rows pass) single-precision products of the slice and of what waits give one."""
+    import pyarrow as pa
+
+    from tessera.operators import retrieve as r
+    n, dim, k = 3000, 32, 5
+    x = np.random.default_rng(2).normal(size=(n, dim)).astype(np.float32)
+    x[7], x[11:15] = 0, x[20]  # first for every question; ties
+    vectors = r._Vectors(pa.array(x.tolist(), pa.list_(pa.float32())))
+    rules = r._Rules({"id": list(range(n))}, {"self": list(range(n))}, r.FilterSpec(), "self", "id")
+    pairs, rounded = [], r._rounded
+    monkeypatch.setattr(r, "_rounded", lambda score: pairs.append(score.size) or rounded(score))
+    hits = np.concatenate([b.row[:len(w)] for w, b in r._best(vectors, vectors, np.zeros(n, int), np.ones((n, 1), bool), np.arange(n), np.full(n, -np.inf), k, rules)])
+    assert sum(pairs) < 8 * k * n  # 1,576 a question before: whole slices, then all that passed a stale floor
+    with np.errstate(invalid="ignore"):
+        exact = rounded((vectors.wide(slice(None)) @ vectors.wide(slice(None)).T) / np.outer(vectors.norm, vectors.norm))
+    np.fill_diagonal(exact, -np.inf)
+    assert (hits == np.argsort(-exact, axis=1, kind="stable")[:, :k]).all()
+
+
 def test_each_embedding_and_cell_is_computed_once(spark):
     """No filter on a computed vector or cell computes it again, and the plan's small tables start no Python workers."""
     import pyarrow as pa
