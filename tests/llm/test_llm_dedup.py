@@ -236,3 +236,60 @@ def test_scans_that_give_bitmaps_leave_no_shuffle_files(spark):
     assert not shuffled() - before and spark.conf.get(setting) == said
     hit = is_set(np.frombuffer(bitmap, np.uint8), np.arange(600, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     assert hit[:400].all() and not hit[400:].all()
+
+
+def test_cover_suffixes_come_in_rounds_and_leave_no_shuffle_files(spark, monkeypatch, tmp_path):
+    """The suffixes of every round are a part of all; no round's shuffle outlives it; results stay with many rounds and written bitmaps."""
+    import pyarrow as pa
+
+    from tessera.llm import shared_keys, suffix_dedup
+    prepare(spark)
+    texts = [b"abc" * 40 + b"x", b"q" * 50, "hé ".encode() * 33]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.binary()), pa.array([3, 8, 9]), pa.array([0, 0, 5]), pa.array([5, 7, 0])], names=["bytes", "id", "mark", "pos"])
+    rows = lambda *how: [tuple(r.values()) for b in suffix_dedup._cover_suffixes(60, *how)([batch]) for r in b.to_pylist()]
+    whole = rows()
+    places = [(i, p + pos, text[max(0, p - 30):p + 50]) for text, i, pos in zip(texts, (3, 8, 9), (5, 7, 0), strict=True) for p in range(len(text) - 19) if p % 31 in COVER]
+    assert sorted((i, pos + off, around) for _, _, around, off, i, _, pos in whole) == sorted(places)
+    assert sorted(r for turn in range(3) for r in rows(3, turn)) == sorted(whole) and len(rows(3, 0)) < len(whole)
+
+    made, write = [], suffix_dedup._cover_suffixes
+    monkeypatch.setattr(suffix_dedup, "_cover_suffixes", lambda *how: made.append(how[1:]) or write(*how))
+    monkeypatch.setattr(suffix_dedup, "ROUND_BYTES", 1 << 10)
+    monkeypatch.setattr(suffix_dedup, "ROUND_SHARE", 40)
+    monkeypatch.setattr(shared_keys, "COLLECTED_BYTES", 1 << 10)
+    docs = distinct_ids(awkward() + [(900 + k, "one and the same passage of text that is over fifty bytes long, " * 3 + str(k) * k) for k in range(40)])
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeated_bytes(table(spark, docs)).collect()}
+    assert got == brute_bytes(docs)
+    assert len(made) > 2 and sorted(made) == [(len(made), turn) for turn in range(len(made))]
+
+
+def test_later_places_travel_as_runs():
+    import pyarrow as pa
+
+    from tessera.llm.suffix_dedup import RUN, _as_runs, _in_runs
+    places = [[4, 5, 5, 6, 9], [9, 10], [0], [2, 2, 4]]
+    found = pa.table({"id": [1, 1, 2, 3], "mark": [0, 7, 0, 0], "starts": pa.array([np.array(p, "<u4").tobytes() for p in places], pa.binary())})
+    runs = _as_runs(found).to_pylist()
+    assert [len(r["runs"]) // RUN.itemsize for r in runs] == [2, 1, 1, 2]
+    assert [np.flatnonzero(_in_runs([r["runs"]], 12)).tolist() for r in runs] == [sorted(set(p)) for p in places]
+    assert np.flatnonzero(_in_runs([r["runs"] for r in runs], 11)).tolist() == [0, 2, 4, 5, 6, 9, 10]
+    assert _as_runs(found.slice(0, 0)).num_rows == 0
+
+
+def test_bitmaps_grow_with_the_text(spark):
+    """More keys than a bitmap of 8 MB holds: sized by the text, it stays as selective; all sizes hold every repeat."""
+    from tessera.llm.firsts import deal_windows, first_bitmap, maybe_first
+    from tessera.llm.suffix_dedup import MOST_BITS, NAME_BITS, NAME_SHARE, _bitmap_bits
+    sizes = [_bitmap_bits(n, NAME_SHARE, NAME_BITS, MOST_BITS["names"]) for n in (0, 10**8, 2 * 10**9, 5 * 10**9, 10**12)]
+    assert sizes == [27, 27, 28, 30, 30]
+    name = lambda n: np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = spark.range(2000, numPartitions=4)
+    of = lambda batch: [(h := batch.column(0).to_numpy().astype(np.uint64) % np.uint64(1000) * np.uint64(0x9E3779B97F4A7C15)), h, batch.column(0).to_numpy(), np.zeros(batch.num_rows, int)]
+    loose = []
+    for bits in (12, 20):
+        bitmap = first_bitmap(deal_windows(rows, lambda batch: iter([tuple(of(batch))])), route_bits=bits)
+        assert 8 * (len(bitmap) - 1) == 1 << bits
+        flags = np.frombuffer(bitmap, np.uint8)
+        assert maybe_first(flags, name(1000), name(1000), np.arange(1000)).all()
+        loose.append(int(maybe_first(flags, name(1000), name(1000), np.arange(1000, 2000)).sum()))
+    assert loose[1] < 10 < loose[0]
