@@ -290,3 +290,30 @@ def test_each_embedding_and_cell_is_computed_once(spark):
     plan = search.hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert {r.query_id for r in search.hits.collect()} == set(range(10)) - {3}  # a question without a vector has no hits
+
+
+def test_questions_take_turns_where_copies_would_fill_the_disk(spark, monkeypatch):
+    """Many blocks of questions and rows: hits stay the same, and a round's copies are gone from the disk before the next."""
+    from tessera.operators import retrieve
+    rng = np.random.default_rng(17)
+    vecs = np.round(rng.normal(size=(400, 16)), 1).astype(np.float32)
+    idx = spark.createDataFrame([(f"c{i % 390:03d}", "u", "A" if i % 3 else "B", "d", dt.datetime(2024, 1, 1 + i % 20), vecs[i].tolist()) for i in range(400)], IDX).cache()
+    q = spark.createDataFrame([(i, vecs[i].tolist(), [None, "A", "B"][i % 3]) for i in range(300)] + [(7, [0.0] * 16, None), (8, None, "A")],
+                              "query_id int, embedding array<float>, folder string").cache()
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+
+    def shuffled():
+        found = files()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    def searched():
+        before, hits = shuffled(), retrieve.topk_batch(idx, q, 5, filters=retrieve.FilterSpec(equal=[("folder", "folder")]), max_block_bytes=40 * 8 * 16)
+        rows = sorted((r.query_id, r.rank, r.chunk_id, repr(r.score)) for r in hits.collect())
+        return rows, len(shuffled() - before), [f for f in hits.inputFiles() if "/hits-" in f]
+
+    once, left, none = searched()
+    monkeypatch.setattr(retrieve, "ROUND_BYTES", 1 << 10)
+    turns, left_now, written = searched()
+    assert turns == once and len(once) > 1400
+    assert not none and len({f.split("/round-")[1].split("/")[0] for f in written}) > 2
+    assert left_now < left
